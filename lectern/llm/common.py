@@ -262,3 +262,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if was == seen:
             return now
     raise RuntimeError("components did not settle")
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions, a value that a hash repartition to n sends there."""
+    found: dict[int, int] = {}
+    size = 8 * n + 64
+    while len(found) < n:
+        at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        found |= {r["at"]: r["low"] for r in spark.range(size).groupBy(at.alias("at")).agg(F.min(F.col("id").cast("int")).alias("low")).collect()}
+        size *= 2
+    return [found[i] for i in range(n)]

@@ -25,3 +25,31 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.jaccard_join import jaccard_join
 
     return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lectern.llm.bpe import bpe_round_trip
+
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lectern.llm.common import shared_dir
+    from lectern.llm.token_files import read_tokens, write_tokens
+
+    at = shared_dir(spark)
+    manifest = write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), at)
+    return read_tokens(manifest, at, with_ids=False)
+
+
+@query
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.flac import digests, encode_column
+
+    return digests(encode_column(_table(spark, sf_dir, "documents")))
