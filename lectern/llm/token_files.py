@@ -203,7 +203,7 @@ class Shard:
             raise ValueError(f"{name} is no token file")
         if head[len(MAGIC) :] != frames.hash:
             raise ValueError(f"{name} needs another dictionary")
-        raw = self.file.read_at(end - TAIL_SIZE - index, index)
+        raw = self.file.read_at(index, end - TAIL_SIZE - index)
         self.ids, self.offsets = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<u8", n + 1, 8 * n)
         self.counts = np.frombuffer(raw, "<u4", n, 16 * n + 8)
 
