@@ -53,3 +53,17 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.flac import digests, encode_column
 
     return digests(encode_column(_table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).docs
+
+
+@query
+def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.sharding import shard
+
+    return shard(_table(spark, sf_dir, "documents"))
