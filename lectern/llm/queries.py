@@ -67,3 +67,10 @@ def op4_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.sharding import shard
 
     return shard(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.vector_forest import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
