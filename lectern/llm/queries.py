@@ -74,3 +74,10 @@ def op10_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.vector_forest import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.html_crf import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
