@@ -13,14 +13,14 @@ NAMES = {
     "sidebar": "sidebar aside side rail widget widgets right-col left-col secondary related recommended popular trending more-stories see-also tags archive",
     "ad": "ad ads advert adverts advertisement advertising adsbygoogle banner-ad sponsor sponsored promo promotion promoted ad-slot ad-unit commercial affiliate",
     "form": "form search searchbox login signup register newsletter subscribe subscription contact-form comment-form feedback poll survey",
-    "notice": "notice cookie cookies cookie-banner consent gdpr alert warning popup modal overlay paywall message announcement toast privacy notification info-bar",
+    "notice": "notice notices cookie-notice cookie cookies cookie-banner consent gdpr alert warning popup modal overlay paywall message announcement toast privacy notification info-bar",
     "comments": "comments comment comment-list commentlist comment-body reply replies disqus discussion responses reader-comments respond thread feedback-list user-comments",
     "share": "share social sharing social-links share-bar follow follow-us buttons",
 }
 CONTENT = "content article post entry main story body text article-body post-content entry-content story-body main-content blog-post prose copy c1 wrap-inner box col-8 page article-text".split()
 NEUTRAL = "wrap wrapper container outer inner page site row col grid layout clearfix block section main-wrap root app c2 x1 box2 left center".split()
 ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search", "notice": "alertdialog", "ad": "complementary"}
-TAGS = {"nav": ["nav", "div", "ul", "nav"], "header": ["header", "div", "header"], "footer": ["footer", "div", "footer"], "sidebar": ["aside", "div", "aside", "section"], "ad": ["div", "ins", "section", "aside", "p"], "form": ["form", "form", "div"], "notice": ["div", "div", "section", "dialog", "p"], "comments": ["section", "div", "ol", "ul"], "share": ["div", "ul"]}
+TAGS = {"nav": ["nav", "div", "ul", "nav"], "header": ["header", "div", "header"], "footer": ["footer", "div", "footer"], "sidebar": ["aside", "div", "div", "section"], "ad": ["div", "div", "ins", "section", "aside"], "form": ["form", "form", "div"], "notice": ["div", "div", "section", "dialog"], "comments": ["section", "div", "ol", "ul"], "share": ["div", "ul"]}
 #: Words that such blocks often hold (fixed values).
 SAID = {
     "nav": "Home|About|Contact|News|Sports|Next|Previous|Archive|Blog|Login|Start|Accueil|Inicio",
@@ -61,10 +61,13 @@ class Maker:
         """Markup of what isn't the article."""
         r = self.r
         tag = r.choice(TAGS[kind])
+        names = NAMES[kind].split()
+        if r.random() < 0.5:
+            names = names[:4]  # the most usual
         bare = tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.5
-        out: list[tuple[str, int | None]] = [(f"<{tag}{'' if bare else self.attrs(NAMES[kind].split(), ROLES.get(kind, ''))}>", None)]
+        out: list[tuple[str, int | None]] = [(f"<{tag}{'' if bare else self.attrs(names, ROLES.get(kind, ''))}>", None)]
         said = SAID[kind].split("|")
-        text = lambda: r.choice(said) if r.random() < 0.5 else self.prose(1, r.choice([3, 8, 25]))
+        text = lambda: r.choice(said) if r.random() < 0.5 else self.prose(1, r.choice([3, 8, 25, 60, 140]) if kind not in ("nav", "share", "form") else r.choice([3, 8, 25]))
         style = r.random()
         if kind in ("nav", "share") or style < 0.25:
             ul = "" if tag in ("ul", "ol") else "ul"
@@ -81,9 +84,9 @@ class Maker:
             out += [("<h3>", None), (r.choice(said), 0), ("</h3>", None)]
             for _ in range(r.randint(1, 5)):
                 inner = r.choice(["p", "div", "li"])
-                out += [(f"<{inner}{self.attrs(NAMES['comments'].split())}>", None), (self.prose(2, r.choice([10, 40])), 0), (f"</{inner}>", None)]
+                out += [(f"<{inner}{self.attrs(NAMES['comments'].split())}>", None), (self.prose(2, r.choice([10, 40, 140])), 0), (f"</{inner}>", None)]
         else:
-            for _ in range(r.choice([1, 1, 2, 3])):
+            for _ in range(r.choice([1, 1, 2, 3, 6])):
                 inner = r.choice(["", "", "p", "div", "span", "h3", "h4"])
                 a = r.random() < 0.3
                 out += [((f"<{inner}>" if inner else "") + ("<a href='/y'>" if a else ""), None), (text() + (" &middot; " + self.prose(2, 12) if r.random() < 0.3 else ""), 0), (("</a>" if a else "") + (f"</{inner}>" if inner else "<br>"), None)]
@@ -135,7 +138,7 @@ class Maker:
                 out += [("<pre>", None), (self.prose(5, 30), 1), ("</pre>", None)]
             if r.random() < 0.06:
                 out += self.off(r.choice(["ad", "ad", "notice", "share", "form", "sidebar"]))
-        if r.random() < 0.12:
+        if r.random() < 0.2:
             out += self.off("comments")
         return out
 
@@ -157,7 +160,7 @@ class Maker:
         if r.random() > 0.02:
             out += self.article()
         out.append((f"</{tag}>" + (f"</{before[0][0][1:].split()[0].rstrip('>')}>" if before else ""), None))
-        for kind_, p in (("share", 0.25), ("comments", 0.35), ("sidebar", 0.35), ("form", 0.2), ("ad", 0.25), ("notice", 0.1), ("nav", 0.2), ("footer", 0.85)):
+        for kind_, p in (("share", 0.25), ("comments", 0.35), ("sidebar", 0.45), ("form", 0.25), ("ad", 0.25), ("notice", 0.2), ("nav", 0.2), ("footer", 0.85)):
             if r.random() < p:
                 out += self.off(kind_)
         out.append(("</div>" * depth + ("</body></html>" if r.random() < 0.8 else ""), None))
