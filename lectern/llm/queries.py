@@ -81,3 +81,14 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.html_crf import extract
 
     return extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.maxent_lm import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return score(docs, train(docs.where(~held_out)), held_out=held_out)
