@@ -92,3 +92,10 @@ def op8_maxent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     return score(docs, train(docs.where(~held_out)), held_out=held_out)
+
+
+@query
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.cotraining import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
