@@ -32,6 +32,8 @@ from lectern.llm.common import U
 WORD_BITS, META_BITS, BINS = 12, 10, 12
 #: Confidence that makes a label for the other view, and the share of the pool a round may label.
 SURE, ROUND_SHARE = 0.97, 0.2
+#: The lowest threshold: a few odd documents that are called good cannot let everything pass.
+LEAST = 0.2
 
 
 def text_numbers(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +173,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int = 8000, rounds: int = 3, most_bad: float = 0.005) -> Model | None:
     """docs: id, text, lang, source, n_chars; labels: id, y (1 good, 0 bad). The threshold rejects
-    at most about most_bad of good documents. None without labels of both kinds."""
+    at most about most_bad of good documents, but lies between LEAST and a half. None without labels of both kinds."""
     spark = docs.sparkSession
     order = [F.xxhash64("id"), F.col("id")]
     labels = labels.where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
@@ -232,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int
     both = np.column_stack([m * s[0] + s[1] for m, s in zip(margins, scales, strict=True)])
     joint = platt(both[held], y[held])
     p = sigmoid(both[held] @ joint[:2] + joint[2])
-    threshold = min(0.5, float(np.quantile(p[y[held] == 1], most_bad)))
+    threshold = float(np.clip(np.quantile(p[y[held] == 1], most_bad), LEAST, 0.5))
     return Model(views, models[0].w, models[1].w, scales, joint, threshold)
 
 
