@@ -137,12 +137,23 @@ def platt(margin: np.ndarray, y: np.ndarray) -> np.ndarray:
     x = np.column_stack([margin, np.ones(len(y))])
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    ridge = np.append(np.ones(x.shape[1] - 1), 1e-6)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + (ridge * w * w).sum() / 2)
+
     w = np.zeros(x.shape[1])
-    w[:-1] = 1 / (x.shape[1] - 1)
-    for _ in range(40):
+    for _ in range(60):
         p = sigmoid(x @ w)
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - target) + 1e-3 * w * (np.arange(len(w)) < len(w) - 1))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge + 1e-9), x.T @ (p - target) + ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w - size * step
+    w[:-1] = np.maximum(w[:-1], 0)  # a view never speaks against itself
     return w
 
 
