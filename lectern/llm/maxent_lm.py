@@ -36,7 +36,7 @@ from lectern.llm.common import U
 
 END, START = U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)
 #: Tokens of a gradient step, and of a scoring batch.
-STEP, BATCH = 4096, 65_536
+STEP, BATCH = 4096, 16_384
 #: Words seen less often are never among the most frequent: they stand for words to come.
 SELDOM = 5
 
@@ -156,9 +156,9 @@ def _count(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Rec
             raw, at = c.text_of(batch.column("text"))
             for s, e in c.pieces(at):
                 held.append(np.unique(tokens(raw[at[s] : at[e]], at[s : e + 1] - at[s])[0], return_counts=True))
-                if sum(len(x) for x, _ in held) > 2_000_000:
+                if sum(len(x) for x, _ in held) > 1_200_000:
                     held = [total()]
-                    if len(held[0][0]) > 1_500_000:
+                    if len(held[0][0]) > 900_000:
                         yield out()
                         held = []
         if held:
