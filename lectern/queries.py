@@ -140,10 +140,10 @@ def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("similarity"), F.size("embedding").cast("long").alias("dimension"))
 
 
-@query("SELECT doc_id FROM documents WHERE source = 'src3' AND list_contains([lang, CAST(doc_id % 5 AS VARCHAR)], '2')")
+@query("SELECT doc_id FROM documents WHERE source = 'src3' AND list_contains([lang, CAST(doc_id % 5 AS VARCHAR)], '3')")
 def metadata_filter(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "documents").withColumn("book_title", F.col("source")).withColumn("chapter_numbers", F.array("lang", (F.col("doc_id") % 5).cast("string")))
-    return rows.where(search.metadata_filter("src3", "2")).select("doc_id")
+    return rows.where(search.metadata_filter("src3", "3")).select("doc_id")
 
 
 # --- questions -------------------------------------------------------------------------------------
@@ -257,7 +257,7 @@ def chunk_links(spark: SparkSession, sf: str) -> DataFrame:
 # --- lines, headings, sections ----------------------------------------------------------------------
 
 
-@query("WITH c AS (SELECT doc_id, i, substr(text, i, 1) AS ch FROM documents, (SELECT unnest(range(1, 121)) AS i) WHERE i <= length(text)) SELECT doc_id AS book_id, round_even((i // 40) * 10 + 0.25 * (i % 2), 0) AS top, regexp_replace(string_agg(ch, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, round(avg(CASE WHEN 8 + i % 3 <> 8 THEN 8.0 + i % 3 END), 6) AS size, min(i * 5.0) AS x0, max(i * 5.0 + 5) AS x1 FROM c GROUP BY ALL")
+@query("WITH c AS (SELECT doc_id, i, substr(text, i, 1) AS ch FROM documents, (SELECT unnest(range(1, 121)) AS i) WHERE i <= length(text)) SELECT doc_id AS book_id, CAST(round_even((i // 40) * 10 + 0.25 * (i % 2), 0) AS DOUBLE) AS top, regexp_replace(string_agg(ch, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, round(coalesce(avg(CASE WHEN i % 3 <> 0 THEN (8 + i % 3)::DOUBLE END), 0), 6) AS size, CAST(min(i * 5) AS DOUBLE) AS x0, CAST(max(i * 5 + 5) AS DOUBLE) AS x1 FROM c GROUP BY ALL")
 def line_group(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(120))).alias("i")).where("i <= length(text)")
     i = F.col("i")
@@ -288,13 +288,13 @@ _CHAPTER = "(regexp_matches(text, '(?i)^(?:chapter|ch\\.?)\\s+(\\d+)\\b[:\\s-]*(
 @query(
     f"WITH {LINES_SQL}, med AS (SELECT book_id, list_sort(list(size))[count(*) // 2 + 1] AS median FROM lines WHERE size > 0 GROUP BY book_id), f AS (SELECT book_id, page, pos, text, size, median FROM lines JOIN med USING (book_id) WHERE length(text) >= 3 AND (size >= median * 1.2 OR {_CHAPTER} OR (abs(x0 + x1 - 600) / 600 < 0.2 AND top < 240))), "
     f"u AS (SELECT book_id, page, pos, text, 0 AS s, size > median * 1.5 AS big, size > median * 1.2 AS large FROM f UNION ALL SELECT book_id, page, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, 1, false, false FROM lines WHERE {_CHAPTER}), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY book_id, page, substr(text, 1, 50) ORDER BY s, pos) AS r FROM u) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, CAST(CASE WHEN contains(lower(text), 'chapter') OR contains(lower(text), 'appendix') OR contains(lower(text), 'part') THEN 1 WHEN big THEN 1 WHEN large THEN 2 ELSE 3 END AS INT) AS level FROM r WHERE r = 1 AND NOT regexp_matches(text, '^\\d') AND NOT regexp_matches(text, '(?i)^(appendix|epilogue|introduction|preface|foreword|chapter|ch\\.?)\\b')"
+    "r AS (SELECT *, row_number() OVER (PARTITION BY book_id, page, substr(text, 1, 50) ORDER BY s, pos) AS r FROM u) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, CAST(CASE WHEN contains(lower(text), 'chapter') OR contains(lower(text), 'appendix') OR contains(lower(text), 'part') THEN 1 WHEN big THEN 1 WHEN large THEN 2 ELSE 3 END AS INT) AS level FROM r WHERE r = 1 AND NOT regexp_matches(lower(text), '^(\\d|ch|app|epi|intro|pref|fore)')"
 )
 def heading_dedup(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf)
     elements = lines.select("book_id", "page", F.col("pos").alias("idx"), "text", F.lit("NarrativeText").alias("type"))
     rows = layout.merged_headings(layout.font_headings(lines, _line_pages(lines)), layout.element_headings(elements, "pattern"))
-    return rows.where("not text rlike '^[0-9]' and not lower(text) rlike '^(appendix|epilogue|introduction|preface|foreword|chapter|ch[.]?)\\\\b'").select("book_id", "page", "text", "source", "level")
+    return rows.where(~F.lower("text").rlike(r"^(\d|ch|app|epi|intro|pref|fore)")).select("book_id", "page", "text", "source", "level")
 
 
 _HEADS = _sql_values([(i, h) for i, h in enumerate(HEADINGS)], "id, text")
