@@ -1,11 +1,11 @@
 """Section trees as adjacency lists: nodes(book_id, node_id, parent_id, seq, level, title, number,
-start_page, end_page, start_idx, end_idx, confidence, source, path). The root is node 0 and isn't a
-row. Depth is at most 3, so each step is unrolled by level."""
+start_page, start_idx, confidence, source, path), after fill_ranges with end_page and end_idx. The
+root is node 0 and isn't a row. path holds the sequence numbers from the root, so paths sort in
+preorder, and ancestors are found by windows over prefixes of the path instead of joins. Depth is
+at most 3."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,74 +16,68 @@ LEVELS = (1, 2, 3)
 def from_contents(toc: DataFrame) -> DataFrame:
     """Nodes of contents entries; a parent is the nearest entry before of a smaller level."""
     before = W.partitionBy("book_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    parent = reduce(lambda out, k: out.when(F.col("level") == k, F.last(F.when(F.col("level") < k, F.col("seq")), True).over(before)), LEVELS, F.when(F.lit(False), F.lit(0)))
+    one, two = (F.last(F.when(F.col("level") == k, F.col("seq")), True).over(before) for k in (1, 2))
+    rows = toc.withColumn("one", one).withColumn("two", F.when(F.col("level") == 3, two))
+    # Of a subsection, a section before the last chapter is no parent.
+    rows = rows.withColumn("two", F.when(F.col("one").isNull() | (F.col("two") > F.col("one")), F.col("two")))
+    up = F.when(F.col("level") == 1, F.array().cast("array<int>")).otherwise(F.filter(F.array("one", "two"), lambda x: x.isNotNull()))
+    rows = rows.withColumn("path", F.concat(up, F.array("seq")))
     null = F.lit(None).cast("int")
-    return toc.select("book_id", F.col("seq").alias("node_id"), F.coalesce(parent, F.lit(0)).alias("parent_id"), "seq", "level", "title", "number", F.col("page").alias("start_page"), null.alias("start_idx"), F.lit(0.9).alias("confidence"), F.lit("toc").alias("source"))
-
-
-def with_paths(nodes: DataFrame) -> DataFrame:
-    """Adds path: sequence numbers from the root, so that paths sort in preorder."""
-    todo, done = nodes, None
-    known = nodes.where("parent_id = 0").select("*", F.array("seq").alias("path"))
-    for _ in LEVELS:
-        done = known if done is None else done.unionByName(known)
-        up = known.select("book_id", F.col("node_id").alias("parent_id"), F.col("path").alias("up"))
-        known = todo.join(up, ["book_id", "parent_id"]).withColumn("path", F.concat("up", F.array("seq"))).drop("up").select(*nodes.columns, "path")
-    return done
+    parent = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(0)
+    return rows.select("book_id", F.col("seq").alias("node_id"), parent.alias("parent_id"), "seq", "level", "title", "number", F.col("page").alias("start_page"), null.alias("start_idx"), F.lit(0.9).alias("confidence"), F.lit("toc").alias("source"), "path")
 
 
 def merge_headings(nodes: DataFrame, headings: DataFrame) -> DataFrame:
     """Adds detected headings (book_id, ord, page, text, level, num, element_idx, confidence). One
     whose page has a node only lends it its element; others go below the nearest node of the level
     above that begins on their page or before (ties: first in preorder), else below the root."""
-    last = with_paths(nodes).where("start_page is not null and start_page != 0")
-    host = last.groupBy("book_id", F.col("start_page").alias("page")).agg(F.max_by("node_id", "path").alias("host"))
-    met = headings.join(host, ["book_id", "page"])
-    lent = met.where("element_idx is not null").groupBy("book_id", F.col("host").alias("node_id")).agg(F.min_by("element_idx", "ord").alias("lent"))
-    nodes = nodes.join(lent, ["book_id", "node_id"], "left").withColumn("start_idx", F.coalesce("start_idx", "lent")).drop("lent")
+    host = nodes.where("start_page is not null and start_page != 0").groupBy("book_id", F.col("start_page").alias("page")).agg(F.max_by("node_id", "path").alias("host"))
+    met = headings.join(host, ["book_id", "page"], "left")
+    lent = met.where("host is not null and element_idx is not null").groupBy("book_id", F.col("host").alias("node_id")).agg(F.min_by("element_idx", "ord").alias("lent"))
+    columns = nodes.columns
+    nodes = nodes.join(lent, ["book_id", "node_id"], "left").withColumn("start_idx", F.coalesce("start_idx", "lent")).select(*columns)
     top = nodes.groupBy("book_id").agg(F.max("seq").alias("top"))
-    new = headings.join(host, ["book_id", "page"], "left_anti").join(top, "book_id", "left")
-    seq = F.coalesce("top", F.lit(0)) + F.row_number().over(W.partitionBy("book_id").orderBy("ord"))
-    new = new.withColumn("seq", seq).select("book_id", F.col("seq").alias("node_id"), "seq", "level", F.col("text").alias("title"), F.col("num").alias("number"), F.col("page").alias("start_page"), F.col("element_idx").alias("start_idx"), "confidence", F.lit("detected").alias("source"))
-    placed = with_paths(nodes)
-    cols = placed.columns
-    for level in LEVELS:
+    new = met.where("host is null").join(top, "book_id", "left")
+    seq = (F.coalesce("top", F.lit(0)) + F.row_number().over(W.partitionBy("book_id").orderBy("ord"))).cast("int")
+    new = new.withColumn("seq", seq).select("book_id", F.col("seq").alias("node_id"), "seq", "level", F.col("text").alias("title"), F.col("num").alias("number"), F.col("page").alias("start_page"), F.col("element_idx").cast("int").alias("start_idx"), "confidence", F.lit("detected").alias("source"))
+    # A chapter's parent is the root; each other level looks at the one above.
+    last = new.where("level = 1").withColumn("parent_id", F.lit(0)).withColumn("path", F.array("seq")).select(*columns)
+    out = nodes.unionByName(last)
+    for level in LEVELS[1:]:
         own = new.where(F.col("level") == level)
-        above = placed.where((F.col("level") == level - 1) & (F.col("start_page") > 0)).select("book_id", F.col("node_id").alias("p"), F.col("seq").alias("p_seq"), F.col("start_page").alias("p_page"), F.col("path").alias("p_path"))
+        above = nodes.where(F.col("level") == level - 1).unionByName(last).where("start_page > 0").select("book_id", F.col("node_id").alias("p"), F.col("seq").alias("p_seq"), F.col("start_page").alias("p_page"), F.col("path").alias("p_path"))
         near = own.where("start_page > 0").select("book_id", "node_id", "seq", "start_page").join(above, "book_id").where("p_seq < seq and p_page <= start_page")
         best = near.groupBy("book_id", "node_id").agg(F.min_by(F.struct("p", "p_path"), F.struct(F.col("start_page") - F.col("p_page"), "p_path")).alias("b"))
-        own = own.join(best, ["book_id", "node_id"], "left").withColumn("parent_id", F.coalesce("b.p", F.lit(0))).withColumn("path", F.concat(F.coalesce("b.p_path", F.array().cast("array<int>")), F.array("seq")))
-        placed = placed.unionByName(own.select(*cols))
-    return placed.drop("path")
+        last = own.join(best, ["book_id", "node_id"], "left").withColumn("parent_id", F.coalesce("b.p", F.lit(0))).withColumn("path", F.concat(F.coalesce("b.p_path", F.array().cast("array<int>")), F.array("seq"))).select(*columns)
+        out = out.unionByName(last)
+    return out
 
 
 def front_matter(nodes: DataFrame) -> DataFrame:
     """Adds a chapter before the first child of the root where that begins after page 1."""
     first = nodes.where("parent_id = 0").groupBy("book_id").agg(F.min(F.coalesce("start_page", F.lit(0))).alias("first")).where("first > 1")
-    front = first.select("book_id", F.lit(-1).alias("node_id"), F.lit(0).alias("parent_id"), F.lit(-1).alias("seq"), F.lit(1).alias("level"), F.lit("Front Matter").alias("title"), F.lit(None).cast("string").alias("number"), F.lit(1).alias("start_page"), F.lit(0).alias("start_idx"), F.lit(1.0).alias("confidence"), F.lit("inferred").alias("source"))
+    front = first.select("book_id", F.lit(-1).alias("node_id"), F.lit(0).alias("parent_id"), F.lit(-1).alias("seq"), F.lit(1).alias("level"), F.lit("Front Matter").alias("title"), F.lit(None).cast("string").alias("number"), F.lit(1).alias("start_page"), F.lit(0).alias("start_idx"), F.lit(1.0).alias("confidence"), F.lit("inferred").alias("source"), F.array(F.lit(-1)).alias("path"))
     return nodes.unionByName(front)
 
 
 def fill_ranges(nodes: DataFrame, books: DataFrame) -> DataFrame:
-    """Adds end_page and end_idx, from the top down: a node ends before its next sibling, and the
-    last where its parent ends. books: book_id, total_pages, last_idx."""
-    order = W.partitionBy("book_id", "parent_id").orderBy(F.coalesce("start_page", F.lit(0)), F.coalesce("start_idx", F.lit(0)), "seq")
-    size = F.count("*").over(W.partitionBy("book_id", "parent_id"))
-    rank = F.row_number().over(order)
-    page, idx = F.lead("start_page").over(order), F.lead("start_idx").over(order)
-    before = lambda follow, own: F.when(follow.isNull() | (follow == 0), F.col(own)).otherwise(follow - 1)
-    rows = nodes.withColumn("is_last", rank == size).withColumn("to_page", before(page, "start_page")).withColumn("to_idx", before(idx, "start_idx"))
-    ends = books.select("book_id", F.lit(0).alias("parent_id"), F.col("total_pages").alias("p_page"), F.col("last_idx").alias("p_idx"))
-    totals = books.select("book_id", "total_pages")
-    done = None
-    for _ in LEVELS:
-        own = rows.join(ends, ["book_id", "parent_id"]).join(totals, "book_id")
-        last_page = F.when(F.coalesce("p_page", F.lit(0)) == 0, F.col("total_pages")).otherwise(F.col("p_page"))
-        own = own.withColumn("end_page", F.when(F.col("is_last"), last_page).otherwise(F.col("to_page"))).withColumn("end_idx", F.when(F.col("is_last"), F.col("p_idx")).otherwise(F.col("to_idx")))
-        own = own.select(*nodes.columns, "end_page", "end_idx")
-        done = own if done is None else done.unionByName(own)
-        ends = own.select("book_id", F.col("node_id").alias("parent_id"), F.col("end_page").alias("p_page"), F.col("end_idx").alias("p_idx"))
-    return done
+    """Adds end_page and end_idx: a node ends before its next sibling, and the last where its
+    parent ends. books: book_id, total_pages, last_idx."""
+    siblings = W.partitionBy("book_id", "parent_id")
+    order = siblings.orderBy(F.coalesce("start_page", F.lit(0)), F.coalesce("start_idx", F.lit(0)), "seq")
+    before = lambda own: F.when(F.lead(own).over(order).isNull() | (F.lead(own).over(order) == 0), F.col(own)).otherwise(F.lead(own).over(order) - 1)
+    rows = nodes.join(books.select("book_id", "total_pages", "last_idx"), "book_id")
+    own = F.struct((F.row_number().over(order) == F.count("*").over(siblings)).alias("last"), before("start_page").cast("int").alias("page"), before("start_idx").cast("int").alias("idx"))
+    rows = rows.withColumn("own", own).withColumn("p1", F.get("path", F.lit(0))).withColumn("p2", F.get("path", F.lit(1)))
+    # Of all nodes below a prefix of the path, the first in preorder is the ancestor itself.
+    rows = rows.withColumn("a1", F.first("own").over(W.partitionBy("book_id", "p1").orderBy("path")))
+    rows = rows.withColumn("a2", F.first("own").over(W.partitionBy("book_id", "p1", "p2").orderBy("path")))
+    page, idx = F.col("total_pages"), F.col("last_idx")
+    for depth, at in ((1, "a1"), (2, "a2"), (3, "own")):
+        inside = F.size("path") >= depth
+        page = F.when(inside, F.when(F.col(f"{at}.last"), F.coalesce(F.nullif(page, F.lit(0)), "total_pages")).otherwise(F.col(f"{at}.page"))).otherwise(page)
+        idx = F.when(inside, F.when(F.col(f"{at}.last"), idx).otherwise(F.col(f"{at}.idx"))).otherwise(idx)
+    return rows.select(*nodes.columns, page.cast("int").alias("end_page"), idx.cast("int").alias("end_idx"))
 
 
 def chapters(nodes: DataFrame) -> DataFrame:
@@ -96,7 +90,7 @@ def dropped(nodes: DataFrame) -> DataFrame:
 
 
 def at_level(nodes: DataFrame, level: int) -> DataFrame:
-    return with_paths(nodes).where(F.col("level") == level).orderBy("book_id", "path")
+    return nodes.where(F.col("level") == level).orderBy("book_id", "path")
 
 
 def chapter_sections(nodes: DataFrame) -> DataFrame:
@@ -115,11 +109,10 @@ def chapter_sections(nodes: DataFrame) -> DataFrame:
 
 def outline(nodes: DataFrame) -> DataFrame:
     """A printable line for each node in preorder."""
-    rows = with_paths(nodes)
     number = F.when(F.coalesce("number", F.lit("")) != "", F.concat(F.lit("["), "number", F.lit("] "))).otherwise("")
     pages = F.when(F.col("start_page") > 0, F.format_string("p.%s-%s", "start_page", "end_page")).otherwise("no page")
     line = F.concat(F.repeat(F.lit("  "), F.size("path")), number, "title", F.lit(" ("), pages, F.format_string(", confidence=%.2f, source=%s)", "confidence", "source"))
-    return rows.select("book_id", "path", line.alias("line"))
+    return nodes.select("book_id", "path", line.alias("line"))
 
 
 def nested(nodes: DataFrame) -> DataFrame:
