@@ -120,17 +120,17 @@ def _asked_vectors(spark: SparkSession, sf: str) -> DataFrame:
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)"
 
 
-@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20) WHERE rank <= 10")
+@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20) WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(_t(spark, sf, "embeddings"), _asked_vectors(spark, sf), 10, "vec_id")
 
 
-@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND c.label = 3) WHERE rank <= 5")
+@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND c.label = 3) WHERE rank <= 5")
 def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(_t(spark, sf, "embeddings").where("label = 3"), _asked_vectors(spark, sf), 5, "vec_id")
 
 
-@query(f"SELECT qid, chunk_id, round(similarity / max(similarity) OVER (PARTITION BY qid) * 100, 1) AS relevance_pct FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20) WHERE rank <= 10")
+@query(f"SELECT qid, chunk_id, round(similarity / max(similarity) OVER (PARTITION BY qid) * 100, 1) AS relevance_pct FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20) WHERE rank <= 10")
 def relevance_pct(spark: SparkSession, sf: str) -> DataFrame:
     return vector_topk(spark, sf).select("qid", "chunk_id", search.relevance(F.col("similarity"), W.partitionBy("qid")).alias("relevance_pct"))
 
