@@ -38,7 +38,7 @@ def records(chunks: DataFrame, namespace: str) -> DataFrame:
         rows = rows.withColumn(name, clean_list(name) if name in have else F.array().cast("array<string>"))
     rows = rows.withColumn("chunk_id", chunk_id("book_id", "chunk_index", "text")).withColumn("namespace", F.lit(namespace))
     kinds = {f.split(" ")[0]: f.split(" ", 1)[1] for f in SCHEMA.split(", ")}
-    return rows.select(*(F.col(k).cast(v).alias(k) for k, v in kinds.items()))
+    return rows.select(*((F.col(k) if k in rows.columns else F.lit(None)).cast(v).alias(k) for k, v in kinds.items()))
 
 
 class Store:
