@@ -36,6 +36,11 @@ class Engine:
         self.store = Store(spark, path, config.dimension)
         self.log = set_up_logging(level=config.log_level)
 
+    def _cut(self, rows: DataFrame) -> DataFrame:
+        """Ends the plan of a small table that many steps look at: in the folder that executors
+        share where one is set, else in memory."""
+        return rows.checkpoint() if self.spark.sparkContext.getCheckpointDir() else rows.persist()
+
     # --- ingestion -----------------------------------------------------------------------------
 
     def chunk(self, pages: DataFrame, lines: DataFrame | None = None, strategy: str | None = None) -> DataFrame:
@@ -45,12 +50,12 @@ class Engine:
         if (strategy or c.strategy) == "flat":
             headings = layout.flat_headings(lines, pages) if lines is not None else self.spark.createDataFrame([], "book_id bigint, ord int, page int, text string, level int, size double")
             return chunking.flat_chunks(pages, sections.sections(headings, books), c.size, c.overlap, c.code_rule, self.tokenizer)
-        elements = page_source.elements(pages)
+        elements = self._cut(page_source.elements(pages))
         found = [layout.font_headings(lines, pages)] if lines is not None else []
-        headings = layout.merged_headings(*found, *(layout.element_headings(elements, k) for k in ("type", "pattern")))
-        nodes = tree.merge_headings(tree.from_contents(contents.entries(elements)), headings)
+        headings = self._cut(layout.merged_headings(*found, *(layout.element_headings(elements, k) for k in ("type", "pattern"))))
+        nodes = self._cut(tree.merge_headings(self._cut(tree.from_contents(contents.entries(elements))), headings))
         last = elements.groupBy("book_id").agg(F.max("idx").alias("last_idx"))
-        nodes = tree.fill_ranges(tree.front_matter(nodes), books.join(last, "book_id", "left"))
+        nodes = self._cut(tree.fill_ranges(tree.front_matter(nodes), books.join(last, "book_id", "left")))
         return chunking.chapter_chunks(tree.chapters(nodes), nodes, elements, c.size, c.overlap, "strict", self.tokenizer)
 
     def ingest(self, pages: DataFrame, books: DataFrame, lines: DataFrame | None = None, strategy: str | None = None) -> None:

@@ -1,5 +1,7 @@
 """Behaviour that the tables don't reach."""
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,17 +99,19 @@ def test_tree(spark):
     assert [(r["title"], r["start_page"], r["end_page"]) for r in late] == [("Front Matter", 1, 4), ("A", 5, 20)]
 
 
-@given(st.lists(st.integers(1, 3), min_size=1, max_size=25))
-@settings(max_examples=15, deadline=None)
-def test_parents_are_the_stack(spark, levels):
-    rows = nodes(spark, [(f"n{i}", lv, i + 1) for i, lv in enumerate(levels)]).orderBy("seq").collect()
-    stack, want = [(0, 0)], []
-    for i, lv in enumerate(levels, 1):
-        while stack[-1][1] >= lv:
-            stack.pop()
-        want.append([x for x, _ in stack[1:]] + [i])
-        stack.append((i, lv))
-    assert [r["path"] for r in rows] == want
+def test_parents_are_the_stack(spark):
+    r = random.Random(1)
+    books = {b: [r.randint(1, 3) for _ in range(r.randint(1, 25))] for b in range(80)}
+    toc = [(b, i, "t", None, i, lv, "t") for b, levels in books.items() for i, lv in enumerate(levels, 1)]
+    rows = tree.from_contents(spark.createDataFrame(toc, "book_id long, seq int, title string, number string, page int, level int, raw_text string")).collect()
+    got = {(x["book_id"], x["seq"]): x["path"] for x in rows}
+    for b, levels in books.items():
+        stack = [(0, 0)]
+        for i, lv in enumerate(levels, 1):
+            while stack[-1][1] >= lv:
+                stack.pop()
+            assert got[b, i] == [x for x, _ in stack[1:]] + [i]
+            stack.append((i, lv))
 
 
 def test_rerank(spark):
