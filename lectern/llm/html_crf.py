@@ -234,7 +234,7 @@ def _marked(page: list[tuple[str, int | None]]) -> tuple[list, list[int]]:
     return [x[:3] for x in found], [round(sum(x[3]) / len(x[3])) for x in found]
 
 
-def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: float = 0.12, l2: float = 4e-6) -> Crf:
+def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: float = 0.3, l2: float = 4e-6) -> Crf:
     """Fits a model to labelled pages by full gradients (forward-backward) with Adam steps."""
     names: dict[str, int] = {}
     rows, cols, labels, sizes = [], [], [], []

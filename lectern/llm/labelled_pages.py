@@ -20,7 +20,7 @@ NAMES = {
 CONTENT = "content article post entry main story body text article-body post-content entry-content story-body main-content blog-post prose copy c1 wrap-inner box col-8 page article-text".split()
 NEUTRAL = "wrap wrapper container outer inner page site row col grid layout clearfix block section main-wrap root app c2 x1 box2 left center".split()
 ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search", "notice": "alertdialog", "ad": "complementary"}
-TAGS = {"nav": ["nav", "div", "ul", "nav"], "header": ["header", "div", "header"], "footer": ["footer", "div", "footer"], "sidebar": ["aside", "div", "div", "section"], "ad": ["div", "div", "ins", "section", "aside"], "form": ["form", "form", "div"], "notice": ["div", "div", "section", "dialog"], "comments": ["section", "div", "ol", "ul"], "share": ["div", "ul"]}
+TAGS = {"nav": ["nav", "div", "ul", "nav"], "header": ["header", "div", "header"], "footer": ["footer", "div", "footer"], "sidebar": ["aside", "aside", "aside", "div", "div", "section"], "ad": ["div", "div", "ins", "section", "aside"], "form": ["form", "form", "div"], "notice": ["div", "div", "section", "dialog"], "comments": ["section", "div", "ol", "ul"], "share": ["div", "ul"]}
 #: Words that such blocks often hold (fixed values).
 SAID = {
     "nav": "Home|About|Contact|News|Sports|Next|Previous|Archive|Blog|Login|Start|Accueil|Inicio",
@@ -67,7 +67,8 @@ class Maker:
         bare = tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.5
         out: list[tuple[str, int | None]] = [(f"<{tag}{'' if bare else self.attrs(names, ROLES.get(kind, ''))}>", None)]
         said = SAID[kind].split("|")
-        text = lambda: r.choice(said) if r.random() < 0.5 else self.prose(1, r.choice([3, 8, 25, 60, 140]) if kind not in ("nav", "share", "form") else r.choice([3, 8, 25]))
+        wordy = r.random() < 0.3  # as long as paragraphs of an article
+        text = lambda: self.prose(8, r.choice([40, 140])) if wordy and kind not in ("nav", "share", "form") else r.choice(said) if r.random() < 0.5 else self.prose(1, r.choice([3, 8, 25, 60, 140]) if kind not in ("nav", "share", "form") else r.choice([3, 8, 25]))
         style = r.random()
         if kind in ("nav", "share") or style < 0.25:
             ul = "" if tag in ("ul", "ol") else "ul"
@@ -87,7 +88,7 @@ class Maker:
                 out += [(f"<{inner}{self.attrs(NAMES['comments'].split())}>", None), (self.prose(2, r.choice([10, 40, 140])), 0), (f"</{inner}>", None)]
         else:
             for _ in range(r.choice([1, 1, 2, 3, 6])):
-                inner = r.choice(["", "", "p", "div", "span", "h3", "h4"])
+                inner = r.choice(["", "p", "p", "p", "div", "span", "h3", "h4"])
                 a = r.random() < 0.3
                 out += [((f"<{inner}>" if inner else "") + ("<a href='/y'>" if a else ""), None), (text() + (" &middot; " + self.prose(2, 12) if r.random() < 0.3 else ""), 0), (("</a>" if a else "") + (f"</{inner}>" if inner else "<br>"), None)]
                 if not inner:
@@ -149,8 +150,9 @@ class Maker:
         depth = r.choice([0, 0, 1, 2])
         for _ in range(depth):
             out.append((f"<div{self.attrs(NEUTRAL)}>", None))
+        some = 0.0 if r.random() < 0.3 else 1.0  # some pages begin with their article
         for kind, p in (("notice", 0.25), ("header", 0.55), ("nav", 0.85), ("ad", 0.4), ("form", 0.2), ("sidebar", 0.15)):
-            if r.random() < p:
+            if r.random() < p * some:
                 out += self.off(kind)
         kind = r.random()
         before = [(f"<{r.choice(['main', 'div', 'section'])}{self.attrs(CONTENT + NEUTRAL, 'main')}>", None)] if r.random() < 0.3 else []
