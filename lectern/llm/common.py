@@ -4,6 +4,8 @@ grouped Arrow rows, vectorised words and hashes of UTF-8 text, and connected com
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -18,7 +20,7 @@ U = np.uint64
 #: Separators of words: space and tab to carriage return.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 #: Text bytes that are worked on at once; a longer text makes a longer piece.
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 
 # --- the shared folder -------------------------------------------------------------------
@@ -96,6 +98,14 @@ def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object
         yield last, pa.Table.from_batches(held)
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker has freed back to the machine; at the end of a task, as
+    workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- words and hashes ----------------------------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,10 +131,14 @@ _BYTE_VALUES = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
+        found = []
+        for base in (_BASE, _INVERSE):
             x = np.full(n, base, U)
             x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
+            found.append(np.multiply.accumulate(x))
+        if n > 4 * PIECE_BYTES:  # for a very long text; not kept
+            return found[0], found[1]
+        _powers[:] = found
     return _powers[0][:n], _powers[1][:n]
 
 

@@ -123,9 +123,10 @@ class Views:
         n, k = numbers.shape
         bins = np.stack([np.searchsorted(e, numbers[:, j], "right") for j, e in enumerate(self.edges)], 1)
         size = np.diff(begin)
-        row = np.concatenate([np.repeat(np.arange(n), k), np.repeat(np.arange(n), size)])
-        col = np.concatenate([(bins + np.arange(k) * BINS).reshape(-1), k * BINS + words.astype(np.int64)])
-        return row, col, np.concatenate([np.ones(n * k), np.repeat(1 / np.sqrt(np.maximum(size, 1)), size)])
+        each = np.arange(n, dtype=np.int32)
+        row = np.concatenate([np.repeat(each, k), np.repeat(each, size)])
+        col = np.concatenate([(bins + np.arange(k) * BINS).reshape(-1).astype(np.int32), k * BINS + words.astype(np.int32)])
+        return row, col, np.concatenate([np.ones(n * k, np.float32), np.repeat((1 / np.sqrt(np.maximum(size, 1))).astype(np.float32), size)])
 
     def meta(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, k = features.shape
@@ -182,7 +183,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(3))], ["id", "y", "numbers", "words", "meta"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int = 8000, rounds: int = 3, most_bad: float = 0.005) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, pool_rows: int = 6000, rounds: int = 3, most_bad: float = 0.005) -> Model | None:
     """docs: id, text, lang, source, n_chars; labels: id, y (1 good, 0 bad). The threshold rejects
     at most about most_bad of good documents, but lies between LEAST and a half. None without labels of both kinds."""
     spark = docs.sparkSession
@@ -252,10 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, pool_rows: int
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars", label_id: str = "doc_id", label_col: str = "quality", keep: tuple[str, ...] = (), **parameters: Any) -> DataFrame:
     """A row for each document: id_col, p_text, p_meta (calibrated views), score, kept, and the
     columns of keep."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(chars_col).cast("long").alias("n_chars"), *(F.col(k).alias(f"keep_{k}") for k in keep))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(chars_col).cast("long").alias("n_chars"), *(F.col(k).alias(f"keep_{k}") for k in keep if k != text_col))
     model = fit(rows.select("id", "text", "lang", "source", "n_chars"), labels.select(F.col(label_id).cast("long").alias("id"), (F.col(label_col) > 0).cast("int").alias("y")), **parameters)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f"keep_{k}" for k in keep]
+    kept = ["text" if k == text_col else f"keep_{k}" for k in keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -266,6 +267,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 got = m.scores(raw[at[s] : at[e]], at[s : e + 1] - at[s], *(part.column(x).to_pylist() for x in ("lang", "source", "n_chars"))) if m else [np.ones(n)] * 3
                 ok = got[2] >= m.threshold if m else np.ones(n, bool)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, got), pa.array(ok), *(part.column(k) for k in kept)], [id_col, "p_text", "p_meta", "score", "kept", *keep])
+        c.tidy()
 
-    schema = ", ".join([f"`{id_col}` long, p_text double, p_meta double, score double, kept boolean", *(f"`{k}` {rows.schema[f'keep_{k}'].dataType.simpleString()}" for k in keep)])
+    schema = ", ".join([f"`{id_col}` long, p_text double, p_meta double, score double, kept boolean", *(f"`{k}` {rows.schema[x].dataType.simpleString()}" for k, x in zip(keep, kept, strict=True))])
     return rows.mapInArrow(run, schema)

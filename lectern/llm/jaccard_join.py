@@ -11,8 +11,12 @@ den * |A and B| >= num * |A or B|. The join loses no such pair:
   of parts that differ bounds the symmetric difference from below: at most d parts of a linked
   pair differ, and if either set has over d parts that aren't empty, the two agree on a part that
   isn't empty (pigeonhole). Parts are join keys. A set with at most d such parts also gives the
-  keys of its shingle prefix (its smallest hashes), as both sets of a pair without a shared
-  part must be of this kind and then share a key of that prefix.
+  keys of its shingle prefix (n - ceil(num * n / den) + 1 shingles, seldom ones first, then by
+  hash), as both sets of a pair without a shared part must be of this kind and then share a key of
+  that prefix.
+* Shingles that many documents share (passages, notices) would make keys that say little. Sketches
+  leave them out, which can only lower a symmetric difference, so nothing is lost whichever they
+  are. They are the most frequent ones that batches report, marked in a bitmap of fixed size.
 * Documents that share a key, linked as stars, are candidate groups (connected components). In a
   group, sets are compared in blocks, exactly; links that join components and the number of
   links of each document are all that leaves a block, never its pairs.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +44,10 @@ from lectern.llm.common import U
 #: Sets of a block in a comparison, and their shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
 #: Keys held before they leave a task.
-HELD_KEYS = 3_000_000
+HELD_KEYS = 1_500_000
+#: Shingles left out of sketches: at most so many, each in at least so many documents of a batch; and
+#: the bits of their bitmap.
+MOST_COMMON, IN_BATCH, MARK_BITS = 200_000, 4, 24
 _KEYS, _EQUAL, _LOCAL, _LOCAL_EQUAL, _SIZES = range(5)
 
 
@@ -66,35 +74,47 @@ class Bands:
         return (a + b) * (self.den - self.num) // (self.num + self.den)
 
 
-def sketch_keys(sets: np.ndarray, begin: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Join keys of sets and the index of each key's set."""
+def mark(hashes: np.ndarray) -> np.ndarray:
+    """A bitmap by the high bits of hashes; those that share them are marked too."""
+    out = np.zeros(1 << MARK_BITS, bool)
+    out[hashes >> U(64 - MARK_BITS)] = True
+    return out
+
+
+def sketch_keys(sets: np.ndarray, begin: np.ndarray, bands: Bands, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of sets and the index of each key's set; common: bitmap of shingles to leave out
+    of sketches."""
     keys, owners = [], []
+    rare = ~common[sets >> U(64 - MARK_BITS)] if common is not None else np.ones(len(sets), bool)
     n = np.diff(begin)
     band = bands.of(np.maximum(n, 1))
     owner = np.repeat(np.arange(len(n)), n)
     for label in (band, band - 1):
         d = np.where((n > 0) & (label >= 0), bands.reach(np.maximum(label, 0)), 0)
-        parts = np.where(d > 0, d + 1 + np.maximum(1, d // 8), 0)
-        use = parts[owner] > 0
-        if not use.any():
-            continue
-        o, h = owner[use], sets[use]
-        part = ((h >> U(32)) * parts[o].astype(U) >> U(32)).astype(np.int64)
-        new = np.ones(len(o), bool)
-        new[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
-        first = np.flatnonzero(new)
-        parity = np.bitwise_xor.reduceat(h, first)
+        parts = np.where(d > 0, d + 1 + np.maximum(1, d // 16), 0)
         salt = c.mix(label.astype(U) * U(0x8EBC6AF09C88C6E3) + U(1))
-        keys.append(c.mix(parity ^ c.mix(salt[o[first]] + part[first].astype(U))))
-        owners.append(o[first])
-        filled = np.bincount(o[first], minlength=len(n))
+        use = rare & (parts[owner] > 0)
+        o, h = owner[use], sets[use]
+        filled = np.zeros(len(n), np.int64)
+        if len(o):
+            part = ((h >> U(32)) * parts[o].astype(U) >> U(32)).astype(np.int64)
+            new = np.ones(len(o), bool)
+            new[1:] = (o[1:] != o[:-1]) | (part[1:] != part[:-1])
+            first = np.flatnonzero(new)
+            parity = np.bitwise_xor.reduceat(h, first)
+            keys.append(c.mix(parity ^ c.mix(salt[o[first]] + part[first].astype(U))))
+            owners.append(o[first])
+            filled = np.bincount(o[first], minlength=len(n))
         few = (parts > 0) & (filled <= d)
         if few.any():
-            prefix = np.where(few, n - -(-bands.num * n // bands.den) + 1, 0)
-            rank = np.arange(len(owner)) - np.repeat(begin[:-1], n)
-            take = rank < prefix[owner]
-            keys.append(c.mix(sets[take] ^ c.mix(salt[owner[take]] + U(0x5851F42D4C957F2D))))
-            owners.append(owner[take])
+            prefix = n - -(-bands.num * n // bands.den) + 1
+            own = np.flatnonzero(few[owner])
+            own = own[np.lexsort((sets[own], ~rare[own], owner[own]))]
+            size = n[few]
+            rank = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            own = own[rank < prefix[owner[own]]]
+            keys.append(c.mix(sets[own] ^ c.mix(salt[owner[own]] + U(0x5851F42D4C957F2D))))
+            owners.append(owner[own])
     if not keys:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)
@@ -115,9 +135,50 @@ def _once(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[first], *gone[gone[:, 0] != gone[:, 1]].T
 
 
-def _send(k: int, num: int, den: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(key: np.ndarray, ids: np.ndarray) -> bytes:
+    """Low 5 bytes of keys (a chance agreement costs a comparison, no more) and ids by their offset
+    from the least."""
+    least = int(ids.min())
+    wide = int(ids.max()) - least >= 1 << 32
+    low = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5]
+    return np.array([len(key), least], np.int64).tobytes() + low.tobytes() + (ids - least).astype(np.int64 if wide else np.uint32).tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, least = np.frombuffer(blob, np.int64, 2).tolist()
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 16).reshape(n, 5)
+    rest = blob[16 + 5 * n :]
+    return key.view(U).reshape(-1), np.frombuffer(rest, np.int64 if len(rest) == 8 * n else np.uint32).astype(np.int64) + least
+
+
+def _common(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Shingles of several documents of a batch, and of how many."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = c.text_of(batch.column("text"))
+            held: list[np.ndarray] = []
+            for s, e in c.pieces(at):
+                held.append(c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)[0])
+                if e == len(at) - 1 or sum(map(len, held)) > HELD_KEYS:
+                    found, n = np.unique(np.concatenate(held), return_counts=True)
+                    use, held = n >= IN_BATCH, []
+                    yield pa.RecordBatch.from_arrays([pa.array(found[use].view(np.int64)), pa.array(n[use])], ["h", "n"])
+        c.tidy()
+
+    return run
+
+
+def common_shingles(rows: DataFrame, k: int) -> np.ndarray:
+    """Hashes of at most MOST_COMMON shingles that many documents share."""
+    counts = rows.mapInArrow(_common(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(U)
+
+
+def _send(k: int, num: int, den: int, buckets: int, held_common: Any) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
+        bands, common = Bands(num, den), mark(held_common.value)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             raw, at = c.text_of(batch.column("text"))
@@ -130,7 +191,8 @@ def _send(k: int, num: int, den: int, buckets: int) -> Callable[[Iterable[pa.Rec
                     order = np.argsort(bucket, kind="stable")
                     arrays, bucket = [x[order] for x in arrays], bucket[order]
                     cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
-                    rows.extend((kind, int(bucket[s]), b"".join(x[s:e].tobytes() for x in arrays)) for s, e in pairwise(cuts) if e > s)
+                    pack = _pack if kind == _KEYS else lambda *y: b"".join(x.tobytes() for x in y)
+                    rows.extend((kind, int(bucket[s]), pack(*(x[s:e] for x in arrays))) for s, e in pairwise(cuts) if e > s)
 
                 bucket_of = lambda x: ((x >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
                 fp, n, who = (np.concatenate(x) for x in (prints, sizes, [i for i, _, _ in parts]))
@@ -151,7 +213,7 @@ def _send(k: int, num: int, den: int, buckets: int) -> Callable[[Iterable[pa.Rec
             for s, e in c.pieces(at):
                 sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
                 parts.append((ids[s:e], sets, begin))
-                key, own = sketch_keys(sets, begin, bands)
+                key, own = sketch_keys(sets, begin, bands, common)
                 keys.append(key)
                 owners.append(ids[s:e][own])
                 sizes.append(np.diff(begin))
@@ -166,6 +228,7 @@ def _send(k: int, num: int, den: int, buckets: int) -> Callable[[Iterable[pa.Rec
                     keys, owners, prints, sizes, held, parts = [], [], [], [], 0, []
             if parts and (out := flush()):
                 yield out
+        c.tidy()
 
     return send
 
@@ -176,17 +239,23 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
         for kind, arrays in ((_KEYS, 2), (_EQUAL, 3), (_LOCAL, 2), (_LOCAL_EQUAL, 2), (_SIZES, 2)):
-            own = [np.frombuffer(blobs[i], np.int64).reshape(arrays, -1) for i in np.flatnonzero(kinds == kind)]
-            if not own:
+            at = np.flatnonzero(kinds == kind)
+            if not len(at):
+                continue
+            if kind == _KEYS:
+                parts = [_unpack(blobs[i]) for i in at]
+                _, a, b = _once([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
+                found.append((a, b, 0))
                 continue
-            x = np.concatenate(own, 1)
-            if kind in (_KEYS, _EQUAL):
+            x = np.concatenate([np.frombuffer(blobs[i], np.int64).reshape(arrays, -1) for i in at], 1)
+            if kind == _EQUAL:
                 _, a, b = _once(list(x[:-1]), x[-1])
-                found.append((a, b, int(kind == _EQUAL)))
+                found.append((a, b, 1))
             else:
                 found.append((x[0], x[1], {_LOCAL: 0, _LOCAL_EQUAL: 1, _SIZES: 2}[kind]))
         for a, b, kind in found:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+    c.tidy()
 
 
 def _sets(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -198,6 +267,7 @@ def _sets(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
                 blob = pa.array([sets[x:y].tobytes() for x, y in pairwise(begin)], pa.binary())
                 rest = batch.slice(s, e - s)
                 yield pa.RecordBatch.from_arrays([rest.column(x) for x in ("id", "grp", "copies")] + [blob, pa.array(np.diff(begin))], ["id", "grp", "copies", "blob", "n"])
+        c.tidy()
 
     return run
 
@@ -262,7 +332,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     buckets = 4 * c.partitions(spark)
-    met = rows.mapInArrow(_send(k, num, den, buckets), "kind int, bucket int, blob binary")
+    held_common = spark.sparkContext.broadcast(common_shingles(rows, k))
+    met = rows.mapInArrow(_send(k, num, den, buckets, held_common), "kind int, bucket int, blob binary")
     met = met.repartition(c.partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long, kind int")
     met = c.stash(met)
 
@@ -288,7 +359,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bands.grow(1 << 40)
     low = [x for x in bands.low if x > 1]
     band = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in low)), lambda x: x <= F.col("n")))
-    held = held.withColumn("band", band)
+    # A group that fits in one block is one task; larger ones are cut by band and block.
+    whole = held.groupBy("grp").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("whole"))
+    held = held.withColumn("band", band).join(whole, "grp").withColumn("band", F.when(F.col("whole"), F.lit(-5)).otherwise(F.col("band"))).drop("whole")
     blocks = held.groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m"))
     near = blocks.alias("x").join(blocks.select("grp", F.col("band").alias("other"), F.col("m").alias("om")).alias("y"), "grp").groupBy("grp", "band").agg(
         F.max(F.when(F.col("other") == F.col("band"), F.col("om"))).alias("m"), F.coalesce(F.max(F.when(F.col("other") == F.col("band") + 1, F.col("om"))), F.lit(0)).alias("up"), F.coalesce(F.max(F.when(F.col("other") == F.col("band") - 1, F.col("om"))), F.lit(0)).alias("down")

@@ -69,7 +69,7 @@ def near_texts(seed, n):
         base = [f"w{r.randrange(400)}" for _ in range(r.choice([1, 2, 3, 5, 9, 12, 25, 60, 200]))]
         for _ in range(r.choice([1, 2, 4, 12])):
             w = list(base)
-            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3]) if len(w) > 3 else 0):
                 at = r.randrange(len(w))
                 w[at : at + 1] = r.choice([[], ["new"], [w[at], "more"]])
             out[len(out) * 3 + 1] = r.choice([" ", "\n", "\t "]).join(w).upper() if r.random() < 0.2 else " ".join(w)
@@ -85,6 +85,24 @@ def test_jaccard_join_is_exact(spark, k, num, den):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in rows} == {i: (len(sets[i]), comp[i], links[i]) for i in texts}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_linked_sets_share_a_key(seed):
+    """Whatever shingles sketches leave out, no linked pair loses its last shared key."""
+    r = np.random.default_rng(seed)
+    num, den = [(90, 100), (80, 100), (1, 2), (7, 10)][seed]
+    bands = jaccard_join.Bands(num, den)
+    common = r.random(1 << jaccard_join.MARK_BITS) < [0.0, 0.3, 0.6, 1.0][seed]
+    for _ in range(60):
+        a = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 80)), dtype=np.uint64) * np.uint64(2))
+        keep = a[r.random(len(a)) < r.choice([0.85, 0.95, 1.0])]
+        b = np.unique(np.concatenate([keep, r.integers(0, 1 << 63, int(r.integers(0, 4)), dtype=np.uint64)]))
+        n = len(np.intersect1d(a, b))
+        if not n or den * n < num * (len(a) + len(b) - n) or (len(a) == len(b) == n):
+            continue
+        keys, owner = jaccard_join.sketch_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands, common)
+        assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
+
+
 def test_jaccard_blocks_agree_with_pairs():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 60, 40)).astype(np.uint64) for _ in range(40)]
