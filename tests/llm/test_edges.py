@@ -1,10 +1,13 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import bpe, cotraining, flac, html_crf, jaccard_join, maxent_lm, mixing, sharding, token_files, vector_forest
+from lectern.llm import common as c
 from lectern.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,6 +102,38 @@ def test_cotraining(docs, empty, labels):
     assert all(r["kept"] for r in cotraining.classify(docs, labels.where("false")).collect())
 
 
+def test_cotraining_learns_from_every_unlabelled_document(spark):
+    n = 7600
+    rows = spark.range(n).withColumn("at", F.expr("row_number() over (order by xxhash64(id), id)"))
+    bad = (F.col("id") % 4 == 0) | (F.col("at") > 7400)
+    docs = rows.select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("at") > 7400, "## $$ ## lateword").when(bad, "## $$ ## !! junk ??").otherwise("some plain words of a text"), F.lit(" "), F.col("id") % 7).alias("text"), F.when(bad, "xx").otherwise("en").alias("lang"), F.when(bad, "dump").otherwise("book").alias("source"), F.lit(30).alias("n_chars"), "at", bad.alias("bad"))
+    labels = docs.where("at <= 1200").select("doc_id", (~F.col("bad")).cast("int").alias("quality"))
+    fitted = cotraining.fit(docs.withColumnRenamed("doc_id", "id"), labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")))
+    _, words, _ = cotraining.text_numbers(*c.text_of(pa.array(["lateword"])))
+    assert fitted.text[cotraining.BINS * fitted.views.edges.shape[0] + int(words[0])] < 0
+
+
+def test_cotraining_gradient_is_that_of_all_documents(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h"), "text", "lang", "source", "n_chars")
+    pool = rows.repartition(3).mapInArrow(cotraining._features, "id long, y int, h long, numbers binary, words binary, meta binary").drop("id", "y").cache()
+    r = np.random.default_rng(3)
+    views = cotraining.Views(np.sort(r.random((14, 10)), 1))
+    models, points = ([r.standard_normal(w + 1) for w in views.widths] for _ in range(2))
+    history = [(models, [np.array([3.0, 0.0])] * 2, [[(0, 1.0), (40, 0.5)], [(10, 0.3), (0, 1.0)]])]
+    got = cotraining._sum(pool, cotraining._pooled(history, views, points), sum(2 * (len(w) + 2) for w in points))
+    parts = [p for batch in pool.toArrow().combine_chunks().to_batches() for p in cotraining._parts(batch)]
+    assert got == pytest.approx(sum(cotraining._pooled(history, views, points)(p) for p in parts), abs=1e-9)
+    assert got[0] + got[len(points[0]) + 2] > 0
+    # The slope of the loss along a direction, by differences.
+    step = 1e-5 * r.standard_normal(len(points[0]))
+    loss = [cotraining._sum(pool, cotraining._pooled(history, views, [points[0] + k * step, points[1]]), len(got))[1] for k in (-1, 1)]
+    assert loss[1] - loss[0] == pytest.approx(2 * float(got[2 : len(points[0]) + 2] @ step), rel=1e-4)
+
+
+def test_cotraining_cut():
+    assert cotraining._cut(np.array([4.0, 0.0, 2.0]), 6) == (0, 1.0) and cotraining._cut(np.array([4.0, 0.0, 2.0]), 3) == (0, 0.25) and cotraining._cut(np.array([4.0, 0.0, 8.0]), 2) == (2, 0.25)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", None, "c"), (2, None, "", "c"), (None, "u", "<p>" + "some words that go on, " * 9000, "c"), (3, "u", "<p" * 500 + "<<>>&#x0;&amp", "c")], "page_id long, url string, html string, text string")
     rows = {r["page_id"]: r for r in html_crf.extract(pages).collect()}
