@@ -259,13 +259,26 @@ def chunk_links(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH c AS (SELECT doc_id, i, substr(text, i, 1) AS ch FROM documents, (SELECT unnest(range(1, 121)) AS i) WHERE i <= length(text)) SELECT doc_id AS book_id, CAST(round_even((i // 40) * 10 + 0.25 * (i % 2), 0) AS DOUBLE) AS top, regexp_replace(string_agg(ch, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, round(coalesce(avg(CASE WHEN i % 3 <> 0 THEN (8 + i % 3)::DOUBLE END), 0), 6) AS size, CAST(min(i * 5) AS DOUBLE) AS x0, CAST(max(i * 5 + 5) AS DOUBLE) AS x1 FROM c GROUP BY ALL")
 def line_group(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(120))).alias("i")).where("i <= length(text)")
+    return _grouped(_characters(spark, sf).where("i <= 120"))
+
+
+def _characters(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "text")).where("text != ''").withColumn("i", F.col("i") + 1)
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
     i = F.col("i")
     size = F.when(i % 3 != 0, 8.0 + i % 3).otherwise(0.0)
-    chars = rows.select(F.col("doc_id").alias("book_id"), F.lit(1).alias("page"), i.alias("seq"), F.expr("substring(text, i, 1)").alias("text"), size.alias("size"), F.lit("Serif").alias("fontname"), (i * 5.0).alias("x0"), (i * 5.0 + 5).alias("x1"), (F.floor(i / 40) * 10 + 0.25 * (i % 2)).alias("top"))
+    chars = rows.select(F.col("doc_id").alias("book_id"), F.lit(1).alias("page"), i.alias("seq"), "text", size.alias("size"), F.lit("Serif").alias("fontname"), (i * 5.0).alias("x0"), (i * 5.0 + 5).alias("x1"), (F.floor(i / 40) * 10 + 0.25 * (i % 2)).alias("top"))
     return layout.lines(chars).select("book_id", "top", "text", F.round("size", 6).alias("size"), "x0", "x1")
 
 
+@query()
+def line_group_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """line_group over all characters of each document; its SQL reads the first 120."""
+    return _grouped(_characters(spark, sf))
+
+
 @query(f"WITH {CANDIDATES_SQL} SELECT book_id, median FROM med")
 def size_median(spark: SparkSession, sf: str) -> DataFrame:
     return layout.upper_median(layout.text_lines(_lines(spark, sf)))
