@@ -3,6 +3,8 @@ questions."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from lectern.config import DEFAULT, Retrieval
 from lectern.functions import text as t
 from lectern.functions.vectors import cosine
 
-#: A batch of questions is broadcast up to so many; a larger one is joined in parts of this size.
+#: A batch of questions is broadcast up to so many; a larger one is joined in parts of about this size.
 QUESTIONS = 10_000
 
 
@@ -37,11 +39,15 @@ def metadata_filter(book_title: str | None = None, chapter: str | None = None) -
 
 def top_k(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.retrieval.top_k, chunk_id: str = "chunk_id", vector: str = "embedding", n_questions: int | None = None) -> DataFrame:
     """qid, chunk_id, similarity, rank of the k nearest chunks of each question. The stated questions
-    meet all chunks: they are broadcast, as they are counted and few; each task keeps its own
-    k best (window group limit) before rows are dealt by question."""
+    meet all chunks: they are counted and broadcast, more than QUESTIONS in parts by a hash of their
+    qid; each task keeps its own k best (window group limit) before rows are dealt by question."""
     n = questions.count() if n_questions is None else n_questions
-    if n > QUESTIONS:
-        raise ValueError(f"{n} questions: ask in batches of {QUESTIONS}")
+    parts = max(1, -(-n // QUESTIONS))
+    found = [_nearest(chunks, questions.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) if parts > 1 else questions, k, chunk_id, vector) for i in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(chunks: DataFrame, questions: DataFrame, k: int, chunk_id: str, vector: str) -> DataFrame:
     own = questions.select("qid", F.col(vector).alias("question_vector"))
     rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("chunk_vector")).join(F.broadcast(own), how="cross")
     score = F.round(cosine(F.col("question_vector"), F.col("chunk_vector")), 6)

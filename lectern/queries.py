@@ -135,6 +135,26 @@ def relevance_pct(spark: SparkSession, sf: str) -> DataFrame:
     return vector_topk(spark, sf).select("qid", "chunk_id", search.relevance(F.col("similarity"), W.partitionBy("qid")).alias("relevance_pct"))
 
 
+def _every_hundredth(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
+
+
+@query()
+def vector_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """vector_topk with the whole question set: every id that 100 divides."""
+    return search.top_k(_t(spark, sf, "embeddings"), _every_hundredth(spark, sf), 10, "vec_id")
+
+
+@query()
+def vector_topk_filtered_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top_k(_t(spark, sf, "embeddings").where("label = 3"), _every_hundredth(spark, sf), 5, "vec_id")
+
+
+@query()
+def relevance_pct_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_topk_whole(spark, sf).select("qid", "chunk_id", search.relevance(F.col("similarity"), W.partitionBy("qid")).alias("relevance_pct"))
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS similarity, len(embedding) AS dimension FROM embeddings")
 def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("similarity"), F.size("embedding").cast("long").alias("dimension"))

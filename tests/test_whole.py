@@ -1,7 +1,9 @@
 """Queries over whole tables and texts, against brute force; the SQL of their kin covers less."""
 
+import numpy as np
 import pytest
 
+from lectern.operators import search
 from lectern.queries import QUERIES
 
 TEXTS = {1: "".join(chr(97 + i % 26) for i in range(1003)), 2: "  \u00e9\U0001f600 " * 60, 3: "", 4: None, 5: "x" * 40}
@@ -21,3 +23,26 @@ def test_lines_of_whole_texts(spark, tmp_path):
     assert set(got) == set(want) and len([k for k in got if k[0] == 1]) == 26
     for k, (text, *numbers) in want.items():
         assert got[k][0] == text and got[k][1:] == pytest.approx(numbers, abs=1e-6)
+
+
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_every_question_is_asked(spark, small, monkeypatch, most):
+    monkeypatch.setattr(search, "QUESTIONS", most)
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    asked = [i for i, r in enumerate(rows) if r["vec_id"] % 100 == 0]
+    assert len(asked) > 2
+    for name, k, wanted in (("vector_topk_whole", 10, lambda r: True), ("vector_topk_filtered_whole", 5, lambda r: r["label"] == 3)):
+        among = [i for i, r in enumerate(rows) if wanted(r)]
+        want = {}
+        for q in asked:
+            best = sorted((-round(float(x[q] @ x[i]), 6), rows[i]["vec_id"]) for i in among)[:k]
+            want |= {(rows[q]["vec_id"], rank): (i, pytest.approx(-s, abs=2e-6)) for rank, (s, i) in enumerate(best, 1)}
+        assert {(r["qid"], r["rank"]): (r["chunk_id"], r["similarity"]) for r in QUERIES[name](spark, small).collect()} == want
+    best = {}
+    top = QUERIES["vector_topk_whole"](spark, small).collect()
+    for r in top:
+        best[r["qid"]] = max(best.get(r["qid"], -1), r["similarity"])
+    got = {(r["qid"], r["chunk_id"]): r["relevance_pct"] for r in QUERIES["relevance_pct_whole"](spark, small).collect()}
+    assert got == {(r["qid"], r["chunk_id"]): pytest.approx(r["similarity"] / best[r["qid"]] * 100, abs=0.051) for r in top}
