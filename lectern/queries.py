@@ -324,10 +324,16 @@ _CHAPTER = "(regexp_matches(text, '(?i)^(?:chapter|ch\\.?)\\s+(\\d+)\\b[:\\s-]*(
     "r AS (SELECT *, row_number() OVER (PARTITION BY book_id, page, substr(text, 1, 50) ORDER BY s, pos) AS r FROM u) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, CAST(CASE WHEN contains(lower(text), 'chapter') OR contains(lower(text), 'appendix') OR contains(lower(text), 'part') THEN 1 WHEN big THEN 1 WHEN large THEN 2 ELSE 3 END AS INT) AS level FROM r WHERE r = 1 AND NOT regexp_matches(lower(text), '^(\\d|ch|app|epi|intro|pref|fore)')"
 )
 def heading_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return heading_dedup_whole(spark, sf).where(~F.lower("text").rlike(r"^(\d|ch|app|epi|intro|pref|fore)"))
+
+
+@query()
+def heading_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All merged headings, those of the chapter pattern among them."""
     lines = _lines(spark, sf)
     elements = lines.select("book_id", "page", F.col("pos").alias("idx"), "text", F.lit("NarrativeText").alias("type"))
     rows = layout.merged_headings(layout.font_headings(lines, _line_pages(lines)), layout.element_headings(elements, "pattern"))
-    return rows.where(~F.lower("text").rlike(r"^(\d|ch|app|epi|intro|pref|fore)")).select("book_id", "page", "text", "source", "level")
+    return rows.select("book_id", "page", "text", "source", "level")
 
 
 _HEADS = _sql_values([(i, h) for i, h in enumerate(HEADINGS)], "id, text")
@@ -378,9 +384,14 @@ def section_tree_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SECTIONS} SELECT book_id, ord, chapter_title, section_title, subsection_title FROM rawsec WHERE NOT regexp_matches(coalesce(chapter_title, ''), '(?i)^(\\d|ch)') AND NOT regexp_matches(coalesce(section_title, ''), '(?i)^(\\d|ch)') AND NOT regexp_matches(coalesce(subsection_title, ''), '(?i)^(\\d|ch)')")
 def section_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sections.raw_sections(*_sections(spark, sf)).select("book_id", F.col("ord").cast("long").alias("ord"), "chapter_title", "section_title", "subsection_title")
     plain = lambda c: ~F.lower(F.coalesce(c, F.lit(""))).rlike("^(\\d|ch)")
-    return rows.where(plain("chapter_title") & plain("section_title") & plain("subsection_title"))
+    return section_ancestors_whole(spark, sf).where(plain("chapter_title") & plain("section_title") & plain("subsection_title"))
+
+
+@query()
+def section_ancestors_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of the sections above every section, numbered and "Chapter N" ones among them."""
+    return sections.raw_sections(*_sections(spark, sf)).select("book_id", F.col("ord").cast("long").alias("ord"), "chapter_title", "section_title", "subsection_title")
 
 
 _TEN_SPANS = LINES_SQL + f", pg AS (SELECT book_id, page, string_agg(text, '' ORDER BY pos) AS text FROM lines GROUP BY ALL), tk AS (SELECT book_id, page, {TOKEN_SQL} AS tokens FROM pg), sp AS (SELECT book_id, page, tokens, sum(len(tokens)) OVER w - len(tokens) AS token_start, sum(len(tokens)) OVER w AS token_end FROM tk WINDOW w AS (PARTITION BY book_id ORDER BY page)), bk AS (SELECT book_id, flatten(list(tokens ORDER BY page)) AS tokens FROM sp GROUP BY book_id), wn AS (SELECT book_id, s // {STEP} AS k, s AS token_start, least(s + {SIZE}, len(tokens)) AS token_end FROM (SELECT book_id, tokens, unnest(range(0, len(tokens), {STEP})) AS s FROM bk))"

@@ -1,10 +1,12 @@
 """Queries over whole tables and texts, against brute force; the SQL of their kin covers less."""
 
+import re
+
 import numpy as np
 import pytest
 
 from lectern.operators import search
-from lectern.queries import QUERIES
+from lectern.queries import QUERIES, _headings
 
 TEXTS = {1: "".join(chr(97 + i % 26) for i in range(1003)), 2: "  \u00e9\U0001f600 " * 60, 3: "", 4: None, 5: "x" * 40}
 
@@ -46,3 +48,70 @@ def test_every_question_is_asked(spark, small, monkeypatch, most):
         best[r["qid"]] = max(best.get(r["qid"], -1), r["similarity"])
     got = {(r["qid"], r["chunk_id"]): r["relevance_pct"] for r in QUERIES["relevance_pct_whole"](spark, small).collect()}
     assert got == {(r["qid"], r["chunk_id"]): pytest.approx(r["similarity"] / best[r["qid"]] * 100, abs=0.051) for r in top}
+
+
+BOOKS = {
+    1: "Chapter 1: The Start\nsome plain words that go on for a while here\n  Chapter 2 Trees\n1.2 Title\nch. 7 - Leaves\nwords\nAppendix B\n3 - Foo\nPreface\n  Preface\nx\n12 Years a line\nIntroduction - why\n\nChapter 1: The Start",
+    2: "no heading\n 4: Four\n 4: Four\nchapter nine\nPart of it\n2.1.3 Deep things in a book",
+}
+PATTERNS = [r"(?i)^(?:chapter|ch\.?)\s+(\d+)\b[:\s-]*(.*)$", r"^(\d+)[:\.\s-]+(.+)$", r"(?i)^(appendix|epilogue|introduction|preface|foreword)\b[:\s-]*(.*)$"]
+
+
+def heading_level(text, size, median):
+    number = next((m[1] for m in (re.search(p, text) for p in PATTERNS) if m), None) or next(iter(re.findall(r"^\d+(?:\.\d+)*", text)), None)
+    if any(w in text.lower() for w in ("chapter", "appendix", "part")):
+        return 1
+    if number:
+        return min(number.count(".") + 1, 3)
+    return 1 if size > median * 1.5 else 2 if size > median * 1.2 else 3
+
+
+@pytest.fixture(scope="module")
+def books(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("books"))
+    spark.createDataFrame(list(BOOKS.items()), "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_all_headings_are_merged(spark, books):
+    want = []
+    for book, text in BOOKS.items():
+        lines = text.split("\n")
+        size = [10.0 + len(x) % 5 * 2 for x in lines]
+        median = sorted(size)[len(size) // 2]
+        chapter = lambda x: any(re.search(p, x) for p in PATTERNS)
+        seen = set()
+        for source in ("font", "pattern"):
+            for pos, x in enumerate(lines):
+                middle = len(x) % 7 * 40 + min(len(x), 80) * 5
+                if source == "font":
+                    ok = len(x) >= 3 and (size[pos] >= median * 1.2 or chapter(x) or (abs(middle - 600) / 600 < 0.2 and pos % 10 * 50 < 240))
+                else:
+                    ok, x = chapter(x.strip()), x.strip()
+                key = (pos // 10, x.strip()[:50])
+                if ok and key not in seen:
+                    seen.add(key)
+                    want.append((book, pos // 10 + 1, x, source, heading_level(x, *((size[pos], median) if source == "font" else (14.0, 12.0)))))
+    got = [tuple(r) for r in QUERIES["heading_dedup_whole"](spark, books).collect()]
+    assert sorted(got) == sorted(want) and {"font", "pattern"} == {r[3] for r in got if re.match(r"(?i)\d|ch", r[2])}
+
+
+def test_all_sections_know_their_ancestors(spark, books):
+    def title(x):
+        x = x.strip()
+        if m := re.search(r"(?i)^(?:chapter|ch)\s+(\d+)\b[:\s-]*(.*)$", x):
+            return (m[2] or x).strip()
+        m = re.search(r"^(\d+(?:\.\d+)*)\s*[:\-\u2013\u2014]?\s*(.+)$", x)
+        return m[2].strip() if m else x
+
+    want, raw = [], []
+    for book in BOOKS:
+        above = {}
+        for r in sorted((r for r in _headings(spark, books).collect() if r["book_id"] == book), key=lambda r: r["ord"]):
+            n, name = r["level"], title(r["text"])
+            want.append((book, r["ord"], name if n == 1 else above.get(1), name if n == 2 else above.get(2) if n == 3 else None, name if n == 3 else None))
+            above[n] = name
+            raw.append(r["text"])
+    got = sorted(tuple(r) for r in QUERIES["section_ancestors_whole"](spark, books).collect())
+    assert got == sorted(want) and any(re.match(r"(?i)\d|ch", x) for x in raw)
+    assert any(re.match(r"(?i)\d|ch", x or "") for r in got for x in r[2:])
