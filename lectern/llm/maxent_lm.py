@@ -8,11 +8,11 @@ relative frequency; in the last class unseen words together have the share of wo
 (Good-Turing), as one event.
 
 Training: each task walks its training documents once, with AdaGrad steps on sparse batches, and
-the tasks' weights are averaged by their tokens (iterative parameter mixing), `rounds` times. Counts
-of words cover all training documents; they are summed by batch, dealt by hash and stay
-distributed: scoring sends each document's words outside the top to the bucket that counts them,
-and gets sums back. Only `top` words and the weights (2**feature_bits rows) are broadcast; both are
-parameters.
+each row of weights is averaged by the tokens that touched it in each task (iterative parameter
+mixing), `rounds` times. Counts of words cover all training documents; they are summed by batch,
+dealt by hash and stay distributed: scoring sends each document's words outside the top to the bucket
+that counts them, and gets sums back. Only `top` words and the weights are broadcast. The weights have
+about a row for each counted word, up to 2**most_bits rows: beyond that features collide more.
 
 Null and empty texts are the end token alone. A null id counts as training (its hash is null). Ids
 may repeat: rows are scored each by itself. An empty table gives an empty result; without training
@@ -113,7 +113,9 @@ def descend(w: np.ndarray, g2: np.ndarray, f: np.ndarray, label: np.ndarray, rat
     g = np.exp(class_logs(w, f))
     g[np.arange(len(label)), label] -= 1
     flat = f.reshape(-1)
-    order = np.argsort(flat.astype(np.uint16) if len(w) <= 1 << 16 else flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # by radix, the low half first
+    if len(w) > 1 << 16:
+        order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
     flat = flat[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     sums = np.add.reduceat(g[order >> 2], first, axis=0)
@@ -191,37 +193,56 @@ def _learn(top: Any, start: Any, bits: int, classes: int, rate: float, blocks: i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, _, of, _ = top.value
         table, of = Table(keys), np.append(of, classes - 1)
-        w, seen = start.value.copy(), 0
-        g2 = np.zeros_like(w)
+        w = start.value.copy()
+        g2, touched = np.zeros_like(w), np.zeros(len(w), np.int64)
         for batch in batches:
             raw, at = c.text_of(batch.column("text"))
             for s, e in c.pieces(at):
                 t, begin = tokens(raw[at[s] : at[e]], at[s : e + 1] - at[s])
                 f, label = features(t, begin, bits), of[table.find(t)]
+                touched += np.bincount(f.reshape(-1), minlength=len(w))
                 for k in range(0, len(t), STEP):
                     descend(w, g2, f[k : k + STEP], label[k : k + STEP], rate)
-                seen += len(t)
-        if seen:
-            parts = np.array_split(w, blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([seen] * blocks, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "n", "blob"])
+        # Only the rows that this task has touched.
+        rows = np.flatnonzero(touched).astype(np.int32)
+        block = rows % blocks
+        found = [rows[block == b] for b in range(blocks)]
+        used = [b for b in range(blocks) if len(found[b])]
+        if used:
+            yield _block(used, [(found[b], touched[found[b]], w[found[b]]) for b in used])
 
     return run
 
 
-def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of blocks of weights by tokens; takes partial sums too."""
-    sums: dict[int, tuple[int, np.ndarray]] = {}
-    for batch in batches:
-        for b, n, blob in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            x = np.frombuffer(blob, np.float32).astype(np.float64) * n
-            was = sums.get(b, (0, 0.0))
-            sums[b] = (was[0] + n, was[1] + x)
-    for b, (n, x) in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())], ["block", "n", "blob"])
+def _block(blocks: list[int], parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [pa.array([x[k].tobytes() for x in parts], pa.binary()) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *columns], ["block", "rows", "n", "blob"])
 
 
-def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, classes: int = 16, feature_bits: int = 15, rounds: int = 1, rate: float = 0.1) -> Model:
-    """Learns from all of docs."""
+def _average(classes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row of weights, by the tokens that touched it in each task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, t in c.groups(batches, "block"):
+            rows, n, x = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, classes))
+            for r, k, blob in zip(*(t.column(x).to_pylist() for x in ("rows", "n", "blob")), strict=True):
+                own = np.frombuffer(r, np.int32)
+                every = np.union1d(rows, own)
+                m, sums = np.zeros(len(every), np.int64), np.zeros((len(every), classes))
+                at, here = np.searchsorted(every, rows), np.searchsorted(every, own)
+                m[at], sums[at] = n, x
+                count = np.frombuffer(k, np.int64)
+                m[here] += count
+                sums[here] += np.frombuffer(blob, np.float32).reshape(-1, classes).astype(np.float64) * count[:, None]
+                rows, n, x = every, m, sums
+            yield _block([block], [(rows, n, (x / n[:, None]).astype(np.float32))])
+
+    return run
+
+
+def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, classes: int = 16, feature_bits: int = 15, rounds: int = 2, rate: float = 0.1, most_bits: int = 17) -> Model:
+    """Learns from all of docs. The table of features has a row for each counted word, but
+    2**feature_bits at least and 2**most_bits at most."""
     spark = docs.sparkSession
     n = c.partitions(spark)
     rows, buckets = docs.select(F.col(text_col).alias("text")), 4 * n
@@ -240,6 +261,7 @@ def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, classes:
     logs = np.log10(counts / np.maximum(mass[of], 1))
     unseen = min(0.9, max(once / rare, 1e-4)) if rare else 1.0
     held = spark.sparkContext.broadcast((keys, counts, of, logs))
+    feature_bits = max(feature_bits, min(most_bits, int(v - 1).bit_length() if v else 0))
     weights = np.zeros(((1 << feature_bits) + 1, classes), np.float32)
     # The bias begins at the shares of the classes, the last with room for words to come.
     share = np.append(mass[:-1], rare + 1) / max(1.0, total + 1.0)
@@ -247,11 +269,12 @@ def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, classes:
     blocks = 16
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(weights)
-        learned = rows.mapInArrow(_learn(held, start, feature_bits, classes, rate, blocks), "block int, n long, blob binary")
-        summed = c.stash(learned.repartition(min(n, blocks), "block").sortWithinPartitions("block", "n").mapInArrow(_average, "block int, n long, blob binary"))
-        got = {r["block"]: np.frombuffer(r["blob"], np.float32) for r in summed.collect()}
-        if got:
-            weights = np.concatenate([got[b] for b in range(blocks)]).reshape(weights.shape)
+        schema = "block int, rows binary, n binary, blob binary"
+        learned = rows.mapInArrow(_learn(held, start, feature_bits, classes, rate, blocks), schema).withColumn("order", F.xxhash64("rows", "blob"))
+        summed = c.stash(learned.repartition(min(n, blocks), "block").sortWithinPartitions("block", "order").drop("order").mapInArrow(_average(classes), schema))
+        weights = weights.copy()
+        for r in summed.collect():  # rows that no token touches stay as they are
+            weights[np.frombuffer(r["rows"], np.int32)] = np.frombuffer(r["blob"], np.float32).reshape(-1, classes)
     return Model(vocabulary, buckets, total, v, rare, unseen, held, spark.sparkContext.broadcast(weights), feature_bits, classes)
 
 

@@ -94,6 +94,21 @@ def test_maxent(docs, empty):
     assert all(r["n_known"] == 0 and r["score"] < 0 for r in maxent_lm.score(docs, maxent_lm.train(empty)).collect())
 
 
+def test_maxent_rows_are_averaged_by_the_tokens_that_touched_them():
+    parts = [([0, 2], [10, 1], [[1, 1], [4, 4]]), ([1, 2], [30, 3], [[3, 5], [8, 0]])]
+    batches = [maxent_lm._block([7], [(np.array(r, np.int32), np.array(n), np.array(w, np.float32))]) for r, n, w in parts]
+    (got,) = maxent_lm._average(2)(batches)
+    read = lambda name, kind: np.frombuffer(got.column(name)[0].as_py(), kind).tolist()
+    assert read("rows", np.int32) == [0, 1, 2] and read("n", np.int64) == [10, 30, 4] and read("blob", np.float32) == [1, 1, 3, 5, 7, 1]
+
+
+def test_maxent_table_grows_with_the_words(spark):
+    words = spark.range(700).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), (F.col("id") * 100 + i).cast("string")))).alias("text"))
+    model = maxent_lm.train(words)
+    assert model.v == 70_001 and model.bits == 17 and len(model.weights.value) == (1 << 17) + 1
+    assert maxent_lm.train(words.limit(3)).bits == 15 and maxent_lm.train(words, most_bits=16).bits == 16
+
+
 def test_cotraining(docs, empty, labels):
     rows = cotraining.classify(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
