@@ -158,7 +158,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     smallest id reachable by links, itself included), kept (it is that smallest id)."""
     spark = vectors.sparkSession
     n = c.partitions(spark)
-    own = F.col(vector_col).cast("array<double>")
+    own = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 is 0.0
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), own.alias("vector")).where("id is not null")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = rows.where(F.col("label").isNotNull() & (F.size("vector") > 0) & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))

@@ -163,6 +163,12 @@ def test_vectors(spark):
     assert vector_forest.near_vectors(rows.where("false")).count() == 0
 
 
+def test_vectors_with_negative_zeros(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, -0.0], 1), (3, [1.0, 0.01], 1), (4, [-0.0, -0.0], 1)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_forest.near_vectors(rows).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
+
+
 def test_pipeline(spark, docs, labels, tmp_path):
     plain = docs.drop(*CLASH)
     for name, table in (("some", plain), ("none", plain.where("false"))):
