@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -28,9 +29,12 @@ PIECE_BYTES = 1_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; without that setting, below a temporary
-    folder of this machine (tests, local mode) that goes when the process ends."""
+    folder of this machine that goes when the process ends. The latter is for local mode alone:
+    executors elsewhere would not see it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -46,11 +50,27 @@ def stash(df: DataFrame, at: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, rows: int, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
     """Joins; broadcasts right only when its counted rows fit in most bytes."""
     return left.join(F.broadcast(right) if rows * row_bytes <= most else right, on, how)
 
 
+#: Rows of a key that one task may take in a join.
+HOT_ROWS = 100_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int) -> DataFrame:
+    """Left with the columns of right, which has one row for each key (never null) and counts the rows
+    of left that meet it. Keys with more than HOT_ROWS rows, of which left / HOT_ROWS exist at most, are
+    broadcast, so that no key of any size is shuffled to one task; left is read twice for it."""
+    if rows * 64 <= 32 << 20:
+        return left.join(F.broadcast(right.drop(count)), on, "left")
+    hot = right.where(F.col(count) > HOT_ROWS).drop(count)
+    cold = right.where(F.col(count) <= HOT_ROWS).drop(count)
+    cool = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, "left")
+    return left.join(F.broadcast(hot), on).unionByName(cool)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,6 +3,7 @@
 A document's set is its distinct k-word shingles (hashed to 64 bits). Two documents link when
 den * |A and B| >= num * |A or B|. The join loses no such pair:
 
+* Equal sets (128-bit fingerprint) are one class, found first; only classes give keys and are compared.
 * Sizes are cut into bands so that a linked pair lies in one band or in two that are next to
   each other; a pair meets in the band of its smaller set. There the symmetric difference is
   at most d (`Bands.reach`).
@@ -10,22 +11,27 @@ den * |A and B| >= num * |A or B|. The join loses no such pair:
   of its hashes in each part. Each shingle that only one set has changes one part, so the number
   of parts that differ bounds the symmetric difference from below: at most d parts of a linked
   pair differ, and if either set has over d parts that aren't empty, the two agree on a part that
-  isn't empty (pigeonhole). Parts are join keys. A set with at most d such parts also gives the
-  keys of its shingle prefix (n - ceil(num * n / den) + 1 shingles, seldom ones first, then by
+  isn't empty (pigeonhole). Parts are join keys of 64 bits. A set with at most d such parts also gives
+  the keys of its shingle prefix (n - ceil(num * n / den) + 1 shingles, seldom ones first, then by
   hash), as both sets of a pair without a shared part must be of this kind and then share a key of
   that prefix.
 * Shingles that many documents share (passages, notices) would make keys that say little. Sketches
   leave them out, which can only lower a symmetric difference, so nothing is lost whichever they
   are. They are the most frequent ones that batches report, marked in a bitmap of fixed size.
-* Documents that share a key, linked as stars, are candidate groups (connected components). In a
-  group, sets are compared in blocks, exactly; links that join components and the number of
-  links of each document are all that leaves a block, never its pairs.
+* Classes that share a key, linked as stars, are candidate groups (connected components). A group
+  that fits in a block is compared exactly in one task. A larger one is split first: its sets get keys
+  anew, with another salt and without the shingles that are common in that very group, and pairs
+  that no longer share a key part company, until a round splits no group. What is still large then is
+  compared in blocks of neighbouring bands. Links that join components and the number of links of
+  each class are all that leaves a block, never its pairs.
 
-Equal sets (128-bit fingerprint) are one document in all of this. Keys that several documents of
-an Arrow batch share leave it once, so a key that a third of all rows share stays small.
+Keys that several classes of an Arrow batch share leave it once, so a key that a third of all rows
+share stays small.
 
-Nulls, empty texts and texts without words: empty set, linked with nothing. A null id raises no
-error: its row is left out, as nothing can refer to it. Extra columns are ignored."""
+Nulls, empty texts and texts without words: empty set, linked with nothing. A row without an id is
+linked like any other; its component is the smallest id reachable, null if there is none. A repeated
+row is a document of its own, equal to the first; so is a second text of an id. Extra columns are
+ignored."""
 
 from __future__ import annotations
 
@@ -36,6 +42,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import common as c
@@ -48,7 +55,8 @@ HELD_KEYS = 1_500_000
 #: Shingles left out of sketches: at most so many, each in at least so many documents of a batch; and
 #: the bits of their bitmap.
 MOST_COMMON, IN_BATCH, MARK_BITS = 200_000, 4, 24
-_KEYS, _EQUAL, _LOCAL, _LOCAL_EQUAL, _SIZES = range(5)
+#: Shingles that a large group leaves out of the keys that split it.
+GROUP_COMMON = 4096
 
 
 class Bands:
@@ -81,11 +89,12 @@ def mark(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch_keys(sets: np.ndarray, begin: np.ndarray, bands: Bands, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def sketch_keys(sets: np.ndarray, begin: np.ndarray, bands: Bands, common: np.ndarray | None = None, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of sets and the index of each key's set; common: bitmap of shingles to leave out
-    of sketches."""
+    of sketches, or rare: which ones stay."""
     keys, owners = [], []
-    rare = ~common[sets >> U(64 - MARK_BITS)] if common is not None else np.ones(len(sets), bool)
+    if rare is None:
+        rare = ~common[sets >> U(64 - MARK_BITS)] if common is not None else np.ones(len(sets), bool)
     n = np.diff(begin)
     band = bands.of(np.maximum(n, 1))
     owner = np.repeat(np.arange(len(n)), n)
@@ -135,138 +144,159 @@ def _once(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[first], *gone[gone[:, 0] != gone[:, 1]].T
 
 
-def _pack(key: np.ndarray, ids: np.ndarray) -> bytes:
-    """Low 5 bytes of keys (a chance agreement costs a comparison, no more) and ids by their offset
-    from the least."""
-    least = int(ids.min())
-    wide = int(ids.max()) - least >= 1 << 32
-    low = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5]
-    return np.array([len(key), least], np.int64).tobytes() + low.tobytes() + (ids - least).astype(np.int64 if wide else np.uint32).tobytes()
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, least = np.frombuffer(blob, np.int64, 2).tolist()
-    key = np.zeros((n, 8), np.uint8)
-    key[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 16).reshape(n, 5)
-    rest = blob[16 + 5 * n :]
-    return key.view(U).reshape(-1), np.frombuffer(rest, np.int64 if len(rest) == 8 * n else np.uint32).astype(np.int64) + least
-
-
-def _common(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shingles of several documents of a batch, and of how many."""
+def _prints(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (0, id, h, p, q, n) of documents: h as it came, the fingerprint p, q and the size of the set;
+    rows (1, -, -, shingle, -, documents) of shingles that several documents of a batch have."""
+    names = ["kind", "id", "h", "p", "q", "n"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = c.text_of(batch.column("text"))
             held: list[np.ndarray] = []
             for s, e in c.pieces(at):
-                held.append(c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)[0])
+                sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
+                n = np.diff(begin)
+                sums = [np.concatenate([np.zeros(1, U), np.cumsum(c.mix(sets + U(x)))]) for x in (11, 29)]
+                p, q = (c.mix(x[begin[1:]] - x[begin[:-1]] + n.astype(U)).view(np.int64) for x in sums)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(e - s, np.int32)), *(batch.column(x).slice(s, e - s) for x in ("id", "h")), pa.array(p), pa.array(q), pa.array(n)], names)
+                held.append(sets)
                 if e == len(at) - 1 or sum(map(len, held)) > HELD_KEYS:
-                    found, n = np.unique(np.concatenate(held), return_counts=True)
-                    use, held = n >= IN_BATCH, []
-                    yield pa.RecordBatch.from_arrays([pa.array(found[use].view(np.int64)), pa.array(n[use])], ["h", "n"])
+                    found, times = np.unique(np.concatenate(held), return_counts=True)
+                    use, held = times >= IN_BATCH, []
+                    none = pa.nulls(int(use.sum()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(none), np.int32)), none, none, pa.array(found[use].view(np.int64)), none, pa.array(times[use])], names)
         c.tidy()
 
     return run
 
 
-def common_shingles(rows: DataFrame, k: int) -> np.ndarray:
+def common_shingles(prints: DataFrame) -> np.ndarray:
     """Hashes of at most MOST_COMMON shingles that many documents share."""
-    counts = rows.mapInArrow(_common(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64).view(U)
+    counts = prints.where("kind = 1").groupBy("p").agg(F.sum("n").alias("n"))
+    return np.array([r["p"] for r in counts.orderBy(F.desc("n"), "p").limit(MOST_COMMON).collect()], np.int64).view(U)
+
+
+def _pack(key: np.ndarray, ids: np.ndarray) -> bytes:
+    """Keys, and ids by their offset from the least."""
+    least = int(ids.min())
+    wide = int(ids.max()) - least >= 1 << 32
+    return np.array([len(key), least], np.int64).tobytes() + key.tobytes() + (ids - least).astype(np.int64 if wide else np.uint32).tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, least = np.frombuffer(blob, np.int64, 2).tolist()
+    rest = blob[16 + 8 * n :]
+    return np.frombuffer(blob, U, n, 16), np.frombuffer(rest, np.int64 if len(rest) == 8 * n else np.uint32).astype(np.int64) + least
+
+
+def _deal(keys: list[np.ndarray], owners: list[np.ndarray], buckets: int) -> pa.RecordBatch | None:
+    """Rows (kind, bucket, blob) of keys (0) by bucket, each once, and of the (node, least node) of those
+    that other owners have too (1)."""
+    key, own = np.concatenate(keys), np.concatenate(owners)
+    if not len(key):
+        return None
+    keep, a, b = _once([key], own)
+    key, own = key[keep], own[keep]  # sorted by key, so buckets (by high bits) are runs
+    bucket = ((key >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
+    rows = [(0, int(bucket[s]), _pack(key[s:e], own[s:e])) for s, e in pairwise(cuts)]
+    if len(a):
+        rows.append((1, int(a[0] % buckets), _pack(a.view(U), b)))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "bucket", "blob"])
 
 
 def _send(k: int, num: int, den: int, buckets: int, held_common: Any) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, common = Bands(num, den), mark(held_common.value)
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids = batch.column("node").to_numpy()
             raw, at = c.text_of(batch.column("text"))
-            keys, owners, prints, sizes, held = [], [], [], [], 0
-
-            def flush() -> pa.RecordBatch:
-                rows: list[tuple[int, int, bytes]] = []
-
-                def deal(kind: int, bucket: np.ndarray, *arrays: np.ndarray) -> None:
-                    order = np.argsort(bucket, kind="stable")
-                    arrays, bucket = [x[order] for x in arrays], bucket[order]
-                    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
-                    pack = _pack if kind == _KEYS else lambda *y: b"".join(x.tobytes() for x in y)
-                    rows.extend((kind, int(bucket[s]), pack(*(x[s:e] for x in arrays))) for s, e in pairwise(cuts) if e > s)
-
-                bucket_of = lambda x: ((x >> U(40)) * U(buckets) >> U(24)).astype(np.int64)
-                fp, n, who = (np.concatenate(x) for x in (prints, sizes, [i for i, _, _ in parts]))
-                deal(_SIZES, bucket_of(c.mix(who.astype(U))), who, n)
-                full = n > 0
-                keep, a, b = _once([fp[full, 0], fp[full, 1]], who[full])
-                deal(_LOCAL_EQUAL, bucket_of(c.mix(a.astype(U))), a, b)
-                deal(_EQUAL, bucket_of(fp[full, 0][keep]), fp[full, 0][keep], fp[full, 1][keep], who[full][keep])
-                key, own = np.concatenate(keys), np.concatenate(owners)
-                alone = ~np.isin(own, a)
-                key, own = key[alone], own[alone]
-                keep, a, b = _once([key], own)
-                deal(_LOCAL, bucket_of(c.mix(a.astype(U))), a, b)
-                deal(_KEYS, bucket_of(key[keep]), key[keep], own[keep])
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "bucket", "blob"]) if rows else None
-
-            parts: list = []
+            keys, owners = [], []
             for s, e in c.pieces(at):
-                sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
-                parts.append((ids[s:e], sets, begin))
-                key, own = sketch_keys(sets, begin, bands, common)
+                key, own = sketch_keys(*c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k), bands, common)
                 keys.append(key)
                 owners.append(ids[s:e][own])
-                sizes.append(np.diff(begin))
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(c.mix(sets + U(x)))]) for x in (11, 29)]
-                n = np.diff(begin).astype(U)
-                prints.append(np.stack([c.mix(x[begin[1:]] - x[begin[:-1]] + n) for x in sums], 1))
-                parts[-1] = (ids[s:e], None, None)
-                held += len(key)
-                if held > HELD_KEYS:
-                    if out := flush():
+                if e == len(at) - 1 or sum(map(len, keys)) > HELD_KEYS:
+                    if out := _deal(keys, owners, buckets):
                         yield out
-                    keys, owners, prints, sizes, held, parts = [], [], [], [], 0, []
-            if parts and (out := flush()):
-                yield out
+                    keys, owners = [], []
         c.tidy()
 
     return send
 
 
+def _send_again(num: int, den: int, buckets: int, turn: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of sets that agree only within a group, without the group's common shingles."""
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
+        for batch in batches:
+            ids, grps = batch.column("node").to_numpy(), batch.column("grp").to_numpy()
+            keys, owners = [], []
+            for i in range(batch.num_rows):
+                own = np.frombuffer(batch.column("blob")[i].as_py(), U)
+                rare = ~np.isin(own, np.array(batch.column("marks")[i].as_py() or [], np.int64).view(U))
+                salt = c.mix(grps[i : i + 1].view(U) * U(0xD1342543DE82EF95) + U(turn))
+                own = c.mix(own ^ salt)
+                order = np.argsort(own)
+                own, rare = own[order], rare[order]
+                key, at = sketch_keys(own, np.array([0, len(own)]), bands, rare=rare)
+                keys.append(c.mix(key ^ salt))
+                owners.append(np.full(len(at), ids[i]))
+                if i == batch.num_rows - 1 or sum(map(len, keys)) > HELD_KEYS:
+                    if out := _deal(keys, owners, buckets):
+                        yield out
+                    keys, owners = [], []
+        c.tidy()
+
+    return send
+
+
+def _usual(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of several sets of a group in a batch, and of how many."""
+    for batch in batches:
+        grps, blobs = batch.column("grp").to_numpy(), batch.column("blob").to_pylist()
+        for g in np.unique(grps):
+            held: list[np.ndarray] = []
+            mine = np.flatnonzero(grps == g)
+            for i in mine:
+                held.append(np.frombuffer(blobs[i], U))
+                if i == mine[-1] or sum(map(len, held)) > HELD_KEYS:
+                    found, n = np.unique(np.concatenate(held), return_counts=True)
+                    found, n, held = found[n > 1], n[n > 1], []
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g)), pa.array(found.view(np.int64)), pa.array(n)], ["grp", "h", "n"])
+    c.tidy()
+
+
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, kind) of one bucket: a candidate (0) or equal (1) of b, or a's size b (2)."""
+    """Stars (a, b) of the nodes that share a key of a bucket, each once."""
     for _, table in c.groups(batches, "bucket"):
         kinds, blobs = table.column("kind").to_numpy(), table.column("blob").to_pylist()
-        found: list[tuple[np.ndarray, np.ndarray, int]] = []
-        for kind, arrays in ((_KEYS, 2), (_EQUAL, 3), (_LOCAL, 2), (_LOCAL_EQUAL, 2), (_SIZES, 2)):
-            at = np.flatnonzero(kinds == kind)
-            if not len(at):
-                continue
-            if kind == _KEYS:
-                parts = [_unpack(blobs[i]) for i in at]
-                _, a, b = _once([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
-                found.append((a, b, 0))
-                continue
-            x = np.concatenate([np.frombuffer(blobs[i], np.int64).reshape(arrays, -1) for i in at], 1)
-            if kind == _EQUAL:
-                _, a, b = _once(list(x[:-1]), x[-1])
-                found.append((a, b, 1))
-            else:
-                found.append((x[0], x[1], {_LOCAL: 0, _LOCAL_EQUAL: 1, _SIZES: 2}[kind]))
-        for a, b, kind in found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+        found = []
+        if (kinds == 0).any():
+            parts = [_unpack(blobs[i]) for i in np.flatnonzero(kinds == 0)]
+            _, a, b = _once([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]))
+            found.append(np.stack([a, b]))
+        for i in np.flatnonzero(kinds == 1):
+            a, b = _unpack(blobs[i])
+            found.append(np.stack([a.view(np.int64), b]))
+        stars = np.concatenate(found, 1)
+        stars = stars[:, np.lexsort(stars)]
+        stars = stars[:, np.append(True, (stars[:, 1:] != stars[:, :-1]).any(0))[: stars.shape[1]]]
+        yield pa.RecordBatch.from_arrays([pa.array(stars[0]), pa.array(stars[1])], ["a", "b"])
     c.tidy()
 
 
 def _sets(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "grp", "copies", "n"]
         for batch in batches:
             raw, at = c.text_of(batch.column("text"))
             for s, e in c.pieces(at):
                 sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
                 blob = pa.array([sets[x:y].tobytes() for x, y in pairwise(begin)], pa.binary())
                 rest = batch.slice(s, e - s)
-                yield pa.RecordBatch.from_arrays([rest.column(x) for x in ("id", "grp", "copies")] + [blob, pa.array(np.diff(begin))], ["id", "grp", "copies", "blob", "n"])
+                yield pa.RecordBatch.from_arrays([*(rest.column(x) for x in names), blob], [*names, "blob"])
         c.tidy()
 
     return run
@@ -307,7 +337,9 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den
 def _compare(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in c.groups(batches, "task"):
-            ids, side, copies = (t.column(x).to_numpy() for x in ("id", "side", "copies"))
+            _, once = np.unique(t.column("node").to_numpy(), return_index=True)  # a repeated row gives its class again
+            t = t.take(once)
+            ids, side, copies = (t.column(x).to_numpy() for x in ("node", "side", "copies"))
             sets = [np.frombuffer(x, U) for x in t.column("blob").to_pylist()]
             one = np.flatnonzero(side != 2)
             two = np.flatnonzero(side == 2)
@@ -318,58 +350,63 @@ def _compare(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
             u, ida, idb = c.Union(), ids[one], ids[two if len(two) else one]
             tree = [(int(x), int(y)) for x, y in zip(ida[a], idb[b], strict=True) if u.join(int(x), int(y))]
             degree = [(ida, link @ copies[two if len(two) else one])] + ([(idb, copies[one] @ link)] if len(two) else [])
-            rows = [*((x, y, 0) for x, y in tree), *((int(x), int(y), 3) for i, d in degree for x, y in zip(i, d, strict=True) if y)]
+            rows = [*((x, y, 0) for x, y in tree), *((int(x), int(y), 1) for i, d in degree for x, y in zip(i, d, strict=True) if y)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "kind"])
+        c.tidy()
 
     return run
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """A row for each document: id_col, n_shingles, component_id (the smallest id reachable by
-    links, itself included), n_links (other documents linked directly). Ids are taken to be
-    distinct; a repeated row gives a repeated row of the result."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    buckets = 4 * c.partitions(spark)
-    held_common = spark.sparkContext.broadcast(common_shingles(rows, k))
-    met = rows.mapInArrow(_send(k, num, den, buckets, held_common), "kind int, bucket int, blob binary")
-    met = met.repartition(c.partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long, kind int")
-    met = c.stash(met)
-
-    # Equal sets: a document's class is the least id, through the least of its batch.
-    equal = met.where("kind = 1").select("a", "b").groupBy("a").agg(F.min("b").alias("b"))
-    up = equal.select(F.col("a").alias("b"), F.col("b").alias("top"))
-    equal = equal.join(up, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
-    equal = c.stash(equal)
-    n_equal = equal.count()
-    to_class = lambda df, col: c.join_small(df, equal.select(F.col("a").alias(col), F.col("b").alias(f"{col}_top")), col, "left", n_equal).withColumn(col, F.coalesce(f"{col}_top", col)).drop(f"{col}_top")
-    pairs = to_class(to_class(met.where("kind = 0").select("a", "b"), "a"), "b").where("a != b")
-    candidates = c.components(pairs)
-
-    # Candidate groups, dealt as pairs of blocks; a pair of sets meets in one task.
-    members = candidates.select(F.col("a").alias("id"), F.col("b").alias("grp")).union(candidates.select("b", "b").distinct())
-    members = c.stash(members)
-    n_members = members.count()
-    copies = equal.groupBy("b").count().select(F.col("b").alias("id"), F.col("count").alias("more"))
-    members = members.join(copies, "id", "left").select("id", "grp", (F.coalesce("more", F.lit(0)) + 1).alias("copies"))
-    sizes = met.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("n"))
-    held = c.join_small(sizes, members, "id", "inner", n_members)
-    bands = Bands(num, den)
-    bands.grow(1 << 40)
+def _groups(sent: DataFrame, n: int) -> DataFrame:
+    """Candidate groups of dealt keys: (node, grp), grp being the least node."""
+    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
+    found = c.components(met)
+    return c.stash(found.select(F.col("a").alias("node"), F.col("b").alias("grp")).union(found.select("b", "b").distinct()))
+
+
+def _split(sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """Sets (node, grp, copies, n, blob) whose groups of more than `most` sets are split as far as keys of
+    their own can; a set that shares no key with another leaves."""
+    spark = sets.sparkSession
+    n, done, turn, was = c.partitions(spark), [], 0, None
+    while True:
+        sizes = sets.groupBy("grp").agg(F.count("*").alias("m")).where(F.col("m") > most)
+        if was is not None:  # a group that the last round left whole stays as it is
+            sizes = sizes.join(was, ["grp", "m"], "left_anti")
+        sizes = c.stash(sizes)
+        n_large = sizes.count()
+        done.append(c.join_small(sets, sizes.select("grp"), "grp", "left_anti", n_large))
+        if not n_large:
+            out = done[0]
+            for x in done[1:]:
+                out = out.unionByName(x)
+            return out
+        large = c.stash(c.join_small(sets, sizes.select("grp"), "grp", "left_semi", n_large).select("node", "grp", "copies", "n", "blob"))
+        usual = large.select("grp", "blob").mapInArrow(_usual, "grp long, h long, n long").groupBy("grp", "h").agg(F.sum("n").alias("n"))
+        usual = c.join_small(usual, sizes, "grp", "inner", n_large).where("50 * n >= m")
+        usual = usual.withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("n"), "h"))).where(F.col("r") <= GROUP_COMMON)
+        marks = c.stash(usual.groupBy("grp").agg(F.collect_list("h").alias("marks")))
+        keyed = c.join_small(large.select("node", "grp", "blob"), marks, "grp", "left", n_large, 8 * GROUP_COMMON)
+        groups = _groups(keyed.mapInArrow(_send_again(num, den, 4 * n, turn := turn + 1), "kind int, bucket int, blob binary"), n)
+        sets, was = c.stash(c.join_small(large.drop("grp"), groups, "node", "inner", groups.count())), sizes
+
+
+def _tasks(sets: DataFrame, bands: Bands) -> DataFrame:
+    """Sets as often as they are compared: a group that fits in one block is one task, a larger one is
+    cut by band and block, each block meeting those of its band and the next."""
     low = [x for x in bands.low if x > 1]
     band = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in low)), lambda x: x <= F.col("n")))
-    # A group that fits in one block is one task; larger ones are cut by band and block.
-    whole = held.groupBy("grp").agg(((F.count("*") <= BLOCK_SETS) & (F.sum("n") <= BLOCK_SHINGLES)).alias("whole"))
-    held = held.withColumn("band", band).join(whole, "grp").withColumn("band", F.when(F.col("whole"), F.lit(-5)).otherwise(F.col("band"))).drop("whole")
-    blocks = held.groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m"))
-    near = blocks.alias("x").join(blocks.select("grp", F.col("band").alias("other"), F.col("m").alias("om")).alias("y"), "grp").groupBy("grp", "band").agg(
-        F.max(F.when(F.col("other") == F.col("band"), F.col("om"))).alias("m"), F.coalesce(F.max(F.when(F.col("other") == F.col("band") + 1, F.col("om"))), F.lit(0)).alias("up"), F.coalesce(F.max(F.when(F.col("other") == F.col("band") - 1, F.col("om"))), F.lit(0)).alias("down")
-    )
-    held = c.stash(held.join(near, ["grp", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), "m").cast("int")))
-    sets = c.join_small(rows, held.select("id", "grp", "copies"), "id", "inner", n_members).select("id", "grp", "copies", "text")
-    sets = sets.mapInArrow(_sets(k), "id long, grp long, copies long, blob binary, n long")
-    sets = c.join_small(sets.select("id", "grp", "copies", "blob"), held.select("id", "band", "m", "up", "down", "block"), "id", "inner", n_members)
+    sizes = c.stash(sets.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where(f"m > {BLOCK_SETS} or s > {BLOCK_SHINGLES}").select("grp"))
+    n_large = sizes.count()
+    held = sets.withColumn("band", band)
+    blocks = c.join_small(held.select("grp", "band", "n"), sizes, "grp", "left_semi", n_large).groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("m"))
+    by_band = W.partitionBy("grp").orderBy("band")
+    beside = lambda f, step: F.when(f("band").over(by_band) == F.col("band") + step, f("m").over(by_band)).otherwise(0)
+    blocks = c.stash(blocks.withColumn("up", beside(F.lead, 1)).withColumn("down", beside(F.lag, -1)))
+    held = c.join_small(held, blocks, ["grp", "band"], "left", blocks.count())
+    held = held.withColumn("band", F.when(F.col("m").isNull(), F.lit(-5)).otherwise(F.col("band"))).fillna({"m": 1, "up": 0, "down": 0})
+    held = held.withColumn("block", F.pmod(F.xxhash64("node"), "m").cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     col, block = F.col, F.col("block")
     row = lambda side, low, high, i, j: F.struct(F.lit(side).alias("side"), low.cast("int").alias("low"), high.cast("int").alias("high"), i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -380,15 +417,47 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.transform(upto(col("up")), lambda j: row(1, col("band"), col("band") + 1, block, j)),
         F.transform(upto(col("down")), lambda j: row(2, col("band") - 1, col("band"), j, block)),
     )
-    dealt = sets.select("id", "copies", "blob", "grp", F.explode(tasks).alias("t")).select("id", "copies", "blob", col("t.side").alias("side"), F.concat_ws(",", "grp", "t.low", "t.high", "t.i", "t.j").alias("task"))
-    found = dealt.repartition(c.partitions(spark), "task").sortWithinPartitions("task", "id").mapInArrow(_compare(num, den), "a long, b long, kind int")
-    found = c.stash(found)
-    links = c.components(found.where("kind = 0").select("a", "b").union(equal))
+    dealt = held.select("node", "copies", "blob", "grp", F.explode(tasks).alias("t"))
+    return dealt.select("node", "copies", "blob", col("t.side").alias("side"), F.concat_ws(",", "grp", "t.low", "t.high", "t.i", "t.j").alias("task"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, split_above: int = 2048) -> DataFrame:
+    """A row for each document: id_col, n_shingles, component_id (the smallest id reachable by
+    links, itself included), n_links (other documents linked directly). Candidate groups of more than
+    split_above classes are split again before they are compared."""
+    spark = docs.sparkSession
+    n = c.partitions(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    prints = c.stash(rows.mapInArrow(_prints(k), "kind int, id long, h long, p long, q long, n long"))
+    with_words = prints.where("kind = 0 and n > 0").select("id", "p", "q", "n")
+
+    # Classes of equal sets, each with a number of its own and one of its documents.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")
+    classes = prints.where("kind = 0 and n > 0").groupBy("p", "q").agg(F.min("n").alias("n"), F.count("*").alias("copies"), first)
+    at = F.monotonically_increasing_id()
+    node = F.shiftrightunsigned(at, 33) + at.bitwiseAND((1 << 33) - 1) * n
+    classes = c.stash(classes.select(node.alias("node"), "p", "q", "n", "copies", F.col("first.id").alias("low"), F.col("first.h").alias("h")))
+    n_classes = classes.count()
+    texts = lambda some, count: c.join_small(rows, some.withColumnRenamed("h", "own_h"), F.col("id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("own_h")), "inner", count)
+
+    held_common = spark.sparkContext.broadcast(common_shingles(prints))
+    sent = texts(classes.select("node", "low", "h"), n_classes).select("node", "text").mapInArrow(_send(k, num, den, 4 * n, held_common), "kind int, bucket int, blob binary")
+    groups = _groups(sent, n)
+    n_groups = groups.count()
+    some = c.stash(c.join_small(classes.select("node", "copies", "n", "low", "h"), groups, "node", "inner", n_groups))
+    sets = texts(some, n_groups).select("node", "grp", "copies", "n", "text").mapInArrow(_sets(k), "node long, grp long, copies long, n long, blob binary")
+    bands = Bands(num, den)
+    bands.grow(1 << 40)
+    tasks = _tasks(_split(c.stash(sets), num, den, split_above), bands)
+    found = c.stash(tasks.repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_compare(num, den), "a long, b long, kind int"))
+    links = c.components(found.where("kind = 0").select("a", "b"))
 
-    degrees = found.where("kind = 3").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
     n_links = links.count()
-    out = c.join_small(sizes, links.select(F.col("a").alias("id"), F.col("b").alias("low")), "id", "left", n_links)
-    out = c.join_small(out, equal.select(F.col("a").alias("id"), F.col("b").alias("top")), "id", "left", n_equal).withColumn("cls", F.coalesce("top", "id"))
-    out = c.join_small(out, degrees, "cls", "left", n_members)
-    out = c.join_small(out, copies.select(F.col("id").alias("cls"), "more"), "cls", "left", n_equal)
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"))
+    degrees = found.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+    of_class = c.join_small(classes.select("node", "p", "q", "copies", "low"), links.select(F.col("a").alias("node"), F.col("b").alias("top")), "node", "left", n_links)
+    of_class = c.stash(c.join_small(of_class, degrees, "node", "left", n_groups).withColumn("top", F.coalesce("top", "node")))
+    tops = c.stash(of_class.where("others is not null").groupBy("top").agg(F.min("low").alias("component"), F.count("*").alias("members")))
+    of_class = c.join_counted(of_class, tops, ["top"], "members", n_groups).select("p", "q", "copies", F.coalesce("component", "low").alias("component"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = c.join_counted(with_words, c.stash(of_class), ["p", "q"], "copies", n_classes).select("id", "n", "component", "n_links")
+    empty = prints.where("kind = 0 and n = 0").select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("n_links").cast("long").alias("n_links"))

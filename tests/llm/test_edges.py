@@ -42,13 +42,22 @@ def vocabulary(name):
 
 
 def test_jaccard(docs, empty):
-    rows = {r["doc_id"]: r for r in jaccard_join.jaccard_join(docs).collect()}
-    assert set(rows) == set(range(1, 10))
+    found = jaccard_join.jaccard_join(docs).collect()
+    rows = {r["doc_id"]: r for r in found}
+    assert len(found) == len(ROWS) and set(rows) == {*range(1, 10), None}
+    assert [(r["component_id"], r["n_links"]) for r in found if r["doc_id"] == 8] == [(8, 1)] * 2 and rows[None]["component_id"] is None
     assert [rows[i]["n_shingles"] for i in (1, 2, 7, 6, 9)] == [0, 0, 0, 1, 4]
     assert rows[4]["component_id"] == 3 and rows[3]["n_links"] == 1 and rows[1]["component_id"] == 1
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_jaccard_without_ids(spark):
+    """Rows without an id link like others; two texts of an id are two documents."""
+    rows = [(None, "a b c d"), (None, "a b c d"), (7, "A b c d"), (9, "x y z"), (9, "p q r s"), (None, "p q r s"), (None, "only here it is"), (None, "only here it is")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("7", 2, "7", 2), ("9", 1, "9", 0), ("9", 2, "9", 1), ("None", 2, "7", 2), ("None", 2, "7", 2), ("None", 2, "9", 1), ("None", 2, "None", 1), ("None", 2, "None", 1)]
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_sources(docs).docs.collect()
     assert len(rows) == len(ROWS) and all(r["taken"] <= 3 * r["size"] for r in rows)

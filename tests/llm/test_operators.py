@@ -85,6 +85,30 @@ def test_jaccard_join_is_exact(spark, k, num, den):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in rows} == {i: (len(sets[i]), comp[i], links[i]) for i in texts}
 
 
+def test_large_groups_split_and_lose_nothing(spark):
+    """A passage ties all texts together; groups above 8 are split, and blocks of 16 cut what stays."""
+    r = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {}
+    for g in range(12):
+        own = [f"t{g}x{i}" for i in range(30)]
+        for _ in range(40 if g == 0 else 6):
+            w = list(own)
+            w[r.randrange(30)] = f"r{r.randrange(1000)}"
+            texts[len(texts)] = passage + " " + " ".join(w)
+    rows = jaccard_join.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), k=3, num=90, den=100, split_above=8).collect()
+    comp, links = groups({i: shingles(x, 3) for i, x in texts.items()}, 90, 100)
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in rows} == {i: (comp[i], links[i]) for i in texts}
+
+
+def test_jaccard_blocks_through_spark(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
+    texts = near_texts(21, 150)
+    rows = jaccard_join.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), k=1, num=1, den=2, split_above=20).collect()
+    comp, links = groups({i: shingles(x, 1) for i, x in texts.items()}, 1, 2)
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in rows} == {i: (comp[i], links[i]) for i in texts}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_linked_sets_share_a_key(seed):
     """Whatever shingles sketches leave out, no linked pair loses its last shared key."""
