@@ -247,7 +247,7 @@ class Union:
         return True
 
 
-#: Nodes of one local union-find.
+#: Nodes of one local union-find; so many edges or fewer are one task's work.
 LOCAL_NODES = 500_000
 
 
@@ -275,26 +275,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the smallest of its component, b being that smallest node.
 
     Edges are contracted within each task, then large-star and small-star alternate until
-    nothing changes; each round's edges are a table in the shared folder."""
-    spark = edges.sparkSession
+    nothing changes; each round's edges are a table in the shared folder. As soon as the edges
+    that are left are few enough (LOCAL_NODES), one task contracts them all and ends this."""
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(contract, "a long, b long")
     mark = [F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")]
-    now = stash(edges.distinct())
-    seen = now.agg(*mark).first()
+    now, was = stash(edges), None
     for _ in range(rounds):
-        if not seen["n"]:
+        seen = now.agg(*mark).first()
+        if not seen["n"] or was == seen:
             return now
+        if seen["n"] <= LOCAL_NODES:
+            return stash(now.coalesce(1).mapInArrow(contract, "a long, b long"))
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).mapInArrow(contract, "a long, b long")
-        now = stash(small.distinct())
-        was, seen = seen, now.agg(*mark).first()
-        if was == seen:
-            return now
+        now, was = stash(small.distinct()), seen
     raise RuntimeError("components did not settle")
 
 

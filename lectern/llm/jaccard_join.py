@@ -21,8 +21,8 @@ den * |A and B| >= num * |A or B|. The join loses no such pair:
 * Classes that share a key, linked as stars, are candidate groups (connected components). A group
   that fits in a block is compared exactly in one task. A larger one is split first: its sets get keys
   anew, with another salt and without the shingles that are common in that very group, and pairs
-  that no longer share a key part company, until a round splits no group. What is still large then is
-  compared in blocks of neighbouring bands. Links that join components and the number of links of
+  that no longer share a key part company, for as long as that leaves at most three quarters of a group
+  together. What is still large then is compared in blocks of neighbouring bands. Links that join components and the number of links of
   each class are all that leaves a block, never its pairs.
 
 Keys that several classes of an Arrow batch share leave it once, so a key that a third of all rows
@@ -366,30 +366,29 @@ def _groups(sent: DataFrame, n: int) -> DataFrame:
 
 
 def _split(sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """Sets (node, grp, copies, n, blob) whose groups of more than `most` sets are split as far as keys of
-    their own can; a set that shares no key with another leaves."""
-    spark = sets.sparkSession
-    n, done, turn, was = c.partitions(spark), [], 0, None
+    """Sets (node, grp, copies, n, blob) whose groups of more than `most` sets are split by keys of their
+    own, again and again as long as that leaves at most three quarters of a group together; a set
+    that shares no key with another leaves."""
+    n, done, turn = c.partitions(sets.sparkSession), [], 0
+    sets = sets.withColumn("above", F.lit(None).cast("long"))  # size of the group that a group was split from
     while True:
-        sizes = sets.groupBy("grp").agg(F.count("*").alias("m")).where(F.col("m") > most)
-        if was is not None:  # a group that the last round left whole stays as it is
-            sizes = sizes.join(was, ["grp", "m"], "left_anti")
-        sizes = c.stash(sizes)
+        sizes = sets.groupBy("grp").agg(F.count("*").alias("m"), F.min("above").alias("above")).where(F.col("m") > most)
+        sizes = c.stash(sizes.where("above is null or 4 * m <= 3 * above").select("grp", "m"))
         n_large = sizes.count()
-        done.append(c.join_small(sets, sizes.select("grp"), "grp", "left_anti", n_large))
+        done.append(c.join_small(sets, sizes.select("grp"), "grp", "left_anti", n_large).drop("above"))
         if not n_large:
             out = done[0]
             for x in done[1:]:
                 out = out.unionByName(x)
             return out
-        large = c.stash(c.join_small(sets, sizes.select("grp"), "grp", "left_semi", n_large).select("node", "grp", "copies", "n", "blob"))
+        large = c.stash(c.join_small(sets.drop("above"), sizes.select("grp", F.col("m").alias("above")), "grp", "inner", n_large))
         usual = large.select("grp", "blob").mapInArrow(_usual, "grp long, h long, n long").groupBy("grp", "h").agg(F.sum("n").alias("n"))
         usual = c.join_small(usual, sizes, "grp", "inner", n_large).where("50 * n >= m")
         usual = usual.withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("n"), "h"))).where(F.col("r") <= GROUP_COMMON)
         marks = c.stash(usual.groupBy("grp").agg(F.collect_list("h").alias("marks")))
         keyed = c.join_small(large.select("node", "grp", "blob"), marks, "grp", "left", n_large, 8 * GROUP_COMMON)
         groups = _groups(keyed.mapInArrow(_send_again(num, den, 4 * n, turn := turn + 1), "kind int, bucket int, blob binary"), n)
-        sets, was = c.stash(c.join_small(large.drop("grp"), groups, "node", "inner", groups.count())), sizes
+        sets = c.stash(c.join_small(large.drop("grp"), groups, "node", "inner", groups.count()))
 
 
 def _tasks(sets: DataFrame, bands: Bands) -> DataFrame:
