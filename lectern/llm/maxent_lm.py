@@ -1,14 +1,17 @@
 """Scores of texts under a hashed maximum-entropy language model.
 
-P(word | history) = P(class of word | history) * P(word | class). Classes are equal shares of the
-training tokens in order of word frequency, the last being all words outside the `top` most frequent
-and unseen words. The class is a softmax over weights of hashed features of the history: the word
-before, the two words before, and the word before the last (a skip). Within a class, words have their
-relative frequency; in the last class unseen words together have the share of words seen once
+The softmax over words is factored by classes: the words that are counted most often lie in order of
+frequency and are cut into classes of equal shares of the training tokens, those into classes of their
+own, and so on until each class is a word (`Tree`). At each step the history chooses among at most 16
+classes by a softmax over a prior (their shares) and the weights of its features: the word before, the
+two words before, and the word before the last (a skip), each hashed together with the step's node.
+P(word | history) is the product of its steps, so that history chooses words, not classes alone.
+All words outside the `top` most frequent ones and unseen words are one class of the first step; within
+it words have their relative frequency, and unseen words together have the share of words seen once
 (Good-Turing), as one event.
 
-Training: each task walks its training documents once, with AdaGrad steps on sparse batches, and
-each row of weights is averaged by the tokens that touched it in each task (iterative parameter
+Training: each task walks its training documents once, with AdaGrad steps on batches, and
+each row of weights is averaged by the events that touched it in each task (iterative parameter
 mixing), `rounds` times. Counts of words cover all training documents; they are summed by batch,
 dealt by hash and stay distributed: scoring sends each document's words outside the top to the bucket
 that counts them, and gets sums back. Only `top` words and the weights are broadcast. The weights have
@@ -35,8 +38,8 @@ from lectern.llm import common as c
 from lectern.llm.common import U
 
 END, START = U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)
-#: Tokens of a gradient step, and of a scoring batch.
-STEP, BATCH = 4096, 16_384
+#: Classes of a step, and tokens of a batch that is scored at once.
+WAYS, BATCH = 16, 16_384
 #: Words seen less often are never among the most frequent: they stand for words to come.
 SELDOM = 5
 
@@ -82,8 +85,8 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def features(t: np.ndarray, begin: np.ndarray, bits: int) -> np.ndarray:
-    """Rows of weights of each token's history: three hashed and the bias."""
+def features(t: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the features of each token's history."""
     one = np.empty_like(t)
     two = np.empty_like(t)
     one[1:], two[2:] = t[:-1], t[:-2]
@@ -93,35 +96,98 @@ def features(t: np.ndarray, begin: np.ndarray, bits: int) -> np.ndarray:
     second = full + 1
     second = second[second < len(t)]
     two[second] = START
-    out = np.empty((len(t), 4), np.uint32)
-    shift = U(64 - bits)
-    out[:, 0] = c.mix(one + U(1)) >> shift
-    out[:, 1] = c.mix(one * U(0xE7037ED1A0B428DB) + two) >> shift
-    out[:, 2] = c.mix(two + U(3)) >> shift
-    out[:, 3] = 1 << bits
+    return [c.mix(one + U(1)), c.mix(one * U(0xE7037ED1A0B428DB) + two), c.mix(two + U(3))]
+
+
+class Tree:
+    """Words (counts, most frequent first) as leaves of steps among at most WAYS classes; the entry after
+    the last word is the class of all others, `rare` tokens. nodes and children: of each step (rows) the
+    node and the choice of each word, -1 where its path has ended. prior: log share of each choice."""
+
+    def __init__(self, counts: np.ndarray, rare: float) -> None:
+        n = len(counts)
+        sums = np.concatenate([[0.0], np.cumsum(counts, dtype=np.float64)])
+        nodes, children, prior = [], [], []
+        todo, made = [(0, 0, n)], 1
+        while todo:
+            at, to = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int8)
+            below = []
+            for node, s, e in todo:
+                ways = min(WAYS - (node == 0), e - s)
+                want = np.searchsorted(sums, sums[s] + (sums[e] - sums[s]) * np.arange(1, ways) / max(1, ways))
+                cuts = [s]
+                for j, w in enumerate(want.tolist(), 1):
+                    cuts.append(min(max(w, cuts[-1] + 1), e - ways + j))
+                cuts.append(e)
+                shares = np.zeros(WAYS)
+                at[s:e] = node
+                for j, (x, y) in enumerate(pairwise(cuts)):
+                    to[x:y] = j
+                    shares[j] = sums[y] - sums[x]
+                    if y - x > 1:
+                        below.append((made, x, y))
+                        made += 1
+                if node == 0:
+                    at[n], to[n], shares[-1] = 0, WAYS - 1, rare + 1
+                prior.append(np.where(shares > 0, np.log(np.maximum(shares, 1e-300) / shares.sum()), -1e4))
+            nodes.append(at)
+            children.append(to)
+            todo = below
+        self.nodes, self.children, self.prior = np.stack(nodes), np.stack(children), np.stack(prior).astype(np.float32)
+
+    def steps(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each step: which of the words take it, at which nodes, and their choices."""
+        own = np.arange(len(words))
+        for at, to in zip(self.nodes, self.children, strict=True):
+            node = at[words[own]]
+            if (node < 0).any():
+                own, node = own[node >= 0], node[node >= 0]
+            if not len(own):
+                return
+            yield own, node, to[words[own]].astype(np.int64)
+
+
+def rows_of(f: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of weights of a feature at nodes."""
+    return ((f + node.astype(U) * U(0x9FB21C651E98DF25)) * U(0xD6E8FEB86659FD93) >> U(64 - bits)).astype(np.int64)
+
+
+_ONES = np.ones(WAYS, np.float32)
+
+
+def step_logits(tree: Tree, w: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    x = tree.prior.take(node, 0)
+    for r in rows:
+        x += w.take(r, 0)
+    return x
+
+
+def word_logs(tree: Tree, w: np.ndarray, f: list[np.ndarray], words: np.ndarray, bits: int) -> np.ndarray:
+    """Natural logarithms of P(word | history)."""
+    out = np.zeros(len(words))
+    for own, node, choice in tree.steps(words):
+        x = step_logits(tree, w, node, [rows_of(h[own], node, bits) for h in f])
+        out[own] += x[np.arange(len(own)), choice] - np.log(np.exp(x) @ _ONES)
     return out
 
 
-def class_logs(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    x = w[f].sum(1)
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
-def descend(w: np.ndarray, g2: np.ndarray, f: np.ndarray, label: np.ndarray, rate: float) -> None:
-    """An AdaGrad step on one sparse batch."""
-    g = np.exp(class_logs(w, f))
-    g[np.arange(len(label)), label] -= 1
-    flat = f.reshape(-1)
-    order = np.argsort(flat.astype(np.uint16), kind="stable")  # by radix, the low half first
-    if len(w) > 1 << 16:
-        order = order[np.argsort((flat >> 16).astype(np.uint16)[order], kind="stable")]
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-    sums = np.add.reduceat(g[order >> 2], first, axis=0)
-    rows = flat[first]
-    g2[rows] += sums * sums
-    w[rows] -= rate * sums / np.sqrt(g2[rows] + 1e-8)
+def descend(tree: Tree, w: np.ndarray, g2: np.ndarray, touched: np.ndarray, f: list[np.ndarray], words: np.ndarray, bits: int, rate: float) -> None:
+    """An AdaGrad step on one batch."""
+    cells, slopes, used = [], [], []
+    for own, node, choice in tree.steps(words):
+        rows = [rows_of(h[own], node, bits) for h in f]
+        p = np.exp(step_logits(tree, w, node, rows))
+        p /= (p @ _ONES)[:, None]
+        p[np.arange(len(own)), choice] -= 1
+        used += rows
+        cells += [(r[:, None] * WAYS + np.arange(WAYS)).reshape(-1) for r in rows]
+        slopes += [p.reshape(-1)] * len(rows)
+    g = np.bincount(np.concatenate(cells), np.concatenate(slopes), w.size).astype(np.float32).reshape(w.shape)
+    touched += np.bincount(np.concatenate(used), minlength=len(w))
+    g2 += g * g
+    g *= np.float32(rate)
+    g /= np.sqrt(g2 + np.float32(1e-8))
+    w -= g
 
 
 @dataclass
@@ -132,10 +198,9 @@ class Model:
     v: int  # distinct tokens
     rare: float  # tokens outside the top
     unseen: float  # share of unseen words in the last class
-    top: Any  # broadcast: keys, counts, classes, log10 within class
-    weights: Any  # broadcast: float32, a row for each feature
+    top: Any  # broadcast: keys, counts, tree
+    weights: Any  # broadcast: float32, a row for each feature at a node
     bits: int
-    classes: int
 
 
 def _count(buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -189,20 +254,31 @@ def _frequent(least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _learn(top: Any, start: Any, bits: int, classes: int, rate: float, blocks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _learn(top: Any, start: Any, bits: int, rate: float, blocks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    step = max(2048, (1 << bits) // 8)  # tokens of a step: one costs as much as its tokens and the whole table
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, _, of, _ = top.value
-        table, of = Table(keys), np.append(of, classes - 1)
-        w = start.value.copy()
+        keys, _, tree = top.value
+        table, w = Table(keys), start.value.copy()
         g2, touched = np.zeros_like(w), np.zeros(len(w), np.int64)
+        held: list[tuple[np.ndarray, ...]] = []  # features and words of tokens that wait for a step
+
+        def walk(least: int) -> None:
+            if sum(len(x[-1]) for x in held) < least:
+                return
+            *f, x = (np.concatenate(parts) for parts in zip(*held, strict=True))
+            end = len(x) // least * least
+            for k in range(0, end, step):
+                descend(tree, w, g2, touched, [h[k : k + step] for h in f], x[k : k + step], bits, rate)
+            held[:] = [(*(h[end:] for h in f), x[end:])]
+
         for batch in batches:
             raw, at = c.text_of(batch.column("text"))
             for s, e in c.pieces(at):
                 t, begin = tokens(raw[at[s] : at[e]], at[s : e + 1] - at[s])
-                f, label = features(t, begin, bits), of[table.find(t)]
-                touched += np.bincount(f.reshape(-1), minlength=len(w))
-                for k in range(0, len(t), STEP):
-                    descend(w, g2, f[k : k + STEP], label[k : k + STEP], rate)
+                held.append((*features(t, begin), table.find(t)))
+                walk(step)
+        walk(1)
         # Only the rows that this task has touched.
         rows = np.flatnonzero(touched).astype(np.int32)
         block = rows % blocks
@@ -210,6 +286,7 @@ def _learn(top: Any, start: Any, bits: int, classes: int, rate: float, blocks: i
         used = [b for b in range(blocks) if len(found[b])]
         if used:
             yield _block(used, [(found[b], touched[found[b]], w[found[b]]) for b in used])
+        c.tidy()
 
     return run
 
@@ -219,28 +296,28 @@ def _block(blocks: list[int], parts: list[tuple[np.ndarray, np.ndarray, np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *columns], ["block", "rows", "n", "blob"])
 
 
-def _average(classes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each row of weights, by the tokens that touched it in each task."""
+def _average(ways: int = WAYS) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each row of weights, by the events that touched it in each task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in c.groups(batches, "block"):
-            rows, n, x = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, classes))
+            rows, n, x = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, ways))
             for r, k, blob in zip(*(t.column(x).to_pylist() for x in ("rows", "n", "blob")), strict=True):
                 own = np.frombuffer(r, np.int32)
                 every = np.union1d(rows, own)
-                m, sums = np.zeros(len(every), np.int64), np.zeros((len(every), classes))
+                m, sums = np.zeros(len(every), np.int64), np.zeros((len(every), ways))
                 at, here = np.searchsorted(every, rows), np.searchsorted(every, own)
                 m[at], sums[at] = n, x
                 count = np.frombuffer(k, np.int64)
                 m[here] += count
-                sums[here] += np.frombuffer(blob, np.float32).reshape(-1, classes).astype(np.float64) * count[:, None]
+                sums[here] += np.frombuffer(blob, np.float32).reshape(-1, ways).astype(np.float64) * count[:, None]
                 rows, n, x = every, m, sums
             yield _block([block], [(rows, n, (x / n[:, None]).astype(np.float32))])
 
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, classes: int = 16, feature_bits: int = 15, rounds: int = 2, rate: float = 0.1, most_bits: int = 17) -> Model:
+def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, feature_bits: int = 15, rounds: int = 2, rate: float = 0.15, most_bits: int = 17) -> Model:
     """Learns from all of docs. The table of features has a row for each counted word, but
     2**feature_bits at least and 2**most_bits at most."""
     spark = docs.sparkSession
@@ -254,37 +331,28 @@ def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, classes:
     found = vocabulary.select("keys", "counts").mapInArrow(_frequent(least), "key long, n long").orderBy(F.desc("n"), "key").limit(top).collect()
     keys, counts = np.array([r["key"] for r in found], np.int64).view(U), np.array([r["n"] for r in found], np.int64)
     rare = float(total - counts.sum())
-    # Equal shares of all tokens, the rare ones being the last class.
-    before = np.cumsum(counts) - counts
-    of = np.minimum(before * (classes - 1) // max(1, int(counts.sum())), classes - 2).astype(np.int64)
-    mass = np.bincount(of, counts, classes)
-    logs = np.log10(counts / np.maximum(mass[of], 1))
     unseen = min(0.9, max(once / rare, 1e-4)) if rare else 1.0
-    held = spark.sparkContext.broadcast((keys, counts, of, logs))
+    held = spark.sparkContext.broadcast((keys, counts, Tree(counts, rare)))
     feature_bits = max(feature_bits, min(most_bits, int(v - 1).bit_length() if v else 0))
-    weights = np.zeros(((1 << feature_bits) + 1, classes), np.float32)
-    # The bias begins at the shares of the classes, the last with room for words to come.
-    share = np.append(mass[:-1], rare + 1) / max(1.0, total + 1.0)
-    weights[-1] = np.log(np.maximum(share, 1e-7))
+    weights = np.zeros((1 << feature_bits, WAYS), np.float32)
     blocks = 16
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(weights)
         schema = "block int, rows binary, n binary, blob binary"
-        learned = rows.mapInArrow(_learn(held, start, feature_bits, classes, rate, blocks), schema).withColumn("order", F.xxhash64("rows", "blob"))
-        summed = c.stash(learned.repartition(min(n, blocks), "block").sortWithinPartitions("block", "order").drop("order").mapInArrow(_average(classes), schema))
+        learned = rows.mapInArrow(_learn(held, start, feature_bits, rate, blocks), schema).withColumn("order", F.xxhash64("rows", "blob"))
+        summed = c.stash(learned.repartition(min(n, blocks), "block").sortWithinPartitions("block", "order").drop("order").mapInArrow(_average(), schema))
         weights = weights.copy()
         for r in summed.collect():  # rows that no token touches stay as they are
-            weights[np.frombuffer(r["rows"], np.int32)] = np.frombuffer(r["blob"], np.float32).reshape(-1, classes)
-    return Model(vocabulary, buckets, total, v, rare, unseen, held, spark.sparkContext.broadcast(weights), feature_bits, classes)
+            weights[np.frombuffer(r["rows"], np.int32)] = np.frombuffer(r["blob"], np.float32).reshape(-1, WAYS)
+    return Model(vocabulary, buckets, total, v, rare, unseen, held, spark.sparkContext.broadcast(weights), feature_bits)
 
 
 def _score(m: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    top, weights, bits, classes, buckets = m.top, m.weights, m.bits, m.classes, m.buckets
+    top, weights, bits, buckets = m.top, m.weights, m.bits, m.buckets
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, of, logs = top.value
-        w, table = weights.value, Table(keys)
-        of, logs, plain = np.append(of, classes - 1), np.append(logs, 0.0), np.append(np.log10(counts + 1.0), 0.0)
+        keys, counts, tree = top.value
+        w, table, plain = weights.value, Table(keys), np.append(np.log10(counts + 1.0), 0.0)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         names = ["kind", "bucket", "row", "id", "held_out", "n_tokens", "n_known", "base", "score", "blob"]
         for batch in batches:
@@ -292,10 +360,9 @@ def _score(m: Model) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordB
             raw, at = c.text_of(batch.column("text"))
             for s, e in c.pieces(at):
                 t, begin = tokens(raw[at[s] : at[e]], at[s : e + 1] - at[s])
-                f, i = features(t, begin, bits), table.find(t)
-                label, score = of[i], logs[i].copy()
+                f, i, score = features(t, begin), table.find(t), np.empty(len(t))
                 for k in range(0, len(t), BATCH):
-                    score[k : k + BATCH] += class_logs(w, f[k : k + BATCH])[np.arange(len(f[k : k + BATCH])), label[k : k + BATCH]] / np.log(10)
+                    score[k : k + BATCH] = word_logs(tree, w, [h[k : k + BATCH] for h in f], i[k : k + BATCH], bits) / np.log(10)
                 m_ = e - s
                 first = begin[:-1]
                 columns = [np.zeros(m_, np.int32), np.full(m_, -1, np.int32), row + np.arange(m_), ids.slice(s, m_), held_out.slice(s, m_), np.diff(begin), np.add.reduceat((i >= 0).astype(np.int64), first), np.add.reduceat(plain[i], first), np.add.reduceat(score, first), pa.nulls(m_, pa.binary())]

@@ -148,7 +148,9 @@ def test_reach_bounds_every_linked_pair():
                     assert a + b - 2 * inter <= bands.reach(np.array([low_]))[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [10, 500_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(c, "LOCAL_NODES", local)
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
     found = {x["a"]: x["b"] for x in c.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
@@ -375,9 +377,76 @@ def test_maxent(spark, small):
     assert own[0] > base[0] and own[1] > base[1]
 
 
+def plain_softmax(tree, w, hashes, node, bits):
+    """Probabilities of the choices at a node, one number at a time."""
+    x = []
+    for j in range(maxent_lm.WAYS):
+        z = float(tree.prior[node, j])
+        for h in hashes:
+            r = ((int(h) + node * 0x9FB21C651E98DF25) % 2**64 * 0xD6E8FEB86659FD93) % 2**64 >> (64 - bits)
+            z += float(w[r, j])
+        x.append(z)
+    total = sum(map(math.exp, x))
+    return [math.exp(z) / total for z in x]
+
+
+def plain_word(tree, w, hashes, word, bits):
+    p = 1.0
+    for at, to in zip(tree.nodes, tree.children, strict=True):
+        if at[word] >= 0:
+            p *= plain_softmax(tree, w, hashes, int(at[word]), bits)[to[word]]
+    return p
+
+
 def test_maxent_probabilities_sum_to_one():
-    w = np.random.default_rng(1).standard_normal((9, 5)).astype(np.float32)
-    assert np.exp(maxent_lm.class_logs(w, np.array([[0, 1, 2, 8], [3, 3, 4, 8]]))).sum(1) == pytest.approx(1, abs=1e-5)
+    r = np.random.default_rng(1)
+    for n in (0, 1, 15, 16, 300):
+        tree = maxent_lm.Tree(np.sort(r.integers(1, 90, n))[::-1], 7.0)
+        w = r.standard_normal((64, maxent_lm.WAYS)).astype(np.float32)
+        f = [np.full(n + 1, r.integers(1 << 60), np.uint64) for _ in range(3)]
+        logs = maxent_lm.word_logs(tree, w, f, np.arange(n + 1), 6)
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+        assert np.exp(logs) == pytest.approx([plain_word(tree, w, [h[0] for h in f], i, 6) for i in range(n + 1)], rel=1e-4)
+
+
+def test_maxent_score_is_that_of_a_dense_model(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("a b c d e f g h i j k l m n o p q r s t u v w x y z".split()) + r.choice(["", "", "1", str(r.randrange(40))]) for _ in range(r.randrange(60))) for _ in range(60)] + [None, "", "never seen words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = docs.where("doc_id < 50")
+    model = maxent_lm.train(seen)
+    counts = Counter(x for t in texts[:50] for x in maxent_lm.tokens(*arrays([t]))[0].tolist())
+    keys, top_counts, tree = model.top.value
+    word = {int(x): i for i, x in enumerate(keys)}
+    assert all(counts[k] == n for k, n in zip(keys.tolist(), top_counts.tolist(), strict=True)) and 20 < len(word) < len(counts)
+    for row in maxent_lm.score(docs, model).collect():
+        t, begin = maxent_lm.tokens(*arrays([texts[row["doc_id"]] or ""]))
+        f, want = maxent_lm.features(t, begin), 0.0
+        for i, x in enumerate(t.tolist()):
+            p = plain_word(tree, model.weights.value, [h[i] for h in f], word.get(x, len(word)), model.bits)
+            if x not in word:
+                p *= (1 - model.unseen) * counts[x] / model.rare if counts[x] else model.unseen
+            want += math.log10(p)
+        assert row["score"] == pytest.approx(want, rel=1e-4)
+
+
+def test_maxent_step_is_a_plain_gradient_step():
+    r = np.random.default_rng(6)
+    tree, bits = maxent_lm.Tree(np.sort(r.integers(1, 50, 40))[::-1], 3.0), 5
+    words, f = r.integers(0, 41, 30), [r.integers(0, 1 << 60, 30).astype(np.uint64) for _ in range(3)]
+    w, g2, touched = r.standard_normal((32, 16)).astype(np.float32), np.ones((32, 16), np.float32), np.zeros(32, np.int64)
+    g, was = np.zeros((32, 16)), w.copy()
+    for i, x in enumerate(words.tolist()):
+        hashes = [h[i] for h in f]
+        for at, to in zip(tree.nodes, tree.children, strict=True):
+            if at[x] >= 0:
+                p = np.array(plain_softmax(tree, was, hashes, int(at[x]), bits))
+                p[to[x]] -= 1
+                for h in hashes:
+                    g[((int(h) + int(at[x]) * 0x9FB21C651E98DF25) % 2**64 * 0xD6E8FEB86659FD93) % 2**64 >> (64 - bits)] += p
+    maxent_lm.descend(tree, w, g2, touched, f, words, bits, 0.1)
+    assert w == pytest.approx(was - 0.1 * g / np.sqrt(1 + g * g), abs=1e-4)
+    assert touched.sum() == 3 * sum((at[words] >= 0).sum() for at in tree.nodes)
 
 
 def test_maxent_table():
