@@ -5,6 +5,7 @@ Patterns are written so that Java's engine gives what the semantics ask for: Uni
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -201,15 +202,27 @@ def is_contents_line(text: Column) -> Column:
     return either([text.rlike(p) for p, *_ in CONTENTS_PATTERNS])
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def contents_entry(line: Column) -> Column:
     """struct(number, title, page, level) of the first pattern that gives a title of two
     characters or more; else null."""
-    s = strip(line)
-    found = []
-    for pattern, number, title, page in CONTENTS_PATTERNS:
-        n = strip(F.regexp_extract(s, pattern, number)) if number else F.lit(None).cast("string")
-        t = strip(F.regexp_extract(s, pattern, title))
-        level = F.when(n.isNull() | (n == ""), F.when(has_any(F.lower(t), ["chapter", "part", "appendix"]), 1).otherwise(2)).otherwise(F.least(dots(n) + 1, F.lit(3)))
-        p = F.try_to_number(F.regexp_extract(s, pattern, page), F.lit("9" * 18)).cast("long")
-        found.append(F.when(s.rlike(pattern) & (F.length(t) >= 2) & p.isNotNull(), F.struct(n.alias("number"), t.alias("title"), p.alias("page"), level.cast("int").alias("level"))))
-    return F.when(F.length(s) >= 3, F.coalesce(*found))
+
+    def entry(e: Column) -> Column:
+        n, title = e["n"], e["t"]
+        level = F.when(n.isNull() | (n == ""), F.when(has_any(F.lower(title), ["chapter", "part", "appendix"]), 1).otherwise(2)).otherwise(F.least(dots(n) + 1, F.lit(3)))
+        return F.when((F.length(title) >= 2) & e["p"].isNotNull(), F.struct(n.alias("number"), title.alias("title"), e["p"].alias("page"), level.cast("int").alias("level")))
+
+    def first(s: Column) -> Column:
+        found = []
+        for pattern, number, title, page in CONTENTS_PATTERNS:
+            group = lambda k, s=s, pattern=pattern: F.regexp_extract(s, pattern, k)
+            n = strip(group(number)) if number else F.lit(None).cast("string")
+            parts = F.struct(n.alias("n"), strip(group(title)).alias("t"), F.try_to_number(group(page), F.lit("9" * 18)).cast("long").alias("p"))
+            found.append(F.when(s.rlike(pattern), once(parts, entry)))
+        return F.when(F.length(s) >= 3, F.coalesce(*found))
+
+    return once(strip(line), first)

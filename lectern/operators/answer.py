@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from lectern.config import DEFAULT, Answers
 from lectern.functions import text as t
 
+# Texts of contexts and of answers without a generator.
+SOURCE = "[SOURCE %d]\nChapter: %s\nSection: %s\nPage: %s\nType: %s\nRelevance: %s%%\n\n"
+FAILED = "Error calling LLM. Here's the retrieved content:\n\nFrom "
 SEPARATOR, LEGACY_SEPARATOR = "\n" + "=" * 70 + "\n", "\n{'='*70}\n"
 
 
 def context(hits: DataFrame, settings: Answers = DEFAULT.answers) -> DataFrame:
     """qid, context: the sources of each question in order, joined by a rule."""
     block = F.concat(
-        F.format_string("[SOURCE %d]\nChapter: %s\nSection: %s\nPage: %s\nType: %s\nRelevance: %s%%\n\n", F.col("position").cast("int"), F.coalesce("chapter", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce(F.col("page_number").cast("string"), F.lit("")), F.when(F.col("chunk_type") == "code", "CODE").otherwise("TEXT"), F.coalesce(F.col("relevance_pct").cast("string"), F.lit(""))),
+        F.format_string(SOURCE, F.col("position").cast("int"), F.coalesce("chapter", F.lit("")), F.coalesce("section", F.lit("")), F.coalesce(F.col("page_number").cast("string"), F.lit("")), F.when(F.col("chunk_type") == "code", "CODE").otherwise("TEXT"), F.coalesce(F.col("relevance_pct").cast("string"), F.lit(""))),
         F.coalesce("content", F.lit("")), F.lit("\n"),
     )
     parts = F.array_sort(F.collect_list(F.struct("position", block.alias("block"))))
@@ -37,7 +40,7 @@ def answers(hits: DataFrame, degraded: bool = True, settings: Answers = DEFAULT.
     listed = F.array_sort(F.collect_list(F.struct("position", "chunk_id", "chunk_type", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("chapter", F.lit("")).alias("chapter"))))
     rows = hits.groupBy("qid").agg(listed.alias("hits"))
     first = F.element_at("hits", 1)
-    text = F.concat(F.lit("Error calling LLM. Here's the retrieved content:\n\nFrom "), first["chapter"], F.lit(":\n"), F.substring(first["content"], 1, settings.fallback_chars), F.lit("..."))
+    text = F.concat(F.lit(FAILED), first["chapter"], F.lit(":\n"), F.substring(first["content"], 1, settings.fallback_chars), F.lit("..."))
     code = F.transform(F.filter("hits", lambda h: h["chunk_type"] == "code"), lambda h: h["content"])
     empty = F.array().cast("array<string>")
     return rows.select(

@@ -36,10 +36,13 @@ def windows(rows: DataFrame, key: list[str], size: int, overlap: int, drop_tail:
     out a last window that is shorter than the overlap (but never the first)."""
     step = step_of(size, overlap)
     rows = rows.where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
-    out = rows.select(*key, "tokens", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("token_start"))
+    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))
     if drop_tail:
-        out = out.where(f"not (token_start > 0 and token_start + {size} > n and n - token_start < {overlap})")
-    return out.select(*key, F.expr(f"int(token_start div {step})").alias("k"), "token_start", F.least(F.col("token_start") + size, "n").alias("token_end"), detokenize(F.slice("tokens", F.col("token_start") + 1, size)).alias("text"))
+        starts = F.filter(starts, lambda s: ~((s > 0) & (s + size > F.col("n")) & (F.col("n") - s < overlap)))
+    # Each window takes its own tokens along, not the book's.
+    own = F.transform(starts, lambda s: F.struct(s.alias("s"), detokenize(F.slice("tokens", s + 1, size)).alias("text")))
+    out = rows.select(*key, "n", F.explode(own).alias("w")).select(*key, "n", F.col("w.s").alias("token_start"), "w.text")
+    return out.select(*key, F.expr(f"int(token_start div {step})").alias("k"), "token_start", F.least(F.col("token_start") + size, "n").alias("token_end"), "text")
 
 
 def estimate(n: Column, size: int, overlap: int) -> Column:

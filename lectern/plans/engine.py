@@ -61,7 +61,7 @@ class Engine:
     def ingest(self, pages: DataFrame, books: DataFrame, lines: DataFrame | None = None, strategy: str | None = None) -> None:
         """Chunks, embeds and stores books. books: book_id, book_title, author."""
         chunks = self.chunk(pages, lines, strategy).join(books.select("book_id", "book_title", "author"), "book_id", "left")
-        self.store.upsert(records(chunks.withColumn("embedding", self.embedder(F.col("text"))), self.config.namespace))
+        self.store.upsert(records(chunks.withColumn("embedding", self.embedder(F.col("text"))), self.config.namespace), whole_books=True)
 
     # --- questions -----------------------------------------------------------------------------
 

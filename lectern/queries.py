@@ -13,6 +13,8 @@ from lectern.functions import text as t
 from lectern.functions.tokens import lossless
 from lectern.functions.vectors import cosine
 from lectern.operators import answer, chunking, contents, layout, search, sections, tree
+from lectern.plans.tables import shared_dir, spread, written
+from lectern.sources import pages as page_source
 from lectern.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -114,47 +116,28 @@ def _cases_sql(pairs: list[tuple[str, list[str]]], other: str) -> str:
 
 
 def _asked_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding", "label")
+    """The stated question set: every id that 100 divides."""
+    return _t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
 
 
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)"
 
 
-@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20) WHERE rank <= 10")
+@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(_t(spark, sf, "embeddings"), _asked_vectors(spark, sf), 10, "vec_id")
 
 
-@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND c.label = 3) WHERE rank <= 5")
+@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.label = 3) WHERE rank <= 5")
 def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(_t(spark, sf, "embeddings").where("label = 3"), _asked_vectors(spark, sf), 5, "vec_id")
 
 
-@query(f"SELECT qid, chunk_id, round(similarity / max(similarity) OVER (PARTITION BY qid) * 100, 1) AS relevance_pct FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id < 20) WHERE rank <= 10")
+@query(f"SELECT qid, chunk_id, round(similarity / max(similarity) OVER (PARTITION BY qid) * 100, 1) AS relevance_pct FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) WHERE rank <= 10")
 def relevance_pct(spark: SparkSession, sf: str) -> DataFrame:
     return vector_topk(spark, sf).select("qid", "chunk_id", search.relevance(F.col("similarity"), W.partitionBy("qid")).alias("relevance_pct"))
 
 
-def _every_hundredth(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding", "label")
-
-
-@query()
-def vector_topk_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """vector_topk with the whole question set: every id that 100 divides."""
-    return search.top_k(_t(spark, sf, "embeddings"), _every_hundredth(spark, sf), 10, "vec_id")
-
-
-@query()
-def vector_topk_filtered_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top_k(_t(spark, sf, "embeddings").where("label = 3"), _every_hundredth(spark, sf), 5, "vec_id")
-
-
-@query()
-def relevance_pct_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return vector_topk_whole(spark, sf).select("qid", "chunk_id", search.relevance(F.col("similarity"), W.partitionBy("qid")).alias("relevance_pct"))
-
-
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS similarity, len(embedding) AS dimension FROM embeddings")
 def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("similarity"), F.size("embedding").cast("long").alias("dimension"))
@@ -277,9 +260,9 @@ def chunk_links(spark: SparkSession, sf: str) -> DataFrame:
 # --- lines, headings, sections ----------------------------------------------------------------------
 
 
-@query("WITH c AS (SELECT doc_id, i, substr(text, i, 1) AS ch FROM documents, (SELECT unnest(range(1, 121)) AS i) WHERE i <= length(text)) SELECT doc_id AS book_id, CAST(round_even((i // 40) * 10 + 0.25 * (i % 2), 0) AS DOUBLE) AS top, regexp_replace(string_agg(ch, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, round(coalesce(avg(CASE WHEN i % 3 <> 0 THEN (8 + i % 3)::DOUBLE END), 0), 6) AS size, CAST(min(i * 5) AS DOUBLE) AS x0, CAST(max(i * 5 + 5) AS DOUBLE) AS x1 FROM c GROUP BY ALL")
+@query("WITH c AS (SELECT doc_id, i, substr(text, i, 1) AS ch FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents)) SELECT doc_id AS book_id, CAST(round_even((i // 40) * 10 + 0.25 * (i % 2), 0) AS DOUBLE) AS top, regexp_replace(string_agg(ch, '' ORDER BY i), '^\\s+|\\s+$', '', 'g') AS text, round(coalesce(avg(CASE WHEN i % 3 <> 0 THEN (8 + i % 3)::DOUBLE END), 0), 6) AS size, CAST(min(i * 5) AS DOUBLE) AS x0, CAST(max(i * 5 + 5) AS DOUBLE) AS x1 FROM c GROUP BY ALL")
 def line_group(spark: SparkSession, sf: str) -> DataFrame:
-    return _grouped(_characters(spark, sf).where("i <= 120"))
+    return _grouped(_characters(spark, sf))
 
 
 def _characters(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,12 +276,6 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return layout.lines(chars).select("book_id", "top", "text", F.round("size", 6).alias("size"), "x0", "x1")
 
 
-@query()
-def line_group_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """line_group over all characters of each document; its SQL reads the first 120."""
-    return _grouped(_characters(spark, sf))
-
-
 @query(f"WITH {CANDIDATES_SQL} SELECT book_id, median FROM med")
 def size_median(spark: SparkSession, sf: str) -> DataFrame:
     return layout.upper_median(layout.text_lines(_lines(spark, sf)))
@@ -315,20 +292,29 @@ def size_levels(spark: SparkSession, sf: str) -> DataFrame:
     return layout.size_levels(layout.candidates(lines, _line_pages(lines))).groupBy("book_id", "level").agg(F.count("*").alias("n"), F.min("size").alias("smallest"), F.max("size").alias("largest"))
 
 
-_CHAPTER = "(regexp_matches(text, '(?i)^(?:chapter|ch\\.?)\\s+(\\d+)\\b[:\\s-]*(.*)$') OR regexp_matches(text, '^(\\d+)[:\\.\\s-]+(.+)$') OR regexp_matches(text, '(?i)^(appendix|epilogue|introduction|preface|foreword)\\b[:\\s-]*(.*)$'))"
+_CW, _LN = "'(?i)^(?:chapter|ch)\\s+(\\d+)\\b[:\\s-]*(.*)$'", "'(?i)^(\\d+(?:\\.\\d+)*)\\s*[:\\-–—]?\\s*(.+)$'"
+_P1, _P2, _P3 = "'(?i)^(?:chapter|ch\\.?)\\s+(\\d+)\\b[:\\s-]*(.*)$'", "'^(\\d+)[:\\.\\s-]+(.+)$'", "'(?i)^(appendix|epilogue|introduction|preface|foreword)\\b[:\\s-]*(.*)$'"
+
+
+def _number_sql(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, {_P1}) THEN regexp_extract({x}, {_P1}, 1) WHEN regexp_matches({x}, {_P2}) THEN regexp_extract({x}, {_P2}, 1) WHEN regexp_matches({x}, {_P3}) THEN regexp_extract({x}, {_P3}, 1) WHEN regexp_matches({x}, '^\\d') THEN regexp_extract({x}, '^(\\d+(\\.\\d+)*)', 1) END"
+
+
+def _title_sql(x: str) -> str:
+    return f"trim(CASE WHEN regexp_matches({x}, {_CW}) THEN CASE WHEN regexp_extract({x}, {_CW}, 2) = '' THEN {x} ELSE regexp_extract({x}, {_CW}, 2) END WHEN regexp_matches({x}, {_LN}) THEN regexp_extract({x}, {_LN}, 2) ELSE {x} END)"
+
+
+_CHAPTER = f"(regexp_matches(text, {_P1}) OR regexp_matches(text, {_P2}) OR regexp_matches(text, {_P3}))"
+_NAMED = "(contains(lower(text), 'chapter') OR contains(lower(text), 'appendix') OR contains(lower(text), 'part'))"
+_TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
 @query(
     f"WITH {LINES_SQL}, med AS (SELECT book_id, list_sort(list(size))[count(*) // 2 + 1] AS median FROM lines WHERE size > 0 GROUP BY book_id), f AS (SELECT book_id, page, pos, text, size, median FROM lines JOIN med USING (book_id) WHERE length(text) >= 3 AND (size >= median * 1.2 OR {_CHAPTER} OR (abs(x0 + x1 - 600) / 600 < 0.2 AND top < 240))), "
-    f"u AS (SELECT book_id, page, pos, text, 0 AS s, size > median * 1.5 AS big, size > median * 1.2 AS large FROM f UNION ALL SELECT book_id, page, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, 1, false, false FROM lines WHERE {_CHAPTER}), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY book_id, page, substr(text, 1, 50) ORDER BY s, pos) AS r FROM u) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, CAST(CASE WHEN contains(lower(text), 'chapter') OR contains(lower(text), 'appendix') OR contains(lower(text), 'part') THEN 1 WHEN big THEN 1 WHEN large THEN 2 ELSE 3 END AS INT) AS level FROM r WHERE r = 1 AND NOT regexp_matches(lower(text), '^(\\d|ch|app|epi|intro|pref|fore)')"
+    f"u AS (SELECT book_id, page, pos, text, 0 AS s, size > median * 1.5 AS big, size > median * 1.2 AS large FROM f UNION ALL SELECT book_id, page, pos, text, 1, false, false FROM (SELECT book_id, page, pos, {_TRIMMED} AS text FROM lines) WHERE {_CHAPTER}), "
+    f"r AS (SELECT *, {_number_sql('text')} AS num, row_number() OVER (PARTITION BY book_id, page, substr({_TRIMMED}, 1, 50) ORDER BY s, pos) AS r FROM u) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, CAST(CASE WHEN {_NAMED} THEN 1 WHEN coalesce(num, '') <> '' THEN least(length(num) - length(replace(num, '.', '')) + 1, 3) WHEN big THEN 1 WHEN large THEN 2 ELSE 3 END AS INT) AS level FROM r WHERE r = 1"
 )
 def heading_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return heading_dedup_whole(spark, sf).where(~F.lower("text").rlike(r"^(\d|ch|app|epi|intro|pref|fore)"))
-
-
-@query()
-def heading_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
     """All merged headings, those of the chapter pattern among them."""
     lines = _lines(spark, sf)
     elements = lines.select("book_id", "page", F.col("pos").alias("idx"), "text", F.lit("NarrativeText").alias("type"))
@@ -337,20 +323,20 @@ def heading_dedup_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HEADS = _sql_values([(i, h) for i, h in enumerate(HEADINGS)], "id, text")
-_CW, _LN = "'(?i)^(?:chapter|ch)\\s+(\\d+)\\b[:\\s-]*(.*)$'", "'(?i)^(\\d+(?:\\.\\d+)*)\\s*[:\\-–—]?\\s*(.+)$'"
-_P1, _P2, _P3 = "'(?i)^(?:chapter|ch\\.?)\\s+(\\d+)\\b[:\\s-]*(.*)$'", "'^(\\d+)[:\\.\\s-]+(.+)$'", "'(?i)^(appendix|epilogue|introduction|preface|foreword)\\b[:\\s-]*(.*)$'"
 
 
 @query(
-    f"WITH h AS {_HEADS}, n AS (SELECT id, text, CASE WHEN regexp_matches(text, {_CW}) THEN regexp_extract(text, {_CW}, 1) WHEN regexp_matches(text, {_LN}) THEN regexp_extract(text, {_LN}, 1) END AS number, "
-    f"trim(CASE WHEN regexp_matches(text, {_CW}) THEN CASE WHEN regexp_extract(text, {_CW}, 2) = '' THEN text ELSE regexp_extract(text, {_CW}, 2) END WHEN regexp_matches(text, {_LN}) THEN regexp_extract(text, {_LN}, 2) ELSE text END) AS title, "
-    f"CASE WHEN regexp_matches(text, {_P1}) THEN regexp_extract(text, {_P1}, 1) WHEN regexp_matches(text, {_P2}) THEN regexp_extract(text, {_P2}, 1) WHEN regexp_matches(text, {_P3}) THEN regexp_extract(text, {_P3}, 1) WHEN regexp_matches(text, '^\\d') THEN regexp_extract(text, '^(\\d+(\\.\\d+)*)', 1) END AS chapter FROM h) "
-    "SELECT CAST(id AS INT) AS id, number, title, chapter, CAST(CASE WHEN contains(lower(text), 'chapter') OR contains(lower(text), 'appendix') OR contains(lower(text), 'part') THEN 1 WHEN coalesce(chapter, '') <> '' THEN least(length(chapter) - length(replace(chapter, '.', '')) + 1, 3) WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN 2 ELSE 3 END AS INT) AS level FROM n"
+    f"WITH {LINES_SQL}, h AS (SELECT -1 AS book_id, id AS pos, text FROM {_HEADS} UNION ALL SELECT book_id, pos, text FROM lines), n AS (SELECT book_id, pos, text, {_TRIMMED} AS x FROM h WHERE {_TRIMMED} <> ''), "
+    f"m AS (SELECT *, CASE WHEN regexp_matches(x, {_CW}) THEN regexp_extract(x, {_CW}, 1) WHEN regexp_matches(x, {_LN}) THEN regexp_extract(x, {_LN}, 1) END AS number, {_title_sql('x')} AS title, {_number_sql('x')} AS chapter FROM n) "
+    f"SELECT book_id, CAST(pos AS INT) AS id, number, title, chapter, CAST(CASE WHEN {_NAMED} THEN 1 WHEN coalesce(chapter, '') <> '' THEN least(length(chapter) - length(replace(chapter, '.', '')) + 1, 3) WHEN pos % 3 = 0 THEN 1 WHEN pos % 3 = 1 THEN 2 ELSE 3 END AS INT) AS level FROM m"
 )
 def number_title(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("text")
+    """Number, title, chapter number and level of every line, read as a heading."""
+    x = t.strip(F.col("text"))
     size = F.element_at(F.array(F.lit(19.0), F.lit(15.0), F.lit(14.0)), F.col("id") % 3 + 1)
-    return _values(spark, list(enumerate(HEADINGS)), "id int, text string").select("id", t.heading_number(x).alias("number"), t.heading_title(x).alias("title"), t.chapter_number(x).alias("chapter"), t.heading_level(x, size, F.lit(12.0)).alias("level"))
+    own = _values(spark, [(-1, i, h) for i, h in enumerate(HEADINGS)], "book_id long, id int, text string")
+    rows = own.unionByName(_lines(spark, sf).select("book_id", F.col("pos").cast("int").alias("id"), "text")).where(x != "")
+    return rows.select("book_id", "id", t.heading_number(x).alias("number"), t.heading_title(x).alias("title"), t.chapter_number(x).alias("chapter"), t.heading_level(x, size, F.lit(12.0)).alias("level"))
 
 
 _SECTIONS = (
@@ -382,14 +368,11 @@ def section_tree_flat(spark: SparkSession, sf: str) -> DataFrame:
     return sections.sections(*_sections(spark, sf)).select("book_id", F.col("ord").cast("long").alias("ord"), "level", "start_page", F.col("end_page").cast("int").alias("end_page"), "title")
 
 
-@query(f"WITH {_SECTIONS} SELECT book_id, ord, chapter_title, section_title, subsection_title FROM rawsec WHERE NOT regexp_matches(coalesce(chapter_title, ''), '(?i)^(\\d|ch)') AND NOT regexp_matches(coalesce(section_title, ''), '(?i)^(\\d|ch)') AND NOT regexp_matches(coalesce(subsection_title, ''), '(?i)^(\\d|ch)')")
-def section_ancestors(spark: SparkSession, sf: str) -> DataFrame:
-    plain = lambda c: ~F.lower(F.coalesce(c, F.lit(""))).rlike("^(\\d|ch)")
-    return section_ancestors_whole(spark, sf).where(plain("chapter_title") & plain("section_title") & plain("subsection_title"))
+_WHOLE_TITLE = _title_sql("regexp_replace(h.text, '^\\s+|\\s+$', '', 'g')")
 
 
-@query()
-def section_ancestors_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"WITH {_SECTIONS.replace('h.text AS title', 'h.text AS title_').replace('THEN h.text', 'THEN ' + _WHOLE_TITLE)} SELECT book_id, ord, chapter_title, section_title, subsection_title FROM rawsec")
+def section_ancestors(spark: SparkSession, sf: str) -> DataFrame:
     """Titles of the sections above every section, numbered and "Chapter N" ones among them."""
     return sections.raw_sections(*_sections(spark, sf)).select("book_id", F.col("ord").cast("long").alias("ord"), "chapter_title", "section_title", "subsection_title")
 
@@ -434,69 +417,148 @@ def toc_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", "e.number", "e.title", "e.page", "e.level")
 
 
-def _toc_elements(spark: SparkSession) -> DataFrame:
-    texts = ["A Book", "Contents", *CONTENTS, "Chapter 1", "x" * 210]
-    return _values(spark, [(b, i, 1, "NarrativeText", x) for b in (1, 2) for i, x in enumerate(texts if b == 1 else ["No contents here", "Text"])], "book_id long, idx int, page int, type string, text string")
+# A table of contents for every document: chapters, sections and subsections in five styles, before a
+# long line and the document's own lines, each on a page of its own.
+_TOCS_SQL = (
+    "gen AS (SELECT doc_id AS book_id, c, s, u FROM (SELECT doc_id, unnest(range(1, 4 + doc_id % 2)) AS c FROM documents), (SELECT unnest(range(0, 3)) AS s), (SELECT unnest(range(0, 2)) AS u) WHERE s <= 1 + doc_id % 2 AND (u = 0 OR (s > 0 AND (doc_id + c) % 2 = 1))), "
+    "kept AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY c, s, u) AS INT) AS seq, CASE WHEN u > 0 THEN 3 WHEN s > 0 THEN 2 ELSE 1 END AS level, CASE WHEN (book_id + c + s) % 5 = 0 AND s > 0 THEN NULL ELSE c || CASE WHEN s > 0 THEN '.' || s ELSE '' END || CASE WHEN u > 0 THEN '.' || u ELSE '' END END AS number, "
+    "CASE WHEN u > 0 THEN 'Gamma' WHEN s > 0 THEN 'Beta' ELSE 'Alpha' END || ' ' || c || s || u || ' of it' AS title, CAST(3 * c + s + u + book_id % 2 AS INT) AS page FROM gen), "
+    "toc AS (SELECT book_id, seq, title, number, page, CAST(CASE WHEN number IS NULL THEN 2 ELSE level END AS INT) AS level FROM kept), "
+    "size_ AS (SELECT doc_id AS book_id, len(string_split(text, chr(10))) AS pages FROM documents WHERE text IS NOT NULL)"
+)
+
+
+def _contents_lines(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"))
+    rows = rows.withColumn("c", F.explode(F.sequence(F.lit(1), (3 + F.col("book_id") % 2).cast("int")))).withColumn("s", F.explode(F.sequence(F.lit(0), (1 + F.col("book_id") % 2).cast("int"))))
+    rows = rows.withColumn("u", F.explode(F.when((F.col("s") > 0) & ((F.col("book_id") + F.col("c")) % 2 == 1), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    dotted = lambda c: F.when(F.col(c) > 0, F.concat(F.lit("."), F.col(c).cast("string"))).otherwise("")
+    number = F.concat(F.col("c").cast("string"), dotted("s"), dotted("u"))
+    title = F.concat(F.when(F.col("u") > 0, "Gamma").when(F.col("s") > 0, "Beta").otherwise("Alpha"), F.lit(" "), "c", "s", "u", F.lit(" of it"))
+    page = (3 * F.col("c") + F.col("s") + F.col("u") + F.col("book_id") % 2).cast("string")
+    bare = ((F.col("book_id") + F.col("c") + F.col("s")) % 5 == 0) & (F.col("s") > 0)
+    wide = (F.col("book_id") + F.col("c")) % 3 == 0
+    gap = F.when(wide & (F.col("s") > 0), "     ").otherwise(" ..... ")
+    line = F.concat(F.when(bare, "").when((F.col("s") == 0) & (F.col("book_id") % 2 == 0), F.concat(F.lit("Chapter "), number, F.lit(": "))).otherwise(F.concat(number, F.lit(" "))), title, gap, page)
+    idx = F.row_number().over(W.partitionBy("book_id").orderBy("c", "s", "u"))
+    return rows.select("book_id", idx.alias("idx"), line.alias("text"))
+
 
+def _elements(spark: SparkSession, sf: str) -> DataFrame:
+    """book_id, idx, page, type, text: "Contents", its lines, a long line, the lines of the document."""
+    lines = _contents_lines(spark, sf)
+    n = lines.groupBy("book_id").agg(F.max("idx").alias("n"))
+    head = n.select("book_id", F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.lit("Contents").alias("text")), F.struct((F.col("n") + 1).alias("idx"), F.repeat(F.lit("x"), F.lit(210)).alias("text")))).alias("e")).select("book_id", "e.idx", "e.text")
+    own = _pages(spark, sf).join(n, "book_id").select("book_id", (F.col("n") + 1 + F.col("page")).alias("idx"), F.col("page").cast("int").alias("page"), "text")
+    return head.unionByName(lines).withColumn("page", F.lit(1)).unionByName(own).withColumn("type", F.lit("NarrativeText"))
 
-_KEPT = f"{_TOC_SQL}, ded AS (SELECT *, row_number() OVER (PARTITION BY page, title ORDER BY id) AS r FROM lvl WHERE page <= 9999), kept AS (SELECT CAST(row_number() OVER (ORDER BY id) AS INT) AS seq, title, number, CAST(page AS INT) AS page, level FROM ded WHERE r = 1)"
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return written(tree.from_contents(contents.entries(written(_elements(spark, sf)))))
 
-@query(f"WITH {_KEPT} SELECT CAST(1 AS BIGINT) AS book_id, seq, title, number, page, level FROM kept")
+
+@query(f"WITH {_TOCS_SQL} SELECT book_id, seq, title, number, page, level FROM toc")
 def toc_region(spark: SparkSession, sf: str) -> DataFrame:
-    return contents.entries(_toc_elements(spark)).select("book_id", "seq", "title", "number", "page", "level")
+    return contents.entries(_elements(spark, sf)).select("book_id", "seq", "title", "number", "page", "level")
 
 
-_TREE = _KEPT + ", par AS (SELECT k.*, coalesce((SELECT max(j.seq) FROM kept j WHERE j.seq < k.seq AND j.level < k.level), 0) AS parent_id FROM kept k)"
+_TREE = _TOCS_SQL + (
+    ", up AS (SELECT *, max(CASE WHEN level = 1 THEN seq END) OVER w AS one, max(CASE WHEN level = 2 THEN seq END) OVER w AS two FROM toc WINDOW w AS (PARTITION BY book_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "par AS (SELECT book_id, seq, title, number, page, level, CAST(CASE level WHEN 1 THEN 0 WHEN 2 THEN coalesce(one, 0) ELSE greatest(coalesce(one, 0), coalesce(two, 0)) END AS INT) AS parent_id FROM up)"
+)
 
 
-@query(f"WITH {_TREE} SELECT seq AS node_id, CAST(parent_id AS INT) AS parent_id, level FROM par")
+@query(f"WITH {_TREE} SELECT book_id, seq AS node_id, parent_id, level FROM par")
 def tree_parent(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.from_contents(contents.entries(_toc_elements(spark))).select("node_id", "parent_id", "level")
+    return _nodes(spark, sf).select("book_id", "node_id", "parent_id", "level")
 
 
-_RANGES = (
-    _TREE + ", sib AS (SELECT *, lead(page) OVER (PARTITION BY parent_id ORDER BY page, seq) AS nxt FROM par), l1 AS (SELECT *, CASE WHEN nxt IS NULL THEN 900 ELSE nxt - 1 END AS end_page FROM sib WHERE parent_id = 0), "
-    "l2 AS (SELECT s.*, CASE WHEN s.nxt IS NULL THEN l1.end_page ELSE s.nxt - 1 END AS end_page FROM sib s JOIN l1 ON s.parent_id = l1.seq), l3 AS (SELECT s.*, CASE WHEN s.nxt IS NULL THEN l2.end_page ELSE s.nxt - 1 END AS end_page FROM sib s JOIN l2 ON s.parent_id = l2.seq)"
+_RANGES = _TREE + (
+    ", sib AS (SELECT par.*, pages, lead(page) OVER (PARTITION BY book_id, parent_id ORDER BY page, seq) AS nxt FROM par JOIN size_ USING (book_id)), l1 AS (SELECT *, CASE WHEN nxt IS NULL THEN pages ELSE nxt - 1 END AS end_page, CAST(seq AS VARCHAR) AS path FROM sib WHERE parent_id = 0), "
+    "l2 AS (SELECT s.*, CASE WHEN s.nxt IS NULL THEN l1.end_page ELSE s.nxt - 1 END AS end_page, l1.path || '.' || s.seq AS path FROM sib s JOIN l1 ON s.book_id = l1.book_id AND s.parent_id = l1.seq), "
+    "l3 AS (SELECT s.*, CASE WHEN s.nxt IS NULL THEN l2.end_page ELSE s.nxt - 1 END AS end_page, l2.path || '.' || s.seq AS path FROM sib s JOIN l2 ON s.book_id = l2.book_id AND s.parent_id = l2.seq), lall AS (SELECT *, 1 AS depth FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3)"
 )
 
 
-def _filled(spark: SparkSession) -> DataFrame:
-    books = _values(spark, [(1, 900, 5000)], "book_id long, total_pages int, last_idx int")
-    return tree.fill_ranges(tree.from_contents(contents.entries(_toc_elements(spark))), books)
+def _books(spark: SparkSession, sf: str) -> DataFrame:
+    last = _elements(spark, sf).groupBy("book_id").agg(F.max("idx").alias("last_idx"))
+    return page_source.page_counts(_pages(spark, sf)).join(last, "book_id")
+
 
+def _filled(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.fill_ranges(_nodes(spark, sf), _books(spark, sf))
 
-@query(f"WITH {_RANGES} SELECT seq AS node_id, page AS start_page, CAST(end_page AS INT) AS end_page FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)")
+
+@query(f"WITH {_RANGES} SELECT book_id, seq AS node_id, page AS start_page, CAST(end_page AS INT) AS end_page FROM lall")
 def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    return _filled(spark).select("node_id", "start_page", F.col("end_page").cast("int").alias("end_page"))
+    return _filled(spark, sf).select("book_id", "node_id", "start_page", "end_page")
 
 
-_DETECTED = [(1, 1, 3, "On a page that has a node", 2, None, 7, 0.7), (1, 2, 40, "2.2 Found", 2, "2.2", 90, 0.7), (1, 3, 45, "Inside of it", 3, None, 95, 0.75), (1, 4, 1, "Before all", 3, None, None, 0.75), (1, 5, 60, "5 Fifth", 1, "5", 120, 0.7), (1, 6, 65, "5.1 Below", 2, "5.1", 130, 0.7)]
+_DETECTED = [(1, 3, "On a page that may have a node", 2, None, 7, 0.7), (2, 40, "2.2 Found", 2, "2.2", 90, 0.7), (3, 45, "Inside of it", 3, None, 95, 0.75), (4, 1, "Before all", 3, None, None, 0.75), (5, 60, "5 Fifth", 1, "5", 120, 0.7), (6, 65, "5.1 Below", 2, "5.1", 130, 0.7), (7, 6, "Lends its element too", 2, None, 11, 0.7)]
 
 
 @query(
-    f"WITH {_TREE}, new AS (SELECT ord, page, level, (SELECT max(seq) FROM kept) + row_number() OVER (ORDER BY ord) AS seq FROM {_sql_values([(r[1], r[2], r[4]) for r in _DETECTED], 'ord, page, level')} WHERE page NOT IN (SELECT page FROM kept)), every AS (SELECT seq, page, level FROM kept UNION ALL SELECT seq, page, level FROM new) "
-    "SELECT CAST(n.seq AS INT) AS node_id, CAST(n.level AS INT) AS level, CAST(coalesce((SELECT e.seq FROM every e WHERE e.level = n.level - 1 AND e.seq < n.seq AND e.page <= n.page ORDER BY n.page - e.page, e.seq LIMIT 1), 0) AS INT) AS parent_id FROM new n"
+    f"WITH {_TREE}, det AS (SELECT b.book_id, d.* FROM (SELECT DISTINCT book_id FROM toc) b, {_sql_values([(r[0], r[1], r[3], r[5]) for r in _DETECTED], 'ord, page, level, element')} d), host AS (SELECT book_id, page, max(seq) AS host FROM par GROUP BY ALL), "
+    "met AS (SELECT det.*, host FROM det LEFT JOIN host USING (book_id, page)), lent AS (SELECT book_id, host AS seq, first(element ORDER BY ord) AS lent FROM met WHERE host IS NOT NULL AND element IS NOT NULL GROUP BY ALL), "
+    "new AS (SELECT m.book_id, m.page, m.level, m.element, top + row_number() OVER (PARTITION BY m.book_id ORDER BY m.ord) AS seq FROM met m JOIN (SELECT book_id, max(seq) AS top FROM par GROUP BY ALL) USING (book_id) WHERE host IS NULL), every AS (SELECT book_id, seq, page, level FROM par UNION ALL SELECT book_id, seq, page, level FROM new), "
+    "best AS (SELECT n.book_id, n.seq, first(e.seq ORDER BY n.page - e.page, e.seq) AS up FROM new n JOIN every e ON e.book_id = n.book_id AND e.level = n.level - 1 AND e.seq < n.seq AND e.page <= n.page GROUP BY ALL) "
+    "SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level, CAST(coalesce(up, 0) AS INT) AS parent_id, CAST(element AS INT) AS start_idx, 'detected' AS source FROM new LEFT JOIN best USING (book_id, seq) UNION ALL SELECT book_id, seq, level, parent_id, CAST(lent AS INT), 'toc' FROM par LEFT JOIN lent USING (book_id, seq)"
 )
 def merge_headings(spark: SparkSession, sf: str) -> DataFrame:
-    found = _values(spark, _DETECTED, "book_id long, ord int, page int, text string, level int, num string, element_idx int, confidence double")
-    nodes = tree.merge_headings(tree.from_contents(contents.entries(_toc_elements(spark))), found)
-    return nodes.where("source = 'detected'").select("node_id", "level", "parent_id")
+    """Detected headings in the tree of every book; some only lend their element to a node of their page."""
+    found = _values(spark, _DETECTED, "ord int, page int, text string, level int, num string, element_idx int, confidence double")
+    nodes = _nodes(spark, sf)
+    found = nodes.select("book_id").distinct().join(F.broadcast(found), how="cross")  # seven rows for each book
+    return tree.merge_headings(nodes, found).select("book_id", "node_id", "level", "parent_id", "start_idx", "source")
+
+
+_INSIDE = "coalesce((SELECT string_agg(coalesce(s.{0}, ''), '|' ORDER BY s.seq) FROM par s WHERE s.book_id = c.book_id AND s.parent_id = c.seq AND s.level = 2), '') AS section_{0}s, coalesce((SELECT string_agg(coalesce(u.{0}, ''), '|' ORDER BY s.seq, u.seq) FROM par u JOIN par s ON u.book_id = s.book_id AND u.parent_id = s.seq WHERE s.book_id = c.book_id AND s.parent_id = c.seq AND s.level = 2 AND u.level = 3), '') AS subsection_{0}s"
 
 
-@query(f"WITH {_TREE} SELECT c.seq AS chapter_id, c.title, coalesce((SELECT string_agg(s.title, '|' ORDER BY s.seq) FROM par s WHERE s.parent_id = c.seq AND s.level = 2), '') AS section_titles, coalesce((SELECT string_agg(u.title, '|' ORDER BY u.seq) FROM par u JOIN par s ON u.parent_id = s.seq WHERE s.parent_id = c.seq AND s.level = 2 AND u.level = 3), '') AS subsection_titles FROM par c WHERE parent_id = 0 AND level = 1")
+@query(f"WITH {_TREE} SELECT c.book_id, c.seq AS chapter_id, c.title, {_INSIDE.format('title')}, {_INSIDE.format('number')} FROM par c WHERE parent_id = 0 AND level = 1")
 def chapter_sections(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.chapter_sections(tree.from_contents(contents.entries(_toc_elements(spark)))).select("chapter_id", "title", _bar("section_titles"), _bar("subsection_titles"))
+    return tree.chapter_sections(_nodes(spark, sf)).select("book_id", "chapter_id", "title", *(_bar(f"{k}section_{x}s") for k in ("", "sub") for x in ("title", "number")))
 
 
-@query()
+@query(f"WITH {_RANGES} SELECT book_id, path, repeat('  ', depth) || CASE WHEN coalesce(number, '') <> '' THEN '[' || number || '] ' ELSE '' END || title || ' (p.' || page || '-' || end_page || ', confidence=0.90, source=toc)' AS line FROM lall")
 def tree_outline(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.outline(_filled(spark)).select("book_id", F.array_join("path", ".").alias("path"), "line")
+    return tree.outline(_filled(spark, sf)).select("book_id", F.array_join("path", ".").alias("path"), "line")
 
 
-@query()
+_JSON = "'{{\"title\":\"' || title || '\",\"level\":' || level || CASE WHEN number IS NULL THEN '' ELSE ',\"number\":\"' || number || '\"' END || ',\"start_page\":' || page || ',\"end_page\":' || end_page || ',\"children\":' || {0} || '}}'"
+
+
+@query(
+    f"WITH {_RANGES}, j3 AS (SELECT book_id, parent_id, seq, {_JSON.format(chr(39) + '[]' + chr(39))} AS json FROM lall WHERE level = 3), b3 AS (SELECT book_id, parent_id AS seq, CAST(to_json(list(json ORDER BY seq)) AS VARCHAR) AS below FROM j3 GROUP BY ALL), "
+    f"j2 AS (SELECT book_id, parent_id, seq, {_JSON.format('coalesce(below, ' + chr(39) + '[]' + chr(39) + ')')} AS json FROM lall LEFT JOIN b3 USING (book_id, seq) WHERE level = 2), b2 AS (SELECT book_id, parent_id AS seq, CAST(to_json(list(json ORDER BY seq)) AS VARCHAR) AS below FROM j2 GROUP BY ALL) "
+    f"SELECT book_id, seq AS node_id, {_JSON.format('coalesce(below, ' + chr(39) + '[]' + chr(39) + ')')} AS json FROM lall LEFT JOIN b2 USING (book_id, seq) WHERE level = 1"
+)
 def tree_json(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.nested(_filled(spark))
+    return tree.nested(_filled(spark, sf))
+
+
+_STRICT = f"(regexp_matches(text, {_q('(?m)' + '|'.join(f'(?:{p})' for p in t.CODE_STRICT))}) OR (length(text) > 50 AND {_SYMBOLS} / greatest(length(text), 1) > 0.03))"
+
+
+@query(
+    f"WITH {_RANGES}, n AS (SELECT book_id, max(seq) AS n FROM toc GROUP BY ALL), el AS (SELECT doc_id AS book_id, n + 2 + pos AS idx, pos + 1 AS page, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) JOIN n ON n.book_id = doc_id), "
+    "lines_ AS (SELECT book_id, seq, text FROM (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY c, s, u) AS INT) AS seq, CASE WHEN (book_id + c + s) % 5 = 0 AND s > 0 THEN '' WHEN s = 0 AND book_id % 2 = 0 THEN 'Chapter ' || c || ': ' ELSE c || CASE WHEN s > 0 THEN '.' || s ELSE '' END || CASE WHEN u > 0 THEN '.' || u ELSE '' END || ' ' END "
+    "|| CASE WHEN u > 0 THEN 'Gamma' WHEN s > 0 THEN 'Beta' ELSE 'Alpha' END || ' ' || c || s || u || ' of it' || CASE WHEN (book_id + c) % 3 = 0 AND s > 0 THEN '     ' ELSE ' ..... ' END || (3 * c + s + u + book_id % 2) AS text FROM gen)), "
+    "elements AS (SELECT book_id, idx, page, text FROM el UNION ALL SELECT book_id, 0, 1, 'Contents' FROM n UNION ALL SELECT book_id, n + 1, 1, repeat('x', 210) FROM n UNION ALL SELECT book_id, seq, 1, text FROM lines_), first_ AS (SELECT book_id, page, min(idx) AS page_idx FROM elements GROUP BY ALL), lastel AS (SELECT book_id, max(idx) AS last_idx FROM elements GROUP BY ALL), "
+    "heads AS (SELECT book_id, seq, title, number, page, end_page, CASE WHEN nxt IS NULL THEN last_idx END AS high FROM l1 JOIN lastel USING (book_id) WHERE level = 1 UNION ALL SELECT book_id, -1, 'Front Matter', NULL, 1, min(page) - 1, 0 FROM l1 GROUP BY book_id HAVING min(page) > 1), "
+    "span AS (SELECT h.*, CASE WHEN seq = -1 THEN 0 ELSE coalesce(page_idx, 0) END AS low FROM heads h LEFT JOIN first_ f ON f.book_id = h.book_id AND f.page = h.page), "
+    f"txt AS (SELECT s.book_id, s.seq, any_value(s.title) AS ct, any_value(s.number) AS cn, any_value(s.page) AS page, any_value(s.end_page) AS end_page, string_agg(e.text, chr(10) || chr(10) ORDER BY e.idx) AS text FROM span s JOIN elements e ON e.book_id = s.book_id AND e.idx >= s.low AND e.idx <= coalesce(s.high, 2147483647) WHERE {_TRIMMED.replace('text', 'e.text')} <> '' GROUP BY s.book_id, s.seq), "
+    f"tk AS (SELECT * EXCLUDE (text), {TOKEN_SQL} AS tokens, len({TOKEN_SQL}) AS n FROM txt), wn AS (SELECT *, unnest(range(0, n, {STEP})) AS w FROM tk), ch AS (SELECT book_id, seq, ct, cn, page, end_page, w, array_to_string(tokens[w + 1:w + {SIZE}], '') AS text FROM wn WHERE NOT (w > 0 AND w + {SIZE} > n AND n - w < {OVERLAP})), "
+    f"inside AS (SELECT c.book_id, c.seq, {_INSIDE.format('title')}, {_INSIDE.format('number')} FROM par c WHERE parent_id = 0 AND level = 1) "
+    "SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, seq, w) - 1 AS INT) AS chunk_index, CAST(w AS INT) AS token_start, CAST(page AS INT) AS page_start, CAST(coalesce(nullif(end_page, 0), -1) AS INT) AS page_end, md5(text) AS hash, ct AS chapter_titles, coalesce(cn, '') AS chapter_numbers, "
+    f"coalesce(section_titles, '') AS section_titles, coalesce(section_numbers, '') AS section_numbers, coalesce(subsection_titles, '') AS subsection_titles, coalesce(subsection_numbers, '') AS subsection_numbers, {_STRICT} AS contains_code FROM ch LEFT JOIN inside USING (book_id, seq)"
+)
+def chapter_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that follow the chapters of the contents, front matter first, over all documents."""
+    nodes = tree.fill_ranges(tree.front_matter(_nodes(spark, sf)), _books(spark, sf))
+    rows = chunking.chapter_chunks(tree.chapters(nodes), nodes, _elements(spark, sf), SIZE, OVERLAP)
+    names = [f"{k}_{x}" for k in ("chapter", "section", "subsection") for x in ("titles", "numbers")]
+    return rows.select("book_id", "chunk_index", "token_start", "page_start", "page_end", F.md5("text").alias("hash"), *map(_bar, names), "contains_code")
 
 
 # --- ranking and answers ----------------------------------------------------------------------------
@@ -545,16 +607,20 @@ def answer_snippets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("qid", F.nullif(F.array_join(F.transform("code_snippets", lambda s: F.md5(s)), "|"), F.lit("")).alias("snippets"))
 
 
-@query(f"WITH {_HITS_SQL} SELECT qid, position, CASE WHEN coalesce(chapter, '') = '' THEN 'Unknown' ELSE chapter END AS chapter, section, CAST(page_number AS VARCHAR) AS page FROM rk WHERE position <= 20")
+@query(
+    f"WITH {_HITS_SQL} "
+    """SELECT qid, position, CASE WHEN coalesce(chapter, '') = '' THEN 'Unknown' ELSE chapter END AS chapter, section, CAST(page_number AS VARCHAR) AS page, printf('%.2f%%', similarity * 100) AS similarity,
+    '{"chunk_id":' || chunk_id || ',"chunk_type":"' || chunk_type || '","relevance_pct":' || CAST(round(CAST(rel AS DOUBLE), 1) AS VARCHAR) || '}' AS metadata FROM rk WHERE position <= 20"""
+)
 def display_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return search.display(search.rerank(_hits(spark, sf), 20)).select("qid", F.col("position").cast("long").alias("position"), "chapter", "section", "page")
+    return search.display(search.rerank(_hits(spark, sf), 20)).withColumn("position", F.col("position").cast("long"))
 
 
-@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang || ': ' || source END AS chapter, lang || ', ' || source AS section, doc_id % 9 AS page_number FROM documents")
+@query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang || ': ' || source END AS chapter, lang || ', ' || source AS section, doc_id % 9 AS page_number, CASE WHEN doc_id % 2 = 0 THEN 'code' ELSE 'text' END AS chunk_type, md5(text) AS content FROM documents")
 def hit_projection(spark: SparkSession, sf: str) -> DataFrame:
     d = _t(spark, sf, "documents")
-    rows = d.select(F.col("doc_id").alias("chunk_id"), "text", F.array(F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang"))).alias("chapter_numbers"), F.array("source").alias("chapter_titles"), F.array("lang", "source").alias("section_titles"), (F.col("doc_id") % 9).alias("page_start"), F.lit(False).alias("contains_code"))
-    return search.to_hits(rows).select("chunk_id", "chapter", "section", "page_number")
+    rows = d.select(F.col("doc_id").alias("chunk_id"), "text", F.array(F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("lang"))).alias("chapter_numbers"), F.array("source").alias("chapter_titles"), F.array("lang", "source").alias("section_titles"), (F.col("doc_id") % 9).alias("page_start"), (F.col("doc_id") % 2 == 0).alias("contains_code"))
+    return search.to_hits(rows).withColumn("content", F.md5("content"))
 
 
 # --- store ------------------------------------------------------------------------------------------
@@ -578,9 +644,13 @@ def book_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, 'new' AS title FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0")
 def upsert_idempotent(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents").select("doc_id", F.lit("ns").alias("namespace"), F.col("doc_id").cast("string").alias("chunk_id"))
-    old, new = d.where("doc_id % 2 = 0").withColumn("title", F.lit("old")), d.where("doc_id % 3 = 0").withColumn("title", F.lit("new"))
-    return store.upserted(store.upserted(old, new), new.union(new)).select("doc_id", "title")
+    """Two upserts and one again, through a store: even ids, then every third (each twice)."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chunk_index"), F.lit("").alias("text"))
+    old, new = store.records(d.where("book_id % 2 = 0").withColumn("book_title", F.lit("old")), "ns"), store.records(d.where("book_id % 3 = 0").withColumn("book_title", F.lit("new")), "ns")
+    own = store.Store(spark, shared_dir(spark))
+    for rows in (old, new, new.union(new)):
+        own.upsert(rows)
+    return own.read("ns").select(F.col("book_id").alias("doc_id"), F.col("book_title").alias("title"))
 
 
 @query("SELECT doc_id, coalesce(lang, '') || '|' || '' || '|' || source AS titles, CAST(coalesce(nullif(doc_id % 4, 0), -1) AS INT) AS page FROM documents")

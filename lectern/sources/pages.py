@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,26 +18,39 @@ PAGE_SCHEMA = "path string, page int, text string, width double, height double"
 Parser = Callable[[bytes], Iterable[tuple[int, str, float, float]]]
 
 
-def path_error(path: str | None) -> str | None:
+# What is said of a path that can't be read.
+NO_PATH = "PDF path is empty or None"
+NOT_A_PATH = "PDF path must be a string or Path, got "
+MISSING = "File does not exist: "
+NO_FILE = "Path is not a file: "
+NOT_A_PDF = "File is not a PDF (extension: "
+UNREADABLE = "File is not readable: "
+EMPTY_FILE = "PDF file is empty: "
+
+
+def path_error(path: str | os.PathLike[str] | None) -> str | None:
     """Why a document path can't be read, or None; the first reason holds."""
     if not path:
-        return "PDF path is empty"
-    if not isinstance(path, str):
-        return f"PDF path must be a string, got {type(path).__name__}"
-    if not os.path.exists(path):
-        return f"File not found: {path}"
-    if not os.path.isfile(path):
-        return f"Path is not a file: {path}"
-    if not path.lower().endswith(".pdf"):
-        return f"File is not a PDF: {path}"
-    if not os.access(path, os.R_OK):
-        return f"File is not readable: {path}"
-    return None if os.path.getsize(path) else f"File is empty: {path}"
+        return NO_PATH
+    if not isinstance(path, str | Path):
+        return NOT_A_PATH + type(path).__name__
+    suffix = Path(path).suffix
+    for fails, message in (
+        (lambda: not os.path.exists(path), f"{MISSING}{path}"),
+        (lambda: not os.path.isfile(path), f"{NO_FILE}{path}"),
+        (lambda: suffix.lower() != ".pdf", f"{NOT_A_PDF}{suffix})"),
+        (lambda: not os.access(path, os.R_OK), f"{UNREADABLE}{path}"),
+        (lambda: os.path.getsize(path) == 0, f"{EMPTY_FILE}{path}"),
+    ):
+        if fails():
+            return message
+    return None
 
 
 def file_error(path: Column, length: Column) -> Column:
     """The same over a listing of files."""
-    return F.when(F.coalesce(path, F.lit("")) == "", "PDF path is empty").when(~F.lower(path).endswith(".pdf"), F.concat(F.lit("File is not a PDF: "), path)).when(length == 0, F.concat(F.lit("File is empty: "), path))
+    suffix = F.regexp_extract(path, r"[^/.](\.[^./]*)$", 1)
+    return F.when(F.coalesce(path, F.lit("")) == "", NO_PATH).when(F.lower(suffix) != ".pdf", F.concat(F.lit(NOT_A_PDF), suffix, F.lit(")"))).when(length == 0, F.concat(F.lit(EMPTY_FILE), path))
 
 
 def parsed_pages(spark: SparkSession, glob: str, parser: Parser) -> DataFrame:

@@ -1,20 +1,28 @@
-"""The chunk store: a Parquet table partitioned by namespace, with idempotent upserts.
+"""The chunk store: a Parquet table of parts, with idempotent upserts.
 
-Ids come from content, so ingesting a book again replaces its chunks. An upsert rewrites only the
-namespaces it touches, into a new version of the table that is then named in a pointer file: readers
-see the old table or the new one, never a part of either."""
+A part is the chunks of a namespace whose books fall into one of BUCKETS. An upsert writes the parts
+that it touches anew, in a folder of its own; the others stay as they are. A pointer file lists the folder
+of each part and is replaced in one step: readers see the old table or the new one, never a mixture,
+and a writer that dies leaves the table as it was. Ids come from content. Ingesting a book again
+replaces all chunks it had. Folders that nothing points to are removed by vacuum()."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCHEMA = (
     "chunk_id string, book_id bigint, book_title string, author string, chunk_index int, text string, chapter_titles array<string>, chapter_numbers array<string>, section_titles array<string>, "
     "section_numbers array<string>, subsection_titles array<string>, subsection_numbers array<string>, page_start int, page_end int, contains_code boolean, embedding array<float>, namespace string"
 )
+#: Parts of a namespace, by a hash of the book.
+BUCKETS = 64
 LISTS = ["chapter_titles", "chapter_numbers", "section_titles", "section_numbers", "subsection_titles", "subsection_numbers"]
 
 
@@ -47,48 +55,76 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, dimension: int | None = None) -> None:
         self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
 
-    def _version(self) -> str | None:
-        jvm = self.spark._jvm
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        files = pointer.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.text(f"{self.path}/CURRENT").first()["value"] if files.exists(pointer) else None
-
-    def _name(self, version: str) -> None:
-        """Points readers to a version: the pointer is written aside and renamed over the old one."""
-        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
-        new, old = hadoop.Path(f"{self.path}/.CURRENT.{version}"), hadoop.Path(f"{self.path}/CURRENT")
-        files = new.getFileSystem(conf)
-        out = files.create(new, True)
-        out.writeBytes(version)
+    def _hadoop(self, name: str) -> JavaObject:
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _files(self) -> JavaObject:
+        return self._hadoop("CURRENT").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _parts(self) -> dict[str, str] | None:
+        """The folder of each part ("namespace/bucket"); None where there is no table."""
+        if not self._files().exists(self._hadoop("CURRENT")):
+            return None
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()["value"])
+
+    def _point(self, parts: dict[str, str]) -> None:
+        """Points readers to parts: the list is written aside and renamed over the old one at once."""
+        aside = self._hadoop(f".CURRENT.{uuid.uuid4().hex}")
+        out = self._files().create(aside, True)
+        out.write(bytearray(json.dumps(parts, sort_keys=True).encode()))
         out.close()
-        files.delete(old, False)
-        files.rename(new, old)
+        fs, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        how = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(aside.toUri(), conf).rename(aside, self._hadoop("CURRENT"), how)
 
     def exists(self) -> bool:
-        return self._version() is not None
+        return self._parts() is not None
 
     def create(self) -> None:
         """Makes the empty table where there is none."""
         if not self.exists():
-            self._write(self.spark.createDataFrame([], SCHEMA))
+            self._point({})
 
-    def _write(self, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.partitionBy("namespace").parquet(f"{self.path}/{version}")
-        self._name(version)
+    def _read(self, folders: list[str]) -> DataFrame:
+        rows = [self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/{x}" for x in folders))] if folders else []
+        return reduce(DataFrame.unionByName, rows, self.spark.createDataFrame([], SCHEMA))
 
     def read(self, namespace: str | None = None) -> DataFrame:
-        version = self._version()
-        rows = self.spark.createDataFrame([], SCHEMA) if version is None else self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{version}")
-        return rows if namespace is None else rows.where(F.col("namespace") == namespace)
+        """All chunks, or those of a namespace, whose folders alone are read."""
+        parts = self._parts() or {}
+        return self._read([x for k, x in sorted(parts.items()) if namespace is None or k.rsplit("/", 1)[0] == namespace])
 
-    def upsert(self, rows: DataFrame) -> None:
-        """Adds rows; those with an id of the store replace it."""
+    def upsert(self, rows: DataFrame, whole_books: bool = False) -> None:
+        """Adds rows; those with an id of the store replace it. whole_books: rows are all that their books
+        have now, so other chunks of those go. Of rows with equal ids the one of the least hash stays."""
+        version = uuid.uuid4().hex
+        # The rows are computed once; what a writer that dies leaves behind, vacuum() removes.
+        rows.select(*(F.col(f.split(" ")[0]) for f in SCHEMA.split(", "))).write.parquet(f"{self.path}/stage-{version}")
+        rows = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/stage-{version}")
         if self.dimension is not None:
-            wrong = rows.where(F.size("embedding") != self.dimension).limit(1).count()
+            wrong = rows.where(F.coalesce(F.size("embedding"), F.lit(-1)) != self.dimension).limit(1).count()
             if wrong:
                 raise ValueError(f"embeddings must have {self.dimension} components")
-        self._write(upserted(self.read(), rows))
+        bucket = F.pmod(F.xxhash64("book_id"), F.lit(BUCKETS)).cast("int")
+        touched = [f"{r['namespace']}/{r['bucket']}" for r in rows.select("namespace", bucket.alias("bucket")).distinct().collect()]
+        old = self._parts() or {}
+        now = upserted(self._read([old[k] for k in sorted(touched) if k in old]), rows, ["namespace", "book_id"] if whole_books else None)
+        now = now.withColumn("part", F.concat_ws("/", "namespace", bucket.cast("string")))
+        # One folder for each part, named by its number among the touched ones.
+        number = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(sorted(touched)) for x in (k, i))), F.col("part")) if touched else F.lit(0)
+        now.withColumn("number", number).drop("part").repartition("number").write.partitionBy("number").parquet(f"{self.path}/{version}")
+        self._point(old | {k: f"{version}/number={i}" for i, k in enumerate(sorted(touched))})
+        self._files().delete(self._hadoop(f"stage-{version}"), True)
+
+    def vacuum(self) -> None:
+        """Removes folders that the table no longer points to. Not for while others read or write."""
+        parts, files = self._parts() or {}, self._files()
+        used = {x.split("/")[0] for x in parts.values()}
+        for f in files.listStatus(self._hadoop("")):
+            name = f.getPath().getName()
+            if name != "CURRENT" and name not in used:
+                files.delete(f.getPath(), True)
 
     def count(self, namespace: str | None = None) -> int:
         return self.read(namespace).count()
@@ -98,8 +134,11 @@ class Store:
         return self.read(namespace).where("book_title != ''").select("book_title").distinct().orderBy("book_title")
 
 
-def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old without the ids of new, and new with each id once."""
+def upserted(old: DataFrame, new: DataFrame, gone: list[str] | None = None) -> DataFrame:
+    """old without the ids of new (or without rows that agree with new in the columns of gone), and new
+    with each id once."""
     keys = ["namespace", "chunk_id"]
-    new = new.dropDuplicates(keys)
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    first = W.partitionBy(*keys).orderBy(F.xxhash64(*(c for c in new.columns if c not in keys)))
+    new = new.withColumn("row__", F.row_number().over(first)).where("row__ = 1").drop("row__")
+    gone = gone or keys
+    return old.join(new.select(*gone).distinct(), gone, "left_anti").unionByName(new)

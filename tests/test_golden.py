@@ -160,7 +160,12 @@ def test_paths(tmp_path):
     good.write_bytes(b"x")
     empty.write_bytes(b"")
     assert source.path_error(str(good)) is None
-    assert [source.path_error(x).split(":")[0] for x in ("", "/no.pdf", str(tmp_path), str(empty))] == ["PDF path is empty", "File not found", "Path is not a file", "File is empty"]
+    other = tmp_path / "a.txt"
+    other.write_text("x")
+    assert source.path_error(good) is None
+    assert [source.path_error(x) for x in ("", None, 3, "/no.pdf", tmp_path, other, str(empty))] == [
+        "PDF path is empty or None", "PDF path is empty or None", "PDF path must be a string or Path, got int", "File does not exist: /no.pdf", f"Path is not a file: {tmp_path}", "File is not a PDF (extension: .txt)", f"PDF file is empty: {empty}",
+    ]
 
 
 PAGES = [(7, 1, "1. Start here\n\nThe cnn is a network.\n\nimport numpy"), (7, 2, "2. More\n\nText about a gan and its training."), (7, 3, "the end of it")]
@@ -194,8 +199,31 @@ def test_store_replaces_by_id(spark, tmp_path):
     s.upsert(rows)
     s.upsert(rows.withColumn("author", F.lit("new")))
     assert [r["author"] for r in s.read("ns").collect()] == ["new"]
-    with pytest.raises(ValueError, match="components"):
-        s.upsert(rows.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    for wrong in (F.array(F.lit(1.0).cast("float")), F.lit(None).cast("array<float>")):
+        with pytest.raises(ValueError, match="components"):
+            s.upsert(rows.withColumn("embedding", wrong))
+
+
+def test_store_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/s")
+    assert not s.exists() and s.read().count() == 0
+    rows = lambda books, text, n: records(spark.createDataFrame([(b, i, f"{text} {i}") for b in books for i in range(n)], "book_id long, chunk_index int, text string"), "ns")
+    s.upsert(rows(range(40), "old", 3))
+    before = s._parts()
+    s.upsert(rows([7], "new", 2), whole_books=True)
+    after = s._parts()
+    assert sum(before[k] != after[k] for k in before) == 1 and set(before) == set(after)
+    assert sorted(r["text"] for r in s.read("ns").where("book_id = 7").collect()) == ["new 0", "new 1"]
+    assert s.count() == 39 * 3 + 2 and s.read("other").count() == 0
+    s.upsert(records(spark.createDataFrame([(7, 5, "more")], "book_id long, chunk_index int, text string"), "b/c"))
+    assert s.count("b/c") == 1 and s.count("ns") == 39 * 3 + 2
+    s.vacuum()
+    assert s.count() == 39 * 3 + 3 and len([x for x in (tmp_path / "s").iterdir() if x.is_dir()]) == 3
+    two = [records(spark.createDataFrame([(9, 0, "x", a)], "book_id long, chunk_index int, text string, author string"), "z") for a in ("p", "q")]
+    s.upsert(two[0].union(two[1]))
+    first = s.read("z").collect()
+    s.upsert(two[1].union(two[0]))
+    assert len(first) == 1 and s.read("z").collect() == first
 
 
 def test_streams(spark, tmp_path, small):

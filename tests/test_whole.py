@@ -21,7 +21,7 @@ def test_lines_of_whole_texts(spark, tmp_path):
         for top, chars in lines.items():
             sizes = [8.0 + i % 3 for i, _ in chars if i % 3]
             want[doc, top] = ("".join(ch for _, ch in chars).strip(), sum(sizes) / len(sizes) if sizes else 0.0, chars[0][0] * 5.0, chars[-1][0] * 5.0 + 5)
-    got = {(r["book_id"], r["top"]): (r["text"], r["size"], r["x0"], r["x1"]) for r in QUERIES["line_group_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["book_id"], r["top"]): (r["text"], r["size"], r["x0"], r["x1"]) for r in QUERIES["line_group"](spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and len([k for k in got if k[0] == 1]) == 26
     for k, (text, *numbers) in want.items():
         assert got[k][0] == text and got[k][1:] == pytest.approx(numbers, abs=1e-6)
@@ -35,7 +35,7 @@ def test_every_question_is_asked(spark, small, monkeypatch, most):
     x /= np.sqrt((x * x).sum(1, keepdims=True))
     asked = [i for i, r in enumerate(rows) if r["vec_id"] % 100 == 0]
     assert len(asked) > 2
-    for name, k, wanted in (("vector_topk_whole", 10, lambda r: True), ("vector_topk_filtered_whole", 5, lambda r: r["label"] == 3)):
+    for name, k, wanted in (("vector_topk", 10, lambda r: True), ("vector_topk_filtered", 5, lambda r: r["label"] == 3)):
         among = [i for i, r in enumerate(rows) if wanted(r)]
         want = {}
         for q in asked:
@@ -43,10 +43,10 @@ def test_every_question_is_asked(spark, small, monkeypatch, most):
             want |= {(rows[q]["vec_id"], rank): (i, pytest.approx(-s, abs=2e-6)) for rank, (s, i) in enumerate(best, 1)}
         assert {(r["qid"], r["rank"]): (r["chunk_id"], r["similarity"]) for r in QUERIES[name](spark, small).collect()} == want
     best = {}
-    top = QUERIES["vector_topk_whole"](spark, small).collect()
+    top = QUERIES["vector_topk"](spark, small).collect()
     for r in top:
         best[r["qid"]] = max(best.get(r["qid"], -1), r["similarity"])
-    got = {(r["qid"], r["chunk_id"]): r["relevance_pct"] for r in QUERIES["relevance_pct_whole"](spark, small).collect()}
+    got = {(r["qid"], r["chunk_id"]): r["relevance_pct"] for r in QUERIES["relevance_pct"](spark, small).collect()}
     assert got == {(r["qid"], r["chunk_id"]): pytest.approx(r["similarity"] / best[r["qid"]] * 100, abs=0.051) for r in top}
 
 
@@ -92,7 +92,7 @@ def test_all_headings_are_merged(spark, books):
                 if ok and key not in seen:
                     seen.add(key)
                     want.append((book, pos // 10 + 1, x, source, heading_level(x, *((size[pos], median) if source == "font" else (14.0, 12.0)))))
-    got = [tuple(r) for r in QUERIES["heading_dedup_whole"](spark, books).collect()]
+    got = [tuple(r) for r in QUERIES["heading_dedup"](spark, books).collect()]
     assert sorted(got) == sorted(want) and {"font", "pattern"} == {r[3] for r in got if re.match(r"(?i)\d|ch", r[2])}
 
 
@@ -112,6 +112,6 @@ def test_all_sections_know_their_ancestors(spark, books):
             want.append((book, r["ord"], name if n == 1 else above.get(1), name if n == 2 else above.get(2) if n == 3 else None, name if n == 3 else None))
             above[n] = name
             raw.append(r["text"])
-    got = sorted(tuple(r) for r in QUERIES["section_ancestors_whole"](spark, books).collect())
+    got = sorted(tuple(r) for r in QUERIES["section_ancestors"](spark, books).collect())
     assert got == sorted(want) and any(re.match(r"(?i)\d|ch", x) for x in raw)
     assert any(re.match(r"(?i)\d|ch", x or "") for r in got for x in r[2:])
