@@ -90,7 +90,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, held: object, make: Cal
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(s, e - s), *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, (_, t, _) in zip(columns, fields, strict=True))], [id_col, *(n for n, _, _ in fields)])
         c.tidy()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = c.spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, ", ".join([f"`{id_col}` {rows.schema['id'].dataType.simpleString()}", *(f"{n} {t}" for n, _, t in fields)]))
 
 

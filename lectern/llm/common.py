@@ -3,13 +3,8 @@ grouped Arrow rows, vectorised words and hashes of UTF-8 text, and connected com
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.plans.tables import shared_dir, spread, written
+
 U = np.uint64
 #: Separators of words: space and tab to carriage return.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
@@ -24,30 +21,11 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 PIECE_BYTES = 1_000_000
 
 
-# --- the shared folder -------------------------------------------------------------------
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; without that setting, below a temporary
-    folder of this machine that goes when the process ends. The latter is for local mode alone:
-    executors elsewhere would not see it."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lectern/{uuid.uuid4().hex}"
+# --- the shared folder and joins ------------------------------------------------------------
 
 
-def stash(df: DataFrame, at: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it: cuts lineage, survives the
-    loss of executors."""
-    spark = df.sparkSession
-    at = at or shared_dir(spark)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+#: Writes a table in the shared folder and reads it: cuts lineage, survives the loss of executors.
+stash = written
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, rows: int, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
@@ -247,6 +225,19 @@ class Union:
         return True
 
 
+def labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index of the component of each node, once edges (a, b) join components with the given labels."""
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, least)
+        new = new[new]
+        if (new == label).all():
+            return new
+        label = new
+
+
 #: Nodes of one local union-find; so many edges or fewer are one task's work.
 LOCAL_NODES = 500_000
 

@@ -1,8 +1,8 @@
 """Main text of web pages by a linear-chain conditional random field over leaf blocks.
 
 A page is read leniently into leaf blocks: runs of text between block-level tags. Features of a
-block are its ancestors' tags, class, id and role words, and its text: length, share of link text,
-punctuation, digits, capitals, some words, place in the page. Weights of features and of transitions
+block are its ancestors' tags, class, id and role words, and its whole text: length, share of link text,
+punctuation, words that begin with digits or capitals, its words, place in the page. Weights of features and of transitions
 are trained on labelled pages by gradients from forward-backward, and pages are decoded by Viterbi,
 many in lockstep.
 
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import common as c
 from lectern.llm.labelled_pages import labelled_pages
 
 #: Elements that end a run of text (fixed values).
@@ -161,21 +162,25 @@ def path_features(path: tuple[str, ...]) -> list[str]:
     return sorted(out)
 
 
-def text_features(text: str, linked: int, tag: str, place: float) -> list[str]:
-    words = _WORD.findall(text[:2000])
-    n = len(text)
+#: The words of a block of so many or fewer count in full. Notices are short; the more words a block has,
+#: the less each says of what it is, by the square.
+FULL_WORDS = 12
+
+
+def text_features(text: str, linked: int, tag: str, place: float) -> tuple[list[str], list[str], float]:
+    """Features of the whole text of a block: names of value 1, and its distinct words with the value of each."""
+    words = _WORD.findall(text)
+    n, many = len(text), max(1, len(words))
     share = min(3, 4 * linked // max(1, n))
     last = text[-1]
     out = [f"n:{_scale(n)}", f"w:{_scale(len(words))}", f"l:{share}", f"nl:{min(_scale(n), 8)},{share}", f"tl:{tag},{share}", f"tn:{tag},{_scale(n) // 2}", f"place:{int(place * 5)}"]
     out.append("end:" + ("." if last in ".!?…" else "," if last in ",:;" else "w"))
-    letters = sum(map(str.isalpha, text[:500])) or 1
-    out.append(f"cap:{min(3, 8 * sum(map(str.isupper, text[:500])) // letters)}")
-    out.append(f"dig:{min(3, 8 * sum(map(str.isdigit, text[:500])) // (letters + 1))}")
+    out.append(f"cap:{min(3, 4 * sum(w[0].isupper() for w in words) // many)}")
+    out.append(f"dig:{min(3, 4 * sum(w[0].isdigit() for w in words) // many)}")
     if "©" in text or "(c)" in text:
         out.append("copy")
-    if n < 200:
-        out += [f"s:{w}" for w in {w.lower() for w in words[:12]}]
-    return out
+    distinct = {w.lower() for w in words}
+    return out, [f"s:{w}" for w in distinct], min(1.0, (FULL_WORDS / many) ** 2)
 
 
 class Crf:
@@ -193,7 +198,8 @@ class Crf:
                     self.paths.clear()
                 x = self.paths[path] = sum(get(f, 0.0) for f in path_features(path))
             tag = path[-1].split(" ", 1)[0] if path else ""
-            out[i] = x + sum(get(f, 0.0) for f in text_features(text, linked, tag, i / n))
+            plain, words, value = text_features(text, linked, tag, i / n)
+            out[i] = x + sum(get(f, 0.0) for f in plain) + value * sum(get(f, 0.0) for f in words)
         return out
 
     def decode(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -237,21 +243,23 @@ def _marked(page: list[tuple[str, int | None]]) -> tuple[list, list[int]]:
 def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: float = 0.3, l2: float = 4e-6) -> Crf:
     """Fits a model to labelled pages by full gradients (forward-backward) with Adam steps."""
     names: dict[str, int] = {}
-    rows, cols, labels, sizes = [], [], [], []
+    rows, cols, values, labels, sizes = [], [], [], [], []
     for page in pages:
         blocks, y = _marked(page)
         if not blocks:
             continue
         for i, (text, path, linked) in enumerate(blocks):
-            f = path_features(path) + text_features(text, linked, path[-1].split(" ", 1)[0] if path else "", i / len(blocks))
-            cols += [names.setdefault(x, len(names)) for x in f]
-            rows += [len(labels)] * len(f)
+            plain, words, value = text_features(text, linked, path[-1].split(" ", 1)[0] if path else "", i / len(blocks))
+            plain = path_features(path) + plain
+            cols += [names.setdefault(x, len(names)) for x in plain + sorted(words)]
+            values += [1.0] * len(plain) + [value] * len(words)
+            rows += [len(labels)] * (len(plain) + len(words))
             labels.append(y[i])
         sizes.append(len(blocks))
-    row, col, y, size = np.array(rows), np.array(cols), np.array(labels), np.array(sizes)
+    row, col, val, y, size = np.array(rows), np.array(cols), np.array(values), np.array(labels), np.array(sizes)
     counts = np.bincount(col)
     use = counts[col] >= 3  # names that one page alone has teach nothing about others
-    row, col = row[use], col[use]
+    row, col, val = row[use], col[use], val[use]
     order = np.argsort(-size, kind="stable")
     begin = (np.cumsum(size) - size)[order]
     size = size[order]
@@ -261,7 +269,7 @@ def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: flo
     w, trans, first = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, trans, first)]
     for step in range(1, steps + 1):
-        e = np.bincount(row, w[col], n)
+        e = np.bincount(row, w[col] * val, n)
         alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
         alpha[at[0]] = first
         alpha[at[0], 1] += e[at[0]]
@@ -284,7 +292,7 @@ def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: flo
             np.subtract.at(pair, (y[before], y[at[t]]), 1)
         p = alpha + beta
         p = np.exp(p[:, 1] - np.logaddexp(p[:, 0], p[:, 1]))
-        gw = np.bincount(col, (p - y)[row], len(names)) / m + l2 * w * len(y) / m
+        gw = np.bincount(col, (p - y)[row] * val, len(names)) / m + l2 * w * len(y) / m
         g0 = np.array([((1 - p) - (1 - y))[at[0]].sum(), (p - y)[at[0]].sum()]) / m
         for x, g, (a, b) in zip((w, trans, first), (gw, pair / m, g0), moments, strict=True):
             a += 0.1 * (g - a)
@@ -326,5 +334,5 @@ def extract(pages: DataFrame, model: Crf | None = None, id_col: str = "page_id",
                 texts = main_texts(part.column("html").to_pylist(), own)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = c.spread(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, `{url_col}` {rows.schema['url'].dataType.simpleString()}, text string, n_chars long")

@@ -61,7 +61,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     and the columns of keep."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *(F.col(x).alias(f"keep_{x}") for x in keep))
+    rows = c.spread(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *(F.col(x).alias(f"keep_{x}") for x in keep))
     rows = c.stash(rows.withColumn("h", F.xxhash64(F.lit(42), "id")))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(sources, weights, most)

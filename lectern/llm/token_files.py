@@ -231,7 +231,7 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, at: str, end_id: int = 1
     spark = docs.sparkSession
     with open(vocabulary_path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = c.spread(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dictionary = train(spark, rows, vocabulary, end_id, sample, dictionary_bytes)
     _put(at, DICTIONARY, [dictionary])
     n = shards or c.partitions(spark)
