@@ -4,8 +4,8 @@ equal bytes.
 Groups of equal texts are summed before they are dealt out, so a group of any size is one row. Each
 bucket of groups is differenced alone: the two partial partitions of the largest spread are
 combined, oppositely ordered, until one is left, which has a small spread. The partial partitions of
-the buckets are then combined in the same way; they are one row of sums for each bucket (of
-spark.sql.shuffle.partitions), not one for each group. A group larger than a shard's share fills a
+the buckets are then combined in the same way; they are one row of sums for each bucket of up to about
+BUCKET_GROUPS groups, not one for each group. A group larger than a shard's share fills a
 shard of its own as far as that goes.
 
 Null and empty texts are one group of size 1 (a row of any kind counts its bytes plus 1). Null ids
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm import common as c
 
+#: Groups of a bucket, which one task differences.
+BUCKET_GROUPS = 50_000
+
 
 def difference(parts: Sequence[Sequence[int]], m: int) -> tuple[list[int], list[Sequence[int]]]:
     """Combines partial partitions (up to m sums each). Returns the sums, largest first, and for
@@ -74,7 +77,8 @@ def _local(m: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBat
             keys, size = t.column("text_key").combine_chunks(), t.column("bytes").to_pylist()
             _, places = difference([(x,) for x in size], m)
             n = len(size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), keys, t.column("bytes").combine_chunks(), pa.array([p[0] for p in places], pa.int32())], ["bucket", "text_key", "bytes", "place"])
+            rest = [t.column(x).combine_chunks() for x in ("copies", "bytes")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, bucket, np.int32)), keys, *rest, pa.array([p[0] for p in places], pa.int32())], ["bucket", "text_key", "copies", "bytes", "place"])
 
     return run
 
@@ -86,8 +90,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_key"))
     rows = c.stash(rows)
     n = c.partitions(spark)
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes")).withColumn("bucket", F.pmod("text_key", F.lit(n)).cast("int"))
-    local = groups.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("bytes"), "text_key").mapInArrow(_local(shards), "bucket int, text_key long, bytes long, place int")
+    groups = c.stash(rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")))
+    n_groups = groups.count()
+    buckets = max(n, -(-n_groups // BUCKET_GROUPS))
+    groups = groups.withColumn("bucket", F.pmod("text_key", F.lit(buckets)).cast("int"))
+    local = groups.repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("bytes"), "text_key").mapInArrow(_local(shards), "bucket int, text_key long, copies long, bytes long, place int")
     local = c.stash(local)
     sums: dict[int, list[int]] = {}
     for r in local.groupBy("bucket", "place").agg(F.sum("bytes").alias("bytes")).collect():
@@ -95,8 +102,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     order = sorted(sums)
     _, places = difference([sums[b] for b in order], shards)
     where = spark.createDataFrame([(b, k, p[k]) for b, p in zip(order, places, strict=True) for k in range(shards)], "bucket int, place int, shard int")
-    of_group = local.join(F.broadcast(where), ["bucket", "place"]).select("text_key", "shard")
-    dealt = rows.join(of_group, "text_key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(4 * n)))
+    of_group = c.join_small(local, where, ["bucket", "place"], "inner", buckets * shards).select("text_key", "shard", "copies")
+    dealt = c.join_counted(rows, of_group, ["text_key"], "copies", n_groups).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(4 * n)))
     counts = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     own = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("id", "text_crc32", "size")) - 1
