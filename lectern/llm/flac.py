@@ -18,10 +18,12 @@ depend on the row's own bytes only."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from lectern.llm import common as c
 
 BLOCK, ORDER, PRECISION, RATE, UNIT = 4096, 8, 10, 8000, 64
-#: Bytes of payload worked on at once.
-WORK = 6_000_000
+#: Bytes of payload decoded at once, and samples encoded at once.
+WORK, ENCODED = 4_000_000, 500_000
 #: Fixed predictors by order (fixed values of the format).
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 _BLOCK_SIZES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, **{i: 256 << i - 8 for i in range(8, 16)}}
@@ -230,8 +232,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     bodies: list[bytes] = [b""] * len(owner)
     for n in np.unique(sizes_):
         own = np.flatnonzero(sizes_ == n)
-        for k in range(0, len(own), max(1, 1_000_000 // int(n))):
-            part = own[k : k + max(1, 1_000_000 // int(n))]
+        for k in range(0, len(own), max(1, ENCODED // int(n))):
+            part = own[k : k + max(1, ENCODED // int(n))]
             x = raw[at_[part][:, None] + np.arange(n)].astype(np.int32) - 128
             for i, body in zip(part, _frames(x), strict=True):
                 bodies[i] = body
@@ -510,9 +512,12 @@ def _subframes(data: bytes, at: np.ndarray, sizes: np.ndarray, depths: np.ndarra
                 y[t + pad, run] = r + guess
         if (pos > most).any():
             raise Broken("a residual ends early")
-        x[:, live] = y
+        if m == frames:
+            x = y
+        else:
+            x[:, live] = y
         end[live] = pos
-    return x[pad:] << wasted, end
+    return x[pad:] << wasted if wasted.any() else x[pad:], end
 
 
 def decode(streams: list[bytes]) -> list[tuple[Stream, np.ndarray, list[int]]]:
@@ -531,8 +536,9 @@ def decode(streams: list[bytes]) -> list[tuple[Stream, np.ndarray, list[int]]]:
     kind = np.array([frames[j][2].assignment for j in order])
     bits = np.array([frames[j][2].bits for j in order])
     left, pos = _subframes(data, pos, sizes, bits + (kind == 9))
-    right = np.zeros_like(left)
+    sides = [left]
     if two.any():
+        right = np.zeros_like(left)
         own = np.flatnonzero(two)
         got, pos[own] = _subframes(data, pos[own], sizes[own], bits[own] + np.isin(kind[own], (8, 10)))
         right[: len(got), own] = got
@@ -541,6 +547,7 @@ def decode(streams: list[bytes]) -> list[tuple[Stream, np.ndarray, list[int]]]:
         left[:, rs] += right[:, rs]
         mid = left[:, ms] << 1 | right[:, ms] & 1
         left[:, ms], right[:, ms] = mid + right[:, ms] >> 1, mid - right[:, ms] >> 1
+        sides.append(right)
     end = pos + 7 >> 3
     start = np.array([base[frames[j][0]] + frames[j][1] for j in order])
     raw = np.frombuffer(data, np.uint8)
@@ -548,7 +555,8 @@ def decode(streams: list[bytes]) -> list[tuple[Stream, np.ndarray, list[int]]]:
         raise Broken("a frame ends early")
     if (crc16s(raw, start, end) != raw[end].astype(np.uint16) << 8 | raw[end + 1]).any():
         raise Broken("checksum of a frame")
-    left, right = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    sides = [np.ascontiguousarray(y.T) for y in sides]
+    del left
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     out, j = [], 0
@@ -556,7 +564,7 @@ def decode(streams: list[bytes]) -> list[tuple[Stream, np.ndarray, list[int]]]:
         own = rank[j : j + len(s.starts)]
         j += len(s.starts)
         cat = lambda y, own=own: np.concatenate([y[i, : sizes[i]] for i in own]) if len(own) else np.zeros(0, np.int64)
-        x = np.stack([cat(left), cat(right)][: s.channels], 1)
+        x = np.stack([cat(y) for y in sides[: s.channels]], 1)
         firsts = [0, *np.cumsum(sizes[own])[:-1].tolist()][: len(own)]
         if s.samples and len(x) != s.samples:
             raise Broken("samples are missing")
@@ -592,8 +600,9 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for s, e in c.pieces(at, WORK):
                 media = encode(payloads(raw[at[s] : at[e]], at[s : e + 1] - at[s]))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(s, e - s), pa.array(np.diff(at[s : e + 1])), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
+        c.tidy()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = c.spread(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
@@ -619,6 +628,37 @@ def _decoded(media: list[bytes | None]) -> Iterator[tuple[int, tuple | None, str
         i = j
 
 
+@dataclass
+class Pcm:
+    """A decoded stream as blocks of PCM, each with its first sample."""
+
+    stream: Stream
+    firsts: list[int]
+    blocks: list[bytes]
+
+    def read(self, first: int, samples: int) -> bytes:
+        """PCM of so many samples from the given one on: seeks the block that holds it."""
+        unit = self.stream.channels * ((self.stream.bits + 7) // 8)
+        at = max(0, bisect.bisect_right(self.firsts, first) - 1)
+        skip, end = (first - self.firsts[at]) * unit if self.firsts else 0, samples * unit
+        out: list[bytes] = []
+        while at < len(self.blocks) and end > 0:
+            out.append(self.blocks[at][skip : skip + end])
+            end -= len(out[-1])
+            skip, at = 0, at + 1
+        return b"".join(out)
+
+
+def decoded_pcm(media: list[bytes | None]) -> Iterator[tuple[int, Pcm | None, str | None]]:
+    """(index, blocks or None, error or None) of each stream."""
+    for k, got, error in _decoded(media):
+        if got is None:
+            yield k, None, error
+        else:
+            s, x, firsts = got
+            yield k, Pcm(s, firsts, [pcm(x[f:n], s.bits) for f, n in zip(firsts, [*firsts[1:], len(x)], strict=True)]), None
+
+
 def pcm_blocks(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """A row for each frame of each stream: id_col, block, first_sample (where to seek), n_samples,
     rate, channels, bits, pcm, error. A broken stream is one row with its error; null media have none."""
@@ -626,17 +666,18 @@ def pcm_blocks(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_pylist()
-            for k, got, error in _decoded(batch.column("media").to_pylist()):
+            for k, got, error in decoded_pcm(batch.column("media").to_pylist()):
                 if error:
                     out = [(ids[k], 0, 0, 0, None, None, None, None, error)]
                 elif got is None:
                     continue
                 else:
-                    s, x, firsts = got
-                    out = [(ids[k], b, f, n - f, s.rate, s.channels, s.bits, pcm(x[f:n], s.bits), None) for b, (f, n) in enumerate(zip(firsts, [*firsts[1:], len(x)], strict=True))]
+                    s, unit = got.stream, got.stream.channels * ((got.stream.bits + 7) // 8)
+                    out = [(ids[k], b, f, len(x) // unit, s.rate, s.channels, s.bits, x, None) for b, (f, x) in enumerate(zip(got.firsts, got.blocks, strict=True))]
                 if out:
                     kinds = (batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], [id_col, "block", "first_sample", "n_samples", "rate", "channels", "bits", "pcm", "error"])
+        c.tidy()
 
     own = rows.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
     return own.mapInArrow(run, f"`{id_col}` {own.schema['id'].dataType.simpleString()}, block int, first_sample long, n_samples int, rate int, channels int, bits int, pcm binary, error string")
@@ -651,24 +692,26 @@ def feature(x: np.ndarray, frames: int) -> str:
 
 
 def digests(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads back the media of encode_column: id_col, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32 (of the last 64 bytes), media_bytes, media_sha256, feature, error."""
+    """Reads back the media of encode_column through their PCM blocks: id_col, n_bytes, payload_bytes,
+    payload_sha256, tail_crc32 (of the last 64 bytes, which are sought), media_bytes, media_sha256, feature, error."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, media = (batch.column(x) for x in ("id", "n_bytes", "media"))
             media = media.to_pylist()
             out: list = [None] * len(media)
-            for k, got, error in _decoded(media):
+            for k, got, error in decoded_pcm(media):
                 if got is None:
                     out[k] = (0, None, None, len(media[k] or b""), None, None, error)
                 else:
-                    _, x, firsts = got
-                    payload = (x[:, 0] + 128).astype(np.uint8).tobytes()
-                    out[k] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media[k]), hashlib.sha256(media[k]).hexdigest(), feature(x[:, 0], len(firsts)), None)
+                    x = np.frombuffer(got.read(0, got.stream.samples), np.int8)
+                    payload = (x.view(np.uint8) ^ 128).tobytes()
+                    tail = (np.frombuffer(got.read(len(x) - UNIT, UNIT), np.uint8) ^ 128).tobytes()
+                    out[k] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(tail), len(media[k]), hashlib.sha256(media[k]).hexdigest(), feature(x, len(got.firsts)), None)
             if out:
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([ids, sizes, *(pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True))], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
+        c.tidy()
 
     own = rows.select(F.col(id_col).alias("id"), "n_bytes", "media")
     return own.mapInArrow(run, f"`{id_col}` {own.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
