@@ -141,7 +141,7 @@ def test_cotraining_gradient_is_that_of_all_documents(spark, small):
     rows = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h"), "text", "lang", "source", "n_chars")
     pool = rows.repartition(3).mapInArrow(cotraining._features, "id long, y int, h long, numbers binary, words binary, meta binary").drop("id", "y").cache()
     r = np.random.default_rng(3)
-    views = cotraining.Views(np.sort(r.random((14, 10)), 1))
+    views = cotraining.Views(np.sort(r.random((15, 10)), 1))
     models, points = ([r.standard_normal(w + 1) for w in views.widths] for _ in range(2))
     history = [(models, [np.array([3.0, 0.0])] * 2, [[(0, 1.0), (40, 0.5)], [(10, 0.3), (0, 1.0)]])]
     got = cotraining._sum(pool, cotraining._pooled(history, views, points), sum(2 * (len(w) + 2) for w in points))
@@ -168,10 +168,17 @@ def test_pages(spark):
 def test_vectors(spark):
     rows = spark.createDataFrame([(None, [1.0, 0.0], 1, "c"), (1, [1.0, 0.0], 1, "c"), (2, [1.0, 0.0], 1, "c"), (3, [1.0, 0.0, 0.0], 1, "c"), (4, [1e200, 0.0], 1, "c")], "vec_id long, embedding array<double>, label int, grp string")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_forest.near_vectors(rows).collect()}
-    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (0, 3, True), 4: (2, 1, False)}
+    assert got == {None: (3, 1, False), 1: (3, 1, True), 2: (3, 1, False), 3: (0, 3, True), 4: (3, 1, False)}
     assert vector_forest.near_vectors(rows.where("false")).count() == 0
 
 
+def test_vectors_of_repeated_and_missing_ids(spark):
+    """A repeated row is a vector of its own; a row without an id links, too."""
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (None, [0.01, 1.0], 1), (None, None, 1), (5, [0.0, 1.0], 2), (5, [1.0, 0.0], 2)]
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in vector_forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == sorted([("1", 2, "1", True), ("1", 2, "1", True), ("2", 2, "1", False), ("None", 1, "None", True), ("None", 1, "None", True), ("None", 0, "None", True), ("5", 0, "5", True), ("5", 0, "5", True)])
+
+
 def test_vectors_with_negative_zeros(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, -0.0], 1), (3, [1.0, 0.01], 1), (4, [-0.0, -0.0], 1)], "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_forest.near_vectors(rows).collect()}
