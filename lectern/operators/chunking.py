@@ -138,6 +138,14 @@ def chapter_chunks(chapters: DataFrame, nodes: DataFrame, elements: DataFrame, s
     )
 
 
+def book_totals(pages: DataFrame, chapters: DataFrame, chunks: DataFrame) -> DataFrame:
+    """book_id and its numbers of pages, chapters and chunks; every book of pages has a row."""
+    counted = lambda rows, name: rows.groupBy("book_id").agg(F.count("*").alias(name))
+    out = pages.groupBy("book_id").agg(F.coalesce(F.max("page"), F.lit(0)).cast("int").alias("pages"))
+    out = out.join(counted(chapters, "chapters"), "book_id", "left").join(counted(chunks, "chunks"), "book_id", "left")
+    return out.select("book_id", "pages", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("chapters", "chunks")))
+
+
 def linked(chunks: DataFrame) -> DataFrame:
     """Adds prev_id and next_id of each chunk within its book."""
     own = W.partitionBy("book_id").orderBy("chunk_index")

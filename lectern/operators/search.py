@@ -13,8 +13,9 @@ from lectern.config import DEFAULT, Retrieval
 from lectern.functions import text as t
 from lectern.functions.vectors import cosine
 
-#: A batch of questions is broadcast up to so many; a larger one is joined in parts of about this size.
-QUESTIONS = 10_000
+#: A batch of questions is broadcast up to so many, and so many bytes of vectors; a larger one is joined in
+#: parts of about this size.
+QUESTIONS, QUESTION_BYTES = 10_000, 32 << 20
 
 
 def parse_questions(questions: DataFrame, question_col: str = "raw_query") -> DataFrame:
@@ -37,12 +38,12 @@ def metadata_filter(book_title: str | None = None, chapter: str | None = None) -
     return out
 
 
-def top_k(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.retrieval.top_k, chunk_id: str = "chunk_id", vector: str = "embedding", n_questions: int | None = None) -> DataFrame:
+def top_k(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.retrieval.top_k, chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """qid, chunk_id, similarity, rank of the k nearest chunks of each question. The stated questions
     meet all chunks: they are counted and broadcast, more than QUESTIONS in parts by a hash of their
     qid; each task keeps its own k best (window group limit) before rows are dealt by question."""
-    n = questions.count() if n_questions is None else n_questions
-    parts = max(1, -(-n // QUESTIONS))
+    seen = questions.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("width")).first()
+    parts = max(1, -(-seen["n"] // QUESTIONS), -(-seen["n"] * 8 * max(0, seen["width"]) // QUESTION_BYTES))
     found = [_nearest(chunks, questions.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i) if parts > 1 else questions, k, chunk_id, vector) for i in range(parts)]
     return reduce(DataFrame.unionByName, found)
 
@@ -76,6 +77,11 @@ def rerank(hits: DataFrame, k: int | None = DEFAULT.retrieval.rerank_k, weights:
     return rows.select(*hits.columns, "rerank", relevance(F.col("rerank"), W.partitionBy("qid")).alias("relevance_pct"), "position")
 
 
+def as_found(hits: DataFrame) -> DataFrame:
+    """Hits in the order of the search: rerank is the similarity, relevance_pct its percentage."""
+    return hits.withColumn("rerank", F.col("similarity")).withColumn("relevance_pct", F.round(F.col("similarity") * 100, 1)).withColumn("position", F.col("rank"))
+
+
 def to_hits(chunks: DataFrame) -> DataFrame:
     """Chunk columns as a reader wants them: chapter ("number: title"), section, page, chunk_type."""
     number, title = F.coalesce(F.get("chapter_numbers", F.lit(0)), F.lit("")), F.coalesce(F.get("chapter_titles", F.lit(0)), F.lit(""))

@@ -85,14 +85,14 @@ class Engine:
             vectors = s.tables["parsed"].withColumn("embedding", self.embedder(F.col("raw_query"))).select("qid", "embedding")
             hits = search.top_k(chunks, vectors, r.top_k)
             about = s.tables["parsed"].select("qid", "intent", "topics", "keywords")
-            s.tables["hits"] = hits.join(search.to_hits(chunks), "chunk_id").join(F.broadcast(about), "qid")
+            s.tables["hits"] = hits.join(search.to_hits(chunks), "chunk_id").join(about, "qid")
             return s
 
         def order(s: State) -> State:
             if rerank:
                 s.tables["ranked"] = search.rerank(s.tables["hits"], r.rerank_k, r)
             else:
-                s.tables["ranked"] = s.tables["hits"].withColumn("rerank", F.col("similarity")).withColumn("relevance_pct", F.round(F.col("similarity") * 100, 1)).withColumn("position", F.col("rank"))
+                s.tables["ranked"] = search.as_found(s.tables["hits"])
             return s
 
         def assemble(s: State) -> State:

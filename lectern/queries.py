@@ -306,20 +306,38 @@ def _title_sql(x: str) -> str:
 
 _CHAPTER = f"(regexp_matches(text, {_P1}) OR regexp_matches(text, {_P2}) OR regexp_matches(text, {_P3}))"
 _NAMED = "(contains(lower(text), 'chapter') OR contains(lower(text), 'appendix') OR contains(lower(text), 'part'))"
+_LEVEL = f"CASE WHEN {_NAMED} THEN 1 WHEN coalesce(num, '') <> '' THEN least(length(num) - length(replace(num, '.', '')) + 1, 3) WHEN big THEN 1 WHEN large THEN 2 ELSE 3 END"
 _TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
 @query(
     f"WITH {LINES_SQL}, med AS (SELECT book_id, list_sort(list(size))[count(*) // 2 + 1] AS median FROM lines WHERE size > 0 GROUP BY book_id), f AS (SELECT book_id, page, pos, text, size, median FROM lines JOIN med USING (book_id) WHERE length(text) >= 3 AND (size >= median * 1.2 OR {_CHAPTER} OR (abs(x0 + x1 - 600) / 600 < 0.2 AND top < 240))), "
     f"u AS (SELECT book_id, page, pos, text, 0 AS s, size > median * 1.5 AS big, size > median * 1.2 AS large FROM f UNION ALL SELECT book_id, page, pos, text, 1, false, false FROM (SELECT book_id, page, pos, {_TRIMMED} AS text FROM lines) WHERE {_CHAPTER}), "
-    f"r AS (SELECT *, {_number_sql('text')} AS num, row_number() OVER (PARTITION BY book_id, page, substr({_TRIMMED}, 1, 50) ORDER BY s, pos) AS r FROM u) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, CAST(CASE WHEN {_NAMED} THEN 1 WHEN coalesce(num, '') <> '' THEN least(length(num) - length(replace(num, '.', '')) + 1, 3) WHEN big THEN 1 WHEN large THEN 2 ELSE 3 END AS INT) AS level FROM r WHERE r = 1"
+    f"r AS (SELECT *, {_number_sql('text')} AS num, row_number() OVER (PARTITION BY book_id, page, substr({_TRIMMED}, 1, 50) ORDER BY s, pos) AS r FROM u), l AS (SELECT *, CAST({_LEVEL} AS INT) AS level FROM r WHERE r = 1) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, level, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, level DESC, s, pos) AS INT) AS ord FROM l"
 )
 def heading_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """All merged headings, those of the chapter pattern among them."""
     lines = _lines(spark, sf)
     elements = lines.select("book_id", "page", F.col("pos").alias("idx"), "text", F.lit("NarrativeText").alias("type"))
     rows = layout.merged_headings(layout.font_headings(lines, _line_pages(lines)), layout.element_headings(elements, "pattern"))
-    return rows.select("book_id", "page", "text", "source", "level")
+    return rows.select("book_id", "page", "text", "source", "level", "ord")
+
+
+@query(
+    f"WITH {LINES_SQL}, e AS (SELECT book_id, page, pos, text, num, CAST({_LEVEL} AS INT) AS level FROM (SELECT *, {_number_sql('text')} AS num, false AS big, false AS large FROM (SELECT book_id, page, pos, {_TRIMMED} AS text, length(text) AS n FROM lines)) WHERE text <> '' AND n % 4 = 0) "
+    "SELECT book_id, page, text, level, num, CAST(pos AS INT) AS element_idx, 'type' AS source FROM e"
+)
+def heading_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings by the type of their element: every line of a length that 4 divides is a title."""
+    rows = _lines(spark, sf).select("book_id", "page", F.col("pos").alias("idx"), "text", F.when(F.length("text") % 4 == 0, "Section-Title").otherwise("NarrativeText").alias("type"))
+    return layout.element_headings(rows, "type").select("book_id", "page", "text", "level", "num", "element_idx", "source")
+
+
+@query("SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, pos) - 1 AS INT) AS idx, page, text FROM (SELECT doc_id % 50 AS book_id, CAST(doc_id // 50 + 1 AS INT) AS page, generate_subscripts(string_split(text, chr(10)), 1) AS pos, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS text FROM documents) WHERE text <> ''")
+def page_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs of books whose pages are documents."""
+    pages = _t(spark, sf, "documents").select((F.col("doc_id") % 50).alias("book_id"), (F.expr("doc_id div 50") + 1).cast("int").alias("page"), "text")
+    return page_source.elements(pages, "\n").select("book_id", "idx", "page", "text")
 
 
 _HEADS = _sql_values([(i, h) for i, h in enumerate(HEADINGS)], "id, text")
@@ -497,19 +515,36 @@ def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
 _DETECTED = [(1, 3, "On a page that may have a node", 2, None, 7, 0.7), (2, 40, "2.2 Found", 2, "2.2", 90, 0.7), (3, 45, "Inside of it", 3, None, 95, 0.75), (4, 1, "Before all", 3, None, None, 0.75), (5, 60, "5 Fifth", 1, "5", 120, 0.7), (6, 65, "5.1 Below", 2, "5.1", 130, 0.7), (7, 6, "Lends its element too", 2, None, 11, 0.7)]
 
 
-@query(
-    f"WITH {_TREE}, det AS (SELECT b.book_id, d.* FROM (SELECT DISTINCT book_id FROM toc) b, {_sql_values([(r[0], r[1], r[3], r[5]) for r in _DETECTED], 'ord, page, level, element')} d), host AS (SELECT book_id, page, max(seq) AS host FROM par GROUP BY ALL), "
+_MERGED_SQL = (
+    _TREE + f", det AS (SELECT b.book_id, d.* FROM (SELECT DISTINCT book_id FROM toc) b, {_sql_values([(r[0], r[1], r[3], r[5]) for r in _DETECTED], 'ord, page, level, element')} d), host AS (SELECT book_id, page, max(seq) AS host FROM par GROUP BY ALL), "
     "met AS (SELECT det.*, host FROM det LEFT JOIN host USING (book_id, page)), lent AS (SELECT book_id, host AS seq, first(element ORDER BY ord) AS lent FROM met WHERE host IS NOT NULL AND element IS NOT NULL GROUP BY ALL), "
     "new AS (SELECT m.book_id, m.page, m.level, m.element, top + row_number() OVER (PARTITION BY m.book_id ORDER BY m.ord) AS seq FROM met m JOIN (SELECT book_id, max(seq) AS top FROM par GROUP BY ALL) USING (book_id) WHERE host IS NULL), every AS (SELECT book_id, seq, page, level FROM par UNION ALL SELECT book_id, seq, page, level FROM new), "
     "best AS (SELECT n.book_id, n.seq, first(e.seq ORDER BY n.page - e.page, e.seq) AS up FROM new n JOIN every e ON e.book_id = n.book_id AND e.level = n.level - 1 AND e.seq < n.seq AND e.page <= n.page GROUP BY ALL) "
-    "SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level, CAST(coalesce(up, 0) AS INT) AS parent_id, CAST(element AS INT) AS start_idx, 'detected' AS source FROM new LEFT JOIN best USING (book_id, seq) UNION ALL SELECT book_id, seq, level, parent_id, CAST(lent AS INT), 'toc' FROM par LEFT JOIN lent USING (book_id, seq)"
 )
+
+
+@query(f"WITH {_MERGED_SQL} " "SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level, CAST(coalesce(up, 0) AS INT) AS parent_id, CAST(element AS INT) AS start_idx, 'detected' AS source FROM new LEFT JOIN best USING (book_id, seq) UNION ALL SELECT book_id, seq, level, parent_id, CAST(lent AS INT), 'toc' FROM par LEFT JOIN lent USING (book_id, seq)")
 def merge_headings(spark: SparkSession, sf: str) -> DataFrame:
     """Detected headings in the tree of every book; some only lend their element to a node of their page."""
+    return _merged(spark, sf).select("book_id", "node_id", "level", "parent_id", "start_idx", "source")
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
     found = _values(spark, _DETECTED, "ord int, page int, text string, level int, num string, element_idx int, confidence double")
     nodes = _nodes(spark, sf)
     found = nodes.select("book_id").distinct().join(F.broadcast(found), how="cross")  # seven rows for each book
-    return tree.merge_headings(nodes, found).select("book_id", "node_id", "level", "parent_id", "start_idx", "source")
+    return tree.merge_headings(nodes, found)
+
+
+@query(f"WITH {_MERGED_SQL} SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level FROM new LEFT JOIN best USING (book_id, seq) WHERE level <> 1 AND up IS NULL UNION ALL SELECT book_id, seq, level FROM par WHERE parent_id = 0 AND level <> 1")
+def tree_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """Children of the root that are no chapters."""
+    return tree.dropped(_merged(spark, sf)).select("book_id", "node_id", "level")
+
+
+@query(f"WITH {_TREE} SELECT book_id, seq AS node_id, title, number FROM par WHERE level = 2")
+def tree_level(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.at_level(_nodes(spark, sf), 2).select("book_id", "node_id", "title", "number")
 
 
 _INSIDE = "coalesce((SELECT string_agg(coalesce(s.{0}, ''), '|' ORDER BY s.seq) FROM par s WHERE s.book_id = c.book_id AND s.parent_id = c.seq AND s.level = 2), '') AS section_{0}s, coalesce((SELECT string_agg(coalesce(u.{0}, ''), '|' ORDER BY s.seq, u.seq) FROM par u JOIN par s ON u.book_id = s.book_id AND u.parent_id = s.seq WHERE s.book_id = c.book_id AND s.parent_id = c.seq AND s.level = 2 AND u.level = 3), '') AS subsection_{0}s"
@@ -596,6 +631,20 @@ def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return answer.context(search.rerank(_hits(spark, sf), 5)).select("qid", F.md5("context").alias("context"))
 
 
+@query(f"WITH {_HITS_SQL} SELECT qid, chunk_id, CAST(similarity AS DOUBLE) AS rerank, round(CAST(similarity AS DOUBLE) * 100, 1) AS relevance_pct, chunk_id AS position FROM h")
+def hits_as_found(spark: SparkSession, sf: str) -> DataFrame:
+    """All hits without reranking."""
+    return search.as_found(_hits(spark, sf)).select("qid", "chunk_id", "rerank", "relevance_pct", "position")
+
+
+@query(f"WITH {ASKED_SQL}, p AS (SELECT qid, raw_query, {_cases_sql(t.INTENTS, t.DEFAULT_INTENT)} AS i, {_cases_sql(t.COMPLEXITIES, 'intermediate')} AS c FROM asked WHERE raw_query IS NOT NULL) SELECT qid, raw_query, md5({_q(t.BASE_PROMPT)} || {_PROMPT(t.INTENT_PROMPTS, 'i')} || {_PROMPT(t.COMPLEXITY_PROMPTS, 'c')}) AS system_prompt, 'about ' || qid AS context FROM p")
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """What a generator gets for each question."""
+    asked = search.parse_questions(_questions(spark, sf).where("raw_query is not null"))
+    rows = answer.prompts(asked, asked.select("qid", F.concat(F.lit("about "), F.col("qid").cast("string")).alias("context")))
+    return rows.withColumn("system_prompt", F.md5("system_prompt"))
+
+
 @query(f"WITH {_HITS_SQL} SELECT qid, max(CASE WHEN position = 1 THEN 'Error calling LLM. Here''s the retrieved content:' || chr(10) || chr(10) || 'From ' || chapter || ':' || chr(10) || substr(content, 1, 500) || '...' END) AS answer, string_agg(CASE WHEN position <= 3 THEN CAST(chunk_id AS VARCHAR) END, '|' ORDER BY position) AS sources, 0.5::DOUBLE AS confidence FROM rk WHERE position <= 5 GROUP BY qid")
 def fallback_answer(spark: SparkSession, sf: str) -> DataFrame:
     return answer.answers(search.rerank(_hits(spark, sf), 5)).select("qid", "answer", F.array_join(F.col("sources").cast("array<string>"), "|").alias("sources"), "confidence")
@@ -636,10 +685,9 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return answer.chunk_stats(_t(spark, sf, "documents").where("text is not null").select(t.contains_code(F.col("text")).alias("contains_code")))
 
 
-@query(f"WITH {BOOKS_SQL}, p AS (SELECT book_id, max(page) AS pages FROM spans GROUP BY book_id) SELECT p.book_id, CAST(pages AS INT) AS pages, count(k) AS chunks FROM p LEFT JOIN wins USING (book_id) GROUP BY ALL")
+@query(f"WITH {BOOKS_SQL}, p AS (SELECT book_id, max(page) AS pages FROM spans GROUP BY book_id), {_TOCS_SQL}, ch AS (SELECT book_id, count(*) + CASE WHEN min(page) > 1 THEN 1 ELSE 0 END AS chapters FROM toc WHERE level = 1 GROUP BY book_id) SELECT p.book_id, CAST(pages AS INT) AS pages, any_value(coalesce(chapters, 0)) AS chapters, count(k) AS chunks FROM p LEFT JOIN wins USING (book_id) LEFT JOIN ch USING (book_id) GROUP BY p.book_id, pages")
 def book_totals(spark: SparkSession, sf: str) -> DataFrame:
-    windows, spans = _windows(spark, sf)
-    return spans.groupBy("book_id").agg(F.max("page").alias("pages")).join(windows.groupBy("book_id").agg(F.count("*").alias("chunks")), "book_id", "left").select("book_id", "pages", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    return chunking.book_totals(_pages(spark, sf), tree.chapters(tree.front_matter(_nodes(spark, sf))), _windows(spark, sf)[0])
 
 
 @query("SELECT doc_id, 'new' AS title FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0")
@@ -659,6 +707,29 @@ def metadata_clean(spark: SparkSession, sf: str) -> DataFrame:
     return d.withColumn("titles", store.clean_list("titles")).select("doc_id", _bar("titles"), F.coalesce(F.nullif(F.col("doc_id") % 4, F.lit(0)), F.lit(-1)).cast("int").alias("page"))
 
 
+@query("SELECT sha256(doc_id || chr(31) || doc_id % 7 || chr(31) || coalesce(text, '')) AS chunk_id, doc_id AS book_id, coalesce(source, '') AS book_title, '' AS author, CAST(doc_id % 7 AS INT) AS chunk_index, coalesce(lang, '') || '|' AS chapter_titles, '' AS section_titles, CAST(doc_id % 5 AS INT) AS page_start, doc_id % 2 = 0 AS contains_code, 'ns' AS namespace FROM documents")
+def store_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as rows of the store: ids from content, nulls cleaned, types as the store has them."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.col("source").alias("book_title"), (F.col("doc_id") % 7).alias("chunk_index"), "text", F.array("lang", F.lit(None).cast("string")).alias("chapter_titles"), (F.col("doc_id") % 5).cast("string").alias("page_start"), (F.col("doc_id") % 2 == 0).alias("contains_code"))
+    rows = store.records(d, "ns")
+    return rows.select("chunk_id", "book_id", "book_title", "author", "chunk_index", _bar("chapter_titles"), _bar("section_titles"), "page_start", "contains_code", "namespace")
+
+
+@query()
+def ask(spark: SparkSession, sf: str) -> DataFrame:
+    """From pages to answers: every document is chunked, embedded and stored, and questions are parsed, searched,
+    reranked and answered out of their hits."""
+    from lectern.config import PRESETS
+    from lectern.plans.engine import Engine
+
+    pages = _pages(spark, sf).withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+    books = _t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.col("source").alias("book_title"), F.lit("").alias("author"))
+    engine = Engine(spark, shared_dir(spark), PRESETS["default"])
+    engine.ingest(pages, books, strategy="flat")
+    asked = _values(spark, QUESTIONS, "qid long, raw_query string")
+    return engine.ask(asked).select("qid", "response.answer", F.array_join("response.sources", "|").alias("sources"), "response.confidence", "response.query_info.intent")
+
+
 @query("SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS heading FROM pages")
 def html_headings(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("heading"))
