@@ -51,7 +51,7 @@ from lectern.llm.common import U
 #: Sets of a block in a comparison, and their shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
 #: Keys held before they leave a task.
-HELD_KEYS = 1_500_000
+HELD_KEYS = 700_000
 #: Shingles left out of sketches: at most so many, each in at least so many documents of a batch; and
 #: the bits of their bitmap.
 MOST_COMMON, IN_BATCH, MARK_BITS = 200_000, 4, 24
