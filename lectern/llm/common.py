@@ -28,20 +28,20 @@ PIECE_BYTES = 1_000_000
 stash = written
 
 
-def join_small(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, rows: int, row_bytes: int = 64, most: int = 32 << 20) -> DataFrame:
-    """Joins; broadcasts right only when its counted rows fit in most bytes."""
-    return left.join(F.broadcast(right) if rows * row_bytes <= most else right, on, how)
+#: Bytes of a table that may be broadcast, and rows of a key that one task may take in a join.
+BROADCAST_BYTES, HOT_ROWS = 32 << 20, 100_000
 
 
-#: Rows of a key that one task may take in a join.
-HOT_ROWS = 100_000
+def join_small(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Joins; broadcasts right only when its counted rows fit in BROADCAST_BYTES."""
+    return left.join(F.broadcast(right) if rows * row_bytes <= BROADCAST_BYTES else right, on, how)
 
 
 def join_counted(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int) -> DataFrame:
     """Left with the columns of right, which has one row for each key (never null) and counts the rows
     of left that meet it. Keys with more than HOT_ROWS rows, of which left / HOT_ROWS exist at most, are
     broadcast, so that no key of any size is shuffled to one task; left is read twice for it."""
-    if rows * 64 <= 32 << 20:
+    if rows * 64 <= BROADCAST_BYTES:
         return left.join(F.broadcast(right.drop(count)), on, "left")
     hot = right.where(F.col(count) > HOT_ROWS).drop(count)
     cold = right.where(F.col(count) <= HOT_ROWS).drop(count)
@@ -261,14 +261,15 @@ def contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, contracted: bool = False, rounds: int = 60) -> DataFrame:
     """Components of the graph with the given edges (a, b): a row (a, b) for each node but
     the smallest of its component, b being that smallest node.
 
-    Edges are contracted within each task, then large-star and small-star alternate until
+    Edges are contracted within each task (unless they are already), then large-star and small-star alternate until
     nothing changes; each round's edges are a table in the shared folder. As soon as the edges
     that are left are few enough (LOCAL_NODES), one task contracts them all and ends this."""
-    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(contract, "a long, b long")
+    if not contracted:
+        edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(contract, "a long, b long")
     mark = [F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")]
     now, was = stash(edges), None
     for _ in range(rounds):

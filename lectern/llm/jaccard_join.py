@@ -346,13 +346,15 @@ def _compare(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
             if not len(one) or len(two) == 0 and side[0] != 0:
                 continue
             link = linked([sets[i] for i in one], [sets[i] for i in two] if len(two) else None, num, den)
+            far, label, degree = two if len(two) else one, np.arange(len(ids)), np.zeros(len(ids), np.int64)
             a, b = np.nonzero(link)
-            u, ida, idb = c.Union(), ids[one], ids[two if len(two) else one]
-            tree = [(int(x), int(y)) for x, y in zip(ida[a], idb[b], strict=True) if u.join(int(x), int(y))]
-            degree = [(ida, link @ copies[two if len(two) else one])] + ([(idb, copies[one] @ link)] if len(two) else [])
-            rows = [*((x, y, 0) for x, y in tree), *((int(x), int(y), 1) for i, d in degree for x, y in zip(i, d, strict=True) if y)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["a", "b", "kind"])
+            label = c.labels(label, one[a], far[b])
+            degree[one] += link @ copies[far]
+            if len(two):
+                degree[two] += copies[one] @ link
+            joined, some = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(degree)
+            a, b = np.concatenate([ids[joined], ids[some]]), np.concatenate([ids[label[joined]], degree[some]])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.repeat([0, 1], [len(joined), len(some)]).astype(np.int32))], ["a", "b", "kind"])
         c.tidy()
 
     return run
@@ -360,8 +362,8 @@ def _compare(num: int, den: int) -> Callable[[Iterable[pa.RecordBatch]], Iterato
 
 def _groups(sent: DataFrame, n: int) -> DataFrame:
     """Candidate groups of dealt keys: (node, grp), grp being the least node."""
-    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
-    found = c.components(met)
+    met = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: c.contract(_meet(batches)), "a long, b long")
+    found = c.components(met, contracted=True)
     return c.stash(found.select(F.col("a").alias("node"), F.col("b").alias("grp")).union(found.select("b", "b").distinct()))
 
 
@@ -426,7 +428,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split_above classes are split again before they are compared."""
     spark = docs.sparkSession
     n = c.partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    rows = c.spread(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     prints = c.stash(rows.mapInArrow(_prints(k), "kind int, id long, h long, p long, q long, n long"))
     with_words = prints.where("kind = 0 and n > 0").select("id", "p", "q", "n")
 

@@ -154,6 +154,46 @@ def test_cotraining_gradient_is_that_of_all_documents(spark, small):
     assert loss[1] - loss[0] == pytest.approx(2 * float(got[2 : len(points[0]) + 2] @ step), rel=1e-4)
 
 
+def test_cotraining_rounds_label_the_surest(spark, small):
+    """One exchange against a plain version: each view labels, of either kind, the documents that the other
+    is surest of."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("y"), F.xxhash64("doc_id", "text").alias("h"), "text", "lang", "source", "n_chars")
+    pool = rows.repartition(3).mapInArrow(cotraining._features, "id long, y int, h long, numbers binary, words binary, meta binary").drop("id", "y").cache()
+    r = np.random.default_rng(4)
+    views = cotraining.Views(np.sort(r.random((15, 10)), 1))
+    models, scales = [r.standard_normal(w + 1) for w in views.widths], [np.array([2.0, 0.1]), np.array([3.0, -0.2])]
+    sure = cotraining._sum(pool, cotraining._sure([], (models, scales), views), 4 * cotraining.STRENGTHS).reshape(2, 2, cotraining.STRENGTHS)
+    most = 25
+    cuts = [[cotraining._cut(sure[v, k], most) for k in (0, 1)] for v in (0, 1)]
+    for batch in pool.toArrow().combine_chunks().to_batches():
+        given, logits = [[], []], [[], []]
+        for h, numbers, words, begin, meta in cotraining._parts(batch):
+            for i in range(len(h)):  # document by document, view by view
+                w = words[begin[i] : begin[i + 1]]
+                bins = [int((edge <= x).sum()) for edge, x in zip(views.edges, numbers[i], strict=True)]
+                text = sum(models[0][j * cotraining.BINS + b] for j, b in enumerate(bins)) + sum(models[0][len(bins) * cotraining.BINS + int(x)] for x in w) / max(1, len(w)) ** 0.5 + models[0][-1]
+                for v, x in enumerate((text, sum(models[1][int(x)] for x in meta[i]) + models[1][-1])):
+                    logits[v].append(float(np.clip(x * scales[v][0] + scales[v][1], -35, 35)))
+            for v, y in enumerate(cotraining._given([(models, scales, cuts)], views, [views.text(numbers, words, begin), views.meta(meta)], h)):
+                given[v] += y.tolist()
+    for v in (0, 1):
+        other = np.array(logits[1 - v])
+        for k in (0, 1):
+            own = np.flatnonzero(((other > 0) == k) & (np.abs(other) >= cotraining.SURE_LOGIT + 1e-4))
+            labelled = np.flatnonzero(np.array(given[v]) == k)
+            assert set(labelled) <= set(np.flatnonzero((other > 0) == k)) and min(most, len(own)) // 2 <= len(labelled) <= 2 * most
+            rest = np.setdiff1d(own, labelled)
+            if len(rest) and len(labelled):
+                assert np.abs(other[rest]).max() <= np.abs(other[labelled]).min() + 1.01 / cotraining.LEVELS
+
+
+def test_cotraining_views_share_no_column():
+    texts = pa.array(["one", "two words", "three\nlines\nhere"])
+    raw, at = c.text_of(texts)
+    assert (cotraining.meta_features(["en"] * 3, ["a"] * 3, [5] * 3) == cotraining.meta_features(["en"], ["a"], [5])).all()
+    assert len({tuple(x) for x in cotraining.text_numbers(raw, at)[0].tolist()}) == 3
+
+
 def test_cotraining_cut():
     assert cotraining._cut(np.array([4.0, 0.0, 2.0]), 6) == (0, 1.0) and cotraining._cut(np.array([4.0, 0.0, 2.0]), 3) == (0, 0.25) and cotraining._cut(np.array([4.0, 0.0, 8.0]), 2) == (2, 0.25)
 
