@@ -149,8 +149,10 @@ class Frames:
 
 
 def train(spark: SparkSession, rows: DataFrame, vocabulary: Any, end_id: int, sample: int, size: int) -> bytes:
-    """A dictionary of at most size bytes from the ids of sample documents of rows (id, text)."""
-    ids = [r["id"] for r in rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
+    """A dictionary of at most size bytes from the ids of sample documents of rows (id, text, h) that
+    have an id: those of the least hash."""
+    rows = rows.where(F.col("id") != NULL_ID)
+    ids = [(r["id"], r["h"]) for r in rows.select("id", "h").orderBy(F.xxhash64("id", "h"), "id", "h").limit(sample).collect()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _once(Words, vocabulary.value)
@@ -161,7 +163,7 @@ def train(spark: SparkSession, rows: DataFrame, vocabulary: Any, end_id: int, sa
                 blobs = [Frames.planes(np.append(found[x:y], end_id)) for x, y in pairwise(bounds)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(s, e - s), pa.array(blobs, pa.binary())], ["id", "blob"])
 
-    wanted = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in ids], "id long")), "id", "left_semi") if ids else rows.limit(0)
+    wanted = rows.join(F.broadcast(spark.createDataFrame(ids, "id long, h long")), ["id", "h"], "left_semi") if ids else rows.limit(0)
     samples = [bytes(r["blob"]) for r in wanted.mapInArrow(run, "id long, blob binary").orderBy("id", "blob").limit(sample).collect()]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -231,24 +233,30 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, at: str, end_id: int = 1
     spark = docs.sparkSession
     with open(vocabulary_path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
-    rows = c.spread(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = c.spread(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     dictionary = train(spark, rows, vocabulary, end_id, sample, dictionary_bytes)
     _put(at, DICTIONARY, [dictionary])
     n = shards or c.partitions(spark)
-    cuts = np.unique(rows.select("id").approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []).astype(np.int64)
+    cuts = np.sort(rows.select("id").approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []).astype(np.int64)
     keys = np.array(c.even_keys(spark, len(cuts) + 1))
 
+    def deal(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Shards by id; rows of an id that fills several are dealt among these by the hash of their text."""
+        low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+        step = ((h.view(c.U) >> c.U(32)) * np.maximum(high - low, 1).astype(c.U) >> c.U(32)).astype(np.int64)
+        return np.where(high - low > 1, low + 1 + step, high)
+
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, frames = _once(Words, vocabulary.value), _once(Frames, dictionary)
         for batch in batches:
-            ids = batch.column("id").fill_null(NULL_ID)
+            shards_ = deal(batch.column("id").to_numpy(), batch.column("h").to_numpy())
             raw, begin = c.text_of(batch.column("text"))
             for s, e in c.pieces(begin):
                 found, bounds = own.encode(raw[begin[s] : begin[e]], begin[s : e + 1] - begin[s])
                 blobs = [frames.pack(np.append(found[x:y], end_id)) for x, y in pairwise(bounds)]
-                who = ids.slice(s, e - s)
-                shard = np.searchsorted(cuts, who.to_numpy(), "right")
-                yield pa.RecordBatch.from_arrays([pa.array(keys[shard], pa.int32()), pa.array(shard, pa.int32()), who, pa.array(np.diff(bounds) + 1), pa.array(blobs, pa.binary())], ["key", "shard", "id", "n", "blob"])
+                who, h = (batch.column(x).slice(s, e - s) for x in ("id", "h"))
+                shard = shards_[s:e]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[shard], pa.int32()), pa.array(shard, pa.int32()), who, h, pa.array(np.diff(bounds) + 1), pa.array(blobs, pa.binary())], ["key", "shard", "id", "h", "n", "blob"])
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, held = iter(batches), []
@@ -288,8 +296,8 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, at: str, end_id: int = 1
             size = _put(at, name, parts(shard, count))
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (name, pa.string()), (count["docs"], pa.int64()), (count["tokens"], pa.int64()), (size, pa.int64()))], ["shard", "name", "n_docs", "n_tokens", "n_bytes"])
 
-    packed = rows.mapInArrow(pack, "key int, shard int, id long, n long, blob binary")
-    dealt = packed.repartition(len(keys), "key").sortWithinPartitions("shard", "id")
+    packed = rows.mapInArrow(pack, "key int, shard int, id long, h long, n long, blob binary")
+    dealt = packed.repartition(len(keys), "key").sortWithinPartitions("shard", "id", "h")
     return c.stash(dealt.mapInArrow(write, "shard int, name string, n_docs long, n_tokens long, n_bytes long"), f"{at}/manifest")
 
 
