@@ -279,10 +279,10 @@ def components(edges: DataFrame, contracted: bool = False, rounds: int = 60) ->
         if seen["n"] <= LOCAL_NODES:
             return stash(now.coalesce(1).mapInArrow(contract, "a long, b long"))
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        large = stash(join_counted(both, low, ["a"], "k", 2 * seen["n"]).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("k"))
+        small = join_counted(large, low, ["a"], "k", seen["n"]).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(low.select("a", F.col("m").alias("b"))).mapInArrow(contract, "a long, b long")
         now, was = stash(small.distinct()), seen
     raise RuntimeError("components did not settle")

@@ -101,6 +101,30 @@ def test_large_groups_split_and_lose_nothing(spark):
     assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in rows} == {i: (comp[i], links[i]) for i in texts}
 
 
+def test_joins_without_broadcast(spark, monkeypatch):
+    """A third of all rows are one text (or vector), joins go by shuffle, hot keys are dealt apart."""
+    monkeypatch.setattr(c, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(c, "HOT_ROWS", 10)
+    texts = near_texts(31, 120)
+    texts |= {5000 + i: "the one text that a third of all rows have" for i in range(60)} | {6000 + i: "" for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    comp, links = groups({i: shingles(x, 3) for i, x in texts.items()}, 90, 100)
+    rows = jaccard_join.jaccard_join(docs).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in rows} == {i: (comp[i], links[i]) for i in texts} and len(rows) == len(texts)
+    dealt = sharding.shard(docs).collect()
+    where = {r["doc_id"]: r["shard"] for r in dealt}
+    assert len(dealt) == len(texts) and len({where[5000 + i] for i in range(60)}) == 1
+    by_text = defaultdict(set)
+    for i, x in texts.items():
+        by_text[x].add(where[i])
+    assert all(len(x) == 1 for x in by_text.values())
+    vectors = [(i, [1.0, 0.0, 0.0] if i < 40 else [math.cos(i), math.sin(i), 0.1], 1) for i in range(120)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_forest.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([v for _, v, _ in vectors])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i][0] for i in range(120)] == [int((x[i] @ x.T >= 0.93).sum()) - 1 for i in range(120)] and all(got[i][1] == 0 for i in range(40))
+
+
 def test_jaccard_blocks_through_spark(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 5)
     texts = near_texts(21, 150)
@@ -285,6 +309,19 @@ def test_token_files(spark, small, tmp_path):
         token_files.Shard(at, manifest.first()["name"], token_files.Frames(b""))
 
 
+def test_token_files_of_a_hot_id(spark, tmp_path):
+    """An id that half of all rows share fills several shards; files stay in order of ids."""
+    rows = [(i, f"text {i}") for i in range(60)] + [(30, f"other text {i}") for i in range(100)] + [(None, f"none {i}") for i in range(40)]
+    at = f"file://{tmp_path}/tokens"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    manifest = token_files.write_tokens(docs, P.path("word_bpe_49k.json"), at, shards=8).orderBy("shard").collect()
+    got = sorted(token_files.read_tokens(docs.sparkSession.createDataFrame(manifest), at).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    assert [r["start"] for r in got] == [0, *itertools.accumulate(r["n_tokens"] for r in got[:-1])] and max(m["n_docs"] for m in manifest) < 70
+    library = word_tokenizer()
+    assert sorted(tuple(r["ids"]) for r in got) == sorted((*library.encode(x, add_special_tokens=False).ids, 1) for _, x in rows)
+
+
 @given(st.lists(st.binary(max_size=700), min_size=1, max_size=6))
 @settings(max_examples=40, deadline=None)
 def test_flac_round_trip(data):
@@ -353,6 +390,15 @@ def test_flac_notices_damage(spark):
     assert [(r["doc_id"], r["first_sample"], r["n_samples"], r["error"] is None) for r in blocks] == [(1, 0, 0, False), (2, 0, 4096, True), (2, 4096, 384, True), (4, 0, 0, False)]
 
 
+def test_flac_blocks_can_be_sought():
+    data = bytes(random.Random(8).randrange(256) for _ in range(64 * 200))
+    ((_, got, error),) = flac.decoded_pcm(flac.encode([data]))
+    own = bytes(b ^ 128 for b in data)
+    assert error is None and got.firsts == [0, 4096, 8192, 12288] and len(got.blocks) == 4
+    for first, n in ((0, 12800), (4095, 2), (4096, 4096), (5000, 7000), (12799, 1), (12790, 50)):
+        assert got.read(first, n) == own[first : first + n]
+
+
 def test_flac_query(spark, small):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in documents(spark, small).collect()}
     for r in QUERIES["op9_flac_media"](spark, small).collect():
@@ -392,15 +438,15 @@ def plain_softmax(tree, w, hashes, node, bits):
 
 def plain_word(tree, w, hashes, word, bits):
     p = 1.0
-    for at, to in zip(tree.nodes, tree.children, strict=True):
+    for k, (at, to) in enumerate(zip(tree.nodes, tree.children, strict=True)):
         if at[word] >= 0:
-            p *= plain_softmax(tree, w, hashes, int(at[word]), bits)[to[word]]
+            p *= plain_softmax(tree, w, hashes if k < 2 else [hashes[0], hashes[2]], int(at[word]), bits)[to[word]]
     return p
 
 
 def test_maxent_probabilities_sum_to_one():
     r = np.random.default_rng(1)
-    for n in (0, 1, 15, 16, 300):
+    for n in (0, 1, 7, 8, 300):
         tree = maxent_lm.Tree(np.sort(r.integers(1, 90, n))[::-1], 7.0)
         w = r.standard_normal((64, maxent_lm.WAYS)).astype(np.float32)
         f = [np.full(n + 1, r.integers(1 << 60), np.uint64) for _ in range(3)]
@@ -434,19 +480,20 @@ def test_maxent_step_is_a_plain_gradient_step():
     r = np.random.default_rng(6)
     tree, bits = maxent_lm.Tree(np.sort(r.integers(1, 50, 40))[::-1], 3.0), 5
     words, f = r.integers(0, 41, 30), [r.integers(0, 1 << 60, 30).astype(np.uint64) for _ in range(3)]
-    w, g2, touched = r.standard_normal((32, 16)).astype(np.float32), np.ones((32, 16), np.float32), np.zeros(32, np.int64)
-    g, was = np.zeros((32, 16)), w.copy()
+    learner = maxent_lm.Learner(tree, r.standard_normal((32, maxent_lm.WAYS)).astype(np.float32), bits, 0.1, 30)
+    learner.g2 += 1
+    g, was = np.zeros(learner.w.shape), learner.w.copy()
     for i, x in enumerate(words.tolist()):
-        hashes = [h[i] for h in f]
-        for at, to in zip(tree.nodes, tree.children, strict=True):
+        for k, (at, to) in enumerate(zip(tree.nodes, tree.children, strict=True)):
+            hashes = [h[i] for j, h in enumerate(f) if k < 2 or j != 1]
             if at[x] >= 0:
                 p = np.array(plain_softmax(tree, was, hashes, int(at[x]), bits))
                 p[to[x]] -= 1
                 for h in hashes:
                     g[((int(h) + int(at[x]) * 0x9FB21C651E98DF25) % 2**64 * 0xD6E8FEB86659FD93) % 2**64 >> (64 - bits)] += p
-    maxent_lm.descend(tree, w, g2, touched, f, words, bits, 0.1)
-    assert w == pytest.approx(was - 0.1 * g / np.sqrt(1 + g * g), abs=1e-4)
-    assert touched.sum() == 3 * sum((at[words] >= 0).sum() for at in tree.nodes)
+    learner.step(f, words)
+    assert learner.w == pytest.approx(was - 0.1 * g / np.sqrt(1 + g * g), abs=1e-4)
+    assert learner.touched.sum() == sum((3 if k < 2 else 2) * (at[words] >= 0).sum() for k, at in enumerate(tree.nodes))
 
 
 def test_maxent_table():
@@ -478,6 +525,23 @@ def test_near_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(700, 706))
 
 
+def test_forest_of_a_large_label(spark):
+    """One label with more vectors than the sample can split: leaves are split again by their own
+    vectors; every hundredth vector is asked of all, by brute force."""
+    r = np.random.default_rng(11)
+    n, dim = 12_000, 16
+    x = r.standard_normal((n, dim))
+    x[n // 2 :] = x[: n // 2] + 0.3 * r.standard_normal((n // 2, dim)) * np.linalg.norm(x[: n // 2], axis=1, keepdims=True) / math.sqrt(dim)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").selectExpr("*", "1 as label")
+    got = {q["vec_id"]: q for q in vector_forest.near_vectors(rows.repartition(4), leaf=300, sample=200).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, n, 100)
+    link = u[asked] @ u.T >= 0.93
+    link[np.arange(len(asked)), asked] = False
+    found, all_ = sum(got[i]["n_links"] for i in asked.tolist()), int(link.sum())
+    assert all_ > 50 and 0.95 * all_ <= found <= all_ and all(got[int(i)]["n_links"] <= link[k].sum() for k, i in enumerate(asked))
+
+
 def test_page_model_on_pages_it_has_not_seen():
     model = html_crf.default_model()
     right = total = 0
@@ -507,6 +571,13 @@ def test_main_text(page, text):
     assert html_crf.main_texts([page], html_crf.default_model()) == [text]
 
 
+def test_whole_blocks_count():
+    """What comes after the first thousands of characters moves the features."""
+    long = "word " * 1000
+    for more in ("Buy now", "1 2 3 4 5 6 7 8 9 " * 100, "Capital Letters " * 400):
+        assert html_crf.text_features(long + "end", 0, "p", 0.5) != html_crf.text_features(long + more, 0, "p", 0.5)
+
+
 def test_pages_table(spark, small):
     import html
 
