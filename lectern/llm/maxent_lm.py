@@ -2,9 +2,10 @@
 
 The softmax over words is factored by classes: the words that are counted most often lie in order of
 frequency and are cut into classes of equal shares of the training tokens, those into classes of their
-own, and so on until each class is a word (`Tree`). At each step the history chooses among at most 16
+own, and so on until each class is a word (`Tree`). At each step the history chooses among at most 8
 classes by a softmax over a prior (their shares) and the weights of its features: the word before, the
-two words before, and the word before the last (a skip), each hashed together with the step's node.
+word before the last (a skip) and, in the first PAIR_STEPS steps, the two words before, each hashed
+together with the step's node. (Further down a pair of words is met too seldom to say more than its words.)
 P(word | history) is the product of its steps, so that history chooses words, not classes alone.
 All words outside the `top` most frequent ones and unseen words are one class of the first step; within
 it words have their relative frequency, and unseen words together have the share of words seen once
@@ -39,7 +40,7 @@ from lectern.llm.common import U
 
 END, START = U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)
 #: Classes of a step, and tokens of a batch that is scored at once.
-WAYS, BATCH = 16, 16_384
+WAYS, BATCH = 8, 16_384
 #: Words seen less often are never among the most frequent: they stand for words to come.
 SELDOM = 5
 
@@ -147,6 +148,14 @@ class Tree:
             yield own, node, to[words[own]].astype(np.int64)
 
 
+#: Steps from the root on that look at the two words before.
+PAIR_STEPS = 2
+
+
+def step_features(f: list[np.ndarray], k: int) -> list[np.ndarray]:
+    return f if k < PAIR_STEPS else [f[0], f[2]]
+
+
 def rows_of(f: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """Rows of weights of a feature at nodes."""
     return ((f + node.astype(U) * U(0x9FB21C651E98DF25)) * U(0xD6E8FEB86659FD93) >> U(64 - bits)).astype(np.int64)
@@ -165,29 +174,40 @@ def step_logits(tree: Tree, w: np.ndarray, node: np.ndarray, rows: list[np.ndarr
 def word_logs(tree: Tree, w: np.ndarray, f: list[np.ndarray], words: np.ndarray, bits: int) -> np.ndarray:
     """Natural logarithms of P(word | history)."""
     out = np.zeros(len(words))
-    for own, node, choice in tree.steps(words):
-        x = step_logits(tree, w, node, [rows_of(h[own], node, bits) for h in f])
+    for k, (own, node, choice) in enumerate(tree.steps(words)):
+        x = step_logits(tree, w, node, [rows_of(h[own], node, bits) for h in step_features(f, k)])
         out[own] += x[np.arange(len(own)), choice] - np.log(np.exp(x) @ _ONES)
     return out
 
 
-def descend(tree: Tree, w: np.ndarray, g2: np.ndarray, touched: np.ndarray, f: list[np.ndarray], words: np.ndarray, bits: int, rate: float) -> None:
-    """An AdaGrad step on one batch."""
-    cells, slopes, used = [], [], []
-    for own, node, choice in tree.steps(words):
-        rows = [rows_of(h[own], node, bits) for h in f]
-        p = np.exp(step_logits(tree, w, node, rows))
-        p /= (p @ _ONES)[:, None]
-        p[np.arange(len(own)), choice] -= 1
-        used += rows
-        cells += [(r[:, None] * WAYS + np.arange(WAYS)).reshape(-1) for r in rows]
-        slopes += [p.reshape(-1)] * len(rows)
-    g = np.bincount(np.concatenate(cells), np.concatenate(slopes), w.size).astype(np.float32).reshape(w.shape)
-    touched += np.bincount(np.concatenate(used), minlength=len(w))
-    g2 += g * g
-    g *= np.float32(rate)
-    g /= np.sqrt(g2 + np.float32(1e-8))
-    w -= g
+class Learner:
+    """AdaGrad on batches of at most `most` tokens."""
+
+    def __init__(self, tree: Tree, w: np.ndarray, bits: int, rate: float, most: int) -> None:
+        self.tree, self.w, self.bits, self.rate = tree, w, bits, np.float32(rate)
+        self.g2, self.touched = np.zeros_like(w), np.zeros(len(w), np.int64)
+        size = most * len(tree.nodes) * 3 * WAYS
+        self.cells, self.slopes = np.empty(size, np.int64), np.empty(size)
+
+    def step(self, f: list[np.ndarray], words: np.ndarray) -> None:
+        at, used = 0, []
+        for k, (own, node, choice) in enumerate(self.tree.steps(words)):
+            rows = [rows_of(h[own], node, self.bits) for h in step_features(f, k)]
+            p = np.exp(step_logits(self.tree, self.w, node, rows))
+            p /= (p @ _ONES)[:, None]
+            p[np.arange(len(own)), choice] -= 1
+            for r in rows:
+                end = at + p.size
+                np.add((r * WAYS)[:, None], np.arange(WAYS), out=self.cells[at:end].reshape(-1, WAYS))
+                self.slopes[at:end] = p.reshape(-1)
+                at = end
+            used += rows
+        g = np.bincount(self.cells[:at], self.slopes[:at], self.w.size).astype(np.float32).reshape(self.w.shape)
+        self.touched += np.bincount(np.concatenate(used), minlength=len(self.w))
+        self.g2 += g * g
+        g *= self.rate
+        g /= np.sqrt(self.g2 + np.float32(1e-8))
+        self.w -= g
 
 
 @dataclass
@@ -259,8 +279,7 @@ def _learn(top: Any, start: Any, bits: int, rate: float, blocks: int) -> Callabl
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, _, tree = top.value
-        table, w = Table(keys), start.value.copy()
-        g2, touched = np.zeros_like(w), np.zeros(len(w), np.int64)
+        table, learner = Table(keys), Learner(tree, start.value.copy(), bits, rate, step)
         held: list[tuple[np.ndarray, ...]] = []  # features and words of tokens that wait for a step
 
         def walk(least: int) -> None:
@@ -269,7 +288,7 @@ def _learn(top: Any, start: Any, bits: int, rate: float, blocks: int) -> Callabl
             *f, x = (np.concatenate(parts) for parts in zip(*held, strict=True))
             end = len(x) // least * least
             for k in range(0, end, step):
-                descend(tree, w, g2, touched, [h[k : k + step] for h in f], x[k : k + step], bits, rate)
+                learner.step([h[k : k + step] for h in f], x[k : k + step])
             held[:] = [(*(h[end:] for h in f), x[end:])]
 
         for batch in batches:
@@ -280,6 +299,7 @@ def _learn(top: Any, start: Any, bits: int, rate: float, blocks: int) -> Callabl
                 walk(step)
         walk(1)
         # Only the rows that this task has touched.
+        touched, w = learner.touched, learner.w
         rows = np.flatnonzero(touched).astype(np.int32)
         block = rows % blocks
         found = [rows[block == b] for b in range(blocks)]
@@ -317,12 +337,12 @@ def _average(ways: int = WAYS) -> Callable[[Iterable[pa.RecordBatch]], Iterator[
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, feature_bits: int = 15, rounds: int = 2, rate: float = 0.15, most_bits: int = 17) -> Model:
+def train(docs: DataFrame, text_col: str = "text", top: int = 131_072, feature_bits: int = 15, rounds: int = 2, rate: float = 0.15, most_bits: int = 18) -> Model:
     """Learns from all of docs. The table of features has a row for each counted word, but
     2**feature_bits at least and 2**most_bits at most."""
     spark = docs.sparkSession
     n = c.partitions(spark)
-    rows, buckets = docs.select(F.col(text_col).alias("text")), 4 * n
+    rows, buckets = c.spread(docs).select(F.col(text_col).alias("text")), 4 * n
     counted = rows.mapInArrow(_count(buckets), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     vocabulary = c.stash(counted.mapInArrow(_gather, "bucket int, keys binary, counts binary, types long, tokens long, once long"))
     v, total, once = vocabulary.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("once"), F.lit(0))).first()
@@ -418,7 +438,7 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     n = c.partitions(spark)
     held_out = F.lit(False) if held_out is None else held_out
-    rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    rows = c.spread(docs).select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     scored = c.stash(rows.mapInArrow(_score(m), f"kind int, bucket int, row long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, blob binary"))
     asked = scored.where("kind = 1").select("kind", "bucket", "blob", F.lit(None).cast("binary").alias("counts"))
