@@ -63,10 +63,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.llm.common import stash
     from lectern.llm.flac import digests, encode_column
 
-    return digests(stash(encode_column(_table(spark, sf_dir, "documents"))))
+    return digests(encode_column(_table(spark, sf_dir, "documents")))  # the media column is what is stored
 
 
 @query
