@@ -530,9 +530,9 @@ def merge_headings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
-    found = _values(spark, _DETECTED, "ord int, page int, text string, level int, num string, element_idx int, confidence double")
-    nodes = _nodes(spark, sf)
-    found = nodes.select("book_id").distinct().join(F.broadcast(found), how="cross")  # seven rows for each book
+    nodes, names = _nodes(spark, sf), "ord int, page int, text string, level int, num string, element_idx int, confidence double"
+    each = F.array(*(F.struct(*(F.lit(v).cast(k.split(" ")[1]).alias(k.split(" ")[0]) for v, k in zip(r, names.split(", "), strict=True))) for r in _DETECTED))
+    found = nodes.select("book_id").distinct().select("book_id", F.explode(each).alias("h")).select("book_id", "h.*")
     return tree.merge_headings(nodes, found)
 
 
