@@ -18,12 +18,13 @@ their own and moved in place, so a task that runs again replaces its file."""
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 from typing import Any
 
 import numpy as np
@@ -49,6 +50,7 @@ class Words:
     """The tokenizers library on distinct pre-tokens."""
 
     def __init__(self, text: bytes) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; its threads would only wait for each other
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_str(text.decode()), p.Cache()
@@ -109,8 +111,10 @@ class Words:
         data = raw.tobytes()
 
         def make(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([data[s:e].decode() for s, e in zip(start[i], end[i], strict=True)], add_special_tokens=False)]
-            return np.array([y for x in found for y in x], np.int32), np.array([len(x) for x in found])
+            pieces = [str(data[s:e], "utf-8") for s, e in zip(start[i].tolist(), end[i].tolist(), strict=True)]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.int32, int(count.sum())), count
 
         where, count = self.cache.get(hashes, make)
         before = np.concatenate([[0], np.cumsum(count)])
