@@ -144,6 +144,12 @@ def _once(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[first], *gone[gone[:, 0] != gone[:, 1]].T
 
 
+def fingerprints(sets: np.ndarray, begin: np.ndarray, salt: int) -> np.ndarray:
+    """64 bits of each set."""
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(c.mix(sets + U(salt)))])
+    return c.mix(sums[begin[1:]] - sums[begin[:-1]] + np.diff(begin).astype(U)).view(np.int64)
+
+
 def _prints(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (0, id, h, p, q, n) of documents: h as it came, the fingerprint p, q and the size of the set;
     rows (1, -, -, shingle, -, documents) of shingles that several documents of a batch have."""
@@ -156,8 +162,7 @@ def _prints(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBa
             for s, e in c.pieces(at):
                 sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
                 n = np.diff(begin)
-                sums = [np.concatenate([np.zeros(1, U), np.cumsum(c.mix(sets + U(x)))]) for x in (11, 29)]
-                p, q = (c.mix(x[begin[1:]] - x[begin[:-1]] + n.astype(U)).view(np.int64) for x in sums)
+                p, q = fingerprints(sets, begin, 11), fingerprints(sets, begin, 29)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(e - s, np.int32)), *(batch.column(x).slice(s, e - s) for x in ("id", "h")), pa.array(p), pa.array(q), pa.array(n)], names)
                 held.append(sets)
                 if e == len(at) - 1 or sum(map(len, held)) > HELD_KEYS:
@@ -209,13 +214,16 @@ def _send(k: int, num: int, den: int, buckets: int, held_common: Any) -> Callabl
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, common = Bands(num, den), mark(held_common.value)
         for batch in batches:
-            ids = batch.column("node").to_numpy()
+            ids, prints = batch.column("node").to_numpy(), batch.column("p").to_numpy()
             raw, at = c.text_of(batch.column("text"))
             keys, owners = [], []
             for s, e in c.pieces(at):
-                key, own = sketch_keys(*c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k), bands, common)
+                sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
+                own = fingerprints(sets, begin, 11) == prints[s:e]  # else another row of the same hash
+                key, at_ = sketch_keys(sets, begin, bands, common)
+                key, at_ = key[own[at_]], at_[own[at_]]
                 keys.append(key)
-                owners.append(ids[s:e][own])
+                owners.append(ids[s:e][at_])
                 if e == len(at) - 1 or sum(map(len, keys)) > HELD_KEYS:
                     if out := _deal(keys, owners, buckets):
                         yield out
@@ -296,7 +304,8 @@ def _sets(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatc
                 sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
                 blob = pa.array([sets[x:y].tobytes() for x, y in pairwise(begin)], pa.binary())
                 rest = batch.slice(s, e - s)
-                yield pa.RecordBatch.from_arrays([*(rest.column(x) for x in names), blob], [*names, "blob"])
+                own = pa.array(fingerprints(sets, begin, 11) == rest.column("p").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(rest.column(x) for x in names), blob], [*names, "blob"]).filter(own)
         c.tidy()
 
     return run
@@ -428,7 +437,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     split_above classes are split again before they are compared."""
     spark = docs.sparkSession
     n = c.partitions(spark)
-    rows = c.spread(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    own_id = F.col(id_col).cast("long")
+    rows = c.spread(docs).select(own_id.alias("id"), F.xxhash64(own_id, text_col).alias("h"), F.col(text_col).alias("text"))
     prints = c.stash(rows.mapInArrow(_prints(k), "kind int, id long, h long, p long, q long, n long"))
     with_words = prints.where("kind = 0 and n > 0").select("id", "p", "q", "n")
 
@@ -439,14 +449,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     node = F.shiftrightunsigned(at, 33) + at.bitwiseAND((1 << 33) - 1) * n
     classes = c.stash(classes.select(node.alias("node"), "p", "q", "n", "copies", F.col("first.id").alias("low"), F.col("first.h").alias("h")))
     n_classes = classes.count()
-    texts = lambda some, count: c.join_small(rows, some.withColumnRenamed("h", "own_h"), F.col("id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("own_h")), "inner", count)
+    # Texts come by the hash of id and text; what shares it by chance has another fingerprint and goes.
+    texts = lambda some, count: c.join_small(rows.drop("id"), some, "h", "inner", count)
 
     held_common = spark.sparkContext.broadcast(common_shingles(prints))
-    sent = texts(classes.select("node", "low", "h"), n_classes).select("node", "text").mapInArrow(_send(k, num, den, 4 * n, held_common), "kind int, bucket int, blob binary")
+    sent = texts(classes.select("node", "p", "h"), n_classes).select("node", "p", "text").mapInArrow(_send(k, num, den, 4 * n, held_common), "kind int, bucket int, blob binary")
     groups = _groups(sent, n)
     n_groups = groups.count()
-    some = c.stash(c.join_small(classes.select("node", "copies", "n", "low", "h"), groups, "node", "inner", n_groups))
-    sets = texts(some, n_groups).select("node", "grp", "copies", "n", "text").mapInArrow(_sets(k), "node long, grp long, copies long, n long, blob binary")
+    some = c.stash(c.join_small(classes.select("node", "copies", "n", "p", "h"), groups, "node", "inner", n_groups))
+    sets = texts(some, n_groups).select("node", "grp", "copies", "n", "p", "text").mapInArrow(_sets(k), "node long, grp long, copies long, n long, blob binary")
     bands = Bands(num, den)
     bands.grow(1 << 40)
     tasks = _tasks(_split(c.stash(sets), num, den, split_above), bands)
