@@ -604,3 +604,17 @@ def test_cotraining_held_out(spark):
     rows = cotraining.classify(docs, known).join(labels.where("doc_id % 5 = 0"), "doc_id").collect()
     good, bad = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.2
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    from lectern.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    for name, sql in SQL.items():
+        found = con.execute(sql)
+        columns = [d[0] for d in found.description]
+        got = QUERIES[name](spark, "/root/testdata/sf0.01")
+        assert sorted(got.columns) == sorted(columns) and sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(found.fetchall())
