@@ -112,3 +112,47 @@ def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.cotraining import classify
 
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.schema_rewrite import rewrite_clients
+
+    return rewrite_clients(_table(spark, sf_dir, "clients"))
+
+
+@query
+def op13_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.kd_clusters import kd_means
+
+    return kd_means(_table(spark, sf_dir, "embeddings"))
+
+
+def _rounds(rounds: int = 10) -> str:
+    """SQL of the clustering: a vector is rows (vec_id, i, v); each round is a step of its own."""
+    near = "{0} AS MATERIALIZED (SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT x.vec_id, c.cluster, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN {1} c USING (i) GROUP BY ALL) GROUP BY vec_id)"
+    steps = [
+        "kept AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64)",
+        "x AS MATERIALIZED (SELECT vec_id, i, CAST(floor(1024 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS v FROM kept, range(1, 65) r(i))",
+        "first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < 8)",
+        "c0 AS MATERIALIZED (SELECT cluster, i, v FROM first JOIN x USING (vec_id))",
+    ]
+    for r in range(rounds):
+        steps.append(near.format(f"a{r}", f"c{r}"))
+        mean = f"SELECT a.cluster, x.i, (sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM x JOIN a{r} a USING (vec_id) GROUP BY ALL"
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, c.i, CAST(coalesce(m.m, c.v) AS BIGINT) AS v FROM c{r} c LEFT JOIN ({mean}) m USING (cluster, i))")
+    steps.append(near.format("a", f"c{rounds}"))
+    steps.append(f"s AS (SELECT cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)")
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM a JOIN s USING (cluster)"
+    )
+
+
+SQL["op13_kd_clusters"] = _rounds()
