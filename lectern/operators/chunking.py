@@ -31,18 +31,19 @@ def book_tokens(spans: DataFrame) -> DataFrame:
     return spans.groupBy("book_id").agg(F.flatten(F.transform(ordered, lambda s: s["tokens"])).alias("tokens"))
 
 
-def windows(rows: DataFrame, key: list[str], size: int, overlap: int, drop_tail: bool = False) -> DataFrame:
+def windows(rows: DataFrame, key: list[str], size: int, overlap: int, drop_tail: bool = False, text: bool = True) -> DataFrame:
     """key, k, token_start, token_end, text: a window every size - overlap tokens. drop_tail leaves
-    out a last window that is shorter than the overlap (but never the first)."""
+    out a last window that is shorter than the overlap (but never the first). Without text, windows
+    are where they lie alone, and no text is put together."""
     step = step_of(size, overlap)
     rows = rows.where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
     starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))
     if drop_tail:
         starts = F.filter(starts, lambda s: ~((s > 0) & (s + size > F.col("n")) & (F.col("n") - s < overlap)))
     # Each window takes its own tokens along, not the book's.
-    own = F.transform(starts, lambda s: F.struct(s.alias("s"), detokenize(F.slice("tokens", s + 1, size)).alias("text")))
-    out = rows.select(*key, "n", F.explode(own).alias("w")).select(*key, "n", F.col("w.s").alias("token_start"), "w.text")
-    return out.select(*key, F.expr(f"int(token_start div {step})").alias("k"), "token_start", F.least(F.col("token_start") + size, "n").alias("token_end"), "text")
+    own = F.transform(starts, lambda s: F.struct(s.alias("s"), *([detokenize(F.slice("tokens", s + 1, size)).alias("text")] if text else [])))
+    out = rows.select(*key, "n", F.explode(own).alias("w")).select(*key, "n", F.col("w.s").alias("token_start"), *(["w.text"] if text else []))
+    return out.select(*key, F.expr(f"int(token_start div {step})").alias("k"), "token_start", F.least(F.col("token_start") + size, "n").alias("token_end"), *(["text"] if text else []))
 
 
 def estimate(n: Column, size: int, overlap: int) -> Column:
@@ -109,13 +110,23 @@ def flat_chunks(pages: DataFrame, sections: DataFrame, size: int = 1500, overlap
 
 def chapter_texts(chapters: DataFrame, elements: DataFrame, legacy_ranges: bool = False) -> DataFrame:
     """Text of each chapter: its elements that aren't blank, joined by blank lines. Where a chapter
-    has no first element it begins at the first on its first page (legacy: at element 0)."""
+    has no first element it begins at the first on its first page (legacy: at element 0). Chapters may overlap.
+
+    A sweep: the first and last elements of a book's chapters cut its elements into stretches, which are
+    numbered by a running count; a chapter meets the elements of its stretches by an equal key."""
     first = elements.groupBy("book_id", F.col("page").alias("start_page")).agg(F.min("idx").alias("page_idx"))
     rows = chapters if legacy_ranges else chapters.join(first, ["book_id", "start_page"], "left").withColumn("start_idx", F.coalesce("start_idx", "page_idx"))
-    rows = rows.withColumn("low", F.greatest(F.coalesce("start_idx", F.lit(0)), F.lit(0))).withColumn("high", F.coalesce("end_idx", F.lit(2**31 - 1)))
-    filled = elements.where(t.strip(F.coalesce("text", F.lit(""))) != "").select("book_id", "idx", F.col("text").alias("part"))
-    joined = rows.select("book_id", "node_id", "low", "high").join(filled, "book_id").where("idx between low and high")
-    parts = F.array_sort(F.collect_list(F.struct("idx", "part")))
+    low, high = F.greatest(F.coalesce("start_idx", F.lit(0)), F.lit(0)).cast("long"), F.coalesce("end_idx", F.lit(2**31 - 1)).cast("long")
+    ends = F.explode(F.array(F.struct(low.alias("at"), F.lit("starts").alias("kind")), F.struct((high + 1).alias("at"), F.lit("ended").alias("kind"))))
+    ends = rows.select("book_id", "node_id", ends.alias("e")).select("book_id", "node_id", "e.at", "e.kind", F.lit(None).cast("string").alias("part"))
+    filled = elements.where(t.strip(F.coalesce("text", F.lit(""))) != "").select("book_id", F.lit(None).cast("int").alias("node_id"), F.col("idx").cast("long").alias("at"), F.lit("element").alias("kind"), F.col("text").alias("part"))
+    stretch = F.count(F.when(F.col("kind") != "element", 1)).over(W.partitionBy("book_id").orderBy("at"))
+    swept = ends.unionByName(filled).withColumn("stretch", stretch)
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("stretch")))
+    spans = swept.where("kind != 'element'").groupBy("book_id", "node_id").agg(of("starts").alias("a"), of("ended").alias("b")).where("a < b")
+    spans = spans.select("book_id", "node_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("stretch"))
+    joined = swept.where("kind = 'element'").select("book_id", "stretch", "at", "part").join(spans, ["book_id", "stretch"])
+    parts = F.array_sort(F.collect_list(F.struct("at", "part")))
     return joined.groupBy("book_id", "node_id").agg(F.array_join(F.transform(parts, lambda s: s["part"]), "\n\n").alias("text"))
 
 

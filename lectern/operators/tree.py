@@ -1,8 +1,8 @@
 """Section trees as adjacency lists: nodes(book_id, node_id, parent_id, seq, level, title, number,
 start_page, start_idx, confidence, source, path), after fill_ranges with end_page and end_idx. The
 root is node 0 and isn't a row. path holds the sequence numbers from the root, so paths sort in
-preorder, and ancestors are found by windows over prefixes of the path instead of joins. Depth is
-at most 3."""
+preorder, and ancestors are found by windows over prefixes of the path instead of joins. The depth of
+the tree is a parameter: books have chapters, sections and subsections, other trees may go on."""
 
 from __future__ import annotations
 
@@ -10,47 +10,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LEVELS = (1, 2, 3)
+#: Levels of a book: chapters, sections, subsections.
+DEPTH = 3
 
 
-def from_contents(toc: DataFrame) -> DataFrame:
-    """Nodes of contents entries; a parent is the nearest entry before of a smaller level."""
+def from_contents(toc: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Nodes of contents entries of levels 1 to depth; a parent is the nearest entry before of a smaller
+    level. Of the last entries of each smaller level, those after all of the levels above them are the ancestors."""
     before = W.partitionBy("book_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    one, two = (F.last(F.when(F.col("level") == k, F.col("seq")), True).over(before) for k in (1, 2))
-    rows = toc.withColumn("one", one).withColumn("two", F.when(F.col("level") == 3, two))
-    # Of a subsection, a section before the last chapter is no parent.
-    rows = rows.withColumn("two", F.when(F.col("one").isNull() | (F.col("two") > F.col("one")), F.col("two")))
-    up = F.when(F.col("level") == 1, F.array().cast("array<int>")).otherwise(F.filter(F.array("one", "two"), lambda x: x.isNotNull()))
-    rows = rows.withColumn("path", F.concat(up, F.array("seq")))
+    last = [F.last(F.when(F.col("level") == k, F.col("seq")), True).over(before) for k in range(1, depth)]
+    rows = toc.withColumn("last__", F.array(*last).cast("array<int>"))
+    above = F.slice("last__", 1, F.col("level") - 1)
+    up = F.filter(above, lambda x, i: x.isNotNull() & (x > F.coalesce(F.array_max(F.slice("last__", 1, i)), F.lit(-1))))
+    rows = rows.withColumn("path", F.concat(up, F.array("seq"))).drop("last__")
     null = F.lit(None).cast("int")
     parent = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(0)
     return rows.select("book_id", F.col("seq").alias("node_id"), parent.alias("parent_id"), "seq", "level", "title", "number", F.col("page").alias("start_page"), null.alias("start_idx"), F.lit(0.9).alias("confidence"), F.lit("toc").alias("source"), "path")
 
 
-def merge_headings(nodes: DataFrame, headings: DataFrame) -> DataFrame:
-    """Adds detected headings (book_id, ord, page, text, level, num, element_idx, confidence). One
-    whose page has a node only lends it its element; others go below the nearest node of the level
-    above that begins on their page or before (ties: first in preorder), else below the root."""
-    host = nodes.where("start_page is not null and start_page != 0").groupBy("book_id", F.col("start_page").alias("page")).agg(F.max_by("node_id", "path").alias("host"))
-    met = headings.join(host, ["book_id", "page"], "left")
-    lent = met.where("host is not null and element_idx is not null").groupBy("book_id", F.col("host").alias("node_id")).agg(F.min_by("element_idx", "ord").alias("lent"))
-    columns = nodes.columns
-    nodes = nodes.join(lent, ["book_id", "node_id"], "left").withColumn("start_idx", F.coalesce("start_idx", "lent")).select(*columns)
-    top = nodes.groupBy("book_id").agg(F.max("seq").alias("top"))
-    new = met.where("host is null").join(top, "book_id", "left")
-    seq = (F.coalesce("top", F.lit(0)) + F.row_number().over(W.partitionBy("book_id").orderBy("ord"))).cast("int")
-    new = new.withColumn("seq", seq).select("book_id", F.col("seq").alias("node_id"), "seq", "level", F.col("text").alias("title"), F.col("num").alias("number"), F.col("page").alias("start_page"), F.col("element_idx").cast("int").alias("start_idx"), "confidence", F.lit("detected").alias("source"))
-    # A chapter's parent is the root; each other level looks at the one above.
-    last = new.where("level = 1").withColumn("parent_id", F.lit(0)).withColumn("path", F.array("seq")).select(*columns)
-    out = nodes.unionByName(last)
-    for level in LEVELS[1:]:
-        own = new.where(F.col("level") == level)
-        above = nodes.where(F.col("level") == level - 1).unionByName(last).where("start_page > 0").select("book_id", F.col("node_id").alias("p"), F.col("seq").alias("p_seq"), F.col("start_page").alias("p_page"), F.col("path").alias("p_path"))
-        near = own.where("start_page > 0").select("book_id", "node_id", "seq", "start_page").join(above, "book_id").where("p_seq < seq and p_page <= start_page")
-        best = near.groupBy("book_id", "node_id").agg(F.min_by(F.struct("p", "p_path"), F.struct(F.col("start_page") - F.col("p_page"), "p_path")).alias("b"))
-        last = own.join(best, ["book_id", "node_id"], "left").withColumn("parent_id", F.coalesce("b.p", F.lit(0))).withColumn("path", F.concat(F.coalesce("b.p_path", F.array().cast("array<int>")), F.array("seq"))).select(*columns)
-        out = out.unionByName(last)
-    return out
+def merge_headings(nodes: DataFrame, headings: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Adds detected headings (book_id, ord, page, text, level, num, element_idx, confidence), whose ord
+    follows their pages. One whose page has a node only lends it its element; others go below the nearest
+    node of the level above that begins on their page or before (ties: first in preorder), else below the root.
+
+    An as-of join by windows: nodes and headings of a book lie in one order of (page, number), in which
+    each heading takes the last node of the level above that has passed."""
+    columns, no = nodes.columns, lambda kind: F.lit(None).cast(kind)
+    old = nodes.withColumn("new", F.lit(False)).withColumn("ord", no("long"))
+    new = headings.select(
+        "book_id", no("int").alias("node_id"), no("int").alias("parent_id"), no("int").alias("seq"), "level", F.col("text").alias("title"), F.col("num").alias("number"), F.col("page").alias("start_page"), F.col("element_idx").cast("int").alias("start_idx"), "confidence",
+        F.lit("detected").alias("source"), no("array<int>").alias("path"), F.lit(True).alias("new"), F.col("ord").cast("long").alias("ord"),
+    )
+    rows, book, page = old.unionByName(new), W.partitionBy("book_id"), W.partitionBy("book_id", "start_page")
+    hosts = ~F.col("new") & (F.coalesce("start_page", F.lit(0)) != 0)
+    rows = rows.withColumn("top", F.coalesce(F.max(F.when(~F.col("new"), F.col("seq"))).over(book), F.lit(0)))
+    rows = rows.withColumn("host", F.max(F.when(hosts, F.struct("path", "node_id"))).over(page)["node_id"])
+    lent = F.min(F.when(F.col("new") & F.col("start_idx").isNotNull(), F.struct("ord", "start_idx"))).over(page)["start_idx"]
+    rows = rows.withColumn("lent", lent).where("not new or host is null")
+    rows = rows.withColumn("start_idx", F.coalesce("start_idx", F.when(F.col("node_id") == F.col("host"), F.col("lent"))))
+    seq = (F.col("top") + F.row_number().over(W.partitionBy("book_id", "new").orderBy("ord"))).cast("int")
+    rows = rows.withColumn("seq", F.when(F.col("new"), seq).otherwise(F.col("seq"))).withColumn("node_id", F.coalesce("node_id", "seq"))
+    root = F.array().cast("array<int>")
+    rows = rows.withColumn("path", F.when(F.col("new") & (F.col("level") == 1), F.array("seq")).otherwise(F.col("path")))
+    passed = book.orderBy("start_page", "seq").rowsBetween(W.unboundedPreceding, -1)
+    same = page.orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    for level in range(2, depth + 1):
+        above = (F.col("level") == level - 1) & (F.col("start_page") > 0)
+        first = F.min(F.when(above, F.col("path"))).over(same)  # of the nodes of a page so far, the first in preorder
+        near = F.last(F.when(above, F.col("first__")), True).over(passed)
+        rows = rows.withColumn("first__", first).withColumn("near__", F.when(F.col("start_page") > 0, near))
+        own = F.col("new") & (F.col("level") == level)
+        rows = rows.withColumn("path", F.when(own, F.concat(F.coalesce("near__", root), F.array("seq"))).otherwise(F.col("path")))
+    parent = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(0)
+    return rows.withColumn("parent_id", F.when(F.col("new"), parent).otherwise(F.col("parent_id"))).select(*columns)
 
 
 def front_matter(nodes: DataFrame) -> DataFrame:
@@ -60,7 +72,7 @@ def front_matter(nodes: DataFrame) -> DataFrame:
     return nodes.unionByName(front)
 
 
-def fill_ranges(nodes: DataFrame, books: DataFrame) -> DataFrame:
+def fill_ranges(nodes: DataFrame, books: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Adds end_page and end_idx: a node ends before its next sibling, and the last where its
     parent ends. books: book_id, total_pages, last_idx."""
     siblings = W.partitionBy("book_id", "parent_id")
@@ -68,16 +80,14 @@ def fill_ranges(nodes: DataFrame, books: DataFrame) -> DataFrame:
     before = lambda own: F.when(F.lead(own).over(order).isNull() | (F.lead(own).over(order) == 0), F.col(own)).otherwise(F.lead(own).over(order) - 1)
     rows = nodes.join(books.select("book_id", "total_pages", "last_idx"), "book_id")
     own = F.struct((F.row_number().over(order) == F.count("*").over(siblings)).alias("last"), before("start_page").cast("int").alias("page"), before("start_idx").cast("int").alias("idx"))
-    rows = rows.withColumn("own", own).withColumn("p1", F.get("path", F.lit(0))).withColumn("p2", F.get("path", F.lit(1)))
-    # Of all nodes below a prefix of the path, the first in preorder is the ancestor itself.
-    rows = rows.withColumn("a1", F.first("own").over(W.partitionBy("book_id", "p1").orderBy("path")))
-    rows = rows.withColumn("a2", F.first("own").over(W.partitionBy("book_id", "p1", "p2").orderBy("path")))
-    page, idx = F.col("total_pages"), F.col("last_idx")
-    for depth, at in ((1, "a1"), (2, "a2"), (3, "own")):
-        inside = F.size("path") >= depth
-        page = F.when(inside, F.when(F.col(f"{at}.last"), F.coalesce(F.nullif(page, F.lit(0)), "total_pages")).otherwise(F.col(f"{at}.page"))).otherwise(page)
-        idx = F.when(inside, F.when(F.col(f"{at}.last"), idx).otherwise(F.col(f"{at}.idx"))).otherwise(idx)
-    return rows.select(*nodes.columns, page.cast("int").alias("end_page"), idx.cast("int").alias("end_idx"))
+    rows = rows.withColumn("own", own).withColumn("page__", F.col("total_pages")).withColumn("idx__", F.col("last_idx"))
+    for k in range(1, depth + 1):
+        # Of all nodes below a prefix of the path, the first in preorder is the ancestor itself.
+        at, inside = F.first("own").over(W.partitionBy("book_id", F.slice("path", 1, k)).orderBy("path")), F.size("path") >= k
+        page = F.when(F.col("at__.last"), F.coalesce(F.nullif("page__", F.lit(0)), "total_pages")).otherwise(F.col("at__.page"))
+        idx = F.when(F.col("at__.last"), F.col("idx__")).otherwise(F.col("at__.idx"))
+        rows = rows.withColumn("at__", at).withColumns({"page__": F.when(inside, page).otherwise(F.col("page__")), "idx__": F.when(inside, idx).otherwise(F.col("idx__"))})
+    return rows.select(*nodes.columns, F.col("page__").cast("int").alias("end_page"), F.col("idx__").cast("int").alias("end_idx"))
 
 
 def chapters(nodes: DataFrame) -> DataFrame:
@@ -116,12 +126,15 @@ def outline(nodes: DataFrame) -> DataFrame:
 
 
 def nested(nodes: DataFrame) -> DataFrame:
-    """Each chapter as JSON with its children inside."""
-    fields = ["title", "level", "number", "start_page", "end_page"]
-    rows, below = nodes.select("book_id", "node_id", "parent_id", "seq", *fields), None
-    for level in (3, 2, 1):
-        own = rows.where(F.col("level") == level)
-        own = own.withColumn("children", F.lit(None).cast("array<string>")) if below is None else own.join(below, ["book_id", "node_id"], "left")
-        own = own.withColumn("json", F.to_json(F.struct(*fields, F.coalesce("children", F.array().cast("array<string>")).alias("children"))))
-        below = own.groupBy("book_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "json"))), lambda e: e["json"]).alias("children"))
-    return own.select("book_id", "node_id", "json")
+    """book_id, node_id, json of each chapter: an object with its children inside, to any depth. Nodes
+    in preorder open their object; each closes as many as lie between it and the next."""
+    fields = F.struct("title", "level", "number", "start_page", "end_page")
+    below = W.partitionBy("book_id", "root").orderBy("path")
+    rows = nodes.withColumn("root", F.get("path", F.lit(0))).withColumn("own", F.to_json(fields)).withColumn("depth", F.size("path"))
+    comma = F.when(F.lag("depth").over(below) >= F.col("depth"), ",").otherwise("")
+    close = F.repeat(F.lit("]}"), F.col("depth") - F.coalesce(F.lead("depth").over(below), F.lit(1)) + 1)
+    piece = F.concat(comma, F.expr("substring(own, 1, length(own) - 1)"), F.lit(',"children":['), close)
+    rows = rows.select("book_id", "root", "level", "path", piece.alias("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "piece"))), lambda x: x["piece"]), "")
+    out = rows.groupBy("book_id", F.col("root").alias("node_id")).agg(whole.alias("json"), F.min_by("level", "path").alias("level"))
+    return out.where("level = 1").drop("level").select("book_id", "node_id", "json")

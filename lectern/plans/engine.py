@@ -15,6 +15,7 @@ from lectern.operators import answer, chunking, contents, layout, search, sectio
 from lectern.operators.answer import AnswerGenerator
 from lectern.plans.pipeline import Pipeline, State, chain
 from lectern.sources import pages as page_source
+from lectern.sources import pdf
 from lectern.sources.store import Store, records
 
 
@@ -63,6 +64,21 @@ class Engine:
         chunks = self.chunk(pages, lines, strategy).join(books.select("book_id", "book_title", "author"), "book_id", "left")
         self.store.upsert(records(chunks.withColumn("embedding", self.embedder(F.col("text"))), self.config.namespace), whole_books=True)
 
+    def read_files(self, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Pages, lines and books of all PDF files of a folder. A book is a path; its title is the file's
+        name. Files that can't be read have no pages."""
+        pdf.register(self.spark)
+        book = F.xxhash64("path").alias("book_id")
+        pages = self.spark.read.format("pdf").load(path).where("error is null").select(book, "path", "page", "text", "width", "height")
+        chars = self.spark.read.format("pdf").option("rows", "chars").load(path).withColumn("book_id", book)
+        title = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+        books = pages.select("book_id", "path").distinct().select("book_id", title.alias("book_title"), F.lit("Unknown").alias("author"))
+        return pages.drop("path"), layout.lines(chars), books
+
+    def ingest_files(self, path: str, strategy: str | None = None) -> None:
+        pages, lines, books = self.read_files(path)
+        self.ingest(self._cut(pages), books, self._cut(lines), strategy)
+
     # --- questions -----------------------------------------------------------------------------
 
     def query_pipeline(self, rerank: bool = True, chosen: Column | None = None) -> Pipeline:

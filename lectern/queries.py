@@ -15,7 +15,7 @@ from lectern.functions.vectors import cosine
 from lectern.operators import answer, chunking, contents, layout, search, sections, tree
 from lectern.plans.tables import shared_dir, spread, written
 from lectern.sources import pages as page_source
-from lectern.sources import store
+from lectern.sources import pdf, pdf_files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,9 +224,9 @@ def page_token_spans(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.page_spans(_pages(spark, sf)).select("book_id", "page", "token_start", "token_end")
 
 
-def _windows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _windows(spark: SparkSession, sf: str, text: bool = True) -> tuple[DataFrame, DataFrame]:
     spans = chunking.page_spans(_pages(spark, sf))
-    return chunking.windows(chunking.book_tokens(spans), ["book_id"], SIZE, OVERLAP), spans
+    return chunking.windows(chunking.book_tokens(spans), ["book_id"], SIZE, OVERLAP, text=text), spans
 
 
 @query(f"WITH {BOOKS_SQL} SELECT book_id, k, token_start, token_end, md5(text) AS hash FROM wins")
@@ -247,7 +247,7 @@ def chunk_estimate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BOOKS_SQL} SELECT w.book_id, w.k, CAST(coalesce(min(page), 1) AS INT) AS page_start, CAST(coalesce(max(page), 1) AS INT) AS page_end FROM wins w LEFT JOIN spans s ON s.book_id = w.book_id AND w.token_start < s.token_end AND w.token_end > s.token_start GROUP BY ALL")
 def chunk_page_range(spark: SparkSession, sf: str) -> DataFrame:
-    windows, spans = _windows(spark, sf)
+    windows, spans = _windows(spark, sf, text=False)
     return chunking.page_ranges(windows, spans.drop("tokens"), SIZE).select("book_id", "k", "page_start", "page_end")
 
 
@@ -310,17 +310,24 @@ _LEVEL = f"CASE WHEN {_NAMED} THEN 1 WHEN coalesce(num, '') <> '' THEN least(len
 _TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-@query(
-    f"WITH {LINES_SQL}, med AS (SELECT book_id, list_sort(list(size))[count(*) // 2 + 1] AS median FROM lines WHERE size > 0 GROUP BY book_id), f AS (SELECT book_id, page, pos, text, size, median FROM lines JOIN med USING (book_id) WHERE length(text) >= 3 AND (size >= median * 1.2 OR {_CHAPTER} OR (abs(x0 + x1 - 600) / 600 < 0.2 AND top < 240))), "
+_FOUND_SQL = (
+    f"{LINES_SQL}, med AS (SELECT book_id, list_sort(list(size))[count(*) // 2 + 1] AS median FROM lines WHERE size > 0 GROUP BY book_id), f AS (SELECT book_id, page, pos, text, size, median FROM lines JOIN med USING (book_id) WHERE length(text) >= 3 AND (size >= median * 1.2 OR {_CHAPTER} OR (abs(x0 + x1 - 600) / 600 < 0.2 AND top < 240))), "
     f"u AS (SELECT book_id, page, pos, text, 0 AS s, size > median * 1.5 AS big, size > median * 1.2 AS large FROM f UNION ALL SELECT book_id, page, pos, text, 1, false, false FROM (SELECT book_id, page, pos, {_TRIMMED} AS text FROM lines) WHERE {_CHAPTER}), "
-    f"r AS (SELECT *, {_number_sql('text')} AS num, row_number() OVER (PARTITION BY book_id, page, substr({_TRIMMED}, 1, 50) ORDER BY s, pos) AS r FROM u), l AS (SELECT *, CAST({_LEVEL} AS INT) AS level FROM r WHERE r = 1) SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, level, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page, level DESC, s, pos) AS INT) AS ord FROM l"
+    f"r AS (SELECT *, {_number_sql('text')} AS num, row_number() OVER (PARTITION BY book_id, page, substr({_TRIMMED}, 1, 50) ORDER BY s, pos) AS r FROM u), l AS (SELECT *, CAST({_LEVEL} AS INT) AS level FROM r WHERE r = 1), "
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, level DESC, s, pos) AS ord FROM l)"
 )
-def heading_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """All merged headings, those of the chapter pattern among them."""
+
+
+def _all_headings(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf)
     elements = lines.select("book_id", "page", F.col("pos").alias("idx"), "text", F.lit("NarrativeText").alias("type"))
-    rows = layout.merged_headings(layout.font_headings(lines, _line_pages(lines)), layout.element_headings(elements, "pattern"))
-    return rows.select("book_id", "page", "text", "source", "level", "ord")
+    return layout.merged_headings(layout.font_headings(lines, _line_pages(lines)), layout.element_headings(elements, "pattern"))
+
+
+@query(f"WITH {_FOUND_SQL} SELECT book_id, page, text, CASE s WHEN 0 THEN 'font' ELSE 'pattern' END AS source, level, CAST(ord AS INT) AS ord FROM numbered")
+def heading_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """All merged headings, those of the chapter pattern among them."""
+    return _all_headings(spark, sf).select("book_id", "page", "text", "source", "level", "ord")
 
 
 @query(
@@ -412,7 +419,7 @@ def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     # Titles as they are: the SQL says nothing of the numbers in them.
     level = F.col("level")
     found = found.withColumn("chapter_title", F.when(level == 1, F.col("title")).otherwise(F.col("chapter_title"))).withColumn("section_title", F.when(level == 2, F.col("title")).otherwise(F.col("section_title")))
-    rows = chunking.windows(chunking.book_tokens(spans), ["book_id"], SIZE, OVERLAP)
+    rows = chunking.windows(chunking.book_tokens(spans), ["book_id"], SIZE, OVERLAP, text=False)
     rows = chunking.window_sections(rows, chunking.section_spans(found, spans.drop("tokens")), SIZE)
     return rows.select("book_id", "k", F.size("chapter_titles").cast("long").alias("chapters"), F.size("section_titles").cast("long").alias("sections"))
 
@@ -471,8 +478,14 @@ def _elements(spark: SparkSession, sf: str) -> DataFrame:
     return head.unionByName(lines).withColumn("page", F.lit(1)).unionByName(own).withColumn("type", F.lit("NarrativeText"))
 
 
+def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Elements and the nodes of their contents, each computed once."""
+    elements = written(_elements(spark, sf))
+    return elements, written(tree.from_contents(contents.entries(elements)))
+
+
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return written(tree.from_contents(contents.entries(written(_elements(spark, sf)))))
+    return _tree(spark, sf)[1]
 
 
 @query(f"WITH {_TOCS_SQL} SELECT book_id, seq, title, number, page, level FROM toc")
@@ -498,13 +511,14 @@ _RANGES = _TREE + (
 )
 
 
-def _books(spark: SparkSession, sf: str) -> DataFrame:
-    last = _elements(spark, sf).groupBy("book_id").agg(F.max("idx").alias("last_idx"))
+def _books(spark: SparkSession, sf: str, elements: DataFrame) -> DataFrame:
+    last = elements.groupBy("book_id").agg(F.max("idx").alias("last_idx"))
     return page_source.page_counts(_pages(spark, sf)).join(last, "book_id")
 
 
 def _filled(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.fill_ranges(_nodes(spark, sf), _books(spark, sf))
+    elements, nodes = _tree(spark, sf)
+    return tree.fill_ranges(nodes, _books(spark, sf, elements))
 
 
 @query(f"WITH {_RANGES} SELECT book_id, seq AS node_id, page AS start_page, CAST(end_page AS INT) AS end_page FROM lall")
@@ -512,31 +526,25 @@ def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return _filled(spark, sf).select("book_id", "node_id", "start_page", "end_page")
 
 
-_DETECTED = [(1, 3, "On a page that may have a node", 2, None, 7, 0.7), (2, 40, "2.2 Found", 2, "2.2", 90, 0.7), (3, 45, "Inside of it", 3, None, 95, 0.75), (4, 1, "Before all", 3, None, None, 0.75), (5, 60, "5 Fifth", 1, "5", 120, 0.7), (6, 65, "5.1 Below", 2, "5.1", 130, 0.7), (7, 6, "Lends its element too", 2, None, 11, 0.7)]
-
-
 _MERGED_SQL = (
-    _TREE + f", det AS (SELECT b.book_id, d.* FROM (SELECT DISTINCT book_id FROM toc) b, {_sql_values([(r[0], r[1], r[3], r[5]) for r in _DETECTED], 'ord, page, level, element')} d), host AS (SELECT book_id, page, max(seq) AS host FROM par GROUP BY ALL), "
+    _TREE + ", det AS (SELECT book_id, ord, page, level, CASE WHEN s = 1 THEN pos END AS element FROM numbered), host AS (SELECT book_id, page, max(seq) AS host FROM par GROUP BY ALL), "
     "met AS (SELECT det.*, host FROM det LEFT JOIN host USING (book_id, page)), lent AS (SELECT book_id, host AS seq, first(element ORDER BY ord) AS lent FROM met WHERE host IS NOT NULL AND element IS NOT NULL GROUP BY ALL), "
-    "new AS (SELECT m.book_id, m.page, m.level, m.element, top + row_number() OVER (PARTITION BY m.book_id ORDER BY m.ord) AS seq FROM met m JOIN (SELECT book_id, max(seq) AS top FROM par GROUP BY ALL) USING (book_id) WHERE host IS NULL), every AS (SELECT book_id, seq, page, level FROM par UNION ALL SELECT book_id, seq, page, level FROM new), "
+    "new AS (SELECT m.book_id, m.page, m.level, m.element, coalesce(top, 0) + row_number() OVER (PARTITION BY m.book_id ORDER BY m.ord) AS seq FROM met m LEFT JOIN (SELECT book_id, max(seq) AS top FROM par GROUP BY ALL) USING (book_id) WHERE host IS NULL), every AS (SELECT book_id, seq, page, level FROM par UNION ALL SELECT book_id, seq, page, level FROM new), "
     "best AS (SELECT n.book_id, n.seq, first(e.seq ORDER BY n.page - e.page, e.seq) AS up FROM new n JOIN every e ON e.book_id = n.book_id AND e.level = n.level - 1 AND e.seq < n.seq AND e.page <= n.page GROUP BY ALL) "
 )
 
 
-@query(f"WITH {_MERGED_SQL} " "SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level, CAST(coalesce(up, 0) AS INT) AS parent_id, CAST(element AS INT) AS start_idx, 'detected' AS source FROM new LEFT JOIN best USING (book_id, seq) UNION ALL SELECT book_id, seq, level, parent_id, CAST(lent AS INT), 'toc' FROM par LEFT JOIN lent USING (book_id, seq)")
+@query(f"WITH {_FOUND_SQL}, {_MERGED_SQL} " "SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level, CAST(coalesce(up, 0) AS INT) AS parent_id, CAST(element AS INT) AS start_idx, 'detected' AS source FROM new LEFT JOIN best USING (book_id, seq) UNION ALL SELECT book_id, seq, level, parent_id, CAST(lent AS INT), 'toc' FROM par LEFT JOIN lent USING (book_id, seq)")
 def merge_headings(spark: SparkSession, sf: str) -> DataFrame:
-    """Detected headings in the tree of every book; some only lend their element to a node of their page."""
+    """Each book's own headings in its tree; those of a page with a node only lend it their element."""
     return _merged(spark, sf).select("book_id", "node_id", "level", "parent_id", "start_idx", "source")
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, names = _nodes(spark, sf), "ord int, page int, text string, level int, num string, element_idx int, confidence double"
-    each = F.array(*(F.struct(*(F.lit(v).cast(k.split(" ")[1]).alias(k.split(" ")[0]) for v, k in zip(r, names.split(", "), strict=True))) for r in _DETECTED))
-    found = nodes.select("book_id").distinct().select("book_id", F.explode(each).alias("h")).select("book_id", "h.*")
-    return tree.merge_headings(nodes, found)
+    return tree.merge_headings(_nodes(spark, sf), _all_headings(spark, sf))
 
 
-@query(f"WITH {_MERGED_SQL} SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level FROM new LEFT JOIN best USING (book_id, seq) WHERE level <> 1 AND up IS NULL UNION ALL SELECT book_id, seq, level FROM par WHERE parent_id = 0 AND level <> 1")
+@query(f"WITH {_FOUND_SQL}, {_MERGED_SQL} SELECT book_id, CAST(seq AS INT) AS node_id, CAST(level AS INT) AS level FROM new LEFT JOIN best USING (book_id, seq) WHERE level <> 1 AND up IS NULL UNION ALL SELECT book_id, seq, level FROM par WHERE parent_id = 0 AND level <> 1")
 def tree_dropped(spark: SparkSession, sf: str) -> DataFrame:
     """Children of the root that are no chapters."""
     return tree.dropped(_merged(spark, sf)).select("book_id", "node_id", "level")
@@ -564,8 +572,8 @@ _JSON = "'{{\"title\":\"' || title || '\",\"level\":' || level || CASE WHEN numb
 
 
 @query(
-    f"WITH {_RANGES}, j3 AS (SELECT book_id, parent_id, seq, {_JSON.format(chr(39) + '[]' + chr(39))} AS json FROM lall WHERE level = 3), b3 AS (SELECT book_id, parent_id AS seq, CAST(to_json(list(json ORDER BY seq)) AS VARCHAR) AS below FROM j3 GROUP BY ALL), "
-    f"j2 AS (SELECT book_id, parent_id, seq, {_JSON.format('coalesce(below, ' + chr(39) + '[]' + chr(39) + ')')} AS json FROM lall LEFT JOIN b3 USING (book_id, seq) WHERE level = 2), b2 AS (SELECT book_id, parent_id AS seq, CAST(to_json(list(json ORDER BY seq)) AS VARCHAR) AS below FROM j2 GROUP BY ALL) "
+    f"WITH {_RANGES}, j3 AS (SELECT book_id, parent_id, seq, {_JSON.format(chr(39) + '[]' + chr(39))} AS json FROM lall WHERE level = 3), b3 AS (SELECT book_id, parent_id AS seq, '[' || string_agg(json, ',' ORDER BY seq) || ']' AS below FROM j3 GROUP BY ALL), "
+    f"j2 AS (SELECT book_id, parent_id, seq, {_JSON.format('coalesce(below, ' + chr(39) + '[]' + chr(39) + ')')} AS json FROM lall LEFT JOIN b3 USING (book_id, seq) WHERE level = 2), b2 AS (SELECT book_id, parent_id AS seq, '[' || string_agg(json, ',' ORDER BY seq) || ']' AS below FROM j2 GROUP BY ALL) "
     f"SELECT book_id, seq AS node_id, {_JSON.format('coalesce(below, ' + chr(39) + '[]' + chr(39) + ')')} AS json FROM lall LEFT JOIN b2 USING (book_id, seq) WHERE level = 1"
 )
 def tree_json(spark: SparkSession, sf: str) -> DataFrame:
@@ -590,12 +598,50 @@ _STRICT = f"(regexp_matches(text, {_q('(?m)' + '|'.join(f'(?:{p})' for p in t.CO
 )
 def chapter_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks that follow the chapters of the contents, front matter first, over all documents."""
-    nodes = tree.fill_ranges(tree.front_matter(_nodes(spark, sf)), _books(spark, sf))
-    rows = chunking.chapter_chunks(tree.chapters(nodes), nodes, _elements(spark, sf), SIZE, OVERLAP)
+    elements, nodes = _tree(spark, sf)
+    nodes = tree.fill_ranges(tree.front_matter(nodes), _books(spark, sf, elements))
+    rows = chunking.chapter_chunks(tree.chapters(nodes), nodes, elements, SIZE, OVERLAP)
     names = [f"{k}_{x}" for k in ("chapter", "section", "subsection") for x in ("titles", "numbers")]
     return rows.select("book_id", "chunk_index", "token_start", "page_start", "page_end", F.md5("text").alias("hash"), *map(_bar, names), "contains_code")
 
 
+# --- document files ----------------------------------------------------------------------------------
+
+_FILES_SQL = (
+    "flines AS (SELECT doc_id AS book_id, CAST(pos // 40 + 1 AS INT) AS page, pos, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)), "
+    "fwords AS (SELECT *, array_to_string(regexp_extract_all(text, '[^\\x09-\\x0D\\x20]+'), ' ') AS words FROM flines)"
+)
+
+
+def _files(spark: SparkSession, sf: str) -> str:
+    """Documents as PDF files of forty lines a page, in a new folder."""
+    at = f"{shared_dir(spark)}/files"
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    written(pdf_files.write_books(pdf_files.text_pages(rows), at))
+    pdf.register(spark)
+    return at
+
+
+@query(f"WITH {_FILES_SQL} SELECT book_id, page, md5(coalesce(string_agg(words, chr(10) ORDER BY pos) FILTER (WHERE words <> ''), '')) AS hash, CAST(100 + 6 * max(length(text)) AS DOUBLE) AS width, CAST(100 + 12 * count(*) AS DOUBLE) AS height, CAST(NULL AS VARCHAR) AS error FROM fwords GROUP BY book_id, page")
+def pdf_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and sizes of the pages of every document, written as a file and read back."""
+    rows = spark.read.format("pdf").load(_files(spark, sf))
+    return rows.select(pdf_files.book_of("path").alias("book_id"), "page", F.md5("text").alias("hash"), "width", "height", "error")
+
+
+@query(f"WITH {_FILES_SQL} SELECT book_id, page, CAST(50 + 12 * (pos % 40) AS DOUBLE) AS top, md5({_TRIMMED}) AS hash, 10.0::DOUBLE AS size, 'Plain' AS fontname, 50.0::DOUBLE AS x0, CAST(50 + 6 * length(text) AS DOUBLE) AS x1 FROM fwords WHERE text <> ''")
+def pdf_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines out of the characters of the files of every document."""
+    rows = spark.read.format("pdf").option("rows", "chars").load(_files(spark, sf)).withColumn("book_id", pdf_files.book_of("path"))
+    return layout.lines(rows).select("book_id", "page", "top", F.md5("text").alias("hash"), "size", "fontname", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"))
+
+
+@query(f"WITH {_FILES_SQL} SELECT book_id, CAST(max(page) AS INT) AS total_pages FROM flines GROUP BY book_id")
+def pdf_page_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.format("pdf").load(_files(spark, sf)).withColumn("book_id", pdf_files.book_of("path"))
+    return page_source.page_counts(rows)
+
+
 # --- ranking and answers ----------------------------------------------------------------------------
 
 _ASKS = [(9, "How do I implement a CNN in Keras?"), (13, "implement gan"), (3, "Explain neural networks for a beginner")]
@@ -687,7 +733,7 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {BOOKS_SQL}, p AS (SELECT book_id, max(page) AS pages FROM spans GROUP BY book_id), {_TOCS_SQL}, ch AS (SELECT book_id, count(*) + CASE WHEN min(page) > 1 THEN 1 ELSE 0 END AS chapters FROM toc WHERE level = 1 GROUP BY book_id) SELECT p.book_id, CAST(pages AS INT) AS pages, any_value(coalesce(chapters, 0)) AS chapters, count(k) AS chunks FROM p LEFT JOIN wins USING (book_id) LEFT JOIN ch USING (book_id) GROUP BY p.book_id, pages")
 def book_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.book_totals(_pages(spark, sf), tree.chapters(tree.front_matter(_nodes(spark, sf))), _windows(spark, sf)[0])
+    return chunking.book_totals(_pages(spark, sf), tree.chapters(tree.front_matter(_nodes(spark, sf))), _windows(spark, sf, text=False)[0])
 
 
 @query("SELECT doc_id, 'new' AS title FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'old' FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0")
