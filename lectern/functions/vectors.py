@@ -31,11 +31,12 @@ def hashed_encoder(dimension: int) -> Encoder:
     word = re.compile(r"\w+")
 
     def encode(texts: list[str]) -> np.ndarray:
+        found = [word.findall((t or "").lower()) for t in texts]
         out = np.zeros((len(texts), dimension), np.float32)
-        for i, t in enumerate(texts):
-            for w in word.findall((t or "").lower()):
-                h = zlib.crc32(w.encode())
-                out[i, h % dimension] += 1 if h >> 31 else -1
+        distinct, at = np.unique(np.array([w for x in found for w in x], object), return_inverse=True)
+        if len(distinct):
+            h = np.array([zlib.crc32(w.encode()) for w in distinct])
+            np.add.at(out, (np.repeat(np.arange(len(texts)), [len(x) for x in found]), (h % dimension)[at]), np.where(h >> 31, 1, -1).astype(np.float32)[at])
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode

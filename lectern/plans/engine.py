@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, PRESETS, Config
 from lectern.functions.tokens import Tokenizer, lossless
 from lectern.functions.vectors import embed
-from lectern.operators import answer, chunking, contents, layout, search, sections, tree
+from lectern.operators import answer, cells, chunking, contents, layout, search, sections, tree
 from lectern.operators.answer import AnswerGenerator
 from lectern.plans.pipeline import Pipeline, State, chain
 from lectern.sources import pages as page_source
@@ -79,10 +81,30 @@ class Engine:
         pages, lines, books = self.read_files(path)
         self.ingest(self._cut(pages), books, self._cut(lines), strategy)
 
+    # --- the index -----------------------------------------------------------------------------
+
+    def build_index(self) -> cells.Cells:
+        """Indexes the vectors of the namespace as it is now; an ingestion makes the index void."""
+        at = f"{self._index_path()}/{uuid.uuid4().hex}"
+        out = cells.build_cells(self.store.read(self.config.namespace), at, ("book_title", "chapter_numbers"))
+        self.spark.range(1).selectExpr(f"'{at}' as at").coalesce(1).write.mode("overwrite").text(f"{self._index_path()}/current")
+        return out
+
+    def _index_path(self) -> str:
+        return f"{self.store.path}-index/{self.config.namespace}-{self.store.version()}"
+
+    def _index(self) -> cells.Cells | None:
+        try:
+            return cells.Cells(self.spark, self.spark.read.text(f"{self._index_path()}/current").first()["value"])
+        except AnalysisException:  # none of this state
+            return None
+
     # --- questions -----------------------------------------------------------------------------
 
-    def query_pipeline(self, rerank: bool = True, chosen: Column | None = None) -> Pipeline:
-        """parse, search, rerank, context, answer: each stage adds a table to the state."""
+    def query_pipeline(self, rerank: bool = True, book_title: str | None = None, chapter: str | None = None) -> Pipeline:
+        """parse, search, rerank, context, answer: each stage adds a table to the state. Of the store, the
+        parts that may hold the title and chapter are read, or the vectors of an index of its last state."""
+        title, chapter = None if book_title in (None, "", "All Books") else book_title, chapter or None
         r, a = self.config.retrieval, self.config.answers
 
         def parse(s: State) -> State:
@@ -97,9 +119,12 @@ class Engine:
             if not self.store.exists():
                 s.errors.append("No document indexed")
                 return s
-            chunks = self.store.read(self.config.namespace).where(F.lit(True) if chosen is None else chosen)
+            chunks = self.store.read(self.config.namespace, title, chapter)
             vectors = s.tables["parsed"].withColumn("embedding", self.embedder(F.col("raw_query"))).select("qid", "embedding")
-            hits = search.top_k(chunks, vectors, r.top_k)
+            if index := self._index():
+                hits = index.search(vectors, r.top_k, search.metadata_filter(title, chapter))
+            else:
+                hits = search.top_k(chunks, vectors, r.top_k)
             about = s.tables["parsed"].select("qid", "intent", "topics", "keywords")
             s.tables["hits"] = hits.join(search.to_hits(chunks), "chunk_id").join(about, "qid")
             return s
@@ -150,13 +175,13 @@ class Engine:
 
     def ask(self, questions: DataFrame, rerank: bool = True, book_title: str | None = None, chapter: str | None = None) -> DataFrame:
         """Responses of a batch of questions (qid, raw_query)."""
-        result = self.query_pipeline(rerank, search.metadata_filter(book_title, chapter)).run(State({"questions": questions}))
+        result = self.query_pipeline(rerank, book_title, chapter).run(State({"questions": questions}))
         if result.error:
             raise ValueError(result.error)
         return result.state.tables["responses"]
 
     def stats(self) -> DataFrame:
-        return answer.chunk_stats(self.store.read(self.config.namespace))
+        return self.store.stats(self.config.namespace)
 
 
 def create_engine(spark: SparkSession, path: str, preset: str = "default") -> Engine:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as t
 from lectern.functions.tokens import lossless
 from lectern.functions.vectors import cosine
-from lectern.operators import answer, chunking, contents, layout, search, sections, tree
+from lectern.operators import answer, cells, chunking, contents, layout, postings, search, sections, tree
 from lectern.plans.tables import shared_dir, spread, written
 from lectern.sources import pages as page_source
 from lectern.sources import pdf, pdf_files, store
@@ -138,6 +138,18 @@ def relevance_pct(spark: SparkSession, sf: str) -> DataFrame:
     return vector_topk(spark, sf).select("qid", "chunk_id", search.relevance(F.col("similarity"), W.partitionBy("qid")).alias("relevance_pct"))
 
 
+@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0) WHERE rank <= 10")
+def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The search over all vectors, through an index of cells."""
+    return cells.build_cells(_t(spark, sf, "embeddings"), chunk_id="vec_id").search(_asked_vectors(spark, sf), 10)
+
+
+@query(f"SELECT qid, chunk_id, similarity, rank FROM (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS} AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS INT) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND c.label < 7) WHERE rank <= 5")
+def vector_topk_cells_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    index = cells.build_cells(_t(spark, sf, "embeddings"), keep=("label",), chunk_id="vec_id")
+    return index.search(_asked_vectors(spark, sf), 5, F.col("label") < 7)
+
+
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS similarity, len(embedding) AS dimension FROM embeddings")
 def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "embeddings").select("vec_id", F.round(cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("similarity"), F.size("embedding").cast("long").alias("dimension"))
@@ -169,6 +181,17 @@ def query_topics(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("qid", _bar("topics"), _bar("keywords"), _bar("plain"))
 
 
+_WORDS_SQL = f"list_filter(regexp_extract_all(lower(raw_query), '[\\p{{L}}\\p{{N}}_]+'), lambda x: NOT list_contains([{', '.join(map(_q, t.STOPWORDS))}], x) AND length(x) > 2)"
+
+
+@query(f"WITH {ASKED_SQL}, w AS (SELECT qid, word, count(*) AS times FROM (SELECT qid, unnest({_WORDS_SQL}) AS word FROM asked) GROUP BY ALL), d AS (SELECT doc_id, lower(text) AS text FROM documents), hit AS (SELECT word, doc_id FROM (SELECT DISTINCT word FROM w) JOIN d ON contains(text, word)) SELECT qid, doc_id, CAST(sum(times) AS BIGINT) AS n FROM w JOIN hit USING (word) GROUP BY ALL")
+def keyword_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many keywords of every question every document contains, through posting lists."""
+    docs = _t(spark, sf, "documents")
+    asked = _questions(spark, sf).where("raw_query is not null").select("qid", t.keywords(F.col("raw_query")).alias("keywords"))
+    return postings.keyword_counts(postings.build_postings(docs, id_col="doc_id"), docs, asked, id_col="doc_id")
+
+
 _STRIPPED = "regexp_replace(raw_query, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -721,14 +744,31 @@ def hit_projection(spark: SparkSession, sf: str) -> DataFrame:
 # --- store ------------------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT source AS book_title FROM documents WHERE source <> ''")
+def _store(spark: SparkSession, sf: str) -> store.Store:
+    """Documents as chunks of a store: sources are titles, the remainder by 4 is a chapter."""
+    x = F.col("text")
+    rows = _t(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("book_id"), F.col("source").alias("book_title"), F.lit(0).alias("chunk_index"), "text", F.array((F.col("doc_id") % 4).cast("string")).alias("chapter_numbers"), t.contains_code(x).alias("contains_code"))
+    out = store.Store(spark, shared_dir(spark))
+    out.upsert(store.records(rows, "ns"))
+    return out
+
+
+@query("SELECT DISTINCT source AS book_title FROM documents WHERE source <> '' AND text IS NOT NULL")
 def distinct_books(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").where("source <> ''").select(F.col("source").alias("book_title")).distinct()
+    """Titles of a store, without a scan of its chunks."""
+    return _store(spark, sf).book_titles("ns")
 
 
 @query(f"WITH c AS ({_code_sql(t.CODE_BROAD, f'length(text) > 0 AND {_SYMBOLS} / greatest(length(text), 1) > 0.01')}) SELECT count(*) AS total, count(*) FILTER (WHERE code) AS code, count(*) FILTER (WHERE NOT code) AS text FROM c")
 def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return answer.chunk_stats(_t(spark, sf, "documents").where("text is not null").select(t.contains_code(F.col("text")).alias("contains_code")))
+    """Counts of a store, without a scan of its chunks."""
+    return _store(spark, sf).stats("ns")
+
+
+@query("SELECT doc_id FROM documents WHERE source = 'src3' AND doc_id % 4 = 1 AND text IS NOT NULL")
+def store_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of a title and a chapter, out of the parts of a store that may hold them."""
+    return _store(spark, sf).read("ns", "src3", "1").select(F.col("book_id").alias("doc_id"))
 
 
 @query(f"WITH {BOOKS_SQL}, p AS (SELECT book_id, max(page) AS pages FROM spans GROUP BY book_id), {_TOCS_SQL}, ch AS (SELECT book_id, count(*) + CASE WHEN min(page) > 1 THEN 1 ELSE 0 END AS chapters FROM toc WHERE level = 1 GROUP BY book_id) SELECT p.book_id, CAST(pages AS INT) AS pages, any_value(coalesce(chapters, 0)) AS chapters, count(k) AS chunks FROM p LEFT JOIN wins USING (book_id) LEFT JOIN ch USING (book_id) GROUP BY p.book_id, pages")

@@ -206,7 +206,7 @@ def test_store_replaces_by_id(spark, tmp_path):
 
 def test_store_rewrites_only_the_parts_it_touches(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/s")
-    assert not s.exists() and s.read().count() == 0
+    assert not s.exists() and s.read().count() == 0 and s.count() == 0
     rows = lambda books, text, n: records(spark.createDataFrame([(b, i, f"{text} {i}") for b in books for i in range(n)], "book_id long, chunk_index int, text string"), "ns")
     s.upsert(rows(range(40), "old", 3))
     before = s._parts()
