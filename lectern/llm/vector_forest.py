@@ -1,10 +1,10 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Equal vectors of a label are one class in all of this, with a count. A label with at most `leaf`
-classes is one leaf. For others, trees are fitted on a bounded sample (`sample` classes of the least
+Equal vectors of a label are one class in all of this, with a count and one of its rows. Trees are fitted on a bounded sample (`sample` classes of the least
 hash, a documented parameter): a node splits at the median of a random projection, and vectors whose
 projection lies between the quantiles 0.5 - spill and 0.5 + spill go to both sides, until a leaf is
-expected to hold about `leaf` classes of the whole label. Every vector of the table is indexed in
+expected to hold no more classes of the whole label than a leaf may: a quarter of the label's, LEAST_LEAF at
+least and `leaf` at most. A label with that few is one leaf. Every vector of the table is indexed in
 every tree. A leaf that still holds more than twice that, as the sample was too small for more splits,
 is split again by a tree fitted on its own vectors, as long as that shrinks it; so depth follows the
 table. Projections are drawn from seeds where they are used; only bounds are sent.
@@ -34,8 +34,8 @@ from lectern.llm import common as c
 
 #: Vectors of a block in a comparison, and rows of it that are multiplied at once.
 BLOCK, ROWS = 4096, 512
-#: Vectors of a task of the index.
-INDEX_ROWS = 20_000
+#: Vectors of a task of the index; classes that no label is split for.
+INDEX_ROWS, LEAST_LEAF = 20_000, 32
 
 
 class Tree:
@@ -72,13 +72,14 @@ def _unit(blobs: list[bytes], kind: type) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _plant(trees: int, leaf: int, spill: float, seed: int, kind: type) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _plant(trees: int, spill: float, seed: int, kind: type) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The forest of each group of the sample, as one blob."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = 0.5 + spill
         for grp, t in c.groups(batches, "grp"):
             x, n, key = _unit(t.column("blob").to_pylist(), kind), t.column("n")[0].as_py(), int(t.column("seed")[0].as_py()) & (1 << 63) - 1
+            leaf = t.column("leaf")[0].as_py()
             depth = 0
             while n * keep**depth > leaf and len(x) * keep**depth >= 8:
                 depth += 1
@@ -126,19 +127,19 @@ def _blobs(kind: type) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _cells(members: DataFrame, sizes: DataFrame, n_groups: int, trees: int, leaf: int, spill: float, sample: int, seed: int, kind: type) -> DataFrame:
-    """Cells (node, grp, cell) of members (node, grp, blob) of groups with sizes (grp, n)."""
+def _cells(members: DataFrame, sizes: DataFrame, n_groups: int, trees: int, spill: float, sample: int, seed: int, kind: type) -> DataFrame:
+    """Cells (node, grp, cell) of members (node, grp, blob) of groups with sizes (grp, n, leaf)."""
     n = c.partitions(members.sparkSession)
     with_sizes = c.join_small(members, sizes, "grp", "inner", n_groups)
     # A bounded sample of each group: least hashes, through a threshold on the hash first.
     at = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "node"), 11) / F.lit(float(1 << 53))
     some = with_sizes.withColumn("h", at).where(F.col("h") < F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("n")))
     some = some.withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy("h", "node"))).where(F.col("r") <= sample)
-    some = some.select("grp", "blob", "n", F.xxhash64("grp").alias("seed"), "node")
-    forests = c.stash(some.repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_plant(trees, leaf, spill, seed, kind), "grp string, forest binary"))
+    some = some.select("grp", "blob", "n", "leaf", F.xxhash64("grp").alias("seed"), "node")
+    forests = c.stash(some.repartition(n, "grp").sortWithinPartitions("grp", "node").mapInArrow(_plant(trees, spill, seed, kind), "grp string, forest binary"))
     # Each task of vectors meets the forest of its group once.
     part = F.concat_ws("#", "grp", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n") / INDEX_ROWS))).cast("string"))
-    spread = with_sizes.withColumn("part", part).drop("n")
+    spread = with_sizes.withColumn("part", part).drop("n", "leaf")
     firsts = spread.groupBy("grp", "part").agg(F.min("node").alias("node")).join(forests, "grp")
     parts, size = sizes.agg(F.sum(F.ceil(F.col("n") / INDEX_ROWS))).first()[0], forests.agg(F.max(F.length("forest"))).first()[0]
     spread = c.join_small(spread, firsts.select("part", "node", "forest"), ["part", "node"], "left", int(parts), 64 + int(size))
@@ -216,17 +217,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     n_classes = classes.count()
     wanted = classes.select("node", "copies", "low", F.col("p").alias("own_p"), F.col("q").alias("own_q"))
     found = c.join_small(rows.where("grp is not null"), wanted, F.col("id").eqNullSafe(F.col("low")) & (F.col("p") == F.col("own_p")) & (F.col("q") == F.col("own_q")), "inner", n_classes)
-    kept = c.stash(found.select("node", "grp", "copies", "vector").mapInArrow(_blobs(kind), "node long, grp string, copies long, blob binary"))
+    found = found.select("node", "grp", "copies", "vector").dropDuplicates(["node"])  # repeated rows, and those without an id, come several times
+    kept = c.stash(found.mapInArrow(_blobs(kind), "node long, grp string, copies long, blob binary"))
 
     # Cells: whole groups that are small, leaves of the trees of others, leaves of leaves.
-    sizes = c.stash(kept.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > leaf))
+    own_leaf = F.greatest(F.lit(LEAST_LEAF), F.least(F.lit(leaf), F.expr("n div 4"))).alias("leaf")
+    sizes = c.stash(kept.groupBy("grp").agg(F.count("*").alias("n")).select("grp", "n", own_leaf).where("n > leaf"))
     n_large, turn = sizes.count(), 0
     spots = [c.join_small(kept.select("node", "grp"), sizes.select("grp"), "grp", "left_anti", n_large).select("node", F.xxhash64("grp").alias("cell"))]
     members = c.join_small(kept.select("node", "grp", "blob"), sizes.select("grp"), "grp", "left_semi", n_large)
     while n_large:
-        split = c.stash(_cells(members, sizes, n_large, trees if turn == 0 else 1, leaf, spill, sample, seed + turn, kind).select("node", F.concat_ws("#", "grp", "cell").alias("cell"), "grp"))
-        over = split.groupBy("grp", "cell").agg(F.count("*").alias("m")).where(F.col("m") > 2 * leaf)
-        over = c.stash(c.join_small(over, sizes, "grp", "inner", n_large).where("4 * m <= 3 * n").select(F.col("cell").alias("grp"), F.col("m").alias("n")))
+        split = c.stash(_cells(members, sizes, n_large, trees if turn == 0 else 1, spill, sample, seed + turn, kind).select("node", F.concat_ws("#", "grp", "cell").alias("cell"), "grp"))
+        over = c.join_small(split.groupBy("grp", "cell").agg(F.count("*").alias("m")), sizes, "grp", "inner", n_large)
+        over = c.stash(over.where("m > 2 * leaf and 4 * m <= 3 * n").select(F.col("cell").alias("grp"), F.col("m").alias("n"), "leaf"))
         n_large, turn = over.count(), turn + 1
         again = split.select("node", F.col("cell").alias("grp"))
         spots.append(c.join_small(again, over.select("grp"), "grp", "left_anti", n_large).select("node", F.xxhash64("grp").alias("cell")))
