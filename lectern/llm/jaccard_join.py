@@ -210,10 +210,23 @@ def _deal(keys: list[np.ndarray], owners: list[np.ndarray], buckets: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["kind", "bucket", "blob"])
 
 
+def _first_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each class of a task: a class's representative is told by its id and text, which
+    repeated rows share, and rows without an id. Nodes are numbers, so what is held is small beside the texts."""
+    seen = np.zeros(0, np.int64)
+    for batch in batches:
+        own = batch.column("node").to_numpy()
+        _, first = np.unique(own, return_index=True)
+        first = np.sort(first[~np.isin(own[first], seen)])
+        seen = np.union1d(seen, own[first])
+        if len(first):
+            yield batch if len(first) == len(own) else batch.take(pa.array(first))
+
+
 def _send(k: int, num: int, den: int, buckets: int, held_common: Any) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, common = Bands(num, den), mark(held_common.value)
-        for batch in batches:
+        for batch in _first_rows(batches):
             ids, prints = batch.column("node").to_numpy(), batch.column("p").to_numpy()
             raw, at = c.text_of(batch.column("text"))
             keys, owners = [], []
@@ -298,7 +311,7 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["node", "grp", "copies", "n"]
-        for batch in batches:
+        for batch in _first_rows(batches):
             raw, at = c.text_of(batch.column("text"))
             for s, e in c.pieces(at):
                 sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
@@ -431,6 +444,16 @@ def _tasks(sets: DataFrame, bands: Bands) -> DataFrame:
     return dealt.select("node", "copies", "blob", col("t.side").alias("side"), F.concat_ws(",", "grp", "t.low", "t.high", "t.i", "t.j").alias("task"))
 
 
+def _each_once(sets: DataFrame) -> DataFrame:
+    """Sets (a table) with one row of each node. Only nodes that came from several tasks are dealt again."""
+    twice = c.stash(sets.groupBy("node").count().where("count > 1").select("node"))
+    n = twice.count()
+    if not n:
+        return sets
+    once = c.join_small(sets, twice, "node", "left_semi", n).dropDuplicates(["node"])
+    return c.join_small(sets, twice, "node", "left_anti", n).unionByName(once)
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100, split_above: int = 2048) -> DataFrame:
     """A row for each document: id_col, n_shingles, component_id (the smallest id reachable by
     links, itself included), n_links (other documents linked directly). Candidate groups of more than
@@ -460,7 +483,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = texts(some, n_groups).select("node", "grp", "copies", "n", "p", "text").mapInArrow(_sets(k), "node long, grp long, copies long, n long, blob binary")
     bands = Bands(num, den)
     bands.grow(1 << 40)
-    tasks = _tasks(_split(c.stash(sets), num, den, split_above), bands)
+    tasks = _tasks(_split(_each_once(c.stash(sets)), num, den, split_above), bands)
     found = c.stash(tasks.repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_compare(num, den), "a long, b long, kind int"))
     links = c.components(found.where("kind = 0").select("a", "b"))
 
