@@ -88,7 +88,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("text_key"))
-    rows = c.stash(rows)
+    rows = c.stash(rows.withColumn("tie", F.monotonically_increasing_id()))  # tells rows of one id, or of none, apart
     n = c.partitions(spark)
     groups = c.stash(rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies")))
     n_groups = groups.count()
@@ -103,9 +103,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     _, places = difference([sums[b] for b in order], shards)
     where = spark.createDataFrame([(b, k, p[k]) for b, p in zip(order, places, strict=True) for k in range(shards)], "bucket int, place int, shard int")
     of_group = c.join_small(local, where, ["bucket", "place"], "inner", buckets * shards).select("text_key", "shard", "copies")
-    dealt = c.join_counted(rows, of_group, ["text_key"], "copies", n_groups).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(4 * n)))
+    dealt = c.join_counted(rows, of_group, ["text_key"], "copies", n_groups).withColumn("chunk", F.pmod(F.xxhash64("id", "tie"), F.lit(4 * n)))
     counts = dealt.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("id", "text_crc32", "size")) - 1
+    own = F.row_number().over(W.partitionBy("shard", "chunk").orderBy("id", "text_crc32", "size", "tie")) - 1
     out = dealt.withColumn("own", own).join(F.broadcast(before) if 4 * n * shards * 24 <= 32 << 20 else before, ["shard", "chunk"])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
