@@ -606,6 +606,34 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stores a stream for each distinct text in the shared folder. Returns a row for each document (id, key,
+    copies of its text) and the stored table of streams (key, n_bytes, media), read from the folder.
+
+    Texts are told apart by 128-bit fingerprints; one row of each writes its stream. Where that row is repeated, so
+    is the stream; both are the same. A text that many rows have is counted, not gathered."""
+    rows = c.spread(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select("id", F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), "text").alias("q"), "text")
+    prints = c.stash(rows.drop("text"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
+    texts = c.stash(prints.groupBy("p", "q").agg(first, F.count("*").alias("copies")).select("p", "q", F.col("first.id").alias("own_id"), "copies"))
+    n = texts.count()
+    one = texts.select(F.col("p").alias("own_p"), F.col("q").alias("own_q"), "own_id")
+    found = c.join_small(rows, one, (F.col("p") == F.col("own_p")) & (F.col("q") == F.col("own_q")) & F.col("id").eqNullSafe(F.col("own_id")), "inner", n)
+    media = c.stash(encode_column(found.select(F.struct("p", "q").alias("key"), "text"), "key", "text"))
+    return prints.withColumnRenamed("id", id_col), media
+
+
+def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The digests of each document, out of the stored streams: each is read back and decoded once."""
+    rows, media = store_media(docs, id_col, text_col)
+    told = digests(media, "key").select("key.p", "key.q", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+    told = told.dropDuplicates(["p", "q"])
+    copies = rows.groupBy("p", "q").agg(F.count("*").alias("copies"))
+    told = c.stash(told.join(copies, ["p", "q"]))
+    return c.join_counted(rows, told, ["p", "q"], "copies", told.count() * 6).drop("p", "q")
+
+
 def _decoded(media: list[bytes | None]) -> Iterator[tuple[int, tuple | None, str | None]]:
     """(index, decoded or None, error or None) of each stream, some at a time; a broken one costs
     the others nothing but a second look."""

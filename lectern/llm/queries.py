@@ -63,9 +63,9 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lectern.llm.flac import digests, encode_column
+    from lectern.llm.flac import stored_digests
 
-    return digests(encode_column(_table(spark, sf_dir, "documents")))  # the media column is what is stored
+    return stored_digests(_table(spark, sf_dir, "documents"))
 
 
 @query
