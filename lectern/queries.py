@@ -765,10 +765,10 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _store(spark, sf).stats("ns")
 
 
-@query("SELECT doc_id FROM documents WHERE source = 'src3' AND doc_id % 4 = 1 AND text IS NOT NULL")
+@query("SELECT doc_id FROM documents WHERE source = 'src3' AND doc_id % 4 = 3 AND text IS NOT NULL")
 def store_filtered(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of a title and a chapter, out of the parts of a store that may hold them."""
-    return _store(spark, sf).read("ns", "src3", "1").select(F.col("book_id").alias("doc_id"))
+    return _store(spark, sf).read("ns", "src3", "3").select(F.col("book_id").alias("doc_id"))
 
 
 @query(f"WITH {BOOKS_SQL}, p AS (SELECT book_id, max(page) AS pages FROM spans GROUP BY book_id), {_TOCS_SQL}, ch AS (SELECT book_id, count(*) + CASE WHEN min(page) > 1 THEN 1 ELSE 0 END AS chapters FROM toc WHERE level = 1 GROUP BY book_id) SELECT p.book_id, CAST(pages AS INT) AS pages, any_value(coalesce(chapters, 0)) AS chapters, count(k) AS chunks FROM p LEFT JOIN wins USING (book_id) LEFT JOIN ch USING (book_id) GROUP BY p.book_id, pages")
