@@ -607,31 +607,50 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stores a stream for each distinct text in the shared folder. Returns a row for each document (id, key,
-    copies of its text) and the stored table of streams (key, n_bytes, media), read from the folder.
+    """Stores a stream for each distinct text in the shared folder. Returns a row for each document (id_col and
+    the fingerprint p, q of its text) and the stored table of streams (key: p, q, copies; n_bytes, media).
 
     Texts are told apart by 128-bit fingerprints; one row of each writes its stream. Where that row is repeated, so
-    is the stream; both are the same. A text that many rows have is counted, not gathered."""
+    may the stream be; both are the same. A text that many rows have is counted, not gathered."""
     rows = c.spread(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("p"), F.xxhash64(F.lit(7), "text").alias("q"), "text")
     prints = c.stash(rows.drop("text"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
-    texts = c.stash(prints.groupBy("p", "q").agg(first, F.count("*").alias("copies")).select("p", "q", F.col("first.id").alias("own_id"), "copies"))
-    n = texts.count()
-    one = texts.select(F.col("p").alias("own_p"), F.col("q").alias("own_q"), "own_id")
-    found = c.join_small(rows, one, (F.col("p") == F.col("own_p")) & (F.col("q") == F.col("own_q")) & F.col("id").eqNullSafe(F.col("own_id")), "inner", n)
-    media = c.stash(encode_column(found.select(F.struct("p", "q").alias("key"), "text"), "key", "text"))
+    texts = c.stash(prints.groupBy("p", "q").agg(first, F.count("*").alias("copies")).select(F.col("p").alias("own_p"), F.col("q").alias("own_q"), F.col("first.id").alias("own_id"), "copies"))
+    same = (F.col("p") == F.col("own_p")) & (F.col("q") == F.col("own_q")) & F.col("id").eqNullSafe(F.col("own_id"))
+    found = c.join_small(rows, texts, same, "inner", texts.count())
+    key = F.struct("p", "q", "copies").alias("key")
+    media = c.stash(encode_column(found.select(key, "text").mapInArrow(_once, "key struct<p:bigint,q:bigint,copies:bigint>, text string"), "key", "text"))
     return prints.withColumnRenamed("id", id_col), media
 
 
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each key of a task."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        p, q = (batch.column("key").field(i).to_pylist() for i in (0, 1))
+        keep = [k not in seen and not seen.add(k) for k in zip(p, q, strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The digests of each document, out of the stored streams: each is read back and decoded once."""
+    """The digests of each document, out of the stored streams: each is read back and decoded once.
+    Documents of a text that many have meet its digests by a broadcast, all others by a shuffle of digests."""
     rows, media = store_media(docs, id_col, text_col)
-    told = digests(media, "key").select("key.p", "key.q", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
-    told = told.dropDuplicates(["p", "q"])
-    copies = rows.groupBy("p", "q").agg(F.count("*").alias("copies"))
-    told = c.stash(told.join(copies, ["p", "q"]))
-    return c.join_counted(rows, told, ["p", "q"], "copies", told.count() * 6).drop("p", "q")
+    twice = c.stash(media.groupBy("key").count().where("count > 1").select("key"))
+    if n := twice.count():  # from several tasks
+        once = c.join_small(media, twice, "key", "left_semi", n).dropDuplicates(["key"])
+        media = c.join_small(media, twice, "key", "left_anti", n).unionByName(once)
+
+    def told(some: DataFrame) -> DataFrame:
+        raw = digests(some, "key").withColumns({x: F.unhex(x) for x in ("payload_sha256", "media_sha256")})
+        return raw.select("key.p", "key.q", *(x for x in raw.columns if x != "key"))
+
+    hot = media.where(F.col("key.copies") > c.HOT_ROWS)
+    keys = hot.select("key.p", "key.q")
+    out = rows.join(F.broadcast(keys), ["p", "q"], "left_anti").join(told(media.where(F.col("key.copies") <= c.HOT_ROWS)), ["p", "q"])
+    out = out.unionByName(rows.join(F.broadcast(told(hot)), ["p", "q"]))  # at most rows / HOT_ROWS texts
+    return out.withColumns({x: F.lower(F.hex(x)) for x in ("payload_sha256", "media_sha256")}).drop("p", "q")
 
 
 def _decoded(media: list[bytes | None]) -> Iterator[tuple[int, tuple | None, str | None]]:
