@@ -24,8 +24,15 @@ def lines(chars: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, column: str = "size", by: str = "book_id") -> DataFrame:
-    """The value at n div 2 of the sorted values of each group: the upper of two middle ones."""
-    return rows.groupBy(by).agg(F.element_at(F.sort_array(F.collect_list(column)), F.expr("int(count(*) div 2) + 1")).alias("median"))
+    """The value at n div 2 of the sorted values of each group: the upper of two middle ones. Values are
+    counted first, so a group holds its distinct values, not its rows; a running sum of counts finds the
+    middle. Nulls don't count; a group of nulls has none."""
+    counted = rows.where(F.col(column).isNotNull()).groupBy(by, column).agg(F.count("*").alias("n__"))
+    group = W.partitionBy(by)
+    upto = F.sum("n__").over(group.orderBy(column).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = counted.withColumn("upto__", upto).withColumn("middle__", F.shiftright(F.sum("n__").over(group), 1))
+    at = (F.col("upto__") > F.col("middle__")) & (F.col("upto__") - F.col("n__") <= F.col("middle__"))
+    return ranked.where(at).select(by, F.col(column).alias("median"))
 
 
 def text_lines(lines_: DataFrame) -> DataFrame:

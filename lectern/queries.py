@@ -449,22 +449,16 @@ def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- contents and trees -----------------------------------------------------------------------------
 
-_TOC_SQL = (
-    "toc AS (SELECT id, text, CASE WHEN p1 AND length(t1) >= 2 THEN 1 WHEN p2 AND length(t2) >= 2 THEN 2 WHEN p3 AND length(t3) >= 2 THEN 3 WHEN p4 AND length(t4) >= 2 THEN 4 WHEN p5 AND length(t5) >= 2 THEN 5 END AS p, n1, n2, n4, t1, t2, t3, t4, t5, g1, g2, g3, g4, g5 FROM (SELECT id, text, "
+_PARSE_SQL = (
+    "toc AS (SELECT book_id, id, text, CASE WHEN p1 AND length(t1) >= 2 THEN 1 WHEN p2 AND length(t2) >= 2 THEN 2 WHEN p3 AND length(t3) >= 2 THEN 3 WHEN p4 AND length(t4) >= 2 THEN 4 WHEN p5 AND length(t5) >= 2 THEN 5 END AS p, n1, n2, n4, t1, t2, t3, t4, t5, g1, g2, g3, g4, g5 FROM (SELECT book_id, id, text, "
     + ", ".join(
         f"regexp_matches(text, {_q(p)}) AS p{i}, {f'regexp_extract(text, {_q(p)}, {n}) AS n{i},' if n else ''} trim(regexp_extract(text, {_q(p)}, {ti})) AS t{i}, regexp_extract(text, {_q(p)}, {pg}) AS g{i}" for i, (p, n, ti, pg) in enumerate(t.CONTENTS_PATTERNS, 1)
     )
-    + f" FROM {_sql_values(list(enumerate(CONTENTS)), 'id, text')})), ent AS (SELECT CAST(id AS INT) AS id, CASE p WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 4 THEN n4 END AS number, CASE p WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 WHEN 4 THEN t4 ELSE t5 END AS title, CAST(CASE p WHEN 1 THEN g1 WHEN 2 THEN g2 WHEN 3 THEN g3 WHEN 4 THEN g4 ELSE g5 END AS BIGINT) AS page FROM toc WHERE p IS NOT NULL), "
+    + f" FROM every_line)), ent AS (SELECT book_id, CAST(id AS INT) AS id, CASE p WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 4 THEN n4 END AS number, CASE p WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 WHEN 4 THEN t4 ELSE t5 END AS title, CAST(CASE p WHEN 1 THEN g1 WHEN 2 THEN g2 WHEN 3 THEN g3 WHEN 4 THEN g4 ELSE g5 END AS BIGINT) AS page FROM toc WHERE p IS NOT NULL), "
     "lvl AS (SELECT *, CAST(CASE WHEN number IS NULL THEN CASE WHEN contains(lower(title), 'chapter') OR contains(lower(title), 'part') OR contains(lower(title), 'appendix') THEN 1 ELSE 2 END ELSE least(length(number) - length(replace(number, '.', '')) + 1, 3) END AS INT) AS level FROM ent)"
 )
 
 
-@query(f"WITH {_TOC_SQL} SELECT id, number, title, page, level FROM lvl")
-def toc_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _values(spark, list(enumerate(CONTENTS)), "id int, text string").withColumn("e", t.contents_entry(F.col("text"))).where("e is not null")
-    return rows.select("id", "e.number", "e.title", "e.page", "e.level")
-
-
 # A table of contents for every document: chapters, sections and subsections in five styles, before a
 # long line and the document's own lines, each on a page of its own.
 _TOCS_SQL = (
@@ -511,6 +505,21 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     return _tree(spark, sf)[1]
 
 
+_CONTENTS_LINES_SQL = (
+    "SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY c, s, u) AS INT) AS id, CASE WHEN (book_id + c + s) % 5 = 0 AND s > 0 THEN '' WHEN s = 0 AND book_id % 2 = 0 THEN 'Chapter ' || c || ': ' ELSE c || CASE WHEN s > 0 THEN '.' || s ELSE '' END || CASE WHEN u > 0 THEN '.' || u ELSE '' END || ' ' END "
+    "|| CASE WHEN u > 0 THEN 'Gamma' WHEN s > 0 THEN 'Beta' ELSE 'Alpha' END || ' ' || c || s || u || ' of it' || CASE WHEN (book_id + c) % 3 = 0 AND s > 0 THEN '     ' ELSE ' ..... ' END || (3 * c + s + u + book_id % 2) AS text FROM gen"
+)
+
+
+@query(f"WITH {LINES_SQL}, {_TOCS_SQL.split(', kept AS')[0]}, every_line AS (SELECT -1 AS book_id, id, text FROM {_sql_values(list(enumerate(CONTENTS)), 'id, text')} UNION ALL SELECT book_id, id, text FROM ({_CONTENTS_LINES_SQL}) UNION ALL SELECT book_id, 1000 + pos, {_TRIMMED} FROM lines), {_PARSE_SQL} SELECT book_id, id, number, title, page, level FROM lvl")
+def toc_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of every document and of its contents, read as an entry of a table of contents."""
+    own = _values(spark, [(-1, i, x) for i, x in enumerate(CONTENTS)], "book_id long, id int, text string")
+    rows = own.unionByName(_contents_lines(spark, sf).withColumnRenamed("idx", "id")).unionByName(_lines(spark, sf).select("book_id", (F.col("pos") + 1000).cast("int").alias("id"), t.strip(F.col("text")).alias("text")))
+    rows = rows.withColumn("e", t.contents_entry(F.col("text"))).where("e is not null")
+    return rows.select("book_id", "id", "e.number", "e.title", "e.page", "e.level")
+
+
 @query(f"WITH {_TOCS_SQL} SELECT book_id, seq, title, number, page, level FROM toc")
 def toc_region(spark: SparkSession, sf: str) -> DataFrame:
     return contents.entries(_elements(spark, sf)).select("book_id", "seq", "title", "number", "page", "level")
