@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.functions import tables
 from lectern.functions import text as t
 from lectern.functions.tokens import lossless
 from lectern.functions.vectors import cosine
@@ -274,6 +275,15 @@ def chunk_page_range(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.page_ranges(windows, spans.drop("tokens"), SIZE).select("book_id", "k", "page_start", "page_end")
 
 
+@query(f"WITH {BOOKS_SQL} SELECT w.book_id, w.k, w.token_start, w.token_end, md5(any_value(w.text)) AS hash, CAST(coalesce(min(page), 1) AS INT) AS page_start, CAST(coalesce(max(page), 1) AS INT) AS page_end FROM wins w LEFT JOIN spans s ON s.book_id = w.book_id AND w.token_start < s.token_end AND w.token_end > s.token_start GROUP BY w.book_id, w.k, w.token_start, w.token_end")
+def sql_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows and their pages by the table function, from SQL."""
+    tables.register(spark)
+    pages = _pages(spark, sf).withColumn("page", F.col("page").cast("int"))
+    sql = "SELECT book_id, k, token_start, token_end, md5(text) AS hash, page_start, page_end FROM token_windows(TABLE({pages}) PARTITION BY book_id ORDER BY (page), {size}, {overlap})"
+    return spark.sql(sql, pages=pages, size=SIZE, overlap=OVERLAP)
+
+
 @query("SELECT doc_id, lag(doc_id) OVER w AS prev_id, lead(doc_id) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def chunk_links(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("book_id"), F.col("doc_id").alias("chunk_index"))
@@ -520,6 +530,14 @@ def toc_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("book_id", "id", "e.number", "e.title", "e.page", "e.level")
 
 
+@query(f"WITH {LINES_SQL}, {_TOCS_SQL.split(', kept AS')[0]}, every_line AS (SELECT -1 AS book_id, id, text FROM {_sql_values(list(enumerate(CONTENTS)), 'id, text')} UNION ALL SELECT book_id, id, text FROM ({_CONTENTS_LINES_SQL}) UNION ALL SELECT book_id, 1000 + pos, {_TRIMMED} FROM lines), {_PARSE_SQL} SELECT book_id, id, number, title, page, level FROM lvl WHERE book_id >= 0")
+def sql_contents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of documents by the table function, from SQL."""
+    tables.register(spark)
+    rows = _contents_lines(spark, sf).withColumnRenamed("idx", "id").unionByName(_lines(spark, sf).select("book_id", (F.col("pos") + 1000).cast("int").alias("id"), "text"))
+    return spark.sql("SELECT book_id, id, e.number, e.title, e.page, e.level FROM {rows}, LATERAL contents_entries(text) e", rows=rows)
+
+
 @query(f"WITH {_TOCS_SQL} SELECT book_id, seq, title, number, page, level FROM toc")
 def toc_region(spark: SparkSession, sf: str) -> DataFrame:
     return contents.entries(_elements(spark, sf)).select("book_id", "seq", "title", "number", "page", "level")
