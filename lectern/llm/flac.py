@@ -608,7 +608,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Stores a stream for each distinct text in the shared folder. Returns a row for each document (id_col and
-    the fingerprint p, q of its text) and the stored table of streams (key: p, q, copies; n_bytes, media).
+    the fingerprint p, q of its text) and the stored table of streams (key: p, q, copies, id of the row that wrote it; n_bytes, media).
 
     Texts are told apart by 128-bit fingerprints; one row of each writes its stream. Where that row is repeated, so
     may the stream be; both are the same. A text that many rows have is counted, not gathered."""
@@ -619,8 +619,8 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = c.stash(prints.groupBy("p", "q").agg(first, F.count("*").alias("copies")).select(F.col("p").alias("own_p"), F.col("q").alias("own_q"), F.col("first.id").alias("own_id"), "copies"))
     same = (F.col("p") == F.col("own_p")) & (F.col("q") == F.col("own_q")) & F.col("id").eqNullSafe(F.col("own_id"))
     found = c.join_small(rows, texts, same, "inner", texts.count())
-    key = F.struct("p", "q", "copies").alias("key")
-    media = c.stash(encode_column(found.select(key, "text").mapInArrow(_once, "key struct<p:bigint,q:bigint,copies:bigint>, text string"), "key", "text"))
+    found = found.select(F.struct("p", "q", "copies", "id").alias("key"), "text")
+    media = c.stash(encode_column(found.mapInArrow(_once, found.schema), "key", "text"))
     return prints.withColumnRenamed("id", id_col), media
 
 
@@ -634,23 +634,29 @@ def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The digests of each document, out of the stored streams: each is read back and decoded once.
-    Documents of a text that many have meet its digests by a broadcast, all others by a shuffle of digests."""
+    """The digests of each document, out of the stored streams: each is read back and decoded once. A text
+    that one document has needs no join; those of a text that many have meet its digests by a broadcast, the
+    rest by a shuffle of digests."""
     rows, media = store_media(docs, id_col, text_col)
-    twice = c.stash(media.groupBy("key").count().where("count > 1").select("key"))
+    copies = F.col("key.copies")
+    several = media.where(copies > 1)
+    twice = c.stash(several.groupBy("key").count().where("count > 1").select("key"))
     if n := twice.count():  # from several tasks
-        once = c.join_small(media, twice, "key", "left_semi", n).dropDuplicates(["key"])
-        media = c.join_small(media, twice, "key", "left_anti", n).unionByName(once)
+        once = c.join_small(several, twice, "key", "left_semi", n).dropDuplicates(["key"])
+        several = c.join_small(several, twice, "key", "left_anti", n).unionByName(once)
 
-    def told(some: DataFrame) -> DataFrame:
+    def told(some: DataFrame, *keys: str) -> DataFrame:
         raw = digests(some, "key").withColumns({x: F.unhex(x) for x in ("payload_sha256", "media_sha256")})
-        return raw.select("key.p", "key.q", *(x for x in raw.columns if x != "key"))
-
-    hot = media.where(F.col("key.copies") > c.HOT_ROWS)
-    keys = hot.select("key.p", "key.q")
-    out = rows.join(F.broadcast(keys), ["p", "q"], "left_anti").join(told(media.where(F.col("key.copies") <= c.HOT_ROWS)), ["p", "q"])
-    out = out.unionByName(rows.join(F.broadcast(told(hot)), ["p", "q"]))  # at most rows / HOT_ROWS texts
-    return out.withColumns({x: F.lower(F.hex(x)) for x in ("payload_sha256", "media_sha256")}).drop("p", "q")
+        return raw.select(*(F.col(f"key.{k}").alias(id_col if k == "id" else k) for k in keys), *(x for x in raw.columns if x != "key"))
+
+    hot = several.where(copies > c.HOT_ROWS)
+    shared = several.select("key.p", "key.q", (copies > c.HOT_ROWS).alias("hot"))
+    n = shared.count()
+    marked = c.join_small(rows, shared, ["p", "q"], "inner", n)
+    out = told(media.where(copies == 1), "id")
+    out = out.unionByName(marked.where("not hot").drop("hot").join(told(several.where(copies <= c.HOT_ROWS), "p", "q"), ["p", "q"]).drop("p", "q"))
+    out = out.unionByName(marked.where("hot").drop("hot").join(F.broadcast(told(hot, "p", "q")), ["p", "q"]).drop("p", "q"))  # at most rows / HOT_ROWS texts
+    return out.withColumns({x: F.lower(F.hex(x)) for x in ("payload_sha256", "media_sha256")})
 
 
 def _decoded(media: list[bytes | None]) -> Iterator[tuple[int, tuple | None, str | None]]:
