@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a low-discrepancy schedule. DataFrame operations only.
 
-Each source's documents, shuffled by a hash of their id, text and kept columns, lie on a line of words that is cut into
+Each source's documents, shuffled by a hash of their id, text and source, lie on a line of words that is cut into
 equal-token blocks. Slot i of the mix falls on the golden-ratio point frac((i + 1) / phi); the
 interval of cumulative weights that holds the point names the source, so any run of slots has each
 source near its share. A slot's rank among its source's slots (modulo blocks) names the block that
@@ -10,7 +10,8 @@ Slots that the points give a source beyond its need go to the sources that fell
 Prefix sums and ranks have two levels (hash ranges of a source, or runs of slots, then within), so
 a source with a third of all rows is spread over many tasks. Rows that are equal in all that counts share
 a hash; where there are many, they are counted first and lie in stretches of their own, dealt by a number of
-the row. As they are equal, their order among themselves says nothing, and reruns agree.
+the row. As they are equal, their order among themselves says nothing, and reruns agree (kept columns break
+ties, but for those of more than RANGE_ROWS rows that are equal otherwise).
 
 Null ids are shuffled like any other, null texts have size 0, a null source is a source of its own,
 the last. Sources without words take none; an empty table gives an empty result. Repeated rows are
@@ -64,8 +65,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     own_columns = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *(F.col(x).alias(f"keep_{x}") for x in keep)]
-    order = F.xxhash64(F.lit(42), F.col(id_col), F.col(text_col), F.col(source_col), *(F.col(x) for x in keep))
-    rows = c.spread(docs).select(*own_columns, order.alias("h"), F.monotonically_increasing_id().alias("tie"))
+    order = F.xxhash64(F.lit(42), F.col(id_col), F.col(text_col), F.col(source_col))
+    kept = F.xxhash64(F.lit(42), *(F.col(x) for x in keep))
+    rows = c.spread(docs).select(*own_columns, order.alias("h"), kept.alias("kept"), F.monotonically_increasing_id().alias("tie"))
     rows = c.stash(rows)
     hot = c.stash(rows.groupBy("h").agg(F.count("*").alias("m")).where(F.col("m") > RANGE_ROWS).select("h", F.ceil(F.col("m") / RANGE_ROWS).alias("parts")))
     rows = c.join_small(rows, hot, "h", "left", hot.count())
@@ -93,10 +95,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     stretch = ["k", "range", "own_h", "part"]
     sums = placed.groupBy(*stretch).agg(F.sum("size").alias("words"))
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(W.partitionBy("k").orderBy("range", F.col("own_h").asc_nulls_first(), "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("words")
-    within = W.partitionBy(*stretch).orderBy(F.shiftrightunsigned("h", 11), "h", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy(*stretch).orderBy(F.shiftrightunsigned("h", 11), "h", "id", "size", "kept").rowsBetween(W.unboundedPreceding, -1)
     same = (F.col("k") == F.col("k_")) & (F.col("range") == F.col("range_")) & F.col("own_h").eqNullSafe(F.col("own_h_")) & (F.col("part") == F.col("part_"))
     placed = placed.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums.withColumnsRenamed({x: f"{x}_" for x in stretch}), same)
-    placed = c.stash(placed.withColumn("start", F.col("base") + F.col("within")).drop("base", "within", "h", "ranges", "tie", *stretch[1:], *(f"{x}_" for x in stretch)))
+    placed = c.stash(placed.withColumn("start", F.col("base") + F.col("within")).drop("base", "within", "h", "kept", "ranges", "tie", *stretch[1:], *(f"{x}_" for x in stretch)))
 
     # The schedule.
     every = W.partitionBy(F.lit(0)).orderBy("k").rowsBetween(W.unboundedPreceding, 0)
