@@ -1,7 +1,7 @@
 """Books whose pages arrive in pieces: pages are kept as state until their book is whole.
 
 A book is given out, all of its pages at once, when it has as many as its rows say (total_pages), or when
-none has come for `wait` (which a later batch of the stream finds). Its pages stay in the state for `keep`, so a page that comes late, or again, gives the
+none has come for `wait` (which a later batch of the stream finds; under availableNow an open timer may keep the stream running). Its pages stay in the state for `keep`, so a page that comes late, or again, gives the
 whole book out anew; the store replaces what it had. Of pages with one number the last that came
 stays. State is kept by book, in RocksDB, one entry for each page; a null page number counts as 0."""
 
