@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import common as c
-from lectern.llm.labelled_pages import labelled_pages
+from lectern.llm.labelled_pages import bare_pages, labelled_pages
 
 #: Elements that end a run of text (fixed values).
 BLOCKS = frozenset("address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -162,11 +162,24 @@ def path_features(path: tuple[str, ...]) -> list[str]:
     return sorted(out)
 
 
+#: Elements that say what they hold (fixed values).
+NAMED = frozenset("article aside footer form header main nav".split())
+
 #: The words of a block of so many or fewer count in full. Notices are short; the more words a block has,
 #: the less each says of what it is, by the square.
 FULL_WORDS = 12
 
 
+def page_features(path: tuple[str, ...], text: str, linked: int, longest: int, blocks: int) -> list[str]:
+    """Features of a block beside the others of its page, where no name and no element says what it is."""
+    if any(" " in x or x in NAMED for x in path):
+        return []
+    n = len(text)
+    tag, share = path[-1] if path else "", min(3, 4 * linked // max(1, n))
+    part = 0 if n == longest else _scale(longest // max(1, n))  # how much shorter than the page's longest block
+    return ["bare", f"b:{part}", f"b:{part},{share}", f"bt:{tag},{part}", f"bs:{tag},{share}", f"bn:{_scale(n)},{share}", f"one:{blocks == 1}"]
+
+
 def text_features(text: str, linked: int, tag: str, place: float) -> tuple[list[str], list[str], float]:
     """Features of the whole text of a block: names of value 1, and its distinct words with the value of each."""
     words = _WORD.findall(text)
@@ -192,6 +205,7 @@ class Crf:
 
     def scores(self, blocks: list[tuple[str, tuple[str, ...], int]]) -> np.ndarray:
         get, out, n = self.weights.get, np.empty(len(blocks)), len(blocks)
+        longest = max((len(x[0]) for x in blocks), default=0)
         for i, (text, path, linked) in enumerate(blocks):
             if (x := self.paths.get(path)) is None:
                 if len(self.paths) > 200_000:
@@ -199,6 +213,7 @@ class Crf:
                 x = self.paths[path] = sum(get(f, 0.0) for f in path_features(path))
             tag = path[-1].split(" ", 1)[0] if path else ""
             plain, words, value = text_features(text, linked, tag, i / n)
+            plain += page_features(path, text, linked, longest, n)
             out[i] = x + sum(get(f, 0.0) for f in plain) + value * sum(get(f, 0.0) for f in words)
         return out
 
@@ -240,7 +255,7 @@ def _marked(page: list[tuple[str, int | None]]) -> tuple[list, list[int]]:
     return [x[:3] for x in found], [round(sum(x[3]) / len(x[3])) for x in found]
 
 
-def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: float = 0.3, l2: float = 4e-6) -> Crf:
+def train(pages: list[list[tuple[str, int | None]]], steps: int = 160, rate: float = 0.3, l2: float = 4e-6) -> Crf:
     """Fits a model to labelled pages by full gradients (forward-backward) with Adam steps."""
     names: dict[str, int] = {}
     rows, cols, values, labels, sizes = [], [], [], [], []
@@ -248,9 +263,10 @@ def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: flo
         blocks, y = _marked(page)
         if not blocks:
             continue
+        long = max(len(x[0]) for x in blocks)
         for i, (text, path, linked) in enumerate(blocks):
             plain, words, value = text_features(text, linked, path[-1].split(" ", 1)[0] if path else "", i / len(blocks))
-            plain = path_features(path) + plain
+            plain = path_features(path) + plain + page_features(path, text, linked, long, len(blocks))
             cols += [names.setdefault(x, len(names)) for x in plain + sorted(words)]
             values += [1.0] * len(plain) + [value] * len(words)
             rows += [len(labels)] * (len(plain) + len(words))
@@ -260,6 +276,10 @@ def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: flo
     counts = np.bincount(col)
     use = counts[col] >= 3  # names that one page alone has teach nothing about others
     row, col, val = row[use], col[use], val[use]
+    blocks, by_block = np.unique(row, return_index=True)  # rows come in order
+    turn = np.argsort(col, kind="stable")
+    used, by_name = np.unique(col[turn], return_index=True)
+    row_turned, val_turned = row[turn], val[turn]
     order = np.argsort(-size, kind="stable")
     begin = (np.cumsum(size) - size)[order]
     size = size[order]
@@ -269,7 +289,8 @@ def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: flo
     w, trans, first = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, trans, first)]
     for step in range(1, steps + 1):
-        e = np.bincount(row, w[col] * val, n)
+        e = np.zeros(n)
+        e[blocks] = np.add.reduceat(w[col] * val, by_block)
         alpha, beta = np.zeros((n, 2)), np.zeros((n, 2))
         alpha[at[0]] = first
         alpha[at[0], 1] += e[at[0]]
@@ -292,7 +313,8 @@ def train(pages: list[list[tuple[str, int | None]]], steps: int = 200, rate: flo
             np.subtract.at(pair, (y[before], y[at[t]]), 1)
         p = alpha + beta
         p = np.exp(p[:, 1] - np.logaddexp(p[:, 0], p[:, 1]))
-        gw = np.bincount(col, (p - y)[row] * val, len(names)) / m + l2 * w * len(y) / m
+        gw = l2 * w * len(y) / m
+        gw[used] += np.add.reduceat((p - y)[row_turned] * val_turned, by_name) / m
         g0 = np.array([((1 - p) - (1 - y))[at[0]].sum(), (p - y)[at[0]].sum()]) / m
         for x, g, (a, b) in zip((w, trans, first), (gw, pair / m, g0), moments, strict=True):
             a += 0.1 * (g - a)
@@ -305,9 +327,10 @@ _models: dict[tuple[int, int], Crf] = {}
 
 
 def default_model(pages: int = 1200, seed: int = 1) -> Crf:
-    """The model of the built-in labelled pages; trained once in a process, in a few seconds."""
+    """The model of the built-in labelled pages, and two for each three of them without names; trained once in a process,
+    in a few seconds."""
     if (pages, seed) not in _models:
-        _models[pages, seed] = train(labelled_pages(pages, seed))
+        _models[pages, seed] = train(labelled_pages(pages, seed) + bare_pages(2 * pages // 3, seed))
     return _models[pages, seed]
 
 

@@ -33,6 +33,8 @@ SAID = {
     "comments": "Leave a reply|Comments|3 comments|Reply|Posted by user|Great article!|I disagree|says:|Report",
     "share": "Share|Tweet|Facebook|Like|Email|Print|Follow us",
 }
+#: Words that any text may hold, so they say nothing about what it is (fixed values).
+COMMON = "the a an of and to in on by for with is was are at from this that it as or we you your our all not more have has be will one their new use site may please de la le les et un du der die und das ist für en el los del y que con para".split()
 _PARTS = ["an on er the in re st ion ed to of and ha", "eau ou en le re ment qui ai é ç an", "ung ver sch ein ge be ä ö ß er zu", "ción es la o ra do ñ qu el ar"]
 
 
@@ -44,8 +46,9 @@ class Maker:
     def prose(self, low: int, high: int) -> str:
         r, out = self.r, []
         noise = r.choice(["", "", "", "", "###", "!!", "&amp;&amp;"])
+        common = r.choice([0.0, 0.2, 0.4])
         for i in range(r.randint(low, high)):
-            w = "".join(r.choice(self.parts) for _ in range(r.randint(1, 4)))
+            w = r.choice(COMMON) if r.random() < common else "".join(r.choice(self.parts) for _ in range(r.randint(1, 4)))
             out.append((w.capitalize() if i == 0 or out[-1].endswith(".") else w) + (noise if r.random() < 0.5 else "") + ("." if r.random() < 0.09 else "," if r.random() < 0.06 else ""))
         return " ".join(out) + r.choice([".", ".", ".", ".", "", ":", "?"])
 
@@ -168,6 +171,82 @@ class Maker:
         out.append(("</div>" * depth + ("</body></html>" if r.random() < 0.8 else ""), None))
         return out
 
+    def bare_off(self, kind: str, around: str, link: float = 0.9) -> list[tuple[str, int | None]]:
+        """What isn't the article, in markup that names nothing."""
+        r = self.r
+        said = SAID[kind].split("|")
+        a, b = (f"<{around}>", f"</{around}>") if around else ("", "<hr>")
+        out: list[tuple[str, int | None]] = [(a, None)]
+        if kind in ("nav", "share"):
+            between = r.choice([" ", " ", " | ", "<br>", " &middot; "])
+            for i in range(r.randint(2, 9)):
+                on = r.random() < link
+                out += [(between if i else "", None), ("<a href='/x'>" if on else "", None), (r.choice(said) if r.random() < 0.5 else self.prose(1, 2).rstrip("."), 0), ("</a>" if on else "", None)]
+        elif kind == "comments":
+            out += [("<h3>" if r.random() < 0.7 else "<b>", None), (r.choice(said[:3]), 0), ("</h3></b>", None)]
+            inner = r.choice(["p", "div"])
+            for _ in range(r.randint(1, 5)):
+                out += [(f"<{inner}>", None), (self.prose(1, 2) + " " + r.choice(["says:", "wrote:", ":"]) + " " + self.prose(3, 30), 0), (f"</{inner}>", None)]
+        elif kind == "form":
+            out += [(r.choice(said), 0), ("<form><input name=q><button>", None), (r.choice(said), 0), ("</button></form>", None)]
+        else:
+            inner, on = r.choice(["", "", "p", "b", "span"]), r.random() < 0.3
+            for _ in range(r.choice([1, 1, 1, 2])):
+                out += [((f"<{inner}>" if inner else "") + ("<a href='/y'>" if on else ""), None), (r.choice(said) + (" " + self.prose(1, 10) if r.random() < 0.4 else ""), 0), (("</a>" if on else "") + (f"</{inner}>" if inner else " "), None)]
+        return [*out, (b, None)]
+
+    def bare_article(self, style: str) -> list[tuple[str, int | None]]:
+        """Title and paragraphs: p or div elements, or one run of text with line breaks."""
+        r = self.r
+        out: list[tuple[str, int | None]] = []
+        if r.random() < 0.65:
+            h = r.choice(["h1", "h1", "h2", "h3"]) if style != "text" else ""
+            out += [(f"<{h}>" if h else "", None), (self.prose(1, 10), 1), (f"</{h}>" if h else "\n\n", None)]
+        size = r.choice([(2, 12), (8, 40), (15, 120)])
+        for _ in range(r.choice([1, 2, 3, 6, 12])):
+            a, b = {"p": ("<p>", "</p>"), "div": ("<div>", "</div>"), "br": ("", "<br><br>"), "text": ("", "\n\n")}[style]
+            out += [(a, None), (self.prose(*size), 1), (b, None)]
+            if style in ("p", "div", "br") and r.random() < 0.08:
+                out += [("<h2>", None), (self.prose(1, 6), 1), ("</h2>", None)]
+        return out
+
+    def bare_page(self) -> list[tuple[str, int | None]]:
+        """A page without classes, ids and elements that say what they hold: text alone, one element of text,
+        unnamed divisions, or a table that lays the page out."""
+        r = self.r
+        kind = r.random()
+        if kind < 0.2:
+            wrap = r.choice(["", "", "div", "p", "pre", "section"])
+            return [(f"<{wrap}>" if wrap else "", None), *self.bare_article("text"), (f"</{wrap}>" if wrap else "", None)]
+        style = r.choice(["p", "div", "br"])
+        head = [(r.choice(["<!DOCTYPE html><html><head><title>x</title></head><body>", "<html><body>", "<body>", ""]), None)]
+        above = [k for k, p in (("notice", 0.2), ("header", 0.4), ("nav", 0.8), ("ad", 0.25), ("form", 0.1)) if r.random() < p]
+        below = [k for k, p in (("share", 0.2), ("comments", 0.3), ("sidebar", 0.3), ("ad", 0.3), ("form", 0.15), ("nav", 0.15), ("footer", 0.75)) if r.random() < p]
+        if kind < 0.6:
+            around = r.choice(["div", "div", "p"])
+            out = [x for k in above for x in self.bare_off(k, around)]
+            wrap = r.random() < 0.8
+            out += [("<div>" if wrap else "", None), *self.bare_article(style), ("</div>" if wrap else "", None)]
+            return head + out + [x for k in below for x in self.bare_off(k, around)]
+        row = lambda cells: [("<tr>", None), *[x for cell in cells for x in [(r.choice(["<td>", "<td valign=top>", "<td width=150>"]), None), *cell, ("</td>", None)]], ("</tr>", None)]
+        side = lambda: r.choice(["nav", "nav", "sidebar", "ad", "share"])
+        middle = [self.bare_article(style)]
+        if r.random() < 0.8:
+            middle.insert(0, self.bare_off(side(), "", 0.7))
+        if r.random() < 0.5:
+            middle.append(self.bare_off(r.choice(["ad", "ad", "sidebar"]), ""))
+        out = [("<table>", None)]
+        for k in above[:2]:
+            out += row([self.bare_off(k, "")])
+        out += row(middle)
+        for k in below[-2:]:
+            out += row([self.bare_off(k, "")])
+        return head + out + [("</table>", None)]
+
 
 def labelled_pages(n: int, seed: int = 1) -> list[list[tuple[str, int | None]]]:
     return [Maker(seed * 1_000_003 + i).page() for i in range(n)]
+
+
+def bare_pages(n: int, seed: int = 1) -> list[list[tuple[str, int | None]]]:
+    return [Maker(seed * 1_000_003 + 500_000 + i).bare_page() for i in range(n)]
