@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.config import DEFAULT, PRESETS, Config
 from lectern.functions.tokens import Tokenizer, lossless
 from lectern.functions.vectors import embed
-from lectern.operators import answer, cells, chunking, contents, layout, search, sections, tree
+from lectern.operators import answer, cells, chunking, contents, latent, layout, search, sections, tree
 from lectern.operators.answer import AnswerGenerator
 from lectern.plans.pipeline import Pipeline, State, chain
 from lectern.sources import pages as page_source
@@ -46,6 +46,14 @@ class Engine:
 
     # --- ingestion -----------------------------------------------------------------------------
 
+    def learn(self, texts: DataFrame, text: str = "text", path: str | None = None) -> None:
+        """Learns the embedding from texts (see operators/latent.py), before books are ingested; kept at a path
+        if one is named."""
+        found = latent.fit(texts, text, self.config.dimension)
+        if path:
+            found.save(self.spark, path)
+        self.embedder = found.embed
+
     def chunk(self, pages: DataFrame, lines: DataFrame | None = None, strategy: str | None = None) -> DataFrame:
         """Chunks of books. pages: book_id, page, text, width, height; lines: see layout.lines."""
         c = self.config.chunking

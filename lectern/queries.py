@@ -13,7 +13,7 @@ from lectern.functions import tables
 from lectern.functions import text as t
 from lectern.functions.tokens import lossless
 from lectern.functions.vectors import cosine
-from lectern.operators import answer, cells, chunking, contents, layout, postings, search, sections, tree
+from lectern.operators import answer, cells, chunking, contents, latent, layout, postings, search, sections, tree
 from lectern.plans.tables import shared_dir, spread, written
 from lectern.sources import pages as page_source
 from lectern.sources import pdf, pdf_files, store
@@ -828,6 +828,13 @@ def store_records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("chunk_id", "book_id", "book_title", "author", "chunk_index", _bar("chapter_titles"), _bar("section_titles"), "page_start", "contains_code", "namespace")
 
 
+@query()
+def latent_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in the leading singular directions of all documents' weighted term counts."""
+    d = _t(spark, sf, "documents").select("doc_id", "text")
+    return spread(d).select("doc_id", latent.fit(d).embed(F.col("text")).alias("embedding"))
+
+
 @query()
 def ask(spark: SparkSession, sf: str) -> DataFrame:
     """From pages to answers: every document is chunked, embedded and stored, and questions are parsed, searched,
