@@ -25,8 +25,9 @@ from pyspark.sql import types as T
 
 from lectern.plans.tables import spread, written
 
-#: Features in a block of sums; nonzeros that are multiplied at a time; partial sums added in one task.
-BLOCK, PIECE, FAN_IN = 128, 1 << 16, 64
+#: Features in a block of sums; nonzeros that are multiplied at a time; partial sums added in one task;
+#: texts of a task of a pass (each shuffles size x (dimension + extra) doubles, so small ones cost more than they save).
+BLOCK, PIECE, FAN_IN, TEXTS = 128, 1 << 16, 64, 1 << 14
 
 
 def features(text: Column, size: int) -> Column:
@@ -154,6 +155,7 @@ def fit(texts: DataFrame, text: str = "text", dimension: int = 64, size: int = 1
     idf = np.zeros(size)
     for r in ids.select(F.explode(F.array_distinct("ids")).alias("feature")).groupBy("feature").count().collect():  # at most `size` rows
         idf[r["feature"]] = np.log1p(n / r["count"])
+    ids = ids.coalesce(max(1, -(-n // TEXTS)))
     width = min(dimension + extra, size)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)) * (idf > 0)[:, None])[0]
     for _ in range(rounds):
