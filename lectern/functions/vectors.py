@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def dot(a: Column, b: Column) -> Column:
+    """In double precision; null where lengths differ."""
+    a, b = a.cast("array<double>"), b.cast("array<double>")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + x * x))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; null where a vector is zero or lengths differ."""
-    a, b = a.cast("array<double>"), b.cast("array<double>")
-    zero = F.lit(0.0)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), zero, lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, zero, lambda s, x: s + x * x))
-    return F.try_divide(dot, norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 Encoder = Callable[[list[str]], np.ndarray]

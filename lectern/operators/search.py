@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import DEFAULT, Retrieval
 from lectern.functions import text as t
-from lectern.functions.vectors import cosine
+from lectern.functions.vectors import dot, norm
 
 #: A batch of questions is broadcast up to so many, and so many bytes of vectors; a larger one is joined in
 #: parts of about this size.
@@ -49,9 +49,9 @@ def top_k(chunks: DataFrame, questions: DataFrame, k: int = DEFAULT.retrieval.to
 
 
 def _nearest(chunks: DataFrame, questions: DataFrame, k: int, chunk_id: str, vector: str) -> DataFrame:
-    own = questions.select("qid", F.col(vector).alias("question_vector"))
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("chunk_vector")).join(F.broadcast(own), how="cross")
-    score = F.round(cosine(F.col("question_vector"), F.col("chunk_vector")), 6)
+    own = questions.select("qid", F.col(vector).alias("question_vector"), norm(F.col(vector)).alias("question_norm"))
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).alias("chunk_vector"), norm(F.col(vector)).alias("chunk_norm")).join(F.broadcast(own), how="cross")
+    score = F.round(F.try_divide(dot(F.col("question_vector"), F.col("chunk_vector")), F.col("question_norm") * F.col("chunk_norm")), 6)
     rows = rows.select("qid", "chunk_id", score.alias("similarity")).where("similarity is not null")
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("similarity"), "chunk_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -20,6 +20,9 @@ from lectern.sources import pages as page_source
 from lectern.sources import pdf
 from lectern.sources.store import Store, records
 
+#: Hits of a batch of questions that are broadcast to the texts of the store; more are joined.
+HITS = 200_000
+
 
 def set_up_logging(name: str = "lectern", level: str = "INFO", file: str | None = None, layout_: str = "%(asctime)s %(name)s %(levelname)s %(message)s") -> logging.Logger:
     """A logger that writes to the console, and to a file if one is named; set up once."""
@@ -134,7 +137,9 @@ class Engine:
             else:
                 hits = search.top_k(chunks, vectors, r.top_k)
             about = s.tables["parsed"].select("qid", "intent", "topics", "keywords")
-            s.tables["hits"] = hits.join(search.to_hits(chunks), "chunk_id").join(about, "qid")
+            hits = self._cut(hits)  # the search is done once; its texts are looked up by what it found
+            few = hits.count() <= HITS
+            s.tables["hits"] = search.to_hits(chunks).join(F.broadcast(hits) if few else hits, "chunk_id").join(about, "qid")
             return s
 
         def order(s: State) -> State:

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.config import DEFAULT, PRESETS
 from lectern.functions import tables
 from lectern.functions import text as t
 from lectern.functions.tokens import lossless
 from lectern.functions.vectors import cosine
 from lectern.operators import answer, cells, chunking, contents, latent, layout, postings, search, sections, tree
+from lectern.plans.engine import Engine
+from lectern.plans.pipeline import State
 from lectern.plans.tables import shared_dir, spread, written
 from lectern.sources import pages as page_source
 from lectern.sources import pdf, pdf_files, store
@@ -79,7 +82,13 @@ CANDIDATES_SQL = LINES_SQL + """, kept AS (SELECT * FROM lines WHERE NOT regexp_
  heads AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, level DESC, top, x0) AS ord FROM lev)"""
 TOKEN_SQL = "regexp_extract_all(text, '[ \\t\\r\\n]*[^ \\t\\r\\n]+|[ \\t\\r\\n]+\\z')"
 SPANS_SQL = PAGES_SQL + f", tok AS (SELECT book_id, page, {TOKEN_SQL} AS tokens FROM pages_), spans AS (SELECT book_id, page, tokens, CAST(sum(len(tokens)) OVER w - len(tokens) AS INT) AS token_start, CAST(sum(len(tokens)) OVER w AS INT) AS token_end FROM tok WINDOW w AS (PARTITION BY book_id ORDER BY page))"
-BOOKS_SQL = SPANS_SQL + f", books AS (SELECT book_id, flatten(list(tokens ORDER BY page)) AS tokens FROM spans GROUP BY book_id), wins AS (SELECT book_id, CAST(s // {STEP} AS INT) AS k, CAST(s AS INT) AS token_start, CAST(least(s + {SIZE}, len(tokens)) AS INT) AS token_end, array_to_string(tokens[s + 1:s + {SIZE}], '') AS text FROM (SELECT book_id, tokens, unnest(range(0, len(tokens), {STEP})) AS s FROM books))"
+
+
+def _books_sql(size: int, step: int) -> str:
+    return SPANS_SQL + f", books AS (SELECT book_id, flatten(list(tokens ORDER BY page)) AS tokens FROM spans GROUP BY book_id), wins AS (SELECT book_id, CAST(s // {step} AS INT) AS k, CAST(s AS INT) AS token_start, CAST(least(s + {size}, len(tokens)) AS INT) AS token_end, array_to_string(tokens[s + 1:s + {size}], '') AS text FROM (SELECT book_id, tokens, unnest(range(0, len(tokens), {step})) AS s FROM books))"
+
+
+BOOKS_SQL = _books_sql(SIZE, STEP)
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -835,19 +844,69 @@ def latent_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return spread(d).select("doc_id", latent.fit(d).embed(F.col("text")).alias("embedding"))
 
 
+def _asked_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated question set: what users say in every conversation whose id 100 divides, each text once."""
+    rows = _t(spark, sf, "conversations").where("role = 'user' and conv_id % 100 = 0 and text is not null")
+    return rows.select(F.md5("text").alias("qid"), F.col("text").alias("raw_query")).distinct()
+
+
+def _engine(spark: SparkSession, sf: str, pages: DataFrame, strategy: str, lines: DataFrame | None = None) -> Engine:
+    """An engine that has ingested every document as a book."""
+    pages = pages.withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
+    books = _t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.col("source").alias("book_title"), F.lit("").alias("author"))
+    engine = Engine(spark, shared_dir(spark), PRESETS["default"])
+    engine.ingest(pages, books, lines, strategy)
+    return engine
+
+
+def _ranked(engine: Engine, questions: DataFrame) -> DataFrame:
+    """Hits of questions as the stages of the engine's pipeline leave them, best first."""
+    result = engine.query_pipeline().run(State({"questions": questions}))
+    if result.error:
+        raise RuntimeError(result.error)
+    return result.state.tables["ranked"]
+
+
+# The default embedding in SQL: CRC-32 of each word by its table, counts of signed words by remainder, length 1 in
+# single precision; then cosine, the best ten chunks of each question, reranked to five.
+_WORD_HASH_SQL = (
+    "tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab), "
+    "words AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM texts), "
+    "coded AS (SELECT w, list_transform(range(1, octet_length(encode(w)) + 1), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i - 1, 2) AS BIGINT)) AS b FROM (SELECT DISTINCT w FROM words)), "
+    "hashed AS (SELECT w, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM coded, tab)"
+)
+_CHUNKING, _RETRIEVAL = DEFAULT.chunking, DEFAULT.retrieval
+_BROAD = f"(regexp_matches(text, {_q('(?m)' + '|'.join(f'(?:{p})' for p in t.CODE_BROAD))}) OR (length(text) > 0 AND {_SYMBOLS} / greatest(length(text), 1) > 0.01))"
+_ASK_SQL = (
+    f"WITH {_books_sql(_CHUNKING.size, _CHUNKING.size - _CHUNKING.overlap)}, chunks AS (SELECT sha256(book_id || chr(31) || k || chr(31) || text) AS chunk_id, text, CASE WHEN {_BROAD} THEN 'code' ELSE 'text' END AS chunk_type FROM wins), "
+    f"asked AS (SELECT DISTINCT md5(text) AS qid, text AS raw_query FROM conversations WHERE role = 'user' AND conv_id % 100 = 0), good AS (SELECT * FROM asked WHERE length({_STRIPPED}) BETWEEN 3 AND 1000 AND regexp_matches({_STRIPPED}, '[\\p{{L}}\\p{{N}}]')), "
+    f"p AS (SELECT qid, {_cases_sql(t.INTENTS, t.DEFAULT_INTENT)} AS intent, list_filter([{', '.join(map(_q, t.TOPICS))}], lambda x: contains(lower(raw_query), x)) AS topics, list_filter(regexp_extract_all(lower(raw_query), '[\\p{{L}}\\p{{N}}_]+'), lambda x: NOT list_contains([{', '.join(map(_q, t.STOPWORDS))}], x) AND length(x) > 2) AS keywords FROM good), "
+    f"texts AS (SELECT chunk_id AS id, text FROM chunks UNION ALL SELECT qid, raw_query FROM good), {_WORD_HASH_SQL}, "
+    f"counts AS (SELECT id, h % {DEFAULT.dimension} AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM words JOIN hashed USING (w) GROUP BY ALL), "
+    "vec AS (SELECT id, i, CAST(CAST(n AS FLOAT) / CAST(sqrt(sum(n * n) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS v FROM counts QUALIFY sum(n * n) OVER (PARTITION BY id) > 0), norm AS (SELECT id, sqrt(sum(v * v)) AS norm FROM vec GROUP BY id), "
+    "dot AS (SELECT qid, chunk_id, sum(q.v * c.v) AS dot FROM good JOIN vec q ON q.id = qid JOIN vec c USING (i) JOIN chunks ON chunk_id = c.id GROUP BY ALL), "
+    "near AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, text AS content, chunk_type, round(coalesce(dot, 0) / (a.norm * b.norm), 6) AS similarity FROM good JOIN norm a ON a.id = qid CROSS JOIN (chunks JOIN norm b ON b.id = chunk_id) LEFT JOIN dot USING (qid, chunk_id))), "
+    f"sc AS (SELECT *, round(least({_RETRIEVAL.similarity} * similarity + {_RETRIEVAL.topic} * len(list_filter(topics, lambda x: contains(lower(content), x))) + {_RETRIEVAL.keyword} * len(list_filter(keywords, lambda x: contains(lower(content), x))) + CASE WHEN intent = 'code_request' AND chunk_type = 'code' THEN {_RETRIEVAL.code} ELSE 0 END + CASE WHEN intent = 'conceptual' AND chunk_type = 'text' THEN {_RETRIEVAL.text} ELSE 0 END, 1.0), 6) AS rerank FROM near JOIN p USING (qid) WHERE rank <= {_RETRIEVAL.top_k}), "
+    "rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, rank) AS INT) AS position, max(rerank) OVER (PARTITION BY qid) AS best FROM sc) "
+    f"SELECT qid, position, chunk_id, chunk_type, CAST(similarity AS DOUBLE) AS similarity, CAST(rerank AS DOUBLE) AS rerank, round(CAST(rerank AS DOUBLE) / nullif(best, 0) * 100, 1) AS relevance_pct FROM rk WHERE position <= {_RETRIEVAL.rerank_k}"
+)
+
+
+@query(_ASK_SQL)
+def ask_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions of conversations to ranked hits: every document is chunked, embedded and stored, questions are
+    parsed, searched and reranked by the stages of the engine."""
+    found = _ranked(_engine(spark, sf, _pages(spark, sf), "flat"), _asked_turns(spark, sf))
+    return found.select("qid", "position", "chunk_id", "chunk_type", "similarity", "rerank", "relevance_pct")
+
+
 @query()
 def ask(spark: SparkSession, sf: str) -> DataFrame:
     """From pages to answers: every document is chunked, embedded and stored, and questions are parsed, searched,
     reranked and answered out of their hits."""
-    from lectern.config import PRESETS
-    from lectern.plans.engine import Engine
-
-    pages = _pages(spark, sf).withColumn("width", F.lit(600.0)).withColumn("height", F.lit(800.0))
-    books = _t(spark, sf, "documents").select(F.col("doc_id").alias("book_id"), F.col("source").alias("book_title"), F.lit("").alias("author"))
-    engine = Engine(spark, shared_dir(spark), PRESETS["default"])
-    engine.ingest(pages, books, strategy="flat")
     asked = _values(spark, QUESTIONS, "qid long, raw_query string")
-    return engine.ask(asked).select("qid", "response.answer", F.array_join("response.sources", "|").alias("sources"), "response.confidence", "response.query_info.intent")
+    answers = _engine(spark, sf, _pages(spark, sf), "flat").ask(asked)
+    return answers.select("qid", "response.answer", F.array_join("response.sources", "|").alias("sources"), "response.confidence", "response.query_info.intent")
 
 
 @query("SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS heading FROM pages")
