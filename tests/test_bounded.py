@@ -17,3 +17,9 @@ def test_answers_bring_few_hits_together(spark, small):
     row = answer.answers(hits.repartition(5), degraded=False).first()
     assert row["code_snippets"] == ["text 39", "text 19"] and row["sources"][:3] == [49, 48, 47] and "From c:\ntext 49..." in row["answer"]
     assert answer.answers(search.scored(hits.where("chunk_id < 0").withColumns({"rank": F.lit(1), "similarity": F.lit(0.5), "intent": F.lit(""), "topics": F.array().cast("array<string>"), "keywords": F.array().cast("array<string>")})), order=search.best_first()).count() == 0
+
+
+def test_trees_and_chapters_are_joined_by_shuffle(spark, small):
+    """Tables that grow with the books don't go through the driver, however small their files are."""
+    for name in ("tree_ranges", "chapter_chunks", "chunk_sections", "heading_dedup"):
+        assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, small)), name
