@@ -23,3 +23,17 @@ def test_trees_and_chapters_are_joined_by_shuffle(spark, small):
     """Tables that grow with the books don't go through the driver, however small their files are."""
     for name in ("tree_ranges", "chapter_chunks", "chunk_sections", "heading_dedup"):
         assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, small)), name
+
+
+def test_lines_move_not_their_characters(spark):
+    """A character in any order, doubled, of many letters or none; each task sends runs."""
+    from lectern.operators import layout
+
+    data = [(1, 1, i, c, 10.0 if i % 2 else 0.0, "F" if i else "G", float(i), i + 1.0, 3.5 if i < 4 else 12.25) for i, c in enumerate("abcdéf😀h")]
+    data += [(1, 1, 2, "C", None, "F", 0.5, 9.0, 4.0), (1, 1, 20, "ffi", 8.0, "F", 1.0, 2.0, 12.0), (1, 1, 21, None, 8.0, "F", None, 2.0, 12.0), (2, 1, 5, " x", 8.0, "F", 1.0, 2.0, 0.2), (2, 1, 3, "y", 8.0, "F", 1.0, 2.0, -0.2)]
+    names = "book_id long, page int, seq int, text string, size double, fontname string, x0 double, x1 double, top double"
+    want = {(1, 4.0): ("abCcd", 10.0, "G", 0.0, 9.0), (1, 12.0): ("éf😀hffi", (10.0 * 2 + 16) / 4, "F", 1.0, 8.0), (2, 0.0): ("y x", 8.0, "F", 1.0, 2.0)}
+    for rows in (data, data[::-1], data[::2] + data[1::2]):
+        for parts in (1, 3):
+            found = layout.lines(spark.createDataFrame(rows, names).coalesce(1) if parts == 1 else spark.createDataFrame(rows, names).repartition(3))
+            assert {(r["book_id"], r["top"]): (r["text"], r["size"], r["fontname"], r["x0"], r["x1"]) for r in found.collect()} == want
