@@ -37,3 +37,19 @@ def test_lines_move_not_their_characters(spark):
         for parts in (1, 3):
             found = layout.lines(spark.createDataFrame(rows, names).coalesce(1) if parts == 1 else spark.createDataFrame(rows, names).repartition(3))
             assert {(r["book_id"], r["top"]): (r["text"], r["size"], r["fontname"], r["x0"], r["x1"]) for r in found.collect()} == want
+
+
+def test_books_lie_in_many_folders(spark):
+    """No folder holds all files; pages are counted without reading their texts."""
+    from lectern.plans.tables import shared_dir
+    from lectern.sources import pdf, pdf_files
+
+    at = f"{shared_dir(spark)}/files"
+    pages = spark.range(40).select(F.col("id").alias("book_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("page"), F.concat(F.lit("é of "), "id").alias("text"))
+    made = pdf_files.write_books(pages.orderBy(F.desc("page")), at, pdf_files.FOLDERS).collect()
+    assert len(made) == 40 and len({r["path"].rsplit("/", 1)[0] for r in made}) == 40 and {r["pages"] for r in made} == {2}
+    pdf.register(spark)
+    found = spark.read.format("pdf").load(at).collect()
+    assert sorted((pdf_id, r["page"], r["text"]) for r in found for pdf_id in [int(r["path"].rsplit("/", 1)[1][:-4])]) == [(i, p, f"é of {i}") for i in range(40) for p in (1, 2)]
+    counted = spark.read.format("pdf").option("texts", False).load(at)
+    assert counted.count() == 80 and counted.where("text is not null").count() == 0
