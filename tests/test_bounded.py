@@ -53,3 +53,17 @@ def test_books_lie_in_many_folders(spark):
     assert sorted((pdf_id, r["page"], r["text"]) for r in found for pdf_id in [int(r["path"].rsplit("/", 1)[1][:-4])]) == [(i, p, f"é of {i}") for i in range(40) for p in (1, 2)]
     counted = spark.read.format("pdf").option("texts", False).load(at)
     assert counted.count() == 80 and counted.where("text is not null").count() == 0
+
+
+def test_searches_multiply_blocks(spark, small):
+    """No row for each pair of question and vector; sums near a middle of two values are taken one by one."""
+    import numpy as np
+
+    made = plan(QUERIES["vector_topk"](spark, small))
+    assert "NestedLoop" not in made and "MapInArrow" in made
+    x, y = np.array([[1.0, 0.0]]), np.array([[0.1234565, np.sqrt(1 - 0.1234565**2)], [-1.0, 0.0], [0.0, 0.0]])
+    found = search._cosines(x, search._norms(x), y, np.array([1.0, 1.0, 0.0]))[0]
+    assert found[:2].tolist() == [0.123457, -1.0] and np.isnan(found[2])
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20, 0, -1)] + [(0, [1.0, 1.0]), (99, None), (98, [0.0, 0.0]), (97, [1.0, None]), (96, [1.0])], "id long, embedding array<double>").repartition(3)
+    found = search.top_k(rows, spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "qid long, embedding array<double>"), 3, "id").collect()
+    assert sorted((r["qid"], r["chunk_id"], r["similarity"], r["rank"]) for r in found) == [(7, 1, 1.0, 1), (7, 2, 1.0, 2), (7, 3, 1.0, 3)]
