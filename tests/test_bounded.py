@@ -67,3 +67,8 @@ def test_searches_multiply_blocks(spark, small):
     rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20, 0, -1)] + [(0, [1.0, 1.0]), (99, None), (98, [0.0, 0.0]), (97, [1.0, None]), (96, [1.0])], "id long, embedding array<double>").repartition(3)
     found = search.top_k(rows, spark.createDataFrame([(7, [2.0, 0.0]), (8, None)], "qid long, embedding array<double>"), 3, "id").collect()
     assert sorted((r["qid"], r["chunk_id"], r["similarity"], r["rank"]) for r in found) == [(7, 1, 1.0, 1), (7, 2, 1.0, 2), (7, 3, 1.0, 3)]
+
+
+def test_section_windows_shuffle_no_tokens(spark, small):
+    made = plan(QUERIES["chunk_sections"](spark, small))
+    assert "flatten" not in made and "collect_list(struct(pos" not in made
