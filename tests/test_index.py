@@ -83,6 +83,27 @@ def test_postings_count_what_a_scan_counts(spark, parts):
     assert {(x["qid"], x["chunk_id"]): x["n"] for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("small_parts", [False, True])
+def test_keyword_counts_send_no_pairs(spark, monkeypatch, small_parts):
+    """Pairs of questions and texts are made in the last step, and nothing of their number is shuffled; texts of equal
+    ids add up, runs longer than those whose parts are listed are looked into, and no index is needed."""
+    if small_parts:
+        for name, value in (("ENTRIES", 7), ("ROWS", 3), ("TERM", 4)):
+            monkeypatch.setattr(postings, name, value)
+    texts = [(1, "Harbour and sail"), (1, "harbours"), (2, None), (3, ""), (4, "x" * 100 + "harbour sail_1"), (5, "a.b c"), *((i, f"sail word{i}") for i in range(6, 40))]
+    asked = [(q, ["harbour", "Sail", f"word{q}", f"word{q}", "a.b", "our", "or"][: q % 8]) for q in range(30)] + [(99, ["nowhere"])]
+    got = postings.keyword_counts(None, spark.createDataFrame(texts, "chunk_id long, text string"), spark.createDataFrame(asked, "qid long, keywords array<string>"))
+    want = {}
+    for q, words in asked:
+        for i, x in texts:
+            n = sum(w.lower() in x.lower() for w in words) if x is not None else 0
+            if n:
+                want[q, i] = want.get((q, i), 0) + n
+    assert sorted(map(tuple, got.collect())) == sorted((*k, n) for k, n in want.items())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.partition("Exchange")[0]
+
+
 def test_postings_meet_few_texts(spark, small):
     """Of all pairs of words and documents, the candidates are few, and most of them are hits."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
