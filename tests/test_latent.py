@@ -70,6 +70,23 @@ def test_words_of_one_subject_are_near(spark, tmp_path):
     assert np.array_equal(latent.fit(table, dimension=2, size=4096).directions, model.directions)
 
 
+@pytest.mark.parametrize("dense", [1, 64 << 20])
+def test_words_of_texts_are_found_once(spark, monkeypatch, dense):
+    """Texts that are learned from and embedded are read once, as counted features, whatever stands between their words."""
+    monkeypatch.setattr(latent, "DENSE", dense)
+    texts = [None, "", "  ", "--", "a", "A b_1 a\tb", " é É\u00a0日本 x² ", "\n\U0001d7d8 c a!", "İstanbul ΑΣ", *(f"word{i} word{i % 7} a" for i in range(40))]
+    table = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r["id"]: Counter(r["f"]) for r in table.select("id", latent.features(table["text"], 256).alias("f")).collect()}
+    counted = latent.term_counts(table, size=256, keep=("id",))
+    got = {r["id"]: dict(zip(np.frombuffer(bytes(r["ids"]), np.int32).tolist(), np.frombuffer(bytes(r["counts"]), np.int32).tolist(), strict=True)) for r in counted.collect()}
+    assert got == want
+    found = latent.fit_embed(table, keep=("id",), dimension=4, size=256, rounds=2)
+    assert "regexp" not in found._jdf.queryExecution().executedPlan().toString()
+    other = latent.fit(table, dimension=4, size=256, rounds=2)
+    again = {r["id"]: r["e"] for r in table.select("id", other.embed(table["text"]).alias("e")).collect()}
+    assert all(np.allclose(r["embedding"], again[r["id"]], atol=1e-6) for r in found.collect()) and found.dtypes == [("id", "bigint"), ("embedding", "array<float>")]
+
+
 def test_empty_table_and_more_directions_than_rank(spark):
     empty = spark.createDataFrame([], "id long, text string, ids int, feature string, block int")
     assert not latent.fit(empty, dimension=3, size=256, rounds=1).directions.any()
