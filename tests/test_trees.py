@@ -139,3 +139,17 @@ def test_windows_without_text(spark):
     rows = spark.createDataFrame([(1, ["x"] * 250), (2, [])], "book_id long, tokens array<string>")
     one, two = (chunking.windows(rows, ["book_id"], 100, 20, text=x) for x in (True, False))
     assert two.columns == ["book_id", "k", "token_start", "token_end"] and sorted(map(tuple, one.drop("text").collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_lines_of_contents_are_parsed_once(spark):
+    """A condition on a parsed line isn't turned into a second parse, and stripping looks for no pattern."""
+    from lectern.functions import text as t
+    from lectern.operators import contents as c
+
+    elements = spark.createDataFrame([(1, i, x) for i, x in enumerate(["Contents", *(f" {i} Title{i} ..... {i} \t" for i in range(1, 9))])], "book_id long, idx int, text string")
+    found = c.entries(elements)
+    assert [(r["seq"], r["title"], r["page"]) for r in found.orderBy("seq").collect()] == [(i, f"Title{i}", i) for i in range(1, 9)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" not in plan and 0 < plan.count("try_to_number") <= 5, plan.count("try_to_number")
+    odd = spark.createDataFrame([(" \t\x0b\f\r\n a b  ",), ("",), (None,), (" x  ",), ("a \n",)], "x string")
+    assert [r[0] for r in odd.select(t.strip(odd["x"])).collect()] == ["a b  ", "", None, " x ", "a"]
