@@ -55,6 +55,9 @@ HELD_KEYS = 700_000
 #: Shingles left out of sketches: at most so many, each in at least so many documents of a batch; and
 #: the bits of their bitmap.
 MOST_COMMON, IN_BATCH, MARK_BITS = 200_000, 4, 24
+#: Bits of a set's fingerprint that own its keys while candidates are looked for, so that a text needs no number from
+#: elsewhere for that. Classes that share them by chance are candidates of each other.
+OWNER_BITS = 32
 #: Shingles that a large group leaves out of the keys that split it.
 GROUP_COMMON = 4096
 
@@ -224,19 +227,23 @@ def _first_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send(k: int, num: int, den: int, buckets: int, held_common: Any) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of the texts' sets and their owners (see OWNER_BITS); of equal sets of a task, of the first alone."""
+
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, common = Bands(num, den), mark(held_common.value)
-        for batch in _first_rows(batches):
-            ids, prints = batch.column("node").to_numpy(), batch.column("p").to_numpy()
+        bands, common, seen = Bands(num, den), mark(held_common.value), np.zeros(0, np.int64)
+        for batch in batches:
             raw, at = c.text_of(batch.column("text"))
             keys, owners = [], []
             for s, e in c.pieces(at):
                 sets, begin = c.shingle_sets(raw[at[s] : at[e]], at[s : e + 1] - at[s], k)
-                own = fingerprints(sets, begin, 11) == prints[s:e]  # else another row of the same hash
-                key, at_ = sketch_keys(sets, begin, bands, common)
-                key, at_ = key[own[at_]], at_[own[at_]]
-                keys.append(key)
-                owners.append(ids[s:e][at_])
+                prints = fingerprints(sets, begin, 11)
+                new = np.zeros(e - s, bool)
+                new[np.unique(prints, return_index=True)[1]] = True
+                new &= ~np.isin(prints, seen)
+                seen = np.union1d(seen, prints[new])
+                key, of = sketch_keys(sets, begin, bands, common)
+                keys.append(key[new[of]])
+                owners.append((prints.view(U) >> U(64 - OWNER_BITS)).astype(np.int64)[of[new[of]]])
                 if e == len(at) - 1 or sum(map(len, keys)) > HELD_KEYS:
                     if out := _deal(keys, owners, buckets):
                         yield out
@@ -470,17 +477,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = prints.where("kind = 0 and n > 0").groupBy("p", "q").agg(F.min("n").alias("n"), F.count("*").alias("copies"), first)
     at = F.monotonically_increasing_id()
     node = F.shiftrightunsigned(at, 33) + at.bitwiseAND((1 << 33) - 1) * n
-    classes = c.stash(classes.select(node.alias("node"), "p", "q", "n", "copies", F.col("first.id").alias("low"), F.col("first.h").alias("h")))
+    classes = c.stash(classes.select(node.alias("node"), F.shiftrightunsigned("p", 64 - OWNER_BITS).alias("owner"), "p", "q", "n", "copies", F.col("first.id").alias("low"), F.col("first.h").alias("h")))
     n_classes = classes.count()
-    # Texts come by the hash of id and text; what shares it by chance has another fingerprint and goes.
-    texts = lambda some, count: c.join_small(rows.drop("id"), some, "h", "inner", count)
-
+    # Texts come by the hash of id and text; what shares it by chance has another fingerprint. Of texts that no class
+    # or no group needs none is shuffled.
     held_common = spark.sparkContext.broadcast(common_shingles(prints))
-    sent = texts(classes.select("node", "p", "h"), n_classes).select("node", "p", "text").mapInArrow(_send(k, num, den, 4 * n, held_common), "kind int, bucket int, blob binary")
-    groups = _groups(sent, n)
+    first_texts = rows.select("h", "text")
+    if n_classes * 64 <= c.BROADCAST_BYTES:
+        first_texts = c.join_small(first_texts, classes.select("h"), "h", "left_semi", n_classes)
+    else:
+        first_texts = c.marked(first_texts, classes, "h", n_classes).where("may__")
+    sent = first_texts.select("text").mapInArrow(_send(k, num, den, 4 * n, held_common), "kind int, bucket int, blob binary")
+    groups = _groups(sent, n).withColumnRenamed("node", "owner")
+    twins = c.stash(classes.groupBy("owner").count().where("count > 1").select("owner"))
+    groups = groups.unionByName(c.join_small(twins, groups, "owner", "left_anti", groups.count()).select("owner", F.col("owner").alias("grp")))
     n_groups = groups.count()
-    some = c.stash(c.join_small(classes.select("node", "copies", "n", "p", "h"), groups, "node", "inner", n_groups))
-    sets = texts(some, n_groups).select("node", "grp", "copies", "n", "p", "text").mapInArrow(_sets(k), "node long, grp long, copies long, n long, blob binary")
+    some = c.stash(c.join_small(classes.select("node", "owner", "copies", "n", "p", "h"), groups, "owner", "inner", n_groups).drop("owner"))
+    sets = c.join_marked(rows.drop("id"), some, "h", "inner", n_groups).select("node", "grp", "copies", "n", "p", "text").mapInArrow(_sets(k), "node long, grp long, copies long, n long, blob binary")
     bands = Bands(num, den)
     bands.grow(1 << 40)
     tasks = _tasks(_split(_each_once(c.stash(sets)), num, den, split_above), bands)
