@@ -72,3 +72,19 @@ def test_searches_multiply_blocks(spark, small):
 def test_section_windows_shuffle_no_tokens(spark, small):
     made = plan(QUERIES["chunk_sections"](spark, small))
     assert "flatten" not in made and "collect_list(struct(pos" not in made
+
+
+def test_characters_are_never_rows(spark, small):
+    """A task makes the characters of its texts and joins them at once, whatever letters they are."""
+    from lectern.operators import layout
+    from lectern.queries import _characters
+
+    assert "Generate" not in plan(QUERIES["line_group"](spark, small))
+    texts = [(1, "aé😀\nb " * 30), (2, ""), (3, None), (4, "  x"), (5, "日本" * 50)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    i = F.col("i") + 1
+    chars = rows.select("doc_id", F.posexplode(F.split("text", "")).alias("i", "text")).where("text != ''").withColumn("i", i)
+    i = F.col("i")
+    chars = chars.select(F.col("doc_id").alias("book_id"), F.lit(1).alias("page"), i.alias("seq"), "text", F.when(i % 3 != 0, 8.0 + i % 3).otherwise(0.0).alias("size"), F.lit("Serif").alias("fontname"), (i * 5.0).alias("x0"), (i * 5.0 + 5).alias("x1"), (F.floor(i / 40) * 10 + 0.25 * (i % 2)).alias("top"))
+    got, want = (sorted(map(tuple, x.collect())) for x in (layout.spelled_lines(rows.where("text != ''"), _characters), layout.lines(chars)))
+    assert got == want and len(got) == 5 + 1 + 3
