@@ -88,3 +88,23 @@ def test_characters_are_never_rows(spark, small):
     chars = chars.select(F.col("doc_id").alias("book_id"), F.lit(1).alias("page"), i.alias("seq"), "text", F.when(i % 3 != 0, 8.0 + i % 3).otherwise(0.0).alias("size"), F.lit("Serif").alias("fontname"), (i * 5.0).alias("x0"), (i * 5.0 + 5).alias("x1"), (F.floor(i / 40) * 10 + 0.25 * (i % 2)).alias("top"))
     got, want = (sorted(map(tuple, x.collect())) for x in (layout.spelled_lines(rows.where("text != ''"), _characters), layout.lines(chars)))
     assert got == want and len(got) == 5 + 1 + 3
+
+
+def test_lines_of_files_are_read_as_runs(spark, small, monkeypatch):
+    """Characters of files are joined by the task that reads them; their lines are those of the characters."""
+    from lectern.operators import layout
+    from lectern.plans.tables import shared_dir
+    from lectern.sources import pdf, pdf_files
+
+    monkeypatch.setattr(layout, "lines", None)  # of rows of characters
+    assert QUERIES["pdf_lines"](spark, small).limit(1).count() == 1
+    monkeypatch.undo()
+    at = f"{shared_dir(spark)}/files"
+    pages = spark.range(7).select(F.col("id").alias("book_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page"), F.concat(F.lit("  é of "), "id", F.lit("\n\n\U0001F600 second  line ")).alias("text"))
+    pdf_files.write_books(pages, at).count()
+    pdf.register(spark)
+    read = lambda kind: spark.read.format("pdf").option("rows", kind).load(at).withColumn("book_id", pdf_files.book_of("path"))
+    runs, chars = read("runs"), read("chars")
+    assert runs.count() == 7 * 3 * 2 < chars.count()
+    got, want = (sorted(map(tuple, x.collect())) for x in (layout.lines_of(runs), layout.lines(chars)))
+    assert got == want and len(got) == 7 * 3 * 2
