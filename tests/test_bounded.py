@@ -108,3 +108,22 @@ def test_lines_of_files_are_read_as_runs(spark, small, monkeypatch):
     assert runs.count() == 7 * 3 * 2 < chars.count()
     got, want = (sorted(map(tuple, x.collect())) for x in (layout.lines_of(runs), layout.lines(chars)))
     assert got == want and len(got) == 7 * 3 * 2
+
+
+def shuffled(df):
+    """Names of the columns of each shuffle."""
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "Exchange":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_chapters_shuffle_texts_once(spark, small):
+    """Elements are gathered by book; neither they nor the chunks are dealt again, and no copy of them is written."""
+    own = shuffled(QUERIES["chapter_chunks"](spark, small))
+    assert len(own) > 5 and not any({"text", "part", "tokens"} & x for x in own if "book_id" in x and "u" not in x)  # u: lines of contents
