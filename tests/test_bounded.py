@@ -127,3 +127,35 @@ def test_chapters_shuffle_texts_once(spark, small):
     """Elements are gathered by book; neither they nor the chunks are dealt again, and no copy of them is written."""
     own = shuffled(QUERIES["chapter_chunks"](spark, small))
     assert len(own) > 5 and not any({"text", "part", "tokens"} & x for x in own if "book_id" in x and "u" not in x)  # u: lines of contents
+
+
+def test_windows_meet_sections_by_numbers(spark, small):
+    """Titles are dealt by book alone, not to windows, pages or stretches."""
+    own = shuffled(QUERIES["chunk_sections"](spark, small))
+    assert len(own) > 5 and not any("title" in x and {"k", "stretch", "token_start", "token_end"} & x for x in own)
+
+
+def test_flat_chunks_shuffle_tokens_once(spark, small):
+    from lectern.operators import chunking
+    from lectern.queries import _pages
+
+    headings = spark.createDataFrame([(1, 1, "A", 1, 1, 2, "A", "1", None, None, None, None), (1, 2, "B", 2, 3, 9, "A", "1", "B", None, None, None)], "book_id long, ord int, title string, level int, start_page int, end_page int, chapter_title string, chapter_number string, section_title string, section_number string, subsection_title string, subsection_number string")
+    rows = chunking.flat_chunks(_pages(spark, small), headings, 100, 20)
+    own = shuffled(rows)
+    assert len(own) > 5 and not any({"text", "tokens"} & x for x in own if "book_id" in x)
+    pages = spark.createDataFrame([(1, i, " ".join(f"w{i}" for _ in range(5))) for i in range(1, 10)] + [(2, 1, "x y"), (3, 1, None)], "book_id long, page int, text string")
+    got = {(r["book_id"], r["chunk_index"]): (r["page_start"], r["page_end"], r["chapter_titles"], r["chapter_numbers"], r["section_titles"], r["section_numbers"]) for r in chunking.flat_chunks(pages, headings, 10, 5).collect()}
+    assert got[1, 0] == (1, 2, ["A"], ["1"], [], []) and got[1, 1] == (2, 3, ["A"], ["1"], ["B"], [""]) and got[1, 5] == (6, 7, ["A"], ["1"], ["B"], [""]) and {b for b, _ in got} == {1, 2}
+
+
+def test_ids_that_come_once_deal_no_rows(spark, small, monkeypatch):
+    from lectern.plans.tables import shared_dir
+    from lectern.sources import store
+
+    told, upserted = [], store.upserted
+    monkeypatch.setattr(store, "upserted", lambda old, new, gone, again: (told.append(again), upserted(old, new, gone, again))[1])
+    rows = store.records(spark.range(20).select(F.col("id").alias("book_id"), F.lit(0).alias("chunk_index"), F.lit("x").alias("text")), "ns")
+    own = store.Store(spark, shared_dir(spark))
+    own.upsert(rows)
+    own.upsert(rows.union(rows))
+    assert told == [False, True] and own.read("ns").count() == own.count("ns") == 20
