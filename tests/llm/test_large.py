@@ -31,3 +31,18 @@ def test_marks_miss_no_key(spark, monkeypatch):
     monkeypatch.setattr(c, "BROADCAST_BYTES", 0)
     of = lambda how: sorted(r["id"] for r in c.join_marked(rows, keys, "x", how, 100).collect())
     assert of("inner") == of("left_semi") == list(range(0, 5000, 50)) and of("left_anti") == [i for i in range(5000) if i % 50]
+
+
+def test_parts_of_terms_are_sifted_before_they_move(spark, monkeypatch):
+    """Where words are too many to be broadcast, parts of terms that can't be words aren't shuffled."""
+    from lectern.operators import postings
+
+    joined, join_marked = [], postings.join_marked
+    monkeypatch.setattr(c, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(postings, "join_marked", lambda left, *a: (joined.append((left.count(), c.marked(left, *a[:2], a[3]).where("may__").count())), join_marked(left, *a))[1])
+    texts = {i: f"Alphabet soup{i} with gammaray_{i % 3} and beta, alphabetical order" for i in range(40)}
+    asked = {1: ["alpha", "beta", "soup1", "alpha"], 2: ["gammaray_2", "order", "nothing"]}
+    got = postings.keyword_counts(None, spark.createDataFrame([*texts.items()], "doc_id long, text string"), spark.createDataFrame([*asked.items()], "qid long, keywords array<string>"), id_col="doc_id")
+    want = {(q, i): n for q, words in asked.items() for i, x in texts.items() if (n := sum(w in x.lower() for w in words))}
+    assert {(r["qid"], r["doc_id"]): r["n"] for r in got.collect()} == want
+    assert len(joined) == 1 and joined[0][1] < joined[0][0] / 4
